@@ -69,3 +69,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Rows whose crc32 of the id's text leaves the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows and bytes of text of a table: what the number of shares is taken from, so that shares keep their size."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    return rows, size or 0
+
+
+def two_to(n: float) -> int:
+    """The exponent of the smallest power of two that is at least n; 0 for less than one."""
+    return max(0, int(n - 1e-9).bit_length()) if n > 1 else 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_dup import op1_jaccard_join
 from .html_text import op8_html
 from .media import op10_media
 from .packing import op5_packing
@@ -9,6 +10,7 @@ from .quality import op2_quality
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_jaccard_join,
     "op2_quality_classifier": op2_quality,
     "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_packing,
