@@ -7,6 +7,7 @@ from .html_text import op8_html
 from .media import op10_media
 from .packing import op5_packing
 from .quality import op2_quality
+from .substring_dedup import op9_suffix_dedup
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_packing,
     "op8_html_extraction": op8_html,
+    "op9_suffix_array_dedup": op9_suffix_dedup,
     "op10_media_columns": op10_media,
 }
 ORACLE = {"op4_url_filter": OP4_SQL}
