@@ -52,13 +52,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about `limit` bytes of a column: at least one row, every row once."""
+    """Cut record batches so that each holds about `limit` bytes of a column: at least one row, 16,384 at most, every row once."""
     for batch in batches:
         start, size = 0, 0
         lengths = batch.column(column)
         lengths = pc.binary_length(lengths).to_pylist()
         for i, n in enumerate(lengths):
-            if size and size + (n or 0) > limit:
+            if (size and size + (n or 0) > limit) or i - start >= 16_384:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n or 0
