@@ -5,9 +5,9 @@
 2. Every distinct set shows the keys of its parity sketch (see parity.py); sets with a common key meet.
    In each such bucket, all others are paired with the smallest: a star, not all pairs.
 3. Pairs are tested by the Hamming distance of small bit sketches, and those that pass by the exact sets.
-4. Buckets in which a pair failed may still hold similar sets in different components: their pairs
-   across components are tested as well, so no link is lost. (A bucket under a key that is not
-   widespread has a few members only.)
+4. Buckets in which a pair failed may still hold similar sets in different components. Their members are
+   compared by sketches, block against block within a task, and only pairs whose sketches allow a link
+   come out and are tested exactly, so no link is lost.
 
 Documents with equal sets share one set id throughout; they are never expanded into pairs.
 """
@@ -198,6 +198,57 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return linked.union(close.where("not close"))
 
 
+#: Members of a bucket to a block, and rows to a share, when buckets are searched for further pairs.
+BLOCK, SHARE_ROWS = 2_000, 20_000
+
+
+def further(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of one bucket in different components whose sketches allow a link, from (bucket, set, component).
+
+    Buckets of more than BLOCK members are cut into blocks, and each pair of blocks is a task's own.
+    """
+    sizes = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "set", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = rows.join(sets.select("set", "n", "sketch"), "set")
+    shares = max(1, held.count() // SHARE_ROWS)
+
+    def search(got: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for _, part in got.groupby(["bucket", "lo", "hi"], sort=False):
+            part = part.drop_duplicates("set")
+            comp = part["component"].to_numpy()
+            if len(part) < 2 or (comp == comp[0]).all():
+                continue
+            n, own, names = part["n"].to_numpy(), part["own"].to_numpy(), part["set"].to_numpy()
+            size = min(map(len, part["sketch"]))
+            folded = []
+            for b in part["sketch"]:
+                x = np.frombuffer(b, np.uint8)
+                while len(x) > size:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                folded.append(x)
+            x = np.stack(folded).view(np.uint64)
+            step = max(1, 2_000_000 // x.size)
+            for i in range(0, len(x), step):
+                part_n, rows_i = n[i : i + step, None], slice(i, i + step)
+                apart = np.bitwise_count(x[rows_i, None] ^ x[None]).sum(2, dtype=np.int64)
+                ok = (apart * 9 <= part_n + n) & (5 * np.minimum(part_n, n) >= 4 * np.maximum(part_n, n))
+                ok &= (comp[rows_i, None] != comp) & (names[rows_i, None] < names)
+                if part["lo"].iloc[0] != part["hi"].iloc[0]:
+                    ok &= own[rows_i, None] != own
+                a, b = np.nonzero(ok)
+                out_a.append(names[a + i])
+                out_b.append(names[b])
+        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
+        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shares)))
+    return dealt.groupBy("share").applyInPandas(lambda got: search(got.drop(columns="share")), "a long, b long").distinct()
+
+
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, set, n_shingles, component_id) and the links between sets (a, b) that were found.
 
@@ -227,8 +278,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = star.join(first.where("not linked"), ["a", "b"]).select("bucket").distinct()
     left = held.join(failed, "bucket").join(comps.toDF("set", "component"), "set", "left")
     left = stored(left.select("bucket", "set", F.coalesce("component", "set").alias("component")))
-    x, y = left.toDF("bucket", "a", "ca"), left.toDF("bucket", "b", "cb")
-    more = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = further(left, sets).join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = stored(first.where("linked").union(stored(tested(more, sets)).where("linked")).select("a", "b"))
     comps = components(links)
 
