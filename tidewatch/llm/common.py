@@ -32,7 +32,13 @@ def fold(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: two workers share an executor.
+BATCH = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,7 +57,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of a column: at least one row, 16,384 at most, every row once."""
     for batch in batches:
         start, size = 0, 0

@@ -59,7 +59,7 @@ def census(docs: DataFrame, bits: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("share", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())]
-        for k, batch in enumerate(slices(batches, "text")):
+        for k, batch in enumerate(slices(batches, "text", 1_000_000)):
             sets = shingle_sets(batch.column(1).to_pylist())
             ids = [(i, set_id(s), len(s)) for i, s in zip(batch.column(0).to_pylist(), sets, strict=True) if i is not None]
             h = np.sort(np.concatenate(sets))
@@ -93,7 +93,7 @@ def buckets(docs: DataFrame, marks: np.ndarray, bits: int) -> DataFrame:
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("share", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())]
         seen: set[int] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             sets = shingle_sets(batch.column(0).to_pylist())
             everything = np.concatenate(sets)
             at = everything >> np.uint64(64 - BITS)
@@ -164,7 +164,7 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("set", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("hashes", pa.binary())]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             sets = shingle_sets(batch.column(1).to_pylist())
             names = batch.column(0).to_pylist()
             rows = [(name, len(s), _sketch(s), s.tobytes()) for name, s in zip(names, sets, strict=True) if set_id(s) == name]

@@ -29,6 +29,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Powers are kept from task to task for texts of the length seen and so many bytes more.
+ROOM = 250_000
 _UP, _DOWN = powers(_BASE, 1), powers(_UNBASE, 1)
 
 
@@ -37,7 +39,7 @@ def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     b = np.frombuffer(joined, np.uint8)
     if len(b) >= len(_UP):
-        _UP, _DOWN = powers(_BASE, 2 * len(b)), powers(_UNBASE, 2 * len(b))
+        _UP, _DOWN = powers(_BASE, len(b) + ROOM), powers(_UNBASE, len(b) + ROOM)
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_BREAK[b]
     turns = np.flatnonzero(np.diff(inside))
