@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
             yield batch.slice(start)
 
 
+def bitmap(parts: DataFrame, bits: int, shares: int) -> np.ndarray:
+    """The bitmap of 2^bits bits whose slices are given as (share, marks); its size does not grow with the input.
+
+    The slices are stored first and come to the driver a few at a time.
+    """
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    step = len(whole) // shares
+    for share, marks in stored(parts).coalesce(8).toLocalIterator():
+        whole[share * step : (share + 1) * step] = np.frombuffer(marks, np.uint8)
+    return whole
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Rows whose crc32 of the id's text leaves the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

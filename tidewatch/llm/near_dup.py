@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, two_to, volume
+from .common import bitmap, slices, stored, table, two_to, volume
 from .components import components
 from .parity import keys_of, similar
 from .shingles import mixed, set_id, shingle_sets
@@ -85,10 +86,8 @@ def census(docs: DataFrame, bits: int) -> DataFrame:
     return dealt.groupBy("share").applyInPandas(count, "share int, marks binary, doc_id long, set long, n long")
 
 
-def buckets(docs: DataFrame, marks: np.ndarray, bits: int) -> DataFrame:
+def buckets(docs: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
     """(bucket, set): the sets under each key that more than one set shows; equal buckets are one."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(marks)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("share", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())]
@@ -261,13 +260,13 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = min(BITS - 3, two_to(size / SHARE))
     counted = stored(census(docs, bits))
     members = counted.where("doc_id is not null").select("doc_id", "set", "n")
-    marks = np.zeros(1 << (BITS - 3), np.uint8)
-    step = len(marks) >> bits
-    for share, part in counted.where("marks is not null").select("share", "marks").collect():
-        marks[share * step : (share + 1) * step] = np.frombuffer(part, np.uint8)
+    marks = bitmap(counted.where("marks is not null").select("share", "marks"), BITS, 1 << bits)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    del marks
     classes = stored(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")))
 
-    held = stored(buckets(docs, marks, bits))
+    held = stored(buckets(docs, shared, bits))
+    shared.destroy()
     pivots = held.groupBy("bucket").agg(F.min("set").alias("a"))
     star = held.withColumnRenamed("set", "b").join(pivots, "bucket").where("a <> b")
     sets = stored(fetched(docs, held.select("set").distinct().join(classes, "set")))
