@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -34,7 +35,7 @@ def fold(c: Column) -> Column:
 
 
 #: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: two workers share an executor.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +59,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give back to the system what this worker has freed: workers are kept from task to task, and so would their peaks be."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of a column: at least one row, 16,384 at most, every row once."""
+    release()
     for batch in batches:
         start, size = 0, 0
         lengths = batch.column(column)
@@ -71,6 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    release()
 
 
 def bitmap(parts: DataFrame, bits: int, shares: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, slices, stored, table, two_to, volume
+from .common import bitmap, release, slices, stored, table, two_to, volume
 from .components import components
 from .parity import keys_of, similar
 from .shingles import mixed, set_id, shingle_sets
@@ -72,6 +72,7 @@ def census(docs: DataFrame, bits: int) -> DataFrame:
             yield _batch(rows, fields)
 
     def count(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        release()
         if key[0] < 0:
             x = np.concatenate([np.frombuffer(b, np.int64) for b in got["docs"]]).reshape(-1, 3)
             return pd.DataFrame({"share": None, "marks": None, "doc_id": x[:, 0], "set": x[:, 1], "n": x[:, 2]})
@@ -119,6 +120,7 @@ def buckets(docs: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
             yield _batch([(share, k[a:b].tobytes(), n[a:b].tobytes()) for share, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a], fields)
 
     def meet(got: pd.DataFrame) -> pd.DataFrame:
+        release()
         k = np.concatenate([np.frombuffer(b, np.uint32) for b in got["keys"]])
         s = np.concatenate([np.frombuffer(b, np.int64) for b in got["sets"]])
         order = np.lexsort((s, k))
@@ -214,6 +216,7 @@ def further(held: DataFrame, sets: DataFrame) -> DataFrame:
     shares = max(1, held.count() // SHARE_ROWS)
 
     def search(got: pd.DataFrame) -> pd.DataFrame:
+        release()
         out_a, out_b = [], []
         for _, part in got.groupby(["bucket", "lo", "hi"], sort=False):
             part = part.drop_duplicates("set")
