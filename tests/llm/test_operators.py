@@ -13,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from tidewatch.llm import fingerprint, html_text, language_model, media, mixing, near_dup, packing, quality, substring_dedup, suffix, url_filter
+from tidewatch.llm.common import stored
 from tidewatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -323,3 +324,41 @@ def test_pipeline_stages(spark):
     mixed = stages["source_mix"](spark, docs, "/root/testdata/sf0.01")
     assert mixed.columns == columns and sorted(r.doc_id for r in mixed.collect()) == sorted(texts)
     assert pd.unique(stages["packing"](spark, docs, "").toPandas().doc_id).size == 1000
+
+
+def test_pipeline_packs_along_the_mix(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    order = [r.doc_id for r in mixing.mix(docs, mixing.SHARES, mixing.OTHERS, 4).orderBy("slot", "place").collect()]
+    at = {d: i for i, d in enumerate(order)}
+    written = stored(mixing.in_order(mixing.mix(docs, mixing.SHARES, mixing.OTHERS, 4), 5).select(*docs.columns))
+    assert {r.doc_id: r.position for r in packing.in_written_order(written).collect()} == at
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack_in_order(written, tokenizer, share=20).toPandas()
+    plain = packing.pack(docs, tokenizer).toPandas()
+    piece = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(got[piece].itertuples(index=False)) == sorted(plain[piece].itertuples(index=False))
+    got["position"] = got.doc_id.map(at)
+    assert (got.sequence_id // 2**32 == got.position // 20).all()
+    for _, share in got.groupby(got.sequence_id // 2**32):
+        want = share.sort_values(["length", "position", "piece"], ascending=[False, True, True])
+        sequence, offset = packing.best_fit(want.length.to_numpy())
+        assert list(want.offset) == list(offset) and pd.Series(sequence).groupby(want.sequence_id.to_numpy()).nunique().eq(1).all()
+        begins = share[share.offset == 0].sort_values("sequence_id")
+        assert list(begins.sequence_id % 2**32) == list(range(sequence.max() + 1))
+        assert list(zip(begins.position, begins.piece, strict=True)) == sorted(zip(begins.position, begins.piece, strict=True))
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
+
+
+def test_pipeline_order_odd_and_empty(spark, odd, none):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack_in_order(odd, tokenizer, share=3).toPandas()
+    assert len(got) == len(packing.pack(odd, tokenizer).toPandas()) and sorted(r.position for r in packing.in_written_order(odd).collect()) == list(range(len(ODD)))
+    assert packing.pack_in_order(none, tokenizer).count() == 0
+
+
+def test_pipeline_needs_the_mix(spark, monkeypatch):
+    whole = sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == whole
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "source_mix"])
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) != whole

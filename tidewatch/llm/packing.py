@@ -1,8 +1,9 @@
 """Best-fit decreasing packing of token pieces into sequences.
 
-Documents are tokenised where they lie. Pieces are dealt out evenly by a hash, and each share is packed
-on its own: longest piece first, into the fullest sequence that still takes it. A segment tree over the
-remaining capacities finds that sequence in logarithmic time. Only numbers are shuffled, never text.
+Documents are tokenised where they lie. Pieces are dealt out evenly by a hash, or, where the order of the
+documents counts, by consecutive stretches of it, and each share is packed on its own: longest piece first,
+into the fullest sequence that still takes it. A segment tree over the remaining capacities finds that
+sequence in logarithmic time. Only numbers are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import slices, table
+from .common import slices, stored, table
 
 LENGTH = 1024
 END = 2
@@ -30,6 +33,7 @@ KNOWN_WORDS = 400_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long"
+PLACED = PIECE + ", position long"
 
 
 class Ids:
@@ -114,25 +118,28 @@ def best_fit(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.nd
 def pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece; a null text is empty: the end id alone.
 
-    A document of more than `size` ids is cut so that only its first piece is shorter.
+    A document of more than `size` ids is cut so that only its first piece is shorter. A column position
+    of the documents is carried.
     """
+    carried = ["position"] if "position" in docs.columns else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END], "<u4").tobytes()
         for batch in slices(batches, "text", 2_000_000):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(tokenizer)(texts), strict=True):
+            places = [(p,) for p in batch.column(2).to_pylist()] if carried else [()] * len(texts)
+            for doc_id, ids, place in zip(batch.column(0).to_pylist(), ids_of(tokenizer)(texts), places, strict=True):
                 ids += end
                 n = len(ids) // 4
                 at, stop, k = 0, (n - 1) % size + 1, 0
                 while at < n:
-                    rows.append((doc_id, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
+                    rows.append((doc_id, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop]), *place))
                     at, stop, k = stop, stop + size, k + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * len(carried))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return docs.select("doc_id", "text", *carried).mapInArrow(cut, PLACED if carried else PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataFrame:
@@ -148,7 +155,48 @@ def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataFrame:
         sequence, offset = best_fit(share["length"].to_numpy(), size)
         return share.drop(columns="share").assign(sequence_id=sequence + (key[0] << 32), offset=offset)
 
-    dealt = pieces(docs, tokenizer, size).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
+    dealt = pieces(docs.drop("position"), tokenizer, size).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
+    return dealt.groupBy("share").applyInPandas(fill, PACKED)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: the number of each row in the order in which the files hold the table.
+
+    Files count by the number of the task that wrote them, then by name. A table that does not come
+    straight from files is stored first.
+    """
+
+    def located(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    try:
+        rows = located(docs)
+    except AnalysisException:
+        rows = located(stored(docs))
+    files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    part = F.expr("try_cast(regexp_extract(file, '([0-9]+)[^/]*$', 1) as bigint)")
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("position"))
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, size: int = LENGTH, share: int = SHARE) -> DataFrame:
+    """As pack, but documents meet only within a stretch of `share` of them in the order of the files.
+
+    Sequence ids follow that order: stretch by stretch, and within one by the place of the piece that
+    begins a sequence. A mix of sources written in order is so kept, to within a stretch.
+    """
+
+    def fill(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values(["length", "position", "piece"], ascending=[False, True, True], kind="stable")
+        sequence, offset = best_fit(got["length"].to_numpy(), size)
+        first = offset == 0
+        begun = np.lexsort((got["piece"].to_numpy()[first], got["position"].to_numpy()[first]))
+        number = np.empty(len(begun), np.int64)
+        number[sequence[first][begun]] = np.arange(len(begun))
+        return got.drop(columns=["share", "position"]).assign(sequence_id=number[sequence] + (int(key[0]) << 32), offset=offset)
+
+    dealt = pieces(in_written_order(docs), tokenizer, size).withColumn("share", F.expr(f"position div {share}"))
     return dealt.groupBy("share").applyInPandas(fill, PACKED)
 
 
