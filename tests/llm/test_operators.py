@@ -362,3 +362,46 @@ def test_pipeline_needs_the_mix(spark, monkeypatch):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == whole
     monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "source_mix"])
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) != whole
+
+
+def context_tree(training, queries):
+    """Logarithms of chances by a plain context tree, every node of which counts."""
+    tree = {}
+    for code, n in training.items():
+        for k in range(8):
+            prefix, bit = (1 << k) | ((code & 255) >> (8 - k)), (code >> (7 - k)) & 1
+            for d in range(6):
+                tree.setdefault((d, (code >> 8) & ((1 << 8 * d) - 1), prefix), [0, 0])[bit] += n
+    below, weight = Counter(), {}
+    for node in sorted(tree, reverse=True):
+        (d, c, prefix), (a, b) = node, tree[node]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+        whole = own if d == 5 else np.logaddexp(own, below[node]) - math.log(2)
+        weight[node] = 1.0 if d == 5 else math.exp(own - math.log(2) - whole)
+        below[d - 1, c & ((1 << 8 * max(0, d - 1)) - 1), prefix] += whole
+    out = []
+    for code in queries:
+        total = 0.0
+        for k in range(8):
+            p, known = 0.5, False
+            for d in range(5, -1, -1):
+                node = d, (code >> 8) & ((1 << 8 * d) - 1), (1 << k) | ((code & 255) >> (8 - k))
+                if node in tree:
+                    own = (tree[node][1] + 0.5) / (sum(tree[node]) + 1)
+                    p, known = weight[node] * own + (1 - weight[node]) * p if known else own, True
+            total += math.log(p if (code >> (7 - k)) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_op6_equals_a_plain_context_tree(spark):
+    few = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12").select("doc_id", "text")
+    train = few.where("doc_id < 8")
+    texts = {r.doc_id: language_model.codes([language_model.tokens(r.text)])[0].tolist() for r in few.collect()}
+    training = Counter(c for d, t in texts.items() if d < 8 for c in t)
+    asked = sorted({c for t in texts.values() for c in t})
+    chance = dict(zip(asked, context_tree(training, asked), strict=True))
+    strings = language_model.counts(train).where("code is not null").groupBy("code").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    assert np.allclose(language_model.code_lengths(np.array(asked), language_model.model(strings, 7)), list(chance.values()), rtol=0, atol=1e-6)  # kt_log is good to some 1e-9
+    for r in language_model.score(few, train).collect():
+        assert r.score == pytest.approx(sum(chance[c] for c in texts[r.doc_id]) / math.log(10), rel=1e-6)

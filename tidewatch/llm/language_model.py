@@ -3,8 +3,11 @@
 Each byte is eight binary decisions; each decision has a node for every context of 0 to 5 preceding bytes.
 A node's counts give a Krichevsky-Trofimov estimate, and context-tree weighting mixes the estimates of all
 depths: a node's weight is the posterior, given the training text, that contexts need not be longer there.
-Spark counts byte strings and words over the training texts and works up the tree level by level. A word
-unigram model over the same tokens is the base that scores are compared with.
+Spark counts byte strings and words over the training texts. Every node counts, also those reached once.
+Strings whose last two context bytes agree meet in one share, which holds all nodes of two bytes and more
+above them; the nodes of less (at most 256 * 255 and 255) are summed over the shares and go to all. The texts
+scored are dealt into chunks: each sends its distinct byte strings to the shares and gets their code lengths
+back. A word unigram model over the same tokens is the base that scores are compared with.
 """
 
 from __future__ import annotations
@@ -14,19 +17,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, stored, table
+from .common import held_out, release, slices, stored, table, volume
 from .shingles import mixed
 
 DEPTH = 5
-#: Nodes that were reached twice or more are filed in 2^23 slots (32 MB with log-odds and weights as 16-bit
-#: floats), whatever the size of the input. Nodes that share a slot share their counts.
-SLOTS, SLICE = 23, 15
+#: Context bytes that decide a string's share; shallower nodes are broadcast.
+SPLIT = 2
+#: Bytes of training text to a share, and of scored text to a chunk.
+SHARE, CHUNK = 24_000_000, 16_000_000
 #: The most frequent words, of up to 64 bytes, are broadcast with their counts (at most 10 MB); counts of
 #: all other words are joined by shuffle.
 HOT_WORDS, HOT_LENGTH = 1 << 17, 64
@@ -115,120 +119,193 @@ def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(a) + _lgamma(b) - np.log(np.pi) - _lgamma(a + b + 0.0)
 
 
-NODE = "node long, zeros long, ones long, below double"
+def _keys(code: np.ndarray) -> np.ndarray:
+    """Byte strings with the context turned round, the nearest byte first: shorter contexts are beginnings of longer ones."""
+    key = code & 255
+    for i in range(1, DEPTH + 1):
+        key = key | (((code >> (8 * i)) & 255) << (8 * (DEPTH + 1 - i)))
+    return key
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The eight nodes of each byte string at the greatest depth: context, then the bits so far after a leading 1."""
-    for batch in batches:
-        code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        context, byte = code >> 8, code & 255
-        for k in range(8):
-            node = (context << 8) | (1 << k) | (byte >> (8 - k))
-            bit = (byte >> (7 - k)) & 1
-            yield _batch([pa.array(node), pa.array(np.where(bit, 0, n)), pa.array(np.where(bit, n, 0)), pa.array(np.zeros(len(n)))], ["node", "zeros", "ones", "below"])
+def _share(key: np.ndarray, shares: int) -> np.ndarray:
+    return (mixed((key >> (8 * (DEPTH + 1 - SPLIT))).astype(np.uint64)) % np.uint64(shares)).astype(np.int64)
+
+
+def _at(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted nodes among sorted ones, and whether they are there."""
+    if not len(nodes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+    return at, nodes[at] == wanted
+
+
+def _prefix(strings: np.ndarray, k: int) -> np.ndarray:
+    """The node of the k-th bit: context, then the bits so far after a leading 1."""
+    return (strings >> 8 << 8) | (1 << k) | ((strings & 255) >> (8 - k))
+
+
+def _shorter(strings: np.ndarray) -> np.ndarray:
+    """The same with a context one byte shorter."""
+    return (strings >> 16 << 8) | (strings & 255)
+
+
+def _by_depth(key: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct strings and their counts from the greatest depth down to SPLIT."""
+    out = [_count([(key, n)])]
+    while len(out) <= DEPTH - SPLIT:
+        out.append(_count([(_shorter(out[-1][0]), out[-1][1])]))
+    return out
+
+
+def _weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted log-probability of inner nodes, and the posterior that contexts need not be longer there."""
+    own = kt_log(zeros, ones)
+    whole = np.logaddexp(own, below) - np.log(2)
+    return whole, np.exp(np.minimum(0, own - np.log(2) - whole))
+
+
+def _upwards(strings: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """(node, zeros, ones, whole, weight) of the k-th bit, from the greatest depth down to SPLIT."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for s, n in strings:
+        node, bit = _prefix(s, k), (s >> (7 - k)) & 1
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+        zeros, ones = (np.add.reduceat(np.where(bit == b, n, 0), starts) if len(node) else np.empty(0, np.int64) for b in (0, 1))
+        node = node[starts]
+        if out:
+            below = np.bincount(np.searchsorted(node, _shorter(out[-1][0])), out[-1][3], len(node))
+            whole, weight = _weighed(zeros, ones, below)
+        else:
+            whole, weight = kt_log(zeros, ones), np.ones(len(node))
+        out.append((node, zeros, ones, whole, weight))
+    return out
+
+
+def _downwards(zeros, ones, weight, gathered, left):
+    """The chance of a one where a node is the deepest known; what is gathered and left for deeper ones."""
+    own = (ones + 0.5) / (zeros + ones + 1)
+    return gathered + left * own, gathered + left * weight * own, left * (1 - weight)
+
 
+def keyed(strings: DataFrame, shares: int) -> DataFrame:
+    """(share, key, n) of (code, n)."""
 
-def _weigh(deepest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            zeros, ones, below = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            own = kt_log(zeros, ones)
-            whole = own if deepest else np.logaddexp(own, below) - np.log(2)
-            weight = np.ones(len(own)) if deepest else np.exp(np.minimum(0, own - np.log(2) - whole))
-            yield _batch([*batch.columns[:3], pa.array(whole), pa.array(weight)], ["node", "zeros", "ones", "whole", "weight"])
-
-    return run
-
-
-def levels(strings: DataFrame) -> list[DataFrame]:
-    """For each depth from 0 on: (node, zeros, ones, whole, weight), worked up from (code, n)."""
-    out: list[DataFrame] = []
-    rows = strings.select("code", "n").mapInArrow(_bits, NODE)
-    for depth in range(DEPTH, -1, -1):
-        summed = rows.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-        level = stored(summed.mapInArrow(_weigh(depth == DEPTH), "node long, zeros long, ones long, whole double, weight double"))
-        out.append(level)
-        rows = level.select(F.col("node").bitwiseAND((1 << (8 * depth)) - 1).alias("node"), "zeros", "ones", F.col("whole").alias("below"))
-    return out[::-1]
-
-
-def slot_of(node: np.ndarray, depth: int) -> np.ndarray:
-    return (mixed(node.astype(np.uint64) ^ (np.uint64(depth + 1) << np.uint64(56))) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def model(strings: DataFrame) -> np.ndarray:
-    """A (2, 2^23) array: log-odds of a one (not a number where nothing was seen) and weights, by slot."""
-    filed = None
-    for depth, level in enumerate(levels(strings)):
-
-        def place(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _batch([pa.array(slot_of(batch.column(0).to_numpy(), depth)), *batch.columns[1:4]], ["slot", "zeros", "ones", "weight"])
-
-        rows = level.where("zeros + ones > 1").select("node", "zeros", "ones", "weight").mapInArrow(place, "slot long, zeros long, ones long, weight double")
-        filed = rows if filed is None else filed.union(rows)
-
-    def dense(got: pd.DataFrame) -> pd.DataFrame:
-        base, size = int(got["slot"].iloc[0]) >> SLICE << SLICE, 1 << SLICE
-        at = got["slot"].to_numpy() - base
-        zeros, ones = (np.bincount(at, got[c].to_numpy(), size) for c in ("zeros", "ones"))
-        total = zeros + ones
-        share = np.bincount(at, got["weight"].to_numpy() * (got["zeros"] + got["ones"]).to_numpy(), size) / np.maximum(total, 1)
-        odds = np.where(total > 0, np.log((ones + 0.5) / (zeros + 0.5)), np.nan)
-        return pd.DataFrame({"part": [base >> SLICE], "body": [np.stack([odds, share]).astype(np.float16).tobytes()]})
-
-    parts = filed.groupBy(F.shiftright("slot", SLICE).alias("part")).applyInPandas(dense, "part long, body binary").collect()
-    out = np.zeros((2, 1 << SLOTS), np.float16)
-    out[0] = np.nan
-    for part, body in parts:  # 2^23 slots of 4 bytes, at most
-        out[:, part << SLICE : (part + 1) << SLICE] = np.frombuffer(body, np.float16).reshape(2, -1)
+            key = _keys(batch.column(0).to_numpy())
+            yield _batch([pa.array(_share(key, shares)), pa.array(key), batch.column(1)], ["share", "key", "n"])
+
+    return strings.select("code", "n").mapInArrow(deal, "share long, key long, n long")
+
+
+def shallow(strings: DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """For the depths below SPLIT: (node, chance of a one, gathered, left), from (share, key, n)."""
+
+    def up(got: pa.Table) -> pa.Table:
+        release()
+        by_depth = _by_depth(got["key"].to_numpy(), got["n"].to_numpy())
+        parts = []
+        for k in range(8):
+            node, zeros, ones, whole, _ = _upwards(by_depth, k)[-1]
+            above, back = np.unique(_shorter(node), return_inverse=True)
+            parts.append((above, *(np.bincount(back, x, len(above)) for x in (zeros, ones, whole))))
+        return pa.table(dict(zip(("node", "zeros", "ones", "below"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    rows = strings.groupBy("share").applyInArrow(up, "node long, zeros double, ones double, below double")
+    rows = rows.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toArrow()  # 256 * 255 rows at most
+    node, zeros, ones, below = (rows[c].to_numpy() for c in ("node", "zeros", "ones", "below"))
+    order = np.argsort(node)
+    levels = []
+    node, zeros, ones, below = node[order], zeros[order], ones[order], below[order]
+    for _ in range(SPLIT):
+        whole, weight = _weighed(zeros, ones, below)
+        levels.append((node, zeros, ones, weight))
+        node, back = np.unique(_shorter(node), return_inverse=True)
+        zeros, ones, below = (np.bincount(back, x, len(node)) for x in (zeros, ones, whole))
+    out: list[tuple[np.ndarray, ...]] = []
+    for node, zeros, ones, weight in reversed(levels):
+        up_at = np.searchsorted(out[-1][0], _shorter(node)) if out else None
+        gathered, left = (out[-1][2][up_at], out[-1][3][up_at]) if out else (np.zeros(len(node)), np.ones(len(node)))
+        out.append((node, *_downwards(zeros, ones, weight, gathered, left)))
     return out
 
 
-def code_lengths(code: np.ndarray, filed: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the model's probability of each byte after its context.
+def lengths(key: np.ndarray, strings: list[tuple[np.ndarray, np.ndarray]], top: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Natural logarithm of the model's probability of each byte after its context; all strings of the share are given.
 
     A context that was never seen is as its parent; without any training the byte costs eight bits.
     """
-    context, byte = code >> 8, code & 255
-    total = np.zeros(len(code))
+    total = np.zeros(len(key))
     for k in range(8):
-        prefix = (1 << k) | (byte >> (8 - k))
-        sign = np.where((byte >> (7 - k)) & 1, 1.0, -1.0)
-        p, known = None, None
-        for depth in range(DEPTH, -1, -1):
-            at = slot_of(((context & ((1 << (8 * depth)) - 1)) << 8) | prefix, depth)
-            odds, weight = filed[0, at].astype(np.float64), filed[1, at].astype(np.float64)
-            seen = ~np.isnan(odds)
-            own = 1 / (1 + np.exp(-sign * np.where(seen, odds, 0.0)))
-            p = own if p is None else np.where(known, weight * own + (1 - weight) * p, own)
-            known = seen
-        total += np.log(p)
+        known = list(top)
+        for node, zeros, ones, _, weight in reversed(_upwards(strings, k)):
+            up_at = np.searchsorted(known[-1][0], _shorter(node))
+            known.append((node, *_downwards(zeros, ones, weight, known[-1][2][up_at], known[-1][3][up_at])))
+        chance, wanted, open_ = np.full(len(key), 0.5), _prefix(key, k), np.ones(len(key), bool)
+        for node, ended, _, _ in reversed(known):
+            at, there = _at(node, wanted)
+            there &= open_
+            chance[there] = ended[at[there]]
+            open_ &= ~there
+            wanted = _shorter(wanted)
+        total += np.log(np.where((key >> (7 - k)) & 1, chance, 1 - chance))
     return total
 
 
-class Lengths:
-    """Code lengths by byte string, each worked out once; it starts afresh beyond two million strings."""
+def answers(asked: DataFrame, strings: DataFrame, top: Broadcast) -> DataFrame:
+    """(chunk, keys, values) with the code length of each key of asked (chunk, share, keys)."""
 
-    def __init__(self, filed: np.ndarray):
-        self.filed = filed
-        self.code, self.value = np.empty(0, np.int64), np.empty(0)
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
+        sent = [np.frombuffer(b, np.int64) for b in left["keys"].to_pylist()]
+        if not sent:
+            return pa.table({"chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
+        key = np.unique(np.concatenate(sent))
+        value = lengths(key, _by_depth(right["key"].to_numpy(), right["n"].to_numpy()), top.value)
+        found = [value[np.searchsorted(key, k)].astype(np.float32).tobytes() for k in sent]
+        return pa.table({"chunk": left["chunk"], "keys": left["keys"], "values": pa.array(found, pa.binary())})
+
+    return asked.groupBy("share").cogroup(strings.groupBy("share")).applyInArrow(look, "chunk long, keys binary, values binary")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows (doc_id, text) and the chunks of consecutive ones."""
+    part = TaskContext.get().partitionId()
+    uid, chunk, size = part << 40, part << 24, 0
+    for batch in slices(batches, "text", 2_000_000):
+        m, n = batch.num_rows, pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+        if size and size + n > CHUNK:
+            chunk, size = chunk + 1, 0
+        yield _batch([pa.array(range(uid, uid + m), pa.int64()), pa.array([chunk] * m, pa.int64()), *batch.columns], ["uid", "chunk", "doc_id", "text"])
+        uid, size = uid + m, size + n
 
-    def __call__(self, code: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.code, code)
-        at[at == len(self.code)] = 0
-        new = self.code[at] != code if len(self.code) else np.ones(len(code), bool)
-        out = np.empty(len(code))
-        out[~new] = self.value[at[~new]]
-        out[new] = code_lengths(code[new], self.filed)
-        if len(self.code) > 2_000_000:
-            self.code, self.value = code, out
-        else:
-            whole, value = np.concatenate([self.code, code[new]]), np.concatenate([self.value, out[new]])
-            order = np.argsort(whole, kind="stable")
-            self.code, self.value = whole[order], value[order]
-        return out
+
+def _asked(chunk: int, key: np.ndarray, shares: int) -> pa.Table:
+    """The sorted distinct keys of a chunk, packed by share."""
+    share = _share(key, shares)
+    order = np.argsort(share, kind="stable")
+    share, key = share[order], key[order]
+    starts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])) if len(key) else np.empty(0, np.int64)
+    stops = np.append(starts[1:], len(key))
+    packed = [key[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
+    return pa.table({"chunk": pa.array([chunk] * len(starts), pa.int64()), "share": pa.array(share[starts]), "keys": pa.array(packed, pa.binary())})
+
+
+def model(strings: DataFrame, shares: int = 1) -> tuple[DataFrame, Broadcast, int]:
+    """The model of (code, n): strings by share, the shallow nodes, and the number of shares."""
+    filed = stored(keyed(strings, shares))
+    return filed, strings.sparkSession.sparkContext.broadcast(shallow(filed)), shares
+
+
+def code_lengths(code: np.ndarray, filed: tuple[DataFrame, Broadcast, int]) -> np.ndarray:
+    """Natural logarithm of the model's probability of each byte after its context, for a few strings."""
+    strings, top, shares = filed
+    key = _keys(code)
+    asked = strings.sparkSession.createDataFrame(_asked(0, np.unique(key), shares))
+    got = answers(asked, strings, top).toArrow()
+    names, values = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("keys", np.int64), ("values", np.float32)))
+    order = np.argsort(names)
+    return values[order][np.searchsorted(names[order], key)]
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, times long"
@@ -243,7 +320,9 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     counted = stored(counts(train))
-    filed = spark.sparkContext.broadcast(model(counted.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))))
+    shares = max(1, round(volume(train)[1] / SHARE))
+    strings, top_nodes, _ = model(counted.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), shares)
+    dealt = stored(docs.select("doc_id", "text").mapInArrow(_dealt, "uid long, chunk long, doc_id long, text string"))
     words = stored(counted.where("code is null").groupBy("word").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     n = n or 0
@@ -255,18 +334,34 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     del top
     end_score = float(np.log10(ends + 1) - unit)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SCORED.split(", ")]
-        uid = TaskContext.get().partitionId() << 40
-        known_words, lengths = hot.value, Lengths(filed.value)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = None, []
         for batch in slices(batches, "text", 2_000_000):
-            ids = batch.column(0).to_pylist()
-            split = [tokens(t) for t in batch.column(1).to_pylist()]
+            chunk = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)], strict=True):
+                if seen and held != chunk[start]:
+                    yield from _asked(held, np.unique(np.concatenate(seen)), shares).to_batches()
+                    seen = []
+                held = int(chunk[start])
+                seen.append(np.unique(_keys(codes([tokens(t) for t in batch.column(1).slice(start, stop - start).to_pylist()])[0])))
+        if seen:
+            yield from _asked(held, np.unique(np.concatenate(seen)), shares).to_batches()
+
+    def rate(got: pa.Table, told: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in SCORED.split(", ")]
+        known_words = hot.value
+        string, value = (np.frombuffer(b"".join(told[c].to_pylist()), t) for c, t in (("keys", np.int64), ("values", np.float32)))
+        order = np.argsort(string)
+        string, value, out = string[order], value[order], []
+        for batch in slices(got.to_batches(), "text", 2_000_000):
+            uids, ids = batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist()
+            split = [tokens(t) for t in batch.column("text").to_pylist()]
             code, which = codes(split)
-            packed = np.sort((code << _DOC) | which)
+            packed = np.sort((_keys(code) << _DOC) | which)
             code, which = packed >> _DOC, packed & ((1 << _DOC) - 1)
             starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            each = np.repeat(lengths(code[starts]), np.diff(np.append(starts, len(code))))
+            each = np.repeat(value[np.searchsorted(string, code[starts])], np.diff(np.append(starts, len(code))))
             scores = np.bincount(which, each, len(ids)) / np.log(10)
             known, base, rare_uid, rare_word, rare_times = [], [], [], [], []
             for k, w in enumerate(split):
@@ -275,7 +370,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 for word, t in times.items():
                     s = known_words.get(word)
                     if s is None:
-                        rare_uid.append(uid + k)
+                        rare_uid.append(uids[k])
                         rare_word.append(word)
                         rare_times.append(t)
                     else:
@@ -285,12 +380,14 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 base.append(total)
             m, r = len(ids), len(rare_uid)
             held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
-            own = [b" %d" % (uid + k) for k in range(m)]  # no word holds a blank: joined with nothing, and spread out
-            yield _batch([pa.array(range(uid, uid + m), pa.int64()), pa.array(ids, pa.int64()), pa.array(held), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(own, pa.binary()), pa.nulls(m, pa.int64())], names)
-            yield _batch([pa.array(rare_uid, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.float64()), pa.nulls(r, pa.float64()), pa.array(rare_word, pa.binary()), pa.array(rare_times, pa.int64())], names)
-            uid += m
-
-    rated = docs.select("doc_id", "text").mapInArrow(rate, SCORED)
+            own = [b" %d" % u for u in uids]  # no word holds a blank: joined with nothing, and spread out
+            out.append(_batch([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(held), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(own, pa.binary()), pa.nulls(m, pa.int64())], names))
+            out.append(_batch([pa.array(rare_uid, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.float64()), pa.nulls(r, pa.float64()), pa.array(rare_word, pa.binary()), pa.array(rare_times, pa.int64())], names))
+        return pa.Table.from_batches(out)
+
+    asked = dealt.select("chunk", "text").mapInArrow(ask, "chunk long, share long, keys binary")
+    told = answers(asked, strings, top_nodes)
+    rated = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(rate, SCORED)
     joined = rated.join(words.where("word is not null"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     return (
