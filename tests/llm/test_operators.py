@@ -84,10 +84,40 @@ def test_op1_finds_links_at_the_threshold(spark):
     assert got == components(texts)
 
 
+def test_op1_counts_all_links_and_unites_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 7)  # many pairs of blocks
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = {}
+    for k in range(150):  # near copies in three families, exact copies, and texts that only share a passage
+        base = [f"f{k % 3}x{i}" for i in range(90)]
+        for _ in range(rng.integers(0, 4)):
+            base[rng.integers(90)] = f"y{rng.integers(1e9)}"
+        texts[k] = " ".join(base if k % 10 else [*common, *(f"z{k // 20}q{i}" for i in range(40))])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found, links = near_dup.jaccard_join(frame, counted_links=True)
+    sets = {d: shingles(t) for d, t in texts.items()}
+    want = {a: sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    rows = found.collect()
+    assert {r.doc_id: r.n_links for r in rows} == want and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components(texts)
+    names = {r.set: sets[r.doc_id] for r in rows}
+    assert all(100 * len(names[r.a] & names[r.b]) >= 80 * len(names[r.a] | names[r.b]) for r in links.collect())
+
+
+def test_op1_further_gives_fewer_links_than_members(spark):
+    texts = {k: " ".join(f"w{i}" if i != k else "changed" for i in range(400)) for k in range(120)}
+    sets = near_dup.shingle_sets(list(texts.values()))
+    frame = spark.createDataFrame([(k, len(s), near_dup._sketch(s), s.tobytes()) for k, s in enumerate(sets)], "set long, n long, sketch binary, hashes binary")
+    held = spark.createDataFrame([(1, k, k) for k in range(120)], "bucket long, set long, component long")
+    assert near_dup.further(held, frame).count() == 119
+
+
 def test_op1_odd_and_empty(odd, none):
     got = sorted((r.doc_id, r.component_id) for r in near_dup.jaccard_join(odd)[0].collect())
     assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8)]
-    assert near_dup.jaccard_join(none)[0].count() == 0
+    links = sorted((r.doc_id, r.n_links) for r in near_dup.jaccard_join(odd, counted_links=True)[0].collect())
+    assert links == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 2), (5, 2), (6, 0), (7, 0), (8, 0)]
+    assert near_dup.jaccard_join(none, counted_links=True)[0].count() == 0
 
 
 def test_op2_held_out_accuracy(spark):
@@ -156,6 +186,27 @@ def test_op5_round_trip(spark, docs):
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 1024) * 1.02 + 1
 
 
+def test_op5_ids_are_the_tokenizers_own(spark, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "", None, " " * 150_000 + "x", "it's  İ 中文\x1c\x85\n\n 12٣!?", "same", "same", "<|endoftext|>"]
+    rows = [(k % 7, t, "clash") for k, t in enumerate(texts)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string"), path).toPandas()
+    want = []
+    for i, t, _ in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
+    assert packing.pack(none, path).count() == 0
+    word = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert word.fast is None and word(["Two words"])[0] == np.array(word.tokenizer.encode("Two words", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_op5_best_fit_takes_the_tightest():
     lengths = np.array([700, 600, 320, 400, 24, 1024, 1])
     sequence, offset = packing.best_fit(lengths)

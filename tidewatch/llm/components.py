@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,7 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         roots = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        step = stored(hooked.join(roots, "component").select("node", "old", F.col("root").alias("component")))
+        step = hooked.join(roots, "component").select("node", "old", F.col("root").alias("component"))
+        seen = Observation()
+        step = stored(step.observe(seen, F.count_if(F.col("old") != F.col("component")).alias("changed")))
         labels = step.select("node", "component")
-        if not step.where("old <> component").limit(1).count():
+        if not seen.get["changed"]:
             return labels

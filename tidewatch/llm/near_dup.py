@@ -6,8 +6,10 @@
    In each such bucket, all others are paired with the smallest: a star, not all pairs.
 3. Pairs are tested by the Hamming distance of small bit sketches, and those that pass by the exact sets.
 4. Buckets in which a pair failed may still hold similar sets in different components. Their members are
-   compared by sketches, block against block within a task, and only pairs whose sketches allow a link
-   come out and are tested exactly, so no link is lost.
+   compared block against block within a task, by sketches and then exactly; a task unites components as it
+   finds links and gives fewer links than it has members, so no link is lost and none is given twice over.
+5. On demand, all links are counted for each document: components are compared with themselves, block
+   against block.
 
 Documents with equal sets share one set id throughout; they are never expanded into pairs.
 """
@@ -199,62 +201,182 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return linked.union(close.where("not close"))
 
 
-#: Members of a bucket to a block, and rows to a share, when buckets are searched for further pairs.
-BLOCK, SHARE_ROWS = 2_000, 20_000
+#: Members of a group to a block and bytes of their hashes to one; rows to a share.
+BLOCK, BLOCK_BYTES, SHARE_ROWS = 2_000, 4_000_000, 10_000
 
 
-def further(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket in different components whose sketches allow a link, from (bucket, set, component).
+def blocked(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, set, n, ..) once for each pair of blocks (lo, hi) of their group; own is the block of a row.
 
-    Buckets of more than BLOCK members are cut into blocks, and each pair of blocks is a task's own.
+    Groups of up to BLOCK members and BLOCK_BYTES of hashes are one block.
     """
-    sizes = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = held.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+    need = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)
+    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(need)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "set", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = rows.join(sets.select("set", "n", "sketch"), "set")
-    shares = max(1, held.count() // SHARE_ROWS)
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def shared_out(rows: DataFrame, group: str, shares: int) -> DataFrame:
+    """rows with a share: the rows of a pair of blocks have the same one."""
+    return rows.withColumn("share", F.pmod(F.xxhash64(group, "lo", "hi"), F.lit(max(1, shares))))
+
+
+def groups_of(got: pd.DataFrame, group: str) -> Iterator["Block"]:
+    """The pairs of blocks of a share that hold more than one set."""
+    column = {c: got[c].to_numpy() for c in got.columns}
+    order = np.lexsort([column[c] for c in ("set", "n", "hi", "lo", group)])
+    column = {c: x[order] for c, x in column.items()}
+    new = np.ones(len(order), bool)
+    for k, c in enumerate((group, "lo", "hi")):
+        differ = column[c][1:] != column[c][:-1]
+        new[1:] = differ | new[1:] if k else differ
+    keep = np.ones(len(order), bool)
+    keep[1:] = new[1:] | (column["set"][1:] != column["set"][:-1])  # a set that came twice
+    column = {c: x[keep] for c, x in column.items()}
+    starts = np.flatnonzero(new[keep])
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), int(keep.sum())], strict=True):
+        if stop - start > 1:
+            yield Block({c: x[start:stop] for c, x in column.items()})
+
+
+class Block:
+    """The sets of one pair of blocks in the order of their sizes, ready to be compared."""
+
+    def __init__(self, part: dict[str, np.ndarray]):
+        self.part, self.n, self.own, self.names = part, part["n"], part["own"], part["set"]
+        self.across = part["lo"][0] != part["hi"][0]
+        if "hashes" in part:
+            hashes = [np.frombuffer(b, np.uint64) for b in part["hashes"]]
+            # Every hash as a small number: a set is then marked in one array and looked up by all others.
+            every, code = np.unique(np.concatenate(hashes), return_inverse=True)
+            self.codes = np.split(code.astype(np.int32), np.cumsum(self.n)[:-1])
+            self.mark = np.zeros(len(every), bool)
+
+    def allowed(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, ok): for some sets from the i-th on, which sets after each are of fit size and have a near enough sketch."""
+        step = 256
+        for i in range(0, len(self.n), step):
+            first = min(step, len(self.n) - i)
+            stop = int(np.searchsorted(self.n, self.n[i + first - 1] * 5 // 4, "right"))
+            sketches = self.part["sketch"][i:stop]
+            size, count = len(sketches[0]), stop - i
+            if len(sketches[-1]) == size:
+                folded = np.frombuffer(b"".join(sketches), np.uint64).reshape(count, -1)
+            else:
+                parts = [np.frombuffer(b, np.uint64) for b in sketches]
+                folded = np.stack([x if x.nbytes == size else np.bitwise_xor.reduce(x.reshape(-1, size // 8)) for x in parts])
+            n = self.n[i:stop]
+            ok = 4 * n <= 5 * n[:first, None]
+            ok &= np.arange(count) > np.arange(first)[:, None]
+            if self.across:
+                ok &= self.own[i : i + first, None] != self.own[i:stop]
+            if not ok.any():
+                continue
+            width = max(1, 4_000_000 // (first * folded.shape[1]))
+            for j in range(0, count, width):
+                cols = slice(j, j + width)
+                apart = np.bitwise_count(folded[:first, None] ^ folded[None, cols]).sum(2, dtype=np.int32)
+                ok[:, cols] &= apart * 9 <= n[:first, None] + n[cols]
+            yield i, ok
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others the i-th set is linked with, exactly."""
+        if not len(others):
+            return others
+        self.mark[self.codes[i]] = True
+        hit = self.mark[np.concatenate([self.codes[j] for j in others.tolist()])]
+        self.mark[self.codes[i]] = False
+        starts = np.cumsum(self.n[others]) - self.n[others]
+        common = np.add.reduceat(hit, starts, dtype=np.int64)
+        return others[100 * common >= 80 * (self.n[i] + self.n[others] - common)]
+
+
+_NEAR = ["bucket", "set", "component", "own", "lo", "hi"]
+
+
+def further(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between members of one bucket in different components, from (bucket, set, component).
 
-    def search(got: pd.DataFrame) -> pd.DataFrame:
+    First the members are found that have another one of a different component within reach of their
+    sketches. Then those are compared by their exact sets. A link found joins two components at once, so a
+    pair of blocks gives fewer links than it has members, and leaves no two members apart that are linked.
+    """
+    small = sets.select("set", "n", "sketch")
+    rows = blocked(held.join(sets.select("set", "n"), "set"), "bucket").drop("n").join(small, "set")
+    shares = held.count() // SHARE_ROWS
+
+    def reach(got: pd.DataFrame) -> pd.DataFrame:
         release()
-        out_a, out_b = [], []
-        for _, part in got.groupby(["bucket", "lo", "hi"], sort=False):
-            part = part.drop_duplicates("set")
-            comp = part["component"].to_numpy()
-            if len(part) < 2 or (comp == comp[0]).all():
+        out = []
+        for block in groups_of(got, "bucket"):
+            component = block.part["component"]
+            if (component == component[0]).all():
                 continue
-            n, own, names = part["n"].to_numpy(), part["own"].to_numpy(), part["set"].to_numpy()
-            size = min(map(len, part["sketch"]))
-            folded = []
-            for b in part["sketch"]:
-                x = np.frombuffer(b, np.uint8)
-                while len(x) > size:
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                folded.append(x)
-            x = np.stack(folded).view(np.uint64)
-            step = max(1, 2_000_000 // x.size)
-            for i in range(0, len(x), step):
-                part_n, rows_i = n[i : i + step, None], slice(i, i + step)
-                apart = np.bitwise_count(x[rows_i, None] ^ x[None]).sum(2, dtype=np.int64)
-                ok = (apart * 9 <= part_n + n) & (5 * np.minimum(part_n, n) >= 4 * np.maximum(part_n, n))
-                ok &= (comp[rows_i, None] != comp) & (names[rows_i, None] < names)
-                if part["lo"].iloc[0] != part["hi"].iloc[0]:
-                    ok &= own[rows_i, None] != own
-                a, b = np.nonzero(ok)
-                out_a.append(names[a + i])
-                out_b.append(names[b])
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    dealt = rows.withColumn("share", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shares)))
-    return dealt.groupBy("share").applyInPandas(lambda got: search(got.drop(columns="share")), "a long, b long").distinct()
-
-
-def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+            open_ = np.zeros(len(component), bool)
+            for i, ok in block.allowed():
+                ok &= component[i : i + len(ok), None] != component[i : i + ok.shape[1]]
+                open_[i : i + len(ok)] |= ok.any(1)
+                open_[i : i + ok.shape[1]] |= ok.any(0)
+            if open_.any():
+                out.append({c: block.part[c][open_] for c in _NEAR})
+        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in _NEAR}) if out else got.iloc[:0][_NEAR]
+
+    def join(got: pd.DataFrame) -> pd.DataFrame:
+        release()
+        out: list[tuple[int, int]] = []
+        for block in groups_of(got, "bucket"):
+            label = block.part["component"].copy()
+            for at, ok in block.allowed():
+                for i, row in enumerate(ok, at):
+                    others = np.flatnonzero(row) + at
+                    others = block.linked(i, others[label[others] != label[i]])
+                    joined, first = np.unique(label[others], return_index=True)
+                    out += [(int(block.names[i]), int(block.names[j])) for j in others[first].tolist()]
+                    if len(joined):
+                        label[np.isin(label, joined)] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    kind = "bucket long, set long, component long, own int, lo int, hi int"
+    near = shared_out(rows, "bucket", shares).groupBy("share").applyInPandas(lambda got: reach(got.drop(columns="share")), kind)
+    near = stored(near)
+    exact = near.join(sets, "set")
+    dealt = shared_out(exact, "bucket", near.count() // (SHARE_ROWS // 5))
+    return dealt.groupBy("share").applyInPandas(lambda got: join(got.drop(columns="share")), "a long, b long").distinct()
+
+
+def link_counts(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, links): how many rows of other sets each set is linked with, from (component, set, copies).
+
+    Linked sets are of one component, so each component is compared with itself, block against block, and
+    every pair of sets is met once. Only sums leave a task.
+    """
+    rows = blocked(groups.join(sets.select("set", "n"), "set"), "component").drop("n")
+
+    def count(got: pd.DataFrame) -> pd.DataFrame:
+        release()
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for block in groups_of(got, "component"):
+            copies, links = block.part["copies"], np.zeros(len(block.n), np.int64)
+            for at, ok in block.allowed():
+                for i, row in enumerate(ok, at):
+                    others = block.linked(i, np.flatnonzero(row) + at)
+                    links[i] += copies[others].sum()
+                    links[others] += copies[i]
+            out.append((block.names, links))
+        return pd.DataFrame({"set": np.concatenate([x for x, _ in out]), "links": np.concatenate([x for _, x in out])})
+
+    dealt = shared_out(rows.join(sets, "set"), "component", groups.count() // (SHARE_ROWS // 5))
+    found = dealt.groupBy("share").applyInPandas(lambda got: count(got.drop(columns="share")), "set long, links long")
+    return found.groupBy("set").agg(F.sum("links").alias("links"))
+
+
+def jaccard_join(docs: DataFrame, counted_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, set, n_shingles, component_id) and the links between sets (a, b) that were found.
 
-    Links are those tested; sets of one component need not all be tested against each other. A null or
+    Links are those tested; sets of one component need not all be tested against each other. With
+    counted_links, the documents also have n_links: how many other rows each is linked with, copies
+    included, all of them counted. A null or
     empty text has an empty set, no links and its own id as component. Documents with a null id are left
     out, as they cannot be named; repeated rows of one id each come back. Columns other than doc_id and
     text do not matter. An empty table gives empty results.
@@ -266,7 +388,8 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = bitmap(counted.where("marks is not null").select("share", "marks"), BITS, 1 << bits)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
     del marks
-    classes = stored(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")))
+    release()
+    classes = stored(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
 
     held = stored(buckets(docs, shared, bits))
     shared.destroy()
@@ -274,22 +397,30 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = held.withColumnRenamed("set", "b").join(pivots, "bucket").where("a <> b")
     sets = stored(fetched(docs, held.select("set").distinct().join(classes, "set")))
     first = stored(tested(star.select("a", "b").distinct(), sets))
-    comps = components(first.where("linked"))
 
-    # What stars leave open: members of different components in buckets where a pair failed.
+    # What stars leave open: members of different components in buckets where a pair failed. Two steps along the
+    # stars give labels that only sets of one component share; what they do not unite is compared again.
+    near = first.where("linked").groupBy("b").agg(F.min("a").alias("a"))
+    labels = near.toDF("set", "a").join(near.toDF("a", "top"), "a", "left").select("set", F.coalesce("top", "a").alias("component"))
     failed = star.join(first.where("not linked"), ["a", "b"]).select("bucket").distinct()
-    left = held.join(failed, "bucket").join(comps.toDF("set", "component"), "set", "left")
+    left = held.join(failed, "bucket").join(labels, "set", "left")
     left = stored(left.select("bucket", "set", F.coalesce("component", "set").alias("component")))
-    more = further(left, sets).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = stored(first.where("linked").union(stored(tested(more, sets)).where("linked")).select("a", "b"))
+    links = stored(first.where("linked").select("a", "b").union(further(left, sets)))
     comps = components(links)
 
-    known = classes.join(comps.toDF("set", "component"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(known.join(least, "component").select("set", "component_id"))
-    out = members.join(named, "set", "left").select("doc_id", "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out, links
+    known = classes.join(comps.toDF("set", "component"), "set", "left").select("set", "doc_id", "copies", F.coalesce("component", "set").alias("component"))
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    named = known.join(least, "component").select("set", "component", "copies", "sets", "component_id")
+    extra = []
+    if counted_links:
+        named = stored(named)
+        others = link_counts(named.where("sets > 1").select("component", "set", "copies"), sets)
+        named = named.join(others, "set", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        extra = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    named = stored(named.select("set", "component_id", *(["n_links"] if counted_links else [])))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return members.join(named, "set", "left").select("doc_id", "set", F.col("n").alias("n_shingles"), component, *extra), links
 
 
 def op1_jaccard_join(spark, sf_dir):
-    return jaccard_join(table(spark, sf_dir, "documents"))[0].drop("set")
+    return jaccard_join(table(spark, sf_dir, "documents"), counted_links=True)[0].drop("set")

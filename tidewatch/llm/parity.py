@@ -17,7 +17,7 @@ import numpy as np
 from .shingles import mixed
 
 #: Sets of up to so many shingles show single shingles; each further size band is half as wide again.
-SMALLEST, GROWTH = 48, 1.5
+SMALLEST, GROWTH = 12, 1.5
 #: Shingles a block at the upper end of a band.
 FILL = 2.0
 

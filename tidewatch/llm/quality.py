@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, slices, table
+from .common import held_out, release, slices, table
 
 #: The model is fitted on so many labelled rows at most, those with the smallest hash of the id.
 TRAIN_ROWS = 20_000
@@ -187,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").mapInArrow(describe, "x array<double>, label int, doc_id long").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
-    return fit(x, (got["label"].to_numpy() == 1).astype(np.float64))
+    model = fit(x, (got["label"].to_numpy() == 1).astype(np.float64))
+    del got, x
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
