@@ -146,8 +146,8 @@ def buckets(docs: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """Parity bits of a set: a power of two of at least as many bits as shingles."""
-    size = 1 << max(6, int(len(h)).bit_length())
+    """Parity bits of a set: a power of two of at least twice as many bits as shingles."""
+    size = 1 << max(6, int(len(h)).bit_length() + 1)
     odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -292,40 +292,43 @@ class Block:
         return others[100 * common >= 80 * (self.n[i] + self.n[others] - common)]
 
 
-_NEAR = ["bucket", "set", "component", "own", "lo", "hi"]
-
-
 def further(held: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between members of one bucket in different components, from (bucket, set, component).
 
     First the members are found that have another one of a different component within reach of their
-    sketches. Then those are compared by their exact sets. A link found joins two components at once, so a
-    pair of blocks gives fewer links than it has members, and leaves no two members apart that are linked.
+    sketches; members within reach of each other, over all buckets, are a group. Each group is then
+    compared once by the exact sets. A link found joins two components at once, so a pair of blocks gives
+    fewer links than it has members, and leaves no two members apart that are linked.
     """
     small = sets.select("set", "n", "sketch")
     rows = blocked(held.join(sets.select("set", "n"), "set"), "bucket").drop("n").join(small, "set")
-    shares = held.count() // SHARE_ROWS
 
     def reach(got: pd.DataFrame) -> pd.DataFrame:
         release()
-        out = []
+        out = [np.empty((3, 0), np.int64)]
         for block in groups_of(got, "bucket"):
             component = block.part["component"]
             if (component == component[0]).all():
                 continue
-            open_ = np.zeros(len(component), bool)
-            for i, ok in block.allowed():
-                ok &= component[i : i + len(ok), None] != component[i : i + ok.shape[1]]
-                open_[i : i + len(ok)] |= ok.any(1)
-                open_[i : i + ok.shape[1]] |= ok.any(0)
-            if open_.any():
-                out.append({c: block.part[c][open_] for c in _NEAR})
-        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in _NEAR}) if out else got.iloc[:0][_NEAR]
+            group, open_ = component.copy(), np.zeros(len(component), bool)
+            for at, ok in block.allowed():
+                ok &= component[at : at + len(ok), None] != component[at : at + ok.shape[1]]
+                open_[at : at + len(ok)] |= ok.any(1)
+                open_[at : at + ok.shape[1]] |= ok.any(0)
+                for i in np.flatnonzero(ok.any(1)).tolist():
+                    others = np.unique(group[at:][ok[i]])
+                    if len(others) > 1 or others[0] != group[at + i]:
+                        group[np.isin(group, others)] = group[at + i]
+            names, group = block.names[open_], group[open_]
+            if len(names):
+                _, first, back = np.unique(group, return_index=True, return_inverse=True)
+                out.append(np.stack([names, names[first][back], component[open_]]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "component"])
 
     def join(got: pd.DataFrame) -> pd.DataFrame:
         release()
         out: list[tuple[int, int]] = []
-        for block in groups_of(got, "bucket"):
+        for block in groups_of(got, "group"):
             label = block.part["component"].copy()
             for at, ok in block.allowed():
                 for i, row in enumerate(ok, at):
@@ -337,11 +340,12 @@ def further(held: DataFrame, sets: DataFrame) -> DataFrame:
                         label[np.isin(label, joined)] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    kind = "bucket long, set long, component long, own int, lo int, hi int"
-    near = shared_out(rows, "bucket", shares).groupBy("share").applyInPandas(lambda got: reach(got.drop(columns="share")), kind)
-    near = stored(near)
-    exact = near.join(sets, "set")
-    dealt = shared_out(exact, "bucket", near.count() // (SHARE_ROWS // 5))
+    dealt = shared_out(rows, "bucket", held.count() // SHARE_ROWS)
+    near = stored(dealt.groupBy("share").applyInPandas(lambda got: reach(got.drop(columns="share")), "a long, b long, component long").distinct())
+    groups = components(near).toDF("set", "group")
+    open_ = near.select(F.col("a").alias("set"), "component").distinct().join(groups, "set")
+    exact = blocked(open_.join(sets.select("set", "n"), "set"), "group").drop("n").join(sets, "set")
+    dealt = shared_out(exact, "group", groups.count() // (SHARE_ROWS // 5))
     return dealt.groupBy("share").applyInPandas(lambda got: join(got.drop(columns="share")), "a long, b long").distinct()
 
 
