@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,18 +87,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
     release()
 
 
-def bitmap(parts: DataFrame, bits: int, shares: int) -> np.ndarray:
-    """The bitmap of 2^bits bits whose slices are given as (share, marks); its size does not grow with the input.
+def packed(marks: np.ndarray) -> bytes:
+    """A slice of a bitmap, compressed where it was made: it travels and is broadcast so, as most of its bits are 0."""
+    return zlib.compress(np.packbits(marks).tobytes(), 1)
 
-    The slices are stored first and come to the driver a few at a time.
+
+def bitmap(parts: DataFrame, shares: int) -> list[bytes | None]:
+    """The compressed slices of a bitmap given as (share, marks), in their order; None where a share has none.
+
+    A bitmap's size does not grow with the input. The slices are stored first and come to the driver a few at a time.
     """
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    step = len(whole) // shares
+    whole: list[bytes | None] = [None] * shares
     for share, marks in stored(parts).coalesce(8).toLocalIterator():
-        whole[share * step : (share + 1) * step] = np.frombuffer(marks, np.uint8)
+        whole[share] = bytes(marks)
     return whole
 
 
+def unpacked(whole: list[bytes | None], bits: int) -> np.ndarray:
+    """The bitmap of 2^bits bits of compressed slices: each task makes its own and drops it at its end."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    step = len(out) // len(whole)
+    for share, marks in enumerate(whole):
+        if marks:
+            out[share * step : (share + 1) * step] = np.frombuffer(zlib.decompress(marks), np.uint8)
+    return out
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Rows whose crc32 of the id's text leaves the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

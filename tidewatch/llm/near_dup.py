@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, release, slices, stored, table, two_to, volume
+from .common import bitmap, packed, release, slices, stored, table, two_to, unpacked, volume
 from .components import components
 from .parity import keys_of, similar
 from .shingles import mixed, set_id, shingle_sets
@@ -83,7 +83,7 @@ def census(docs: DataFrame, bits: int) -> DataFrame:
         wide = h[:-FEW][h[FEW:] == h[:-FEW]] if len(h) > FEW else h[:0]
         marks = np.zeros(1 << (BITS - bits), bool)
         marks[wide >> np.uint32(32 - (BITS - bits))] = True
-        return pd.DataFrame({"share": [key[0]], "marks": [np.packbits(marks).tobytes()], "doc_id": None, "set": None, "n": None})
+        return pd.DataFrame({"share": [key[0]], "marks": [packed(marks)], "doc_id": None, "set": None, "n": None})
 
     dealt = docs.select("doc_id", "text").mapInArrow(read, "share int, hashes binary, docs binary")
     return dealt.groupBy("share").applyInPandas(count, "share int, marks binary, doc_id long, set long, n long")
@@ -95,11 +95,12 @@ def buckets(docs: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("share", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())]
         seen: set[int] = set()
+        marks = unpacked(shared.value, BITS)
         for batch in slices(batches, "text", 1_000_000):
             sets = shingle_sets(batch.column(0).to_pylist())
             everything = np.concatenate(sets)
             at = everything >> np.uint64(64 - BITS)
-            wide = (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            wide = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
             keys, names, start = [], [], 0
             for s in sets:
                 stop = start + len(s)
@@ -389,10 +390,7 @@ def jaccard_join(docs: DataFrame, counted_links: bool = False) -> tuple[DataFram
     bits = min(BITS - 3, two_to(size / SHARE))
     counted = stored(census(docs, bits))
     members = counted.where("doc_id is not null").select("doc_id", "set", "n")
-    marks = bitmap(counted.where("marks is not null").select("share", "marks"), BITS, 1 << bits)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    del marks
-    release()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(counted.where("marks is not null").select("share", "marks"), 1 << bits))
     classes = stored(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
 
     held = stored(buckets(docs, shared, bits))
