@@ -101,6 +101,101 @@ def test_votes(spark):
     assert {r.target: r.consensus for r in ev.consensus(votes).collect()} == {"a": "attack", "b": "conflict", "c": "attack", "d": None}
 
 
+def test_votes_bind_verdicts(spark):
+    votes = {"e": ["false_positive", "false_positive", "attack"], "f": ["false_positive", "indeterminate"], "g": ["attack", "indeterminate"], "h": ["indeterminate"], "i": ["mixed", "attack", "false_positive", "indeterminate"]}
+    frame_ = spark.createDataFrame([(t, v) for t, vs in votes.items() for v in vs], "target string, verdict string")
+    assert {r.target: r.consensus for r in ev.consensus(frame_).collect()} == {"e": "conflict", "f": "false_positive", "g": "attack", "h": "indeterminate", "i": "conflict"}
+    rules = spark.createDataFrame([("e", "false_positive", 30), ("f", "false_positive", 30), ("x", "mixed", 20)], "rule_title string, verdict string, count long")
+    findings = spark.createDataFrame([("z", "e", "A")], "id string, rule_title string, host string")
+    assert ev.g11(rules, frame_, findings).first().gaps == ["finding z", "rule e"]
+
+
+def test_references_with_nulls_and_bare_ids(spark):
+    logs = frame(spark, row(record="1", host=None, channel=None), row(record="2", host="A", channel=None), row(record="2", host="B", channel=None), row(record="3", host="C"))
+    refs = spark.createDataFrame([("f", "Alpha", "1", None, None), ("f", "Alpha", "2", None, None), ("f", "Alpha", "2", "A", ""), ("f", "Alpha", "3", "", "x")], "owner string, rule_title string, record_id string, computer string, channel string")
+    assert sorted((r.record_id, r.state, r.found) for r in ev.resolve_refs(refs, logs).collect()) == [("1", "ok", ""), ("2", "ambiguous", "B"), ("2", "ok", "A"), ("3", "ok", "C")]
+    findings = spark.createDataFrame([("f", "Alpha", "C"), ("f", "Alpha", "D")], "id string, rule_title string, host string")
+    assert ev.g9(findings, refs, logs).first().gaps == ["f D"]
+    assert det.event_ambiguity(logs).where("RecordID = '2'").first().ambiguous
+
+
+def test_stub_rationales_are_rejected(spark):
+    entries = spark.createDataFrame([("Alpha", "attack", t, ["1"], None) for t in ("reviewed", "False Positive", "確認済み", "seen twice on A")], "rule_title string, verdict string, rationale string, refs array<string>, excerpt string")
+    out = ev.validate_triage(entries, spark.createDataFrame([("Alpha",)], "rule_title string")).collect()
+    assert [r.rationale for r in out if r.accepted] == ["seen twice on A"]
+
+
+def test_indicators_of_both_profiles(spark):
+    logs = frame(spark, row(details="Image: a.exe ¦ DstAddr: 1.2.3.4 ¦ TgtFile: C:\\x ¦ Cmdline: a -b ¦ Svc: -"))
+    assert {(r.Type, r.FieldName, r.Value) for r in det.extract_iocs(logs).collect()} == {("process", "Image", "a.exe"), ("ip", "DstAddr", "1.2.3.4"), ("filepath", "TgtFile", "C:\\x"), ("cmdline", "Cmdline", "a -b")}
+    every = logs.selectExpr("Computer", "RuleTitle", "Level", "'CommandLine: x ¦ SourceIp: 1.1.1.1 ¦ Proc: no' AS AllFieldInfo")
+    assert {(r.Type, r.Value) for r in det.extract_iocs(every, source="AllFieldInfo").collect()} == {("cmdline", "x"), ("ip", "1.1.1.1")}
+    assert det.extract_iocs(logs, levels=("low",)).count() == 0 and det.extract_iocs(logs, rule="Alp").count() == 4
+
+
+def test_decoding_does_not_fail(spark):
+    odd = base64.b64encode(b"a\0b").decode()
+    lone = base64.b64encode(b"\x00\xd8a\0").decode()
+    logs = frame(spark, row(details=f"x -enc {odd}"), row(details=f"x -enc {lone}"), row(details="x -enc 'QUJDRA=='"), row(details="y", extra=f"x -enc {odd}"), row(details=None))
+    assert sorted(r.DecodedCommand for r in det.decode_commands(logs).collect()) == sorted([base64.b64decode(x).decode("utf-16-le", "replace") for x in (odd, odd, lone)])
+
+
+def test_backslashes_in_prefixes_and_variants(spark):
+    logs = frame(spark, row(rule="C:\\Users\\x"), row(rule="other"))
+    assert flt.search(logs, "C:\\Us", ["RuleTitle"], mode="prefix").count() == 1
+    split = frame(spark, row(host="a|b", channel="c"), row(host="a", channel="b|c"))
+    assert det.variants(split, ["Computer", "Channel"]).count() == 2
+
+
+def test_fingerprints_tell_logs_apart(spark):
+    value = lambda *rows: src.fingerprint(frame(spark, *rows)).first().value
+    assert len({value(row(), row()), value(row(host="B"), row(host="B")), value(row(host=None, channel="A")), value(row(host="A", channel=None))}) == 4
+    assert value(row(), row(host="B")) == value(row(host="B"), row())
+
+
+def test_json_lines_and_missing_files(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"a": "x", "n": 1}\n[1]\n5\n{broken\n\n{"a": null}\n')
+    good, bad = src.read_jsonl(spark, str(tmp_path / "q.jsonl"), "a string, n long")
+    assert sorted(map(tuple, good.collect()), key=str) == [("x", 1), (None, None)] and sorted(r[0] for r in bad.collect()) == ["5", "[1]", "{broken"]
+    assert [x.count() for x in src.read_jsonl(spark, str(tmp_path / "none.jsonl"), "a string")] == [0, 0]
+    assert src.file_digests(spark, str(tmp_path)).count() == 1
+
+
+def test_overview_path_and_tactics(spark):
+    logs = frame(spark, row(tactics="Exec ¦ Evas"), row(tactics="Exec"), row(host="B"))
+    assert {r.metric: r.value for r in prof.overview(logs, "/it's here").collect()}["path"] == "/it's here"
+    assert {r.Computer: r.tactics for r in prof.host_rank(logs).collect()} == {"A": 2, "B": 0}
+
+
+def test_segments_with_few_points(spark):
+    at = lambda d, h="A": row(ts=f"2024-01-{d:02} 00:00:00.000 +00:00", host=h)
+    out = seq.segments(frame(spark, at(1), at(5), at(9, "B"), at(1, "C"), at(1, "C"))).collect()
+    assert sorted((r.Computer, r.segment, r.start[:16], r.end[:16], r.points) for r in out) == [
+        ("A", 1, "2023-12-31 23:57", "2024-01-01 00:03", 1),
+        ("A", 2, "2024-01-04 23:57", "2024-01-05 00:03", 1),
+        ("B", 1, "2024-01-08 23:00", "2024-01-09 01:00", 1),
+        ("C", 1, "2023-12-31 23:59", "2024-01-01 00:01", 2),
+    ]
+
+
+def test_event_details(spark):
+    logs = frame(spark, row(record="100", host="A"), row(record="100", host="B"), row(record="3", rule="Gamma", details="K: v"), row(record="3", rule="Delta", details="K: v"))
+    assert {(r.status, r.Field) for r in det.event_detail(logs, "100").collect()} == {("ambiguous", "A/Sec"), ("ambiguous", "B/Sec")}
+    found = {r.Field: r.Value for r in det.event_detail(logs, "3").collect()}
+    assert (found["_MatchedRows"], found["_MatchedRuleTitles"], found["Details.K"]) == ("2", "Delta, Gamma", "v")
+    assert "_MatchedRows" not in {r.Field for r in det.event_detail(logs, "100", "A").collect()} and det.event_detail(logs, "9").count() == 0
+
+
+def test_free_sql_reads_logs_alone(spark):
+    logs = frame(spark, row())
+    spark.range(3).createOrReplaceTempView("secret")
+    for text in ("SELECT * FROM logs, secret", "SELECT * FROM logs l, parquet.`/tmp/x` p", "SELECT * FROM logs JOIN (SELECT * FROM secret) s ON true", "SELECT (SELECT max(id) FROM secret) FROM logs", "WITH a AS (SELECT 1) SELECT * FROM a, secret", "SELECT * FROM logs WHERE 1 IN (TABLE secret)", "SELECT * FROM (logs, secret)"):
+        with pytest.raises(ValueError):
+            free_sql.run_sql(logs, text)
+    for text in ("SELECT extract(year FROM now()) AS y FROM logs", "WITH a AS (SELECT Level, count(*) AS n FROM logs GROUP BY Level) SELECT a.n, l.Level FROM a, logs l WHERE a.Level = l.Level", "SELECT Level, 'x, secret' AS t FROM logs -- , secret"):
+        assert free_sql.run_sql(logs, text).count() == 1
+
+
 def test_free_sql_is_guarded(spark):
     logs = frame(spark, row())
     assert free_sql.run_sql(logs, "SELECT count(*) AS n FROM logs").first().n == 1

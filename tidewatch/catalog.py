@@ -76,7 +76,7 @@ add("agg_15_default_levels", lambda l: prof.default_levels(l).select(F.concat_ws
 add("agg_20_host_impact", prof.host_impact, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen,
   string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) FILTER (Level IN ('crit', 'high')) AS rules,
   CASE WHEN count(*) FILTER (Level = 'crit') > 0 THEN 'Confirmed' WHEN count(*) FILTER (Level = 'high') > 0 THEN 'Suspected' ELSE 'Under Investigation' END AS status FROM logs GROUP BY 1""")
-add("agg_22_host_rank", prof.host_rank, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, bool_or(strpos(coalesce(MitreTactics, ''), 'LatMov') > 0) AS lateral, min("Timestamp") FILTER (Level IN ('high', 'crit')) AS first_high, count(DISTINCT MitreTactics) AS tactics FROM logs GROUP BY 1""")
+add("agg_22_host_rank", prof.host_rank, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, bool_or(strpos(coalesce(MitreTactics, ''), 'LatMov') > 0) AS lateral, min("Timestamp") FILTER (Level IN ('high', 'crit')) AS first_high, (SELECT count(DISTINCT t) FROM (SELECT Computer AS c, unnest(string_split(MitreTactics, ' ¦ ')) AS t FROM logs) WHERE c = Computer AND t <> '') AS tactics FROM logs GROUP BY 1""")
 add("agg_28_incident_overview", prof.incident_overview, """WITH t AS (SELECT "Timestamp", RuleTitle, Computer FROM logs ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, "Timestamp", RuleTitle, Computer LIMIT 1)
 SELECT min(l."Timestamp") AS first_seen, max(l."Timestamp") AS last_seen, count(*) AS events, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, count(*) FILTER (Level = 'med') AS med, count(*) FILTER (Level = 'low') AS low, count(*) FILTER (Level = 'info') AS info,
   count(DISTINCT l.Computer) AS host_count, string_agg(DISTINCT l.Computer, ', ' ORDER BY l.Computer) AS hosts, (SELECT "Timestamp" FROM t) AS top_time, (SELECT RuleTitle FROM t) AS top_rule, (SELECT Computer FROM t) AS top_host FROM logs l""")
@@ -87,10 +87,18 @@ kv AS (SELECT *, trim(split_part(pair, ': ', 1)) AS key, trim(substr(pair, strpo
 add("agg_08_key_counts", det.key_counts, f"WITH {PAIRS} SELECT key, count(*) AS count FROM kv GROUP BY 1")
 add("agg_09_unique_values", lambda l: det.unique_values(l, "SrcIP"), f"WITH {PAIRS} SELECT value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS hosts, count(*) AS count FROM kv WHERE key = 'SrcIP' AND value <> '' GROUP BY 1")
 add("agg_10_values", lambda l: det.values(l, "TgtUser"), f"""WITH {PAIRS} SELECT value, "Timestamp", Computer, RuleTitle, Level FROM kv WHERE key = 'TgtUser'""")
-_IOC = " ".join(f"WHEN '{k}' THEN '{t}'" for t, ks in fn.IOC_KEYS.items() for k in ks)
+_IOC = """CASE WHEN FieldName IN ('Proc', 'Image', 'ParentImage') THEN 'process' WHEN FieldName = 'Cmdline' THEN 'cmdline' WHEN FieldName IN ('Path', 'TgtFile') THEN 'filepath'
+WHEN FieldName IN ('SrcIP', 'DstIP', 'SrcAddr', 'DstAddr', 'IpAddress', 'DestAddress', 'SourceAddress') THEN 'ip' WHEN FieldName IN ('User', 'TgtUser', 'SrcUser') THEN 'user'
+WHEN FieldName IN ('Hash', 'Hashes') THEN 'hash' WHEN FieldName = 'Svc' THEN 'service' END"""
+_ALL_FIELDS = "replace(replace(replace(Details, 'Proc: ', 'Image: '), 'TgtUser: ', 'TargetUserName: '), 'SrcIP: ', 'SourceIp: ')"
+_with_all_fields = lambda l: l.withColumn("AllFieldInfo", F.expr(_ALL_FIELDS)).drop("Details", "ExtraFieldInfo")
+add("agg_11_all_field_info", lambda l: det.extract_iocs(_with_all_fields(l), source="AllFieldInfo", levels=("crit", "high"), rule="-2"), f"""WITH p AS (SELECT Computer, unnest(string_split({_ALL_FIELDS}, ' ¦ ')) AS pair FROM logs
+WHERE Details IS NOT NULL AND Details <> '' AND Level IN ('crit', 'high') AND strpos(RuleTitle, '-2') > 0), kv AS (SELECT Computer, split_part(pair, ': ', 1) AS FieldName, substr(pair, strpos(pair, ': ') + 2) AS Value FROM p),
+t AS (SELECT CASE FieldName WHEN 'Image' THEN 'process' WHEN 'TargetUserName' THEN 'user' WHEN 'User' THEN 'user' WHEN 'SourceIp' THEN 'ip' END AS Type, * FROM kv)
+SELECT Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM t WHERE Type IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
 add("agg_11_extract_iocs", det.extract_iocs, f"""WITH p AS (SELECT Computer, unnest(string_split(CASE WHEN coalesce(ExtraFieldInfo, '') <> '' THEN Details || ' ¦ ' || ExtraFieldInfo ELSE Details END, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL AND Details <> ''),
 kv AS (SELECT Computer, trim(split_part(pair, ': ', 1)) AS FieldName, trim(substr(pair, length(trim(split_part(pair, ': ', 1))) + 3)) AS Value FROM p WHERE strpos(pair, ': ') > 0)
-SELECT CASE FieldName {_IOC} END AS Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM kv WHERE CASE FieldName {_IOC} END IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
+SELECT {_IOC} AS Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM kv WHERE {_IOC} IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
 add("agg_16_variants", lambda l: det.variants(l, ["Channel", "SrcIP"]), """WITH v AS (SELECT RuleTitle, concat_ws('|', coalesce(Channel, ''), coalesce(regexp_extract(Details, 'SrcIP: ([^ ]*)', 1), '')) AS variant, count(*) AS count FROM logs GROUP BY ALL)
 SELECT RuleTitle, variant, count, count(*) OVER (PARTITION BY RuleTitle) > 2000 AS overflow FROM v""")
 add("agg_18_diversity", lambda l: det.diversity(l, ["Proc", "SrcIP", "TgtUser"]), f"WITH {PAIRS} SELECT RuleTitle, key, count(DISTINCT value) AS distinct_values, count(DISTINCT value) > 3 AS diverse FROM kv WHERE key IN ('Proc', 'SrcIP', 'TgtUser') GROUP BY ALL")
@@ -123,9 +131,14 @@ add("agg_25_tactic_flow", seq.tactic_flow, f"""WITH {TACTIC_SQL}, g AS (SELECT t
 CLUSTER_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
 m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM d), n AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)"""
 add("win_03_clusters", seq.clusters, f"""WITH {CLUSTER_SQL} SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end" FROM n GROUP BY n""")
-add("win_04_segments", seq.segments, f"""WITH x AS (SELECT DISTINCT Computer, {TS} AS ts FROM logs), g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY Computer ORDER BY ts) AS gap FROM x WHERE ts IS NOT NULL),
-md AS (SELECT Computer, median(gap) AS md, count(gap) AS c FROM g GROUP BY 1), s AS (SELECT g.*, sum(CASE WHEN c >= 3 AND gap > 5 * md THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY ts) + 1 AS segment FROM g JOIN md USING (Computer))
-SELECT Computer, CAST(segment AS BIGINT) AS segment, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS "start", strftime(max(ts), '%Y-%m-%d %H:%M:%S.%g') AS "end", count(*) AS points FROM s GROUP BY Computer, segment""")
+add("win_04_segments", seq.segments, f"""WITH x AS (SELECT Computer, epoch_us({TS}) AS us FROM logs), g AS (SELECT *, us - lag(us) OVER (PARTITION BY Computer ORDER BY us) AS gap FROM x WHERE us IS NOT NULL),
+h AS (SELECT Computer, median(gap) AS md, max(gap) AS mx, count(gap) AS c, max(us) - min(us) AS span FROM g GROUP BY 1),
+f AS (SELECT Computer, min(us) AS best FROM g JOIN h USING (Computer) WHERE gap = mx GROUP BY 1),
+b AS (SELECT g.*, c, span, CASE WHEN c >= 3 THEN gap > 5 * md AND gap > 0 ELSE gap = mx AND us = best AND gap > 0.3 * span END AS new FROM g JOIN h USING (Computer) LEFT JOIN f USING (Computer)),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY us) + 1 AS segment FROM b),
+o AS (SELECT Computer, segment, min(us) AS a, max(us) AS z, count(*) AS points, any_value(c) AS c, any_value(span) AS span, max(segment) OVER (PARTITION BY Computer) AS parts FROM s GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN c = 0 THEN 3600000000 WHEN parts = 1 THEN greatest(span // 50, 60000000) ELSE greatest((CASE WHEN points > 1 THEN z - a ELSE 3600000000 END) // 20, 60000000) END AS pad FROM o)
+SELECT Computer, CAST(segment AS BIGINT) AS segment, strftime(make_timestamp(CAST(a - pad AS BIGINT)), '%Y-%m-%d %H:%M:%S.%g') AS "start", strftime(make_timestamp(CAST(z + pad AS BIGINT)), '%Y-%m-%d %H:%M:%S.%g') AS "end", points FROM p""")
 add("win_06_rule_samples", seq.rule_samples, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RuleTitle ORDER BY "Timestamp", Computer, RecordID, Channel, Details NULLS LAST) AS nth FROM logs) SELECT RuleTitle, nth, "Timestamp", Computer, RecordID FROM r WHERE nth <= 2""")
 add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")), """SELECT "Timestamp", Computer, Level, RuleTitle, EventID, Channel, RecordID, MitreTactics, Details, ExtraFieldInfo FROM logs WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
 add("win_09_event_representatives", seq.event_representatives, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RecordID, Computer, Channel ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, RuleTitle, "Timestamp", Details NULLS LAST) AS nth FROM logs) SELECT RecordID, Computer, Channel, RuleTitle, Level, "Timestamp" FROM r WHERE nth = 1""")
@@ -143,7 +156,8 @@ _RK = "CASE {} WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low
 add("agg_24_edge_stats", lambda l: seq.edge_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost, TargetHost, count(*) AS count, max(greatest({_RK.format("SourceLevel")}, {_RK.format("TargetLevel")})) AS rank FROM p GROUP BY ALL)
 SELECT e.SourceHost, e.TargetHost, e.count, r.SourceHost IS NOT NULL AS reverse, e.rank, least(e.count + 1, 8) AS width FROM e LEFT JOIN e r ON r.SourceHost = e.TargetHost AND r.TargetHost = e.SourceHost""")
 add("grf_01_layers", lambda l: seq.layers(l.select(F.col("Computer").alias("SourceHost"), F.expr("'HOST-' || (cast(substring(Computer, 6) as int) + 7) % 20").alias("TargetHost")), "HOST-3"), """WITH RECURSIVE e AS (SELECT DISTINCT Computer AS s, 'HOST-' || ((CAST(substr(Computer, 6) AS INT) + 7) % 20) AS t FROM logs),
-w AS (SELECT 'HOST-3' AS host, 0 AS layer UNION SELECT e.t, w.layer + 1 FROM w JOIN e ON e.s = w.host WHERE w.layer < 19) SELECT host, min(layer) AS layer FROM w GROUP BY 1""")
+w AS (SELECT 'HOST-3' AS host, 0 AS layer UNION SELECT e.t, w.layer + 1 FROM w JOIN e ON e.s = w.host WHERE w.layer < 19), r AS (SELECT host, min(layer) AS layer FROM w GROUP BY 1),
+u AS (SELECT s AS host FROM e UNION SELECT t FROM e EXCEPT SELECT host FROM r) SELECT * FROM r UNION ALL SELECT host, (SELECT max(layer) FROM r) + row_number() OVER (ORDER BY host) FROM u""")
 
 # Order and pages
 add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")
@@ -156,7 +170,10 @@ CASE WHEN RuleTitle LIKE '%-3' THEN 'pending' ELSE 'done' END AS status, CASE WH
 'seen ' || min(RecordID) AS rationale, CASE WHEN RuleTitle LIKE '%click%' THEN min(Details) WHEN RuleTitle LIKE '%error%' THEN 'no such text' END AS excerpt FROM logs GROUP BY RuleTitle"""
 REFS_SQL = """SELECT 'f-' || RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, CASE WHEN RuleTitle LIKE '%click%' THEN NULL ELSE Computer END AS computer, CASE WHEN RuleTitle LIKE '%click%' THEN NULL ELSE Channel END AS channel FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
 FINDINGS_SQL = "SELECT DISTINCT 'f-' || RuleTitle AS id, RuleTitle AS rule_title, Computer AS host FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"
-VOTES_SQL = "SELECT RuleTitle AS target, CASE Level WHEN 'crit' THEN 'attack' WHEN 'high' THEN 'false_positive' WHEN 'med' THEN 'false_positive' WHEN 'low' THEN 'indeterminate' ELSE 'cannot_verify' END AS verdict FROM logs WHERE RecordID < '2'"
+VOTES_SQL = """SELECT 'rule' AS target_type, RuleTitle AS target, CASE WHEN RuleTitle LIKE '%-0' THEN CASE Level WHEN 'crit' THEN 'attack' WHEN 'high' THEN 'mixed' ELSE 'cannot_verify' END
+WHEN RuleTitle LIKE '%click-1' THEN CASE Level WHEN 'crit' THEN 'false_positive' ELSE 'indeterminate' END WHEN RuleTitle LIKE '%-1' THEN CASE Level WHEN 'crit' THEN 'attack' WHEN 'info' THEN 'indeterminate' ELSE 'false_positive' END
+WHEN RuleTitle LIKE '%-2' THEN 'cannot_verify' ELSE CASE Level WHEN 'crit' THEN 'false_positive' ELSE 'attack' END END AS verdict FROM logs
+UNION ALL SELECT 'finding', 'f-' || RuleTitle, CASE WHEN RuleTitle LIKE '%error%' THEN 'false_positive' ELSE 'attack' END FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
 
 
 def _state(l, text: str):
@@ -174,39 +191,48 @@ def _flat(gate):
     return gate.select("id", "status", F.size("gaps").cast("long").alias("gaps"))
 
 
+GATES: dict = {}
+
+
 def _gate(name: str, number: int, build, sql: str) -> None:
     """A gate as (id, status, number of gaps), against a count in SQL."""
+    GATES[number] = build, sql
     add(name, lambda l: _flat(build(l)), f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), gaps AS ({sql}) SELECT 'G{number}' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps")
 
 
-RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, CASE WHEN count(l.RecordID) = 0 THEN 'not_found' WHEN count(DISTINCT l.Computer || '/' || l.Channel) > 1 THEN 'ambiguous' WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
+RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, max(l.Computer) AS found, CASE WHEN count(l.RecordID) = 0 THEN 'not_found' WHEN count(DISTINCT coalesce(l.Computer, '') || '/' || coalesce(l.Channel, '')) FILTER (l.RecordID IS NOT NULL) > 1 THEN 'ambiguous' WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
 FROM (SELECT DISTINCT * FROM refs) r LEFT JOIN logs l ON l.RecordID = r.record_id AND (r.computer IS NULL OR r.computer = l.Computer) AND (r.computer IS NULL OR r.channel IS NULL OR r.channel = l.Channel) GROUP BY ALL"""
 _hosts = lambda l: l.select(F.col("Computer").alias("name")).where("name <> 'HOST-7'").distinct()
-_groups = lambda l: det.variants(l.where("RuleTitle LIKE 'Rule purchase%'"), ["Channel"]).select(F.col("RuleTitle").alias("rule_title"), "variant", F.expr("count + case when variant = 'Sec' then 1 else 0 end").alias("count"), F.expr("case when variant = 'Sysmon' then null else 'false_positive' end").alias("verdict"))
-_queries = lambda l: l.selectExpr("row_number() over (order by Timestamp, RecordID, RuleTitle) as seq", "Computer as query_hash", "Level = 'crit' as has_more", "Channel = 'Sec' as accepted")
+_groups = lambda l: det.variants(l, ["Channel"]).select(F.col("RuleTitle").alias("rule_title"), "variant", F.expr("count + case when variant = 'Sec' then 1 else 0 end").alias("count"), F.expr("case when variant = 'Sysmon' then null else 'false_positive' end").alias("verdict"))
+_queries = lambda l: l.selectExpr("Timestamp || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle as seq", "Computer as query_hash", "Level = 'crit' as has_more", "Channel = 'Sec' as accepted")
 add("join_06_resolve_refs", lambda l: ev.resolve_refs(_state(l, REFS_SQL).distinct(), l).groupBy("state").count(), f"WITH refs AS ({REFS_SQL}), s AS ({RESOLVED_SQL}) SELECT state, count(*) AS count FROM s GROUP BY 1")
 add("join_07_excerpts", lambda l: ev.excerpts(_rules(l), l), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, coalesce(bool_or(strpos(Details, excerpt) > 0), FALSE) AS verbatim FROM rules LEFT JOIN logs ON rule_title = RuleTitle WHERE excerpt IS NOT NULL GROUP BY 1")
-add("join_08_reconcile", lambda l: ev.reconcile(_groups(l), l, ["Channel"]).select("rule_title", "variant", "state"), "SELECT DISTINCT RuleTitle AS rule_title, Channel AS variant, CASE Channel WHEN 'Sec' THEN 'count' WHEN 'Sysmon' THEN 'unjudged' ELSE 'ok' END AS state FROM logs WHERE RuleTitle LIKE 'Rule purchase%'")
-CONSENSUS_SQL = """SELECT target, a AS attack, f AS false_positive, i AS indeterminate, CASE WHEN a + f + i = 0 THEN NULL WHEN a = a + f + i THEN 'attack' WHEN f = a + f + i THEN 'false_positive' WHEN i = a + f + i THEN 'indeterminate'
-WHEN a + f + i >= 3 AND 2 * a > a + f + i THEN 'attack' WHEN a + f + i >= 3 AND 2 * f > a + f + i THEN 'false_positive' WHEN a + f + i >= 3 AND 2 * i > a + f + i THEN 'indeterminate' ELSE 'conflict' END AS consensus
-FROM (SELECT target, count(*) FILTER (verdict IN ('attack', 'mixed')) AS a, count(*) FILTER (verdict = 'false_positive') AS f, count(*) FILTER (verdict = 'indeterminate') AS i FROM votes GROUP BY 1)"""
+add("join_08_reconcile", lambda l: ev.reconcile(_groups(l), l, ["Channel"]).select("rule_title", "variant", "state"), "SELECT DISTINCT RuleTitle AS rule_title, Channel AS variant, CASE Channel WHEN 'Sec' THEN 'count' WHEN 'Sysmon' THEN 'unjudged' ELSE 'ok' END AS state FROM logs")
+CONSENSUS_SQL = """SELECT target_type, target, a AS attack, f AS false_positive, i AS indeterminate, CASE WHEN a + f + i = 0 THEN NULL WHEN f > 0 AND a = 0 THEN 'false_positive' WHEN a > 0 AND (f = 0 OR (a + f + i >= 3 AND a > f + i)) THEN 'attack'
+WHEN a = 0 THEN 'indeterminate' ELSE 'conflict' END AS consensus
+FROM (SELECT target_type, target, count(*) FILTER (verdict IN ('attack', 'mixed')) AS a, count(*) FILTER (verdict = 'false_positive') AS f, count(*) FILTER (verdict = 'indeterminate') AS i FROM votes GROUP BY 1, 2)"""
 add("agg_17_consensus", lambda l: ev.consensus(_state(l, VOTES_SQL)), f"WITH votes AS ({VOTES_SQL}) {CONSENSUS_SQL}")
 add("agg_19_verdict_summary", lambda l: ev.verdict_summary(_rules(l), ["crit", "high"]), f"WITH rules AS ({RULES_SQL}) SELECT CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END AS verdict, count(*) AS rules, CAST(sum(count) AS BIGINT) AS events FROM rules GROUP BY 1")
-add("win_05_latest_queries", lambda l: ev.latest_queries(_queries(l)), """WITH q AS (SELECT row_number() OVER (ORDER BY "Timestamp", RecordID, RuleTitle) AS seq, Computer AS query_hash, Level = 'crit' AS has_more, Channel = 'Sec' AS accepted FROM logs) SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) = 1""")
+add("win_05_latest_queries", lambda l: ev.latest_queries(_queries(l)), """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, Computer AS query_hash, Level = 'crit' AS has_more, Channel = 'Sec' AS accepted FROM logs) SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) = 1""")
 add("win_08_latest_hosts", lambda l: ev.latest_hosts(l.selectExpr("Computer as name", "Level as status", "ExtraFieldInfo as note", "Timestamp || RecordID || RuleTitle as seq")), """WITH h AS (SELECT Computer AS name, Level AS status, ExtraFieldInfo AS note, "Timestamp" || RecordID || RuleTitle AS seq FROM logs) SELECT name, arg_max(status, seq) AS status, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM h GROUP BY 1""")
-add("g0_integrity", lambda l: _flat(ev.g0(src.fingerprint(l).select("value"), src.fingerprint(l).select("value"))), "SELECT 'G0' AS id, 'PASS' AS status, 0 AS gaps FROM (SELECT count(*) FROM logs)")
+_prints = lambda l: src.fingerprint(l).select("value")
+_gate("g0_integrity", 0, lambda l: ev.g0(_prints(l), _prints(l)), "SELECT 1 FROM logs WHERE FALSE")
+add("g0_changed", lambda l: _flat(ev.g0(_prints(l), _prints(l.withColumn("Level", F.expr("CASE WHEN RecordID = '5' THEN 'seen' ELSE Level END"))))), "SELECT 'G0' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(count(*) > 0 AS BIGINT) AS gaps FROM logs WHERE RecordID = '5'")
 _gate("g1_rule_triage", 1, lambda l: ev.g1(_rules(l), ["crit", "high"]), "SELECT rule_title FROM rules WHERE status = 'pending' AND hot = 1")
 _gate("g2_hosts", 2, lambda l: ev.g2(l, _hosts(l), ["crit", "high"]), "SELECT DISTINCT Computer FROM logs WHERE Level IN ('crit', 'high') AND Computer = 'HOST-7'")
 _gate("g3_clusters", 3, lambda l: ev.g3(seq.clusters(l).withColumn("verdict", F.lit(None).cast("string"))), f"WITH {CLUSTER_SQL} SELECT DISTINCT n FROM n")
 _gate("g4_attack_cited", 4, lambda l: ev.g4(_rules(l), _state(l, FINDINGS_SQL)), "SELECT rule_title FROM rules WHERE verdict IN ('attack', 'mixed') AND rule_title NOT IN (SELECT rule_title FROM findings)")
-_gate("g5_truncation", 5, lambda l: ev.g5(_queries(l)), """WITH q AS (SELECT row_number() OVER (ORDER BY "Timestamp", RecordID, RuleTitle) AS seq, * FROM logs) SELECT Computer FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY Computer ORDER BY seq DESC) = 1) WHERE Level = 'crit' AND Channel <> 'Sec'""")
+_gate("g5_truncation", 5, lambda l: ev.g5(_queries(l)), """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, * FROM logs) SELECT Computer FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY Computer ORDER BY seq DESC) = 1) WHERE Level = 'crit' AND Channel <> 'Sec'""")
 _gate("g6_refs", 6, lambda l: ev.g6(_state(l, REFS_SQL), _rules(l), l), f"WITH s AS ({RESOLVED_SQL}) SELECT DISTINCT owner || ' ' || record_id || ' ' || state FROM s WHERE state <> 'ok' UNION ALL SELECT rule_title FROM rules WHERE excerpt = 'no such text'")
-_gate("g7_cited", 7, lambda l: ev.g7(_rules(l), _state(l, REFS_SQL)), "SELECT rule_title FROM rules WHERE status <> 'pending' AND rule_title NOT IN (SELECT rule_title FROM refs) UNION ALL SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND excerpt IS NULL")
+_gate("g7_cited", 7, lambda l: ev.g7(_rules(l), _state(l, REFS_SQL), _state(l, FINDINGS_SQL)), "SELECT DISTINCT id FROM findings WHERE id NOT IN (SELECT owner FROM refs) UNION ALL SELECT rule_title FROM rules WHERE status <> 'pending' AND rule_title NOT IN (SELECT rule_title FROM refs) UNION ALL SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND excerpt IS NULL")
 _gate("g8_compatible", 8, lambda l: ev.g8(_state(l, FINDINGS_SQL), _rules(l)), "SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.status = 'pending' OR r.verdict = 'false_positive'")
-_gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l), f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.computer = f.host)")
-_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), "SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND count > 20 AND rule_title NOT LIKE 'Rule purchase%' UNION ALL SELECT DISTINCT RuleTitle || Channel FROM logs WHERE RuleTitle LIKE 'Rule purchase%' AND Channel IN ('Sec', 'Sysmon')")
-_gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL)), f"WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target = r.rule_title WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive'")
-add("g_all_run_gates", lambda l: ev.run_gates([ev.g1(_rules(l), ["crit", "high"]), ev.g2(l, _hosts(l), ["crit", "high"]), ev.g4(_rules(l), _state(l, FINDINGS_SQL))]).select("id", "name", "status", "detail"))
+_gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l), f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.found = f.host)")
+_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), "SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel IN ('Sec', 'Sysmon')")
+_gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
+WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
+_ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())
+add("g_all_run_gates", lambda l: ev.run_gates([build(l) for build, _ in GATES.values()]).select("id", "status", "detail"), f"""WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), g AS ({_ALL_GATES})
+SELECT 'G' || k AS id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n || ' gaps' AS detail FROM g UNION ALL SELECT 'ALL', CASE WHEN bool_or(n > 0) THEN 'FAIL' ELSE 'PASS' END, CAST(sum(n) AS BIGINT) || ' gaps' FROM g""")
 add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"), "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted FROM x""")
 add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high", "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
 add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import base64
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.logs import SEPARATOR
 
-# Keys of the two detail profiles by category of indicator.
+# Keys of indicators by category, for Details (with ExtraFieldInfo) and for AllFieldInfo.
 IOC_KEYS = {
-    "process": ["Proc", "Cmdline", "ParentCmdline", "Path"],
-    "ip": ["SrcIP", "TgtIP"],
-    "host": ["SrcComp", "TgtComp"],
-    "user": ["User", "SrcUser", "TgtUser"],
-    "hash": ["Hashes"],
+    "process": ["Proc", "Image", "ParentImage"],
+    "cmdline": ["Cmdline"],
+    "filepath": ["Path", "TgtFile"],
+    "ip": ["SrcIP", "DstIP", "SrcAddr", "DstAddr", "IpAddress", "DestAddress", "SourceAddress"],
+    "user": ["User", "TgtUser", "SrcUser"],
+    "hash": ["Hash", "Hashes"],
     "service": ["Svc"],
-    "domain": ["Query", "TgtHost"],
+}
+ALL_FIELD_IOC_KEYS = {
+    "process": ["Image", "ParentImage", "ImageLoaded", "NewProcessName", "ParentProcessName", "ProcessName"],
+    "cmdline": ["CommandLine", "ParentCommandLine"],
+    "filepath": ["TargetFilename", "RelativeTargetName", "ObjectName", "Path"],
+    "ip": ["SourceIp", "DestinationIp", "IpAddress"],
+    "user": ["User", "ParentUser", "SubjectUserName", "TargetUserName", "TargetOutboundUserName"],
+    "hash": ["Hashes", "Hash"],
+    "service": ["ServiceName", "ServiceFileName", "ImagePath"],
 }
 # Tactic codes and phases.
 TACTICS = {
@@ -53,8 +65,11 @@ def detail_map(c: Column) -> Column:
     """All pairs as a map; of repeated keys the last one counts."""
     kept = F.filter(pairs(c), lambda p: F.instr(p, ": ") > 0)
     keys = F.transform(kept, pair_key)
-    last = F.filter(F.transform(kept, lambda p, i: F.struct(pair_key(p).alias("k"), pair_value(p).alias("v"), i.alias("i"))), lambda s: F.size(F.filter(F.slice(keys, s["i"] + 2, F.size(keys) + 1), lambda k: k == s["k"])) == 0)
-    return F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"])))
+    entries = F.transform(kept, lambda p, i: F.struct(pair_key(p).alias("k"), pair_value(p).alias("v"), i.alias("i")))
+    # Only rows in which a key comes twice look for its last place.
+    last = F.filter(entries, lambda s: ~F.array_contains(F.slice(keys, s["i"] + 2, F.size(keys) + 1), s["k"]))
+    kept_entries = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
+    return F.map_from_entries(F.transform(kept_entries, lambda s: F.struct(s["k"], s["v"])))
 
 
 def ordered_set(c: Column) -> Column:
@@ -98,7 +113,7 @@ def is_external(c: Column) -> Column:
 
 #: Spellings of the switch for an encoded command: every beginning of it that is told apart, and its short form.
 SWITCHES = ["encodedcommand"[:n] for n in range(14, 0, -1)] + ["ec"]
-_SWITCH = r"(?i)(?<![-–—―/])(?:/|-{1,2}|–{1,2}|—{1,2}|―{1,2})(?:" + "|".join(SWITCHES) + r")\s+[\"']?([A-Za-z0-9+/]{4,}={0,2})"
+_SWITCH = r"(?i)(?<![-–—―/])(?:/|-{1,2}|–{1,2}|—{1,2}|―{1,2})(?:" + "|".join(SWITCHES) + r")\s+([A-Za-z0-9+/=]{4,})"
 
 
 def encoded_commands(c: Column) -> Column:
@@ -110,8 +125,17 @@ def has_encoded_command(c: Column) -> Column:
     return c.rlike(_SWITCH)
 
 
+@F.pandas_udf(StringType())
+def _decoded(operands: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        try:
+            return x if x is None else base64.b64decode(x).decode("utf-16-le", errors="replace")
+        except ValueError:
+            return "(decode error)"
+
+    return operands.map(one)
+
+
 def decoded(c: Column) -> Column:
-    """Base64 of UTF-16LE as text; '(decode error)' where it is not."""
-    raw = F.try_to_binary(c, F.lit("base64"))
-    good = (F.length(c) % 4 == 0) & raw.isNotNull() & (F.octet_length(raw) % 2 == 0)
-    return F.when(good, F.decode(F.when(good, raw), "UTF-16LE")).otherwise(F.lit("(decode error)"))
+    """Base64 of UTF-16LE as text, with replacement characters; '(decode error)' where it is no Base64; null for null."""
+    return _decoded(c)

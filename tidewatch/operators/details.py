@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import details as D
 from ..sources.logs import SEPARATOR
-from .filters import with_detail, without_placeholders
+from .filters import by_level, holds, record, with_detail, without_placeholders
 
 
 def exploded(df: DataFrame, column: str = "Details", key: str | None = None) -> DataFrame:
@@ -34,11 +35,21 @@ def unique_values(df: DataFrame, key: str, column: str = "Details") -> DataFrame
     return rows.groupBy("value").agg(D.ordered_set(F.col("Computer")).alias("hosts"), F.count(F.lit(1)).alias("count"))
 
 
-def extract_iocs(df: DataFrame, kind: str | None = None) -> DataFrame:
-    """Indicators by category: Type, FieldName, Value, Hosts, Count. Rows without Details are skipped."""
-    both = F.when(F.coalesce("ExtraFieldInfo", F.lit("")) != "", F.concat_ws(SEPARATOR, "Details", "ExtraFieldInfo")).otherwise(F.col("Details"))
-    types = F.create_map(*[F.lit(x) for t, keys in D.IOC_KEYS.items() for k in keys for x in (k, t)])
-    rows = with_detail(df).select("Computer", F.explode(D.pairs(both)).alias("pair")).where(F.instr("pair", ": ") > 0)
+def _narrowed(df: DataFrame, levels: tuple[str, ...], rule: str) -> DataFrame:
+    return by_level(df, *levels).where(holds("RuleTitle", rule)) if rule else by_level(df, *levels)
+
+
+def extract_iocs(df: DataFrame, kind: str | None = None, source: str = "Details", levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
+    """Indicators by category: Type, FieldName, Value, Hosts, Count.
+
+    Rows without the detail column are skipped, also those with ExtraFieldInfo alone, which goes with Details.
+    Keys are those of the column's profile; levels and a part of the rule's title narrow the rows.
+    """
+    both, kinds = F.col(source), D.IOC_KEYS if source == "Details" else D.ALL_FIELD_IOC_KEYS
+    if source == "Details" and "ExtraFieldInfo" in df.columns:
+        both = F.when(F.coalesce("ExtraFieldInfo", F.lit("")) != "", F.concat_ws(SEPARATOR, "Details", "ExtraFieldInfo")).otherwise(both)
+    types = F.create_map(*[F.lit(x) for t, keys in kinds.items() for k in keys for x in (k, t)])
+    rows = with_detail(_narrowed(df, levels, rule), source).select("Computer", F.explode(D.pairs(both)).alias("pair")).where(F.instr("pair", ": ") > 0)
     rows = rows.select("Computer", D.pair_key(F.col("pair")).alias("FieldName"), D.ioc_value(F.col("pair")).alias("Value"))
     rows = without_placeholders(rows.withColumn("Type", F.element_at(types, F.col("FieldName"))).where("Type is not null"), "Value")
     if kind:
@@ -47,10 +58,13 @@ def extract_iocs(df: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def variants(df: DataFrame, keys: list[str], column: str = "Details", most: int = 2_000) -> DataFrame:
-    """Rows per rule and tuple of fields (columns where they exist, else detail keys, missing as ''), and overflow."""
+    """Rows per rule and tuple of fields (columns where they exist, else detail keys, missing as ''), and overflow.
+
+    The fields of a tuple are joined by '|'; one that stands in a field is written with a backslash.
+    """
     parsed = df.withColumn("__m", D.detail_map(F.col(column)))
     of = [F.coalesce(F.col(k) if k in df.columns else F.try_element_at("__m", F.lit(k)), F.lit("")) for k in keys]
-    out = parsed.groupBy("RuleTitle", F.concat_ws("|", *of).alias("variant")).agg(F.count(F.lit(1)).alias("count"))
+    out = parsed.groupBy("RuleTitle", F.concat_ws("|", *[F.regexp_replace(v, r"([\\|])", r"\\$1") for v in of]).alias("variant")).agg(F.count(F.lit(1)).alias("count"))
     over = out.groupBy("RuleTitle").agg((F.count(F.lit(1)) > most).alias("overflow"))
     return out.join(over, "RuleTitle")
 
@@ -117,17 +131,41 @@ def expand_events(df: DataFrame) -> DataFrame:
 def candidates(df: DataFrame, record_id: str) -> DataFrame:
     """Events that share a record id: host, channel, time, up to five rules and matched rows; more than one is ambiguous."""
     rows = df.where(F.col("RecordID") == record_id).groupBy("Computer", "Channel").agg(F.min("Timestamp").alias("Timestamp"), F.array_join(F.slice(F.array_sort(F.collect_set("RuleTitle")), 1, 5), ", ").alias("titles"), F.count(F.lit(1)).alias("MatchedRows"))
-    return rows.withColumn("status", F.when(F.lit(True), F.lit("candidate")))
+    several = F.count(F.lit(1)).over(Window.partitionBy(F.lit(record_id))) > 1  # the events of one id: a handful
+    return rows.withColumn("status", F.when(several, "ambiguous").otherwise("found"))
+
+
+def event_detail(df: DataFrame, record_id: str, computer: str | None = None, channel: str | None = None, rule: str | None = None) -> DataFrame:
+    """(status, Field, Value) of one event: its columns and pairs, and where several rules hit it, how many rows and which rules.
+
+    Where several events fit, status is ambiguous and each candidate is a row (host/channel, its rules); no event gives no row.
+    """
+    rows = record(df, record_id, computer, channel, rule)
+    key = F.struct(F.coalesce("Computer", F.lit("")).alias("c"), F.coalesce("Channel", F.lit("")).alias("ch"))
+    titles = F.array_sort(F.collect_set("RuleTitle"))
+    events, n, every = rows.agg(F.countDistinct(key), F.count(F.lit(1)), F.array_join(titles, ", ")).first()  # three values of one event
+    if events > 1:
+        many = rows.groupBy(key.alias("k")).agg(F.array_join(F.slice(titles, 1, 5), ", ").alias("Value"))
+        return many.select(F.lit("ambiguous").alias("status"), F.concat_ws("/", "k.c", "k.ch").alias("Field"), "Value")
+    one = expand_events(rows.orderBy(*[F.asc_nulls_last(c) for c in rows.columns]).limit(1)).select(F.lit("found").alias("status"), "Field", "Value")
+    if n < 2:
+        return one
+    extra = df.sparkSession.createDataFrame([("found", "_MatchedRows", str(n)), ("found", "_MatchedRuleTitles", every)], "status string, Field string, Value string")
+    return one.union(extra)
 
 
 def event_ambiguity(df: DataFrame) -> DataFrame:
     """Per record id: distinct events (host, channel), matched rows and whether the id alone is ambiguous."""
-    return df.groupBy("RecordID").agg(F.countDistinct("Computer", "Channel").alias("events"), F.count(F.lit(1)).alias("matched_rows"), F.countDistinct("RuleTitle").alias("rules")).withColumn("ambiguous", F.col("events") > 1)
+    return df.groupBy("RecordID").agg(F.countDistinct(F.struct(F.coalesce("Computer", F.lit("")), F.coalesce("Channel", F.lit("")))).alias("events"), F.count(F.lit(1)).alias("matched_rows"), F.countDistinct("RuleTitle").alias("rules")).withColumn("ambiguous", F.col("events") > 1)
+
 
+def decode_commands(df: DataFrame, source: str = "Details", shorten: bool = True, levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
+    """One row per encoded command with its text; a cheap pattern test goes before the extraction.
 
-def decode_commands(df: DataFrame, column: str = "Details", shorten: bool = True) -> DataFrame:
-    """One row per encoded command with its text; a cheap pattern test goes before the extraction."""
-    rows = df.where(D.has_encoded_command(F.col(column)))
-    rows = rows.withColumn("operand", F.explode(D.encoded_commands(F.col(column))))
+    ExtraFieldInfo is read with Details; AllFieldInfo stands alone. Nulls and empty texts give no row.
+    """
+    text = F.concat_ws(" ", source, "ExtraFieldInfo") if source == "Details" and "ExtraFieldInfo" in df.columns else F.coalesce(source, F.lit(""))
+    rows = _narrowed(df, levels, rule).withColumn("__text", text).where(D.has_encoded_command(F.col("__text")))
+    rows = rows.withColumn("operand", F.explode(D.encoded_commands(F.col("__text"))))
     text = D.escaped(D.decoded(F.col("operand")))
     return rows.select("Timestamp", "Computer", "RuleTitle", "Level", (D.shortened(F.col("operand")) if shorten else F.col("operand")).alias("EncodedCommand"), text.alias("DecodedCommand"))

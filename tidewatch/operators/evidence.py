@@ -28,14 +28,17 @@ def gate(gaps: DataFrame, gap: Column, number: int, name: str) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Each reference with its state: not_found, ambiguous (several hosts or channels), wrong_rule or ok.
+    """Each reference with its state: not_found, ambiguous (several hosts or channels), wrong_rule or ok; found: its row's host.
 
-    The channel counts only where the host is given, too.
+    The channel counts only where the host is given, too. An empty host or channel of a reference is as none;
+    nulls of the log are values of their own, so an event without a host or channel is still an event.
     """
-    rows = logs.select(F.col("RecordID").alias("rid"), F.col("Computer").alias("c"), F.col("Channel").alias("ch"), F.col("RuleTitle").alias("rule"))
-    match = (F.col("record_id") == F.col("rid")) & (F.col("computer").isNull() | (F.col("computer") == F.col("c"))) & (F.col("computer").isNull() | F.col("channel").isNull() | (F.col("channel") == F.col("ch")))
+    rows = logs.select(F.col("RecordID").alias("rid"), F.coalesce("Computer", F.lit("")).alias("c"), F.coalesce("Channel", F.lit("")).alias("ch"), F.col("RuleTitle").alias("rule"))
+    host, channel = F.nullif("computer", F.lit("")), F.nullif("channel", F.lit(""))
+    match = (F.col("record_id") == F.col("rid")) & (host.isNull() | (host == F.col("c"))) & (host.isNull() | channel.isNull() | (channel == F.col("ch")))
     keys = ["owner", "rule_title", "record_id", "computer", "channel"]
-    per = refs.join(rows, match, "left").groupBy(*keys).agg(F.countDistinct("c", "ch").alias("events"), F.coalesce(F.max(F.col("rule") == F.col("rule_title")), F.lit(False)).alias("hit"))
+    events = F.countDistinct(F.when(F.col("rid").isNotNull(), F.struct("c", "ch")))
+    per = refs.join(rows, match, "left").groupBy(*keys).agg(events.alias("events"), F.coalesce(F.max(F.col("rule") == F.col("rule_title")), F.lit(False)).alias("hit"), F.max("c").alias("found"))
     return per.withColumn("state", F.when(F.col("events") == 0, "not_found").when(F.col("events") > 1, "ambiguous").when(~F.col("hit"), "wrong_rule").otherwise("ok"))
 
 
@@ -56,14 +59,18 @@ def reconcile(groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def consensus(votes: DataFrame) -> DataFrame:
-    """Votes per target and what they come to; cannot_verify does not count; a majority needs three votes."""
+    """Votes per target (with target_type, if there is one) and what they confirm; cannot_verify does not count.
+
+    false_positive is confirmed by a vote for it and none for an attack (mixed counts as attack). attack is
+    confirmed by a vote for it and none for false_positive, or by a majority of three counted votes or more.
+    Votes that only say indeterminate come to that, others are a conflict; no counted vote gives null.
+    """
+    keys = [c for c in ("target_type", "target") if c in votes.columns]
     attack, benign, open_ = (F.count_if(F.col("verdict").isin(*v)) for v in (("attack", "mixed"), ("false_positive",), ("indeterminate",)))
-    out = votes.groupBy("target").agg(attack.alias("attack"), benign.alias("false_positive"), open_.alias("indeterminate"))
-    total = F.col("attack") + F.col("false_positive") + F.col("indeterminate")
-    kinds = ["attack", "false_positive", "indeterminate"]
-    agreed = reduce(lambda a, k: a.when((F.col(k) > 0) & (F.col(k) == total), k), kinds, F.when(total == 0, F.lit(None).cast("string")))
-    major = reduce(lambda a, k: a.when((total >= 3) & (2 * F.col(k) > total), k), kinds, agreed)
-    return out.withColumn("consensus", major.otherwise("conflict"))
+    out = votes.groupBy(*keys).agg(attack.alias("attack"), benign.alias("false_positive"), open_.alias("indeterminate"))
+    a, f, i = (F.col(c) for c in ("attack", "false_positive", "indeterminate"))
+    said = F.when((a == 0) & (f > 0), "false_positive").when((a > 0) & (f == 0), "attack").when((a > 0) & (a + f + i >= 3) & (a > f + i), "attack")
+    return out.withColumn("consensus", said.when((a == 0) & (f == 0) & (i > 0), "indeterminate").when(a + f + i > 0, "conflict"))
 
 
 def verdict_summary(rules: DataFrame, levels: list[str]) -> DataFrame:
@@ -118,11 +125,13 @@ def g6(refs: DataFrame, rules: DataFrame, logs: DataFrame) -> DataFrame:
     return gate(bad.union(quoted), F.col("gap"), 6, "references")
 
 
-def g7(rules: DataFrame, refs: DataFrame) -> DataFrame:
+def g7(rules: DataFrame, refs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     judged = rules.where("status <> 'pending'")
-    bare = judged.join(refs, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" has no reference")).alias("gap"))
-    plain = judged.where("verdict = 'false_positive' and excerpt is null").select(F.concat("rule_title", F.lit(" has no excerpt")).alias("gap"))
-    return gate(bare.union(plain), F.col("gap"), 7, "evidence cited")
+    gaps = judged.join(refs, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" has no reference")).alias("gap"))
+    gaps = gaps.union(judged.where("verdict = 'false_positive' and coalesce(trim(excerpt), '') = ''").select(F.concat("rule_title", F.lit(" has no excerpt"))))
+    if findings is not None:
+        gaps = gaps.union(findings.join(refs.withColumnRenamed("owner", "id"), "id", "left_anti").select(F.concat("id", F.lit(" has no reference"))))
+    return gate(gaps, F.col("gap"), 7, "evidence cited")
 
 
 def g8(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -133,8 +142,8 @@ def g8(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 def g9(findings: DataFrame, refs: DataFrame, logs: DataFrame) -> DataFrame:
     """Hosts of findings without a row that their references resolve to."""
-    good = resolve_refs(refs, logs).where("state = 'ok'").select(F.col("owner").alias("id"), F.col("computer").alias("host"))
-    return gate(findings.join(good, ["id", "host"], "left_anti"), F.concat_ws(" ", "id", "host"), 9, "finding hosts")
+    good = resolve_refs(refs, logs).where("state = 'ok'").select(F.col("owner").alias("id"), F.col("found").alias("host"))
+    return gate(findings.where("trim(host) <> ''").join(good, ["id", "host"], "left_anti"), F.concat_ws(" ", "id", "host"), 9, "finding hosts")
 
 
 def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,11 +153,15 @@ def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str]) -
     return gate(absent.union(wrong), F.col("gap"), 10, "variants")
 
 
-def g11(rules: DataFrame, votes: DataFrame) -> DataFrame:
-    large = rules.where(F.col("verdict").isin("false_positive", "mixed") & (F.col("count") > VOLUME))
-    said = consensus(votes).select(F.col("target").alias("rule_title"), "consensus")
-    same = F.coalesce((F.col("consensus") == F.col("verdict")) | ((F.col("consensus") == "attack") & (F.col("verdict") == "mixed")), F.lit(False))
-    return gate(large.join(said, "rule_title", "left").where(~same), F.col("rule_title"), 11, "votes")
+def g11(rules: DataFrame, votes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Verdicts over many rows and all findings need votes that confirm them; a mixed rule and a finding need attack confirmed."""
+    said = consensus(votes if "target_type" in votes.columns else votes.withColumn("target_type", F.lit("rule")))
+    needs = rules.where(F.col("verdict").isin("false_positive", "mixed") & (F.col("count") > VOLUME))
+    needs = needs.select(F.lit("rule").alias("target_type"), F.col("rule_title").alias("target"), F.when(F.col("verdict") == "mixed", "attack").otherwise("false_positive").alias("need"))
+    if findings is not None:
+        needs = needs.union(findings.select(F.lit("finding"), "id", F.lit("attack")).distinct())
+    same = F.coalesce(F.col("consensus") == F.col("need"), F.lit(False))
+    return gate(needs.join(said, ["target_type", "target"], "left").where(~same), F.concat_ws(" ", "target_type", "target"), 11, "votes")
 
 
 def run_gates(gates: list[DataFrame]) -> DataFrame:
@@ -158,7 +171,8 @@ def run_gates(gates: list[DataFrame]) -> DataFrame:
     return out.union(whole.select(F.lit("ALL"), F.lit("all gates"), F.when(F.col("ok"), "PASS").otherwise("FAIL"), F.concat(F.col("n").cast("string"), F.lit(" gaps")), F.array().cast("array<string>")))
 
 
-STUBS = ["n/a", "none", "todo", "tbd", "ok", "-"]
+# Rationales that say nothing.
+STUBS = ["reviewed", "checked", "check", "ok", "done", "verified", "confirmed", "fp", "false positive", "benign", "normal", "確認済み", "確認済", "済", "レビュー済み", "レビュー済", "問題なし", "正常"]
 
 
 def validate_triage(entries: DataFrame, rules: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def search(df: DataFrame, query: str, columns: list[str] | None = None, mode: st
         if mode == "exact":
             return c == needle
         if mode == "prefix":
-            return c.like(needle + "%")
+            return c.like(needle.replace("\\", "\\\\") + "%")  # % and _ stay wildcards, a backslash is none
         if mode == "regex":
             return c.rlike(needle)
         raise ValueError(f"mode {mode!r}: use contains, exact, prefix or regex")

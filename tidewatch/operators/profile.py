@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.details import level_rank, ordered_set
 from ..functions.timestamps import lenient, local_day, strict
+from ..sources.logs import SEPARATOR
 from .filters import by_level, by_time, holds
 
 EMPTY = "(empty)"
@@ -22,7 +23,9 @@ def overview(df: DataFrame, path: str = "") -> DataFrame:
         F.max("Timestamp").alias("last_timestamp"),
         F.count(strict(F.col("Timestamp"))).cast("string").alias("parsed_timestamps"),
     )
-    return one.selectExpr(f"stack(6, 'path', '{path}', 'row_count', row_count, 'column_count', '{len(df.columns)}', 'first_timestamp', first_timestamp, 'last_timestamp', last_timestamp, 'parsed_timestamps', parsed_timestamps) AS (metric, value)")
+    cells = {"path": F.lit(path), "row_count": F.col("row_count"), "column_count": F.lit(str(len(df.columns)))}
+    cells |= {c: F.col(c) for c in ("first_timestamp", "last_timestamp", "parsed_timestamps")}
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in cells.items()])))
 
 
 def _labelled(c: str):
@@ -90,7 +93,7 @@ def host_rank(df: DataFrame) -> DataFrame:
         F.count_if(F.col("Level") == "crit").alias("crit"),
         F.coalesce(F.max(holds("MitreTactics", "LatMov")), F.lit(False)).alias("lateral"),
         F.min(F.when(F.col("Level").isin("high", "crit"), F.col("Timestamp"))).alias("first_high"),
-        F.countDistinct("MitreTactics").alias("tactics"),
+        F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_set(F.split("MitreTactics", SEPARATOR)))), "")).cast("long").alias("tactics"),
     ).orderBy(F.desc("crit"), F.desc("lateral"), F.asc_nulls_last("first_high"), F.desc("tactics"), "Computer")
 
 

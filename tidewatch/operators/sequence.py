@@ -44,14 +44,29 @@ def clusters(df: DataFrame, levels: tuple[str, ...] = ("high", "crit"), gap: int
 
 
 def segments(df: DataFrame) -> DataFrame:
-    """Segments of each host's timeline: a break is a gap over five times the median gap (with three gaps or more)."""
-    order = Window.partitionBy("Computer").orderBy("ts")
-    times = df.select("Computer", strict(F.col("Timestamp")).alias("ts")).where("ts is not null").distinct()
-    gaps = times.withColumn("gap", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)))
-    medians = gaps.groupBy("Computer").agg(F.median("gap").alias("m"), F.count("gap").alias("g"))
-    marked = gaps.join(medians, "Computer").withColumn("segment", F.sum(F.coalesce((F.col("g") >= 3) & (F.col("gap") > 5 * F.col("m")), F.lit(False)).cast("int")).over(order) + 1)
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
-    return marked.groupBy("Computer", "segment").agg(text(F.min("ts")).alias("start"), text(F.max("ts")).alias("end"), F.count(F.lit(1)).alias("points"))
+    """Segments of each host's timeline with padded start and end: (Computer, segment, start, end, points).
+
+    With three gaps or more, a gap over five times the median is a break; with fewer, the largest one, if it is
+    over 30 % of the span. Segments are padded by 5 % of their length (a single point counts as an hour), an
+    unbroken timeline by 2 %, a minute at least; a host's single row by an hour. Equal times stay.
+    """
+    order = Window.partitionBy("Computer").orderBy("us")
+    times = df.select("Computer", F.unix_micros(strict(F.col("Timestamp"))).alias("us")).where("us is not null")
+    gaps = times.withColumn("gap", F.col("us") - F.lag("us").over(order))
+    top = F.max(F.struct("gap", (-F.col("us")).alias("at")))
+    hosts = gaps.groupBy("Computer").agg(F.median("gap").alias("m"), F.count("gap").alias("g"), (F.max("us") - F.min("us")).alias("span"), top.alias("top"))
+    many = (F.col("gap") > 5 * F.col("m")) & (F.col("gap") > 0)
+    few = (F.col("gap") == F.col("top.gap")) & (F.col("us") == -F.col("top.at")) & (F.col("gap") > 0.3 * F.col("span"))
+    broken = F.coalesce(F.when(F.col("g") >= 3, many).otherwise(few), F.lit(False)).cast("int")
+    # Rows of one time share a sum: the default frame of an ordered window.
+    marked = gaps.join(hosts, "Computer").withColumn("segment", F.sum(broken).over(order) + 1)
+    out = marked.groupBy("Computer", "segment").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count(F.lit(1)).alias("points"), F.first("g").alias("g"), F.first("span").alias("span"))
+    out = out.withColumn("parts", F.max("segment").over(Window.partitionBy("Computer")))
+    minute, hour = 60_000_000, 3_600_000_000
+    length = F.when(F.col("points") > 1, F.col("b") - F.col("a")).otherwise(F.lit(hour))
+    pad = F.when(F.col("g") == 0, F.lit(hour)).when(F.col("parts") == 1, F.greatest(F.expr("span div 50"), F.lit(minute))).otherwise(F.greatest(F.floor(length / 20), F.lit(minute)))
+    text = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSS")
+    return out.select("Computer", "segment", text(F.col("a") - pad).alias("start"), text(F.col("b") + pad).alias("end"), "points")
 
 
 def rule_samples(df: DataFrame, rows: int = 2) -> DataFrame:

@@ -8,25 +8,58 @@ from pyspark.sql import DataFrame
 
 MOST = 500
 _COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_TEXT = re.compile(r"'(?:[^'\\]|\\.|'')*'")
+_TEXT = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+_TOKEN = re.compile(r"`[^`]*`|[\w.]+|[^\s\w]")
+#: Words that end the list of relations after FROM.
+_ENDS = frozenset("where group having order limit offset window qualify union intersect except minus cluster distribute sort lateral pivot unpivot on using select".split())
+#: Functions with a FROM of their own between their brackets.
+_INNER = frozenset("extract trim substring substr overlay position".split())
+
+
+def relations(bare: str) -> set[str]:
+    """The names that stand where a relation does: after FROM, JOIN or TABLE, and after commas within a FROM."""
+    found, open_ = set(), [("", False)]  # for each bracket: the word before it, and whether a list of relations goes on
+    wants, before = False, ""
+    for token in _TOKEN.findall(bare.lower()):
+        word, listed = open_[-1]
+        if token == "(":
+            if wants and before not in ("from", "join", ",", "lateral", "("):
+                found.add(f"{before}(")  # a table function
+            open_.append((before, wants))
+            wants = wants and before in ("from", "join", ",", "(")
+        elif token == ")":
+            if len(open_) > 1:
+                open_.pop()
+            wants = False
+        elif token == "," and listed:
+            wants = True
+        elif token in ("from", "join", "table") and not (token == "from" and word in _INNER):
+            wants = True
+            open_[-1] = (word, token != "table" or listed)
+        elif token in _ENDS:
+            wants, open_[-1] = False, (word, listed and token in ("on", "using", "lateral"))
+        elif wants and token not in ("lateral",):
+            found.add(token)
+            wants = False
+        before = token
+    return found
 
 
 def run_sql(logs: DataFrame, text: str, size: int = MOST, offset: int = 0) -> DataFrame:
-    """One read-only SELECT over logs; ORDER BY is needed with an offset; 500 rows a page at most."""
+    """One read-only SELECT over logs; ORDER BY is needed with an offset; 500 rows a page at most.
+
+    Every name in the place of a relation must be logs or one that the statement itself defines by WITH;
+    files, other views and tables, and table functions are refused.
+    """
     bare = _TEXT.sub("''", _COMMENT.sub(" ", text)).strip().rstrip(";").strip()
     if ";" in bare or not re.match(r"(?i)(select|with)\b", bare):
         raise ValueError("one SELECT is allowed")
-    if re.search(r"(?i)\b(from|join)\s+(range|stack|inline|explode|posexplode|read_\w+|values)\s*\(", bare):
+    own = {m.lower() for m in re.findall(r"(?i)(?:\bwith|\brecursive|,)\s+(\w+)\s*(?:\([^()]*\)\s*)?as\s*\(", bare)}
+    if re.search(r"(?i)\b(range|stack|inline|inline_outer|explode|explode_outer|posexplode|json_tuple|read_\w+|values)\s*\(", bare) or relations(bare) - own - {"logs", "`logs`"}:
         raise ValueError("only the view logs may be read")
     if offset and not re.search(r"(?i)\border\s+by\b", bare):
         raise ValueError("an offset needs an ORDER BY")
     if not 1 <= size <= MOST or offset < 0:
         raise ValueError(f"a page has 1 to {MOST} rows")
-    catalog = logs.sparkSession.catalog
-    catalog.dropTempView("logs")
     logs.createOrReplaceTempView("logs")
-    names = {m.lower() for m in re.findall(r"(?i)\b(?:from|join)\s+([`\w.]+)", bare)}
-    own = {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(", bare)}
-    if names - own - {"logs", "`logs`"}:
-        raise ValueError("only the view logs may be read")
     return logs.sparkSession.sql(_COMMENT.sub(" ", text).strip().rstrip(";")).offset(offset).limit(size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +69,11 @@ def fingerprint(df: DataFrame, ts_total: str = "Timestamp") -> DataFrame:
     """Order-free fingerprint of all rows with its algorithm, row count and timestamp coverage."""
     from ..functions.timestamps import lenient
 
+    # Nulls are hashed as such, and repeated rows add up: sums do not cancel as an exclusive or would.
+    cells = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return df.agg(
-        F.lit("count+bit_xor(xxhash64)").alias("algorithm"),
-        F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in df.columns)}))").alias("value"),
+        F.lit("sum(xxhash64)x2").alias("algorithm"),
+        F.concat_ws("-", *[F.sum(h.cast("decimal(20,0)")) for h in (F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))]).alias("value"),
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(F.col(ts_total) != "").alias("ts_total"),
         F.count(lenient(F.col(ts_total))).alias("ts_parsed"),
@@ -78,9 +81,23 @@ def fingerprint(df: DataFrame, ts_total: str = "Timestamp") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good and bad records of a JSON-lines log; lines that are no objects are bad, not fatal."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
+    """Good and bad records of a JSON-lines log; lines that are no objects are bad, not fatal; a missing file is an empty log."""
+    whole = f"{schema}, _corrupt_record string"
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")
+    lines = lines.where(F.trim("value") != "")
+    rows = lines.withColumn("r", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull() & F.ltrim("value").startswith("{")
+    return rows.where(good).select("r.*").drop("_corrupt_record"), rows.where(~good).select(F.col("value").alias("_corrupt_record"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of each file under a path, for files below 2 GB; larger ones have the fingerprint of their rows."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
