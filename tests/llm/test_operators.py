@@ -287,6 +287,27 @@ def test_op8_hosts_agree_and_odd(spark):
     assert got[3].text == "short" and got[4].text == "" and got[5].n_chars == 0
 
 
+def test_op8_keeps_all_of_an_article():
+    text = lambda page: html_text.text_at(b := html_text.blocks_of(page), html_text.best_path(b)[0])
+    lead, story = "A lead of some words that opens it.", "The story goes on and on. " * 20
+    assert text(f"<body><article><h1>T</h1><div class=lead><p>{lead}</p></div><div class=story><p>{story}</p></div></article></body>") == f"T\n{lead}\n{story.strip()}"
+    assert text(f"<body><div class=page><div class=lead><p>{lead}</p></div><div class=story><p>{story}</p></div></div><div><a href=x>m</a></div></body>") == f"{lead}\n{story.strip()}"
+    kept = "<div class=legal><p>The court held</p></div><section class=search><p>They searched</p></section><p class=foot-note>Note</p><p><label>Named</label> thing</p>"
+    assert text(f"<article><p>{story}</p>{kept}<div class=comments><p>reader</p></div><form><label>Mail</label></form></article>") == f"{story.strip()}\nThe court held\nThey searched\nNote\nNamed thing"
+
+
+def test_op8_own_path_empty_clashing_and_long(spark, none):
+    story = "The story goes on. " * 30
+    usual = f"<body><div class=a><p>{story}</p></div></body>"
+    other = f"<body><div class=a><p>Tiny</p></div><div class=b><p>{story}</p></div></body>"
+    long = "<article>" + "<p>" + "word &amp; " * 40_000 + "</p>" * 3 + "</article>"
+    rows = [(k, "http://h.net/", usual, "x", 7) for k in range(3)] + [(3, "http://h.net/", other, "x", 7), (4, "http://l.net/", long, "x", 7), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string, n_chars long")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[0] == got[3] == story.strip() and got[4] == ("word & " * 40_000).strip() and got[None] == ""
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_op8_whole_table(spark):
     pages = QUERIES["op8_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in pages:

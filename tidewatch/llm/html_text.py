@@ -30,11 +30,13 @@ ENDS_P = BLOCK - frozenset("body html caption tbody tfoot thead tr".split())
 #: An opening tag ends an open element of these kinds, unless one of the bounds comes first.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Never part of the main text.
-BOILER_TAGS = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea input dialog menu head title object embed audio video map label fieldset xmp noembed noframes".split())
+BOILER_TAGS = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea input dialog menu head title object embed audio video map xmp noembed noframes".split())
 #: Words in a class, id or role that mark menus, sidebars, notices, adverts, forms and comments.
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot header cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget popup modal overlay pagination pager toolbar search contentinfo complementary tags legal copyright paywall".split()
 )
+#: Of these, the words that also name parts of an article, and so mark nothing inside one.
+ARTICLE_WORDS = frozenset("header side tags rail foot legal copyright search discussion reply replies banner".split())
 _CONTAINERS = frozenset("article main section div td body center".split())
 
 
@@ -129,7 +131,7 @@ def blocks_of(html: str) -> list[tuple[str, str, int, bool]]:
             classes, words = _named(attrs) if attrs else ("", [])
             boiler = stack[-1][2] or tag in BOILER_TAGS or (tag == "header" and not in_article)
             if not boiler and words and tag not in ("body", "html", "article", "main"):
-                boiler = any(w in BOILER_WORDS and not (in_article and w in ("header", "side", "tags")) for w in words)
+                boiler = any(w in BOILER_WORDS and not (in_article and w in ARTICLE_WORDS) for w in words)
             stack.append((tag, f"{stack[-1][1]}/{tag}{classes}", int(boiler)))
             links += tag == "a"
             in_article += tag in ("article", "main")
@@ -164,9 +166,38 @@ def container_scores(blocks: list[tuple[str, str, int, bool]]) -> dict[str, floa
     return scores
 
 
+def held_text(blocks: list[tuple[str, str, int, bool]]) -> dict[str, int]:
+    """Characters of running text outside links at or below each path."""
+    held: dict[str, int] = defaultdict(int)
+    for path, s, linked, running in blocks:
+        worth = max(0, len(s) - linked) if running else 0
+        while path and worth:
+            held[path] += worth
+            path = path.rpartition("/")[0]
+    return held
+
+
 def best_path(blocks: list[tuple[str, str, int, bool]]) -> tuple[str, float]:
+    """The path of a page's main text and its score.
+
+    The best container gives way to the nearest article or main around it, or, without one, to the
+    lowest element around it that holds what it has beside it, too: a lead beside a story is of the article.
+    """
     scores = container_scores(blocks)
-    return max(scores.items(), key=lambda x: (x[1], x[0]), default=("", 0.0))
+    path, score = max(scores.items(), key=lambda x: (x[1], x[0]), default=("", 0.0))
+    around = path
+    while around:
+        if around.rpartition("/")[2].partition(".")[0] in ("article", "main"):
+            return around, score
+        around = around.rpartition("/")[0]
+    held = held_text(blocks)
+    while (up := path.rpartition("/")[0]) and up.rpartition("/")[2].partition(".")[0] not in ("body", "html", "") and held[up] > held[path]:
+        path = up
+    return path, score
+
+
+#: A page is read by its own path where that holds so many times the running text of the host's, and so many characters.
+OWN_TIMES, OWN_LEAST = 4, 140
 
 
 def text_at(blocks: list[tuple[str, str, int, bool]], path: str) -> str:
@@ -203,7 +234,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, path (the winning one), one row a page.
 
     A null or empty page has an empty text. A page without a block under its host's winning path is read
-    with its own best container. Pages without a host vote together under an empty host. Repeated rows
+    with its own best container, and so is one whose own container holds much more running text. Pages without a host vote together under an empty host. Repeated rows
     each come back; other columns of the input are not carried.
     """
     held = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
@@ -218,9 +249,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 blocks = blocks_of(html or "")
                 text = text_at(blocks, path) if path else ""
-                if not text and blocks:
-                    path = best_path(blocks)[0]
-                    text = text_at(blocks, path)
+                own = best_path(blocks)[0]
+                held = held_text(blocks)
+                if (not text and blocks) or (path and held[own] >= max(OWN_LEAST, OWN_TIMES * held[path])):
+                    path, text = own, text_at(blocks, own)
                 texts.append(text)
                 used.append(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], ["page_id", "url", "text", "n_chars", "path"])
