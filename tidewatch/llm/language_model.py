@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, release, slices, stored, table, volume
-from .shingles import mixed
 
 DEPTH = 5
 #: Context bytes that decide a string's share; shallower nodes are broadcast.
@@ -34,6 +33,7 @@ SHARE, CHUNK = 24_000_000, 16_000_000
 #: The most frequent words, of up to 64 bytes, are broadcast with their counts (at most 10 MB); counts of
 #: all other words are joined by shuffle.
 HOT_WORDS, HOT_LENGTH = 1 << 17, 64
+_SPREAD = 40_503  # odd, so that it only changes the order of the 2^16 numbers
 _DOC = 15  # bits for a document's number within a slice, beside the 48 of a byte string
 
 
@@ -42,20 +42,43 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of each document with the five before it as one number, and its document's number.
+def _numbers(docs: list[list[bytes]], places: range) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of each document with the ones before it as one number, and its document's number.
 
-    A document is its words, one blank between them, and a line end; zeros stand before its start.
+    places: where the nearest byte before it stands in the number, then the next, and so on. A document is
+    its words, one blank between them, and a line end; zeros stand before its start.
     """
     texts = [b" ".join(words) + b"\n" for words in docs]
-    b = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), np.uint8).astype(np.int64)
-    n = len(b) - DEPTH
-    code = b[:n] if n > 0 else np.empty(0, np.int64)
-    for i in range(1, DEPTH + 1):
-        code = (code << 8) | b[i : i + n]
-    which = np.repeat(np.arange(len(texts)), [len(t) + DEPTH for t in texts])[DEPTH:]
-    place = np.concatenate([np.arange(-DEPTH, len(t)) for t in texts])[DEPTH:] if texts else np.empty(0, np.int64)
-    return code[place >= 0], which[place >= 0]
+    b = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), np.uint8)
+    n = max(0, len(b) - DEPTH)
+    out = np.zeros((n, 8), np.uint8)  # the bytes of little-endian numbers
+    out[:, 0] = b[DEPTH : DEPTH + n]
+    for i, place in enumerate(places, 1):
+        out[:, place] = b[DEPTH - i : DEPTH - i + n]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + DEPTH) - DEPTH - sizes  # the first of the zeros before each text
+    real = np.ones(n + DEPTH, bool)
+    real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    return out.view("<i8").ravel()[real[DEPTH:]], np.repeat(np.arange(len(texts)), sizes)
+
+
+def codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with the five before them in the order of the text, and their documents' numbers."""
+    return _numbers(docs, range(1, DEPTH + 1))
+
+
+def keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """As codes, but with the context turned round (see _keys)."""
+    return _numbers(docs, range(DEPTH, 0, -1))
+
+
+def _packed(key: np.ndarray) -> bytes:
+    """Sorted numbers as differences, which compress well on their way."""
+    return np.diff(key, prepend=0).tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(np.cumsum(np.frombuffer(x, np.int64)) for x in packed)])
 
 
 def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +151,8 @@ def _keys(code: np.ndarray) -> np.ndarray:
 
 
 def _share(key: np.ndarray, shares: int) -> np.ndarray:
-    return (mixed((key >> (8 * (DEPTH + 1 - SPLIT))).astype(np.uint64)) % np.uint64(shares)).astype(np.int64)
+    """The share of a string: by the two bytes nearest to it, spread over 2^16 numbers."""
+    return ((key >> (8 * (DEPTH + 1 - SPLIT))) * _SPREAD & 0xFFFF) % shares
 
 
 def _at(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +213,9 @@ def _downwards(zeros, ones, weight, gathered, left):
 
 def keyed(strings: DataFrame, shares: int) -> DataFrame:
     """(share, key, n) of (code, n)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = _keys(batch.column(0).to_numpy())
-            yield _batch([pa.array(_share(key, shares)), pa.array(key), batch.column(1)], ["share", "key", "n"])
-
-    return strings.select("code", "n").mapInArrow(deal, "share long, key long, n long")
+    turned = " | ".join(["(code & 255)", *(f"shiftleft(shiftright(code, {8 * i}) & 255, {8 * (DEPTH + 1 - i)})" for i in range(1, DEPTH + 1))])
+    rows = strings.select(F.expr(turned).alias("key"), "n")
+    return rows.select(F.expr(f"(shiftright(key, {8 * (DEPTH + 1 - SPLIT)}) * {_SPREAD} & 65535) % {shares}").alias("share"), "key", "n")
 
 
 def shallow(strings: DataFrame) -> list[tuple[np.ndarray, ...]]:
@@ -257,7 +277,7 @@ def answers(asked: DataFrame, strings: DataFrame, top: Broadcast) -> DataFrame:
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        sent = [np.frombuffer(b, np.int64) for b in left["keys"].to_pylist()]
+        sent = [_unpacked([b]) for b in left["keys"].to_pylist()]
         if not sent:
             return pa.table({"chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
         key = np.unique(np.concatenate(sent))
@@ -287,7 +307,7 @@ def _asked(chunk: int, key: np.ndarray, shares: int) -> pa.Table:
     share, key = share[order], key[order]
     starts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])) if len(key) else np.empty(0, np.int64)
     stops = np.append(starts[1:], len(key))
-    packed = [key[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
+    packed = [_packed(key[a:b]) for a, b in zip(starts, stops, strict=True)]
     return pa.table({"chunk": pa.array([chunk] * len(starts), pa.int64()), "share": pa.array(share[starts]), "keys": pa.array(packed, pa.binary())})
 
 
@@ -303,7 +323,7 @@ def code_lengths(code: np.ndarray, filed: tuple[DataFrame, Broadcast, int]) -> n
     key = _keys(code)
     asked = strings.sparkSession.createDataFrame(_asked(0, np.unique(key), shares))
     got = answers(asked, strings, top).toArrow()
-    names, values = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("keys", np.int64), ("values", np.float32)))
+    names, values = _unpacked(got["keys"].to_pylist()), np.frombuffer(b"".join(got["values"].to_pylist()), np.float32)
     order = np.argsort(names)
     return values[order][np.searchsorted(names[order], key)]
 
@@ -344,21 +364,21 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                     yield from _asked(held, np.unique(np.concatenate(seen)), shares).to_batches()
                     seen = []
                 held = int(chunk[start])
-                seen.append(np.unique(_keys(codes([tokens(t) for t in batch.column(1).slice(start, stop - start).to_pylist()])[0])))
+                seen.append(np.unique(keys([tokens(t) for t in batch.column(1).slice(start, stop - start).to_pylist()])[0]))
         if seen:
             yield from _asked(held, np.unique(np.concatenate(seen)), shares).to_batches()
 
     def rate(got: pa.Table, told: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in SCORED.split(", ")]
         known_words = hot.value
-        string, value = (np.frombuffer(b"".join(told[c].to_pylist()), t) for c, t in (("keys", np.int64), ("values", np.float32)))
+        string, value = _unpacked(told["keys"].to_pylist()), np.frombuffer(b"".join(told["values"].to_pylist()), np.float32)
         order = np.argsort(string)
         string, value, out = string[order], value[order], []
         for batch in slices(got.to_batches(), "text", 2_000_000):
             uids, ids = batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist()
             split = [tokens(t) for t in batch.column("text").to_pylist()]
-            code, which = codes(split)
-            packed = np.sort((_keys(code) << _DOC) | which)
+            code, which = keys(split)
+            packed = np.sort((code << _DOC) | which)
             code, which = packed >> _DOC, packed & ((1 << _DOC) - 1)
             starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             each = np.repeat(value[np.searchsorted(string, code[starts])], np.diff(np.append(starts, len(code))))
