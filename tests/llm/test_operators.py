@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import fingerprint, html_text, language_model, media, mixing, near_dup, packing, quality, substring_dedup, suffix, url_filter
@@ -160,6 +161,18 @@ def test_op3_order_odd_and_empty(spark, odd, none):
     assert fingerprint.digests(odd).count() == len(ODD) and fingerprint.digests(none).count() == 0
 
 
+def test_op3_blocks_follow_the_ids(spark):
+    ids = [*range(20_000), 10**15, -(2**63), 2**63 - 1]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("text", F.col("doc_id").cast("string"))
+    down = sorted(ids, reverse=True)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(frame, "text").collect()}
+    assert got == {d: str(down[(k + 1) % len(down)]) for k, d in enumerate(down)}
+    assert frame.groupBy(fingerprint._blocks(frame, ("text",), 64)).count().agg(F.max("count")).first()[0] <= 300
+    unnamed = frame.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    after = [(r.text, r.next_text) for r in fingerprint.with_next(unnamed, "text").collect()]
+    assert sorted(t for t, _ in after) == sorted(n for _, n in after) == sorted(map(str, ids))
+
+
 def test_op4_rules(spark):
     urls = ["http://a.com/x", "https://EXAMPLE.com/en/p?q", "http://www.example.com/en/", "http://b.net/es/1#x", "http://b.net/espa", "http://xcom/a", "http://com", "nothing", None, "http://c.com:80/", "http://notexample.com/en/"]
     out = url_filter.filter_urls(spark.createDataFrame([(u, "old") for u in urls], "url string, rule string"), url_filter.rules_frame(spark, url_filter.RULES))
@@ -256,8 +269,11 @@ def test_op6_odd_and_empty(odd, none):
 def test_op7_stays_within_a_block():
     for shares in ({"a": 40, "b": 20, "c": 20, **{f"s{i}": 10 for i in range(17)}}, {"a": 3, "b": 5, "c": 9, "d": 1}, {"a": 1}):
         total, had = sum(shares.values()), Counter()
-        laid = mixing.period(shares)
-        assert len(laid) == total
+        classes = Counter(shares.values())
+        members = {u: sorted(s for s in shares if shares[s] == u) for u in classes}
+        laid = sorted((at + k - first, members[u][k], block) for u, block, first, last, at in mixing.layout(classes) for k in range(first, last + 1))
+        laid = [(source, block, slot) for slot, source, block in laid]
+        assert [slot for *_, slot in laid] == list(range(total))
         for source, block, slot in laid:
             assert block == had[source]
             had[source] += 1
@@ -270,6 +286,25 @@ def test_op7_keeps_rows_and_fills_blocks(spark, odd, none):
     for _, s in out.groupby("source"):
         assert s.groupby("block").size().sort_index()[:-1].eq(32).all() and s.block.max() + 1 == s.block.nunique()
     assert mixing.mix(odd, {"src0": 3}, 1).count() == len(ODD) and mixing.mix(none, {}, 1).count() == 0
+    counts = out.source.value_counts().to_dict()
+    shares = {s: mixing.SHARES.get(s, mixing.OTHERS) for s in counts}
+    classes, total = Counter(shares.values()), sum(shares.values())
+    members = {u: sorted((s for s in shares if shares[s] == u), key=lambda s: hashlib.md5(s.encode()).hexdigest()) for u in classes}
+    at = {(members[u][k], block): slot + k - first for u, block, first, last, slot in mixing.layout(classes) for k in range(first, last + 1)}
+    for r in out.itertuples():
+        assert r.slot == r.block // shares[r.source] * total + at[r.source, r.block % shares[r.source]]
+    for source, ids in out.sort_values(["slot", "place"]).groupby("source").doc_id:
+        assert list(ids) == sorted(ids, key=lambda i: hashlib.md5(f"{source}/{i}".encode()).hexdigest())
+
+
+def test_op7_any_number_of_sources(spark):
+    frame = spark.range(60_000).selectExpr("id as doc_id", "'s' || id % 30000 as source")
+    out = mixing.mix(frame, {"s7": 40}, 10, 2).toPandas()
+    assert len(out) == 60_000 and (out.place < 2).all() and out.groupby("slot").source.nunique().max() == 1
+    total = 40 + 10 * 29_999
+    assert (out.slot < total // 10 + 1).all() and out.groupby("source").slot.nunique().eq(1).all()
+    with pytest.raises(ValueError):
+        mixing.mix(frame, {"s7": 40}, 0)
 
 
 def test_op8_main_text():

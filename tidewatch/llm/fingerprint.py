@@ -19,6 +19,8 @@ WIDTH = 5
 SCALE = 8
 #: Documents in a block of consecutive ids, within which neighbours are found.
 BLOCK = 64
+#: Quantiles of the ids between which blocks are cut, and the accuracy of their ranks.
+QUANTILES, ACCURACY = 1_000, 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -87,21 +89,43 @@ def successors(keys: DataFrame) -> DataFrame:
     return inside.where("next is not null").select("k", "next").union(ends)
 
 
+def _blocks(docs: DataFrame, columns: tuple[str, ...], block: int) -> Column:
+    """The number of each row's block of about `block` rows, rising with doc_id; null ids have negative ones, by a hash of the columns.
+
+    Blocks are cut between quantiles of the ids, and evenly between two of them: an id far from all others
+    shifts no more than the rows beside it. The quantiles are found by bisection.
+    """
+    every = [k / QUANTILES for k in range(QUANTILES + 1)]
+    n, nulls, found = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx(F.col("doc_id").cast("long"), every, ACCURACY)).first()
+    shares = min(QUANTILES, max(1, n // block))
+    bounds = sorted({found[k * QUANTILES // shares] for k in range(shares + 1)}) if n else [0]
+    held, cuts, doc_id = F.lit(bounds).cast("array<bigint>"), -(-n // shares // block) or 1, F.col("doc_id").cast("long")
+    steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    share = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step) <= doc_id, at + step).otherwise(at))
+
+    def cut(at: Column) -> Column:
+        low, high = F.get(held, at).cast("double"), F.get(held, at + 1).cast("double")
+        inside = F.floor((doc_id.cast("double") - low) / (high - low) * cuts)
+        return at.cast("long") * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.coalesce(inside, F.lit(0))))
+
+    unnamed = -1 - F.pmod(F.xxhash64(*columns), F.lit(max(1, nulls // block)))
+    return F.when(doc_id.isNull(), unnamed).otherwise(let(share, cut))
+
+
 def with_next(docs: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
     """docs with next_<column> of the next row by descending doc_id (after the last row: of the first).
 
-    Rows of one id are ordered by the columns; null ids come last; a single row is followed by itself.
-    Ids are cut into blocks of about `block` rows. A window within each block finds the next row, so texts
-    are shuffled once; only the last row of each block is joined with the first of the next.
+    Rows of one id are ordered by the columns; null ids come last, many of them in the order of a hash of the
+    columns; a single row is followed by itself. Ids are cut into blocks of about `block` rows; the rows of
+    one id are in one block. A window within each block finds the next row, so texts are shuffled once; only
+    the last row of each block is joined with the first of the next.
     """
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * block // max(1, n))
-    held = docs.withColumn("__block", F.coalesce(F.expr(f"doc_id div {width}"), F.lit(low // width - 2)))
+    number = _blocks(docs, columns, block)
+    held = docs.withColumn("__block", number)
     within = Window.partitionBy("__block").orderBy(F.col("doc_id").desc_nulls_last(), *columns)
     held = held.withColumns({f"next_{c}": F.lead(c).over(within) for c in columns} | {"__more": F.lead(F.lit(True)).over(within), "__nth": F.row_number().over(within)})
     names = [*docs.columns, *(f"next_{c}" for c in columns)]
-    blocks = stored(docs.select(F.coalesce(F.expr(f"doc_id div {width}"), F.lit(low // width - 2)).alias("k")).distinct())
+    blocks = stored(docs.select(number.alias("k")).distinct())
     order = successors(blocks).toDF("__block", "__after")
     heads = held.where("__nth = 1").select(F.col("__block").alias("__after"), *(F.col(c).alias(f"next_{c}") for c in columns))
     ends = held.where("__more is null").drop(*(f"next_{c}" for c in columns)).join(order, "__block").join(heads, "__after")
