@@ -109,7 +109,8 @@ def _blocks(docs: DataFrame, columns: tuple[str, ...], block: int) -> Column:
         return at.cast("long") * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.coalesce(inside, F.lit(0))))
 
     unnamed = -1 - F.pmod(F.xxhash64(*columns), F.lit(max(1, nulls // block)))
-    return F.when(doc_id.isNull(), unnamed).otherwise(let(share, cut))
+    # Never null, and known to be so: else the joins on it filter below the shuffle of texts, which is then done twice.
+    return F.coalesce(F.when(doc_id.isNotNull(), let(share, cut)), unnamed, F.lit(-1))
 
 
 def with_next(docs: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
