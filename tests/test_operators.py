@@ -90,6 +90,21 @@ def test_bound_is_never_below_the_pairs(spark):
     assert len(both) == 2  # equal times give both directions
 
 
+def test_guard_counts_the_narrowed_call(spark):
+    rows = [row(ts=f"2024-01-01 00:{i % 60:02}:00.000 +00:00", host=f"H{i % 4}", record=str(i)) for i in range(80)]
+    logs = frame(spark, *rows)
+    assert seq.correlate_lateral(logs, 60, most=500).first().status == "too_broad"
+    narrow = seq.correlate_lateral(logs, 60, most=500, source="H1", target="H2")
+    assert {(r.SourceHost, r.TargetHost, r.status) for r in narrow.collect()} == {("H1", "H2", "ok")}
+    bound = seq.lateral_bound(logs, 60, source="H1", target="H2").first()
+    assert narrow.count() <= bound.bound <= 500 and (bound.source_rows, bound.target_rows) == (20, 20)
+
+
+def test_references_are_parsed(spark):
+    entries = spark.createDataFrame([("f", "Alpha", ["1@A@Sec", "1@A@Sec", "2"], ["1", "3", "", "1@B"]), ("g", "Alpha", None, None)], "owner string, rule_title string, refs array<string>, record_ids array<string>")
+    assert sorted(tuple(r)[2:] for r in ev.parse_refs(entries).collect()) == [("1", "A", "Sec"), ("1", "B", ""), ("2", "", ""), ("3", "", "")]
+
+
 def test_references(spark):
     logs = frame(spark, row(record="100", host="A"), row(record="100", host="B"), row(record="3", rule="Gamma"), row(record="3", rule="Delta"))
     refs = spark.createDataFrame([("f", "Alpha", "100", None, None), ("f", "Alpha", "100", "A", None), ("f", "Gamma", "3", None, None), ("f", "Alpha", "3", "A", "Sec"), ("f", "Alpha", "9", None, None)], "owner string, rule_title string, record_id string, computer string, channel string")

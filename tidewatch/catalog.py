@@ -147,9 +147,10 @@ MOVES = f"v AS (SELECT *, epoch_us({TS}) AS us FROM logs WHERE Level IN ('high',
 _P = """p AS (SELECT a."Timestamp" AS SourceTime, a.Computer AS SourceHost, a.RuleTitle AS SourceEvent, a.Level AS SourceLevel, b."Timestamp" AS TargetTime, b.Computer AS TargetHost, b.RuleTitle AS TargetEvent, b.Level AS TargetLevel, round((b.us - a.us) / 60000000.0, 1) AS DeltaMinutes
 FROM v a JOIN v b ON a.Computer <> b.Computer AND b.us BETWEEN a.us AND a.us + 900000000)"""
 add("join_02_lateral", lambda l: seq.lateral_pairs(l, 15), f"WITH {MOVES}, {_P} SELECT * FROM p")
-add("join_03_lateral_bound", lambda l: seq.lateral_bound(l, 15), f"""WITH {MOVES}, c AS (SELECT CAST(floor(us / 225000000.0) AS BIGINT) AS b, Computer, count(*) AS n FROM v WHERE us IS NOT NULL GROUP BY ALL)
+add("join_03_lateral_bound", lambda l: seq.lateral_bound(l, 15).select("bound"), f"""WITH {MOVES}, c AS (SELECT CAST(floor(us / 225000000.0) AS BIGINT) AS b, Computer, count(*) AS n FROM v WHERE us IS NOT NULL GROUP BY ALL)
 SELECT CAST((SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON y.b BETWEEN x.b AND x.b + 4) - (SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON x.Computer = y.Computer AND y.b BETWEEN x.b AND x.b + 4) AS BIGINT) AS bound""")
-add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1).select("status"), "SELECT 'too_broad' AS status")
+add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1, source="HOST-1", target="HOST-2").select("status", "source_rows", "target_rows"), f"""WITH {MOVES} SELECT 'too_broad' AS status, count(*) FILTER (strpos(Computer, 'HOST-1') > 0) AS source_rows,
+count(*) FILTER (strpos(Computer, 'HOST-2') > 0) AS target_rows FROM v WHERE us IS NOT NULL""")
 add("agg_23_node_stats", lambda l: seq.node_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost AS host, 1 AS s, 0 AS t, SourceLevel AS l FROM p UNION ALL SELECT TargetHost, 0, 1, TargetLevel FROM p)
 SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_target, count(*) AS event_count, max(CASE l WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM e GROUP BY 1""")
 _RK = "CASE {} WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -233,6 +234,20 @@ WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, ''
 _ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())
 add("g_all_run_gates", lambda l: ev.run_gates([build(l) for build, _ in GATES.values()]).select("id", "status", "detail"), f"""WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), g AS ({_ALL_GATES})
 SELECT 'G' || k AS id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n || ' gaps' AS detail FROM g UNION ALL SELECT 'ALL', CASE WHEN bool_or(n > 0) THEN 'FAIL' ELSE 'PASS' END, CAST(sum(n) AS BIGINT) || ' gaps' FROM g""")
+_entries = lambda l: l.where("Level = 'crit'").selectExpr("RuleTitle as owner", "RuleTitle as rule_title", "array(RecordID || '@' || Computer, RecordID || '@' || Computer) as refs", "array(RecordID, RecordID || '@@' || Channel, EventID, '') as record_ids")
+add("fn_20_parse_refs", lambda l: ev.parse_refs(_entries(l)), """WITH c AS (SELECT * FROM logs WHERE Level = 'crit') SELECT RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, Computer AS computer, '' AS channel FROM c
+UNION ALL SELECT RuleTitle, RuleTitle, RecordID, '', Channel FROM c UNION ALL SELECT RuleTitle, RuleTitle, EventID, '', '' FROM c WHERE EventID <> RecordID""")
+_old = lambda l: seq.clusters(l, ("crit",), 0).select("id", "start", "end", F.lit("attack").alias("verdict"), (F.dayofmonth("start") % 2 == 0).alias("manual"))
+_OLD_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level = 'crit'), o AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM d)"""
+add("set_05_rederived", lambda l: ev.rederived(_old(l), seq.clusters(l)), f"""WITH {_OLD_SQL}, h AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
+m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM h), k AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)
+SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end", NULL AS verdict, FALSE AS manual FROM k GROUP BY n UNION ALL SELECT 'c' || n, day, day, 'attack', TRUE FROM o WHERE day(day) % 2 = 0""")
+add("agg_27_progress", lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), det.extract_iocs(l), _hosts(l), ["crit", "high"]).where("item <> 'iocs'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), {_OLD_SQL} SELECT 'rules' AS item, count(*) FILTER (status <> 'pending') AS done, count(*) AS total FROM rules WHERE hot = 1
+UNION ALL SELECT 'clusters', count(*), count(*) FROM o UNION ALL SELECT 'findings', count(*), count(*) FROM findings UNION ALL SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""")
+add("rpt_04_coverage_appendix", lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([GATES[k][0](l) for k in (1, 2, 4)]), ["crit", "high"]).where("part <> 'gap'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), g AS (SELECT 1 AS k, count(*) AS n FROM ({GATES[1][1]}) UNION ALL SELECT 2, count(*) FROM ({GATES[2][1]}) UNION ALL SELECT 4, count(*) FROM ({GATES[4][1]})),
+s AS (SELECT 'G' || k AS name, n FROM g UNION ALL SELECT 'ALL', sum(n) FROM g)
+SELECT 'gate' AS part, name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || CAST(n AS BIGINT) || ' gaps' AS value FROM s
+UNION ALL SELECT 'verdict', CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END, CAST(count(*) AS VARCHAR) FROM rules GROUP BY 2""")
 add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"), "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted FROM x""")
 add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high", "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
 add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")

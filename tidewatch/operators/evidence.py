@@ -73,6 +73,38 @@ def consensus(votes: DataFrame) -> DataFrame:
     return out.withColumn("consensus", said.when((a == 0) & (f == 0) & (i > 0), "indeterminate").when(a + f + i > 0, "conflict"))
 
 
+def parse_refs(entries: DataFrame) -> DataFrame:
+    """owner's refs (owner, rule_title, refs, record_ids arrays of id@host@channel) as rows of references, without repeats.
+
+    A bare id in record_ids that refs name already is dropped; parts that are missing are ''; empty ids give no row.
+    """
+    part = lambda x, n: F.trim(F.coalesce(F.get(F.split(x, "@"), F.lit(n)), F.lit("")))
+    as_ref = lambda x: F.struct(part(x, 0).alias("record_id"), part(x, 1).alias("computer"), part(x, 2).alias("channel"))
+    none = F.array().cast("array<string>")
+    named = F.transform(F.coalesce("refs", none), as_ref)
+    ids = F.transform(named, lambda r: r["record_id"])
+    rest = F.filter(F.coalesce("record_ids", none), lambda x: x.contains("@") | ~F.array_contains(ids, F.trim(x)))
+    every = F.array_union(named, F.transform(rest, as_ref))
+    rows = entries.select("owner", "rule_title", F.explode(every).alias("r"))
+    return rows.select("owner", "rule_title", "r.*").where("record_id <> ''")
+
+
+def rederived(clusters: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Clusters (id, start, end, verdict, manual) after the levels changed: fresh ones without a verdict, and the manual ones as they were."""
+    kept = clusters.where("manual").select("id", "start", "end", "verdict", "manual")
+    return fresh.select("id", "start", "end", F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("manual")).unionByName(kept)
+
+
+def progress(rules: DataFrame, clusters: DataFrame, findings: DataFrame, iocs: DataFrame, hosts: DataFrame, levels: list[str]) -> DataFrame:
+    """(item, done, total): rules at the levels, judged clusters; findings, indicators and covered hosts as they are."""
+    def row(name: str, df: DataFrame, done: Column) -> DataFrame:
+        return df.agg(F.count_if(done).alias("done"), F.count(F.lit(1)).alias("total")).select(F.lit(name).alias("item"), "done", "total")
+
+    scope = rules.where(F.arrays_overlap("levels", F.lit(levels)))
+    parts = [row("rules", scope, F.col("status") != "pending"), row("clusters", clusters, F.col("verdict").isNotNull())]
+    return reduce(DataFrame.union, parts + [row(n, d, F.lit(True)) for n, d in (("findings", findings), ("iocs", iocs), ("hosts", hosts))])
+
+
 def verdict_summary(rules: DataFrame, levels: list[str]) -> DataFrame:
     """Rules per verdict; pending ones by whether they have an investigated level."""
     scope = F.arrays_overlap("levels", F.lit(levels))
@@ -207,6 +239,14 @@ def indeterminate_list(rules: DataFrame) -> DataFrame:
     return rules.where("verdict = 'indeterminate'").select("rule_title", "count", "rationale")
 
 
+def coverage_appendix(rules: DataFrame, gates: DataFrame, levels: list[str], most: int = 10) -> DataFrame:
+    """(part, name, value) for a report: rules by verdict, gates with their status, and the first gaps of the gates that fail."""
+    verdicts = verdict_summary(rules, levels).select(F.lit("verdict").alias("part"), F.col("verdict").alias("name"), F.col("rules").cast("string").alias("value"))
+    status = gates.select(F.lit("gate"), "id", F.concat("status", F.lit(", "), "detail"))
+    gaps = gates.where("status = 'FAIL'").select(F.lit("gap"), "id", F.explode(F.slice("gaps", 1, most)))
+    return verdicts.union(status).union(gaps)
+
+
 def report_consistency(timeline: DataFrame, text: DataFrame, rules: DataFrame, iocs: DataFrame) -> DataFrame:
     """False-positive rules on the timeline and recorded indicators (four characters or more) that the report lacks."""
     wrong = timeline.join(rules.where("verdict = 'false_positive'"), "rule_title", "left_semi").select(F.concat(F.lit("false positive on the timeline: "), "rule_title").alias("problem"))

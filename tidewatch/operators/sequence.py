@@ -107,25 +107,31 @@ def lateral_pairs(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = ()
     return pairs.select("SourceTime", "SourceHost", "SourceEvent", "SourceLevel", "TargetTime", "TargetHost", "TargetEvent", "TargetLevel", F.round((F.col("tus") - F.col("sus")) / 60_000_000.0, 1).alias("DeltaMinutes"))
 
 
-def lateral_bound(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = ()) -> DataFrame:
-    """An upper bound of the number of pairs from counts in quarter-window buckets, without the join."""
+def lateral_bound(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), source: str = "", target: str = "") -> DataFrame:
+    """An upper bound of the number of pairs, and the rows of each side, from counts in quarter-window buckets, without the join."""
     width = minutes * 15_000_000
-    per = _moves(df, levels).groupBy(F.floor(F.col("us") / width).alias("b"), "Computer").agg(F.count(F.lit(1)).alias("n"))
-    whole = per.groupBy("b").agg(F.sum("n").alias("n"))
+    rows = _moves(df, levels).select(F.floor(F.col("us") / width).alias("b"), F.coalesce("Computer", F.lit("")).alias("host"))
+    a, b = (rows.where(F.col("host").contains(part)).groupBy("b", "host").agg(F.count(F.lit(1)).alias("n")) for part in (source, target))
 
-    def products(t: DataFrame, keys: list[str]) -> DataFrame:
-        later = t.withColumnRenamed("n", "m").withColumn("b", F.explode(F.sequence(F.col("b") - 4, F.col("b"))))
-        return t.join(later, keys).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("p"))
+    def products(keys: list[str]) -> DataFrame:
+        one = a.groupBy(*keys).agg(F.sum("n").alias("n"))
+        later = b.groupBy(*keys).agg(F.sum("n").alias("m")).withColumn("b", F.explode(F.sequence(F.col("b") - 4, F.col("b"))))
+        return one.join(later, keys).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("p"))
 
-    return products(whole, ["b"]).withColumnRenamed("p", "all").crossJoin(products(per, ["b", "Computer"])).select((F.col("all") - F.col("p")).alias("bound"))
+    sides = a.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("source_rows")).crossJoin(b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("target_rows")))  # one row by one row
+    whole = products(["b"]).withColumnRenamed("p", "all").crossJoin(products(["b", "host"])).select((F.col("all") - F.col("p")).alias("bound"))
+    return whole.crossJoin(sides)
 
 
-def correlate_lateral(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), most: int = GUARD) -> DataFrame:
-    """The pairs, or one row with status too_broad and the bound where that is above the limit."""
-    bound = lateral_bound(df, minutes, levels).first()[0]
-    if bound > most:
-        return df.sparkSession.range(1).select(F.lit("too_broad").alias("status"), F.lit(bound).alias("bound"), F.lit(most).alias("most"))
-    return lateral_pairs(df, minutes, levels).withColumn("status", F.lit("ok"))
+def correlate_lateral(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), most: int = GUARD, source: str = "", target: str = "") -> DataFrame:
+    """The pairs, or one row with status too_broad, the bound and the rows of each side where the bound is above the limit.
+
+    Only rows of hosts that hold `source` and `target` are counted and joined.
+    """
+    found = lateral_bound(df, minutes, levels, source, target)
+    if found.where(F.col("bound") > most).isEmpty():
+        return lateral_pairs(df, minutes, levels, source, target).withColumn("status", F.lit("ok"))
+    return found.select(F.lit("too_broad").alias("status"), "bound", F.lit(most).alias("most"), "source_rows", "target_rows")
 
 
 def edge_stats(moves: DataFrame) -> DataFrame:
