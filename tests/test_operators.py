@@ -100,6 +100,13 @@ def test_guard_counts_the_narrowed_call(spark):
     assert narrow.count() <= bound.bound <= 500 and (bound.source_rows, bound.target_rows) == (20, 20)
 
 
+def test_variants_are_judged_by_content(spark):
+    logs = frame(spark, *[row(details=f"Cmdline: c{i}", record=str(i)) for i in range(4)], *[row(rule="Beta", details="Cmdline: c", record=str(i)) for i in range(4)], row(rule="Gamma", channel=None))
+    rules = spark.createDataFrame([("Alpha", "false_positive", 4), ("Beta", "mixed", 4), ("Gamma", "false_positive", 1)], "rule_title string, verdict string, count long")
+    groups = spark.createDataFrame([("Alpha", "Sec", 4, "false_positive"), ("Beta", "Sec", 4, "false_positive"), ("Gamma", "", 1, "false_positive")], "rule_title string, variant string, count long, verdict string")
+    assert ev.g10(rules, groups, logs, ["Channel"]).first().gaps == ["Alpha Sec is too diverse", "Beta has other variants than mixed", "Gamma has an empty benign variant"]
+
+
 def test_references_are_parsed(spark):
     entries = spark.createDataFrame([("f", "Alpha", ["1@A@Sec", "1@A@Sec", "2"], ["1", "3", "", "1@B"]), ("g", "Alpha", None, None)], "owner string, rule_title string, refs array<string>, record_ids array<string>")
     assert sorted(tuple(r)[2:] for r in ev.parse_refs(entries).collect()) == [("1", "A", "Sec"), ("1", "B", ""), ("2", "", ""), ("3", "", "")]

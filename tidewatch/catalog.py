@@ -228,7 +228,8 @@ _gate("g6_refs", 6, lambda l: ev.g6(_state(l, REFS_SQL), _rules(l), l), f"WITH s
 _gate("g7_cited", 7, lambda l: ev.g7(_rules(l), _state(l, REFS_SQL), _state(l, FINDINGS_SQL)), "SELECT DISTINCT id FROM findings WHERE id NOT IN (SELECT owner FROM refs) UNION ALL SELECT rule_title FROM rules WHERE status <> 'pending' AND rule_title NOT IN (SELECT rule_title FROM refs) UNION ALL SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND excerpt IS NULL")
 _gate("g8_compatible", 8, lambda l: ev.g8(_state(l, FINDINGS_SQL), _rules(l)), "SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.status = 'pending' OR r.verdict = 'false_positive'")
 _gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l), f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.found = f.host)")
-_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), "SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel IN ('Sec', 'Sysmon')")
+_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), """SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel IN ('Sec', 'Sysmon') UNION ALL SELECT DISTINCT RuleTitle || Channel FROM (SELECT RuleTitle, Channel, split_part(pair, ': ', 1) AS key, split_part(pair, ': ', 2) AS value
+FROM (SELECT RuleTitle, Channel, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Channel <> 'Sysmon')) WHERE key IN ('Proc', 'Cmdline') GROUP BY RuleTitle, Channel, key HAVING count(DISTINCT value) > 3""")
 _gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
 WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
 _ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())

@@ -57,22 +57,27 @@ def extract_iocs(df: DataFrame, kind: str | None = None, source: str = "Details"
     return rows.groupBy("Type", "FieldName", "Value").agg(D.ordered_set(F.col("Computer")).alias("Hosts"), F.count(F.lit(1)).alias("Count"))
 
 
-def variants(df: DataFrame, keys: list[str], column: str = "Details", most: int = 2_000) -> DataFrame:
-    """Rows per rule and tuple of fields (columns where they exist, else detail keys, missing as ''), and overflow.
+def variant_of(df: DataFrame, keys: list[str], column: str = "Details") -> DataFrame:
+    """df with variant: its fields (columns where they exist, else detail keys, missing as '') joined by '|'.
 
-    The fields of a tuple are joined by '|'; one that stands in a field is written with a backslash.
+    A '|' or backslash that stands in a field is written with a backslash before it.
     """
     parsed = df.withColumn("__m", D.detail_map(F.col(column)))
     of = [F.coalesce(F.col(k) if k in df.columns else F.try_element_at("__m", F.lit(k)), F.lit("")) for k in keys]
-    out = parsed.groupBy("RuleTitle", F.concat_ws("|", *[F.regexp_replace(v, r"([\\|])", r"\\$1") for v in of]).alias("variant")).agg(F.count(F.lit(1)).alias("count"))
+    return parsed.withColumn("variant", F.concat_ws("|", *[F.regexp_replace(v, r"([\\|])", r"\\$1") for v in of])).drop("__m")
+
+
+def variants(df: DataFrame, keys: list[str], column: str = "Details", most: int = 2_000) -> DataFrame:
+    """Rows per rule and tuple of fields, and whether a rule has too many of them."""
+    out = variant_of(df, keys, column).groupBy("RuleTitle", "variant").agg(F.count(F.lit(1)).alias("count"))
     over = out.groupBy("RuleTitle").agg((F.count(F.lit(1)) > most).alias("overflow"))
     return out.join(over, "RuleTitle")
 
 
-def diversity(df: DataFrame, probes: list[str], column: str = "Details") -> DataFrame:
-    """Distinct values of probe keys per rule, and whether they are more than three."""
-    rows = exploded(df, column).where(F.col("key").isin(*probes))
-    return rows.groupBy("RuleTitle", "key").agg(F.countDistinct("value").alias("distinct_values")).withColumn("diverse", F.col("distinct_values") > 3)
+def diversity(df: DataFrame, probes: list[str], column: str = "Details", by: tuple[str, ...] = ("RuleTitle",)) -> DataFrame:
+    """Distinct values of probe keys per rule (or other columns), empty ones aside, and whether they are more than three."""
+    rows = exploded(df, column).where(F.col("key").isin(*probes) & (F.col("value") != ""))
+    return rows.groupBy(*by, "key").agg(F.countDistinct("value").alias("distinct_values")).withColumn("diverse", F.col("distinct_values") > 3)
 
 
 def account_impact(df: DataFrame, column: str = "Details") -> DataFrame:

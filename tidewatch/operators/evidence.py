@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.details import squeezed
-from .details import variants
+from .details import diversity, variant_of, variants
 
 VOLUME = 20
 
@@ -178,11 +178,28 @@ def g9(findings: DataFrame, refs: DataFrame, logs: DataFrame) -> DataFrame:
     return gate(findings.where("trim(host) <> ''").join(good, ["id", "host"], "left_anti"), F.concat_ws(" ", "id", "host"), 9, "finding hosts")
 
 
+# Columns that say nothing of what happened, and detail keys that do.
+NON_CONTENT = ["Computer", "Channel", "EventID", "Level", "RuleTitle", "RecordID", "Timestamp", "Provider", "MitreTactics", "MitreTags", "OtherTags", "RuleFile", "RuleID", "EvtxFile", "RecoveredRecord"]
+PROBES = ["Cmdline", "CommandLine", "ParentCommandLine", "Proc", "Image", "NewProcessName", "ParentImage", "Path", "ImagePath", "TgtFile", "TargetFilename", "Svc", "ServiceName", "TaskName", "TgtObj", "TargetObject"]
+
+
 def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Variants: given where they are needed, as counted, not benign without any field, and in line with the rule's verdict.
+
+    Where the keys are all without content, a benign variant may have three values of a probe key at most.
+    """
     large = rules.where(F.col("verdict").isin("false_positive", "mixed") & (F.col("count") > VOLUME))
-    absent = large.join(groups, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" needs variants")).alias("gap"))
-    wrong = reconcile(groups, logs, keys).where("state <> 'ok'").select(F.concat_ws(" ", "rule_title", "variant", "state").alias("gap"))
-    return gate(absent.union(wrong), F.col("gap"), 10, "variants")
+    gaps = large.join(groups, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" needs variants")).alias("gap"))
+    gaps = gaps.union(reconcile(groups, logs, keys).where("state <> 'ok'").select(F.concat_ws(" ", "rule_title", "variant", "state")))
+    benign = groups.where("verdict = 'false_positive'").select("rule_title", "variant")
+    gaps = gaps.union(benign.where(~F.col("variant").rlike(r"[^|\s]")).select(F.concat("rule_title", F.lit(" has an empty benign variant"))))
+    attacks = groups.groupBy("rule_title").agg(F.count_if(F.col("verdict") == "attack").alias("attacks"))
+    wrong = (F.col("verdict") == "false_positive") & (F.col("attacks") > 0) | (F.col("verdict") == "mixed") & (F.col("attacks") == 0)
+    gaps = gaps.union(rules.select("rule_title", "verdict").join(attacks, "rule_title").where(wrong).select(F.concat("rule_title", F.lit(" has other variants than "), "verdict")))
+    if all(k in NON_CONTENT for k in keys):
+        seen = diversity(variant_of(logs, keys), PROBES, by=("RuleTitle", "variant")).where("diverse").select(F.col("RuleTitle").alias("rule_title"), "variant").distinct()
+        gaps = gaps.union(benign.join(seen, ["rule_title", "variant"], "left_semi").select(F.concat_ws(" ", "rule_title", "variant", F.lit("is too diverse"))))
+    return gate(gaps, F.col("gap"), 10, "variants")
 
 
 def g11(rules: DataFrame, votes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
