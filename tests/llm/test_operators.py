@@ -393,6 +393,23 @@ def test_op9_odd_and_empty(spark, odd, none):
     assert substring_dedup.dedup_digests(odd).count() == len(ODD) and substring_dedup.dedup_digests(none).count() == 0
 
 
+def test_op9_deals_hot_anchors_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 2_000)
+    monkeypatch.setattr(substring_dedup, "ARRAY", 1_000)
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    noise = lambda n: "".join(rng.choice(letters, n))
+    line, passage = noise(30), noise(130)
+    texts = {}
+    for k in range(300):  # one short line in all documents, each time in other surroundings; a long passage and repeats in some
+        texts[k] = noise(60) + line + noise(60) + (passage if k % 7 == 3 else "") + (texts[k - 40][30:100] if k > 60 and k % 5 == 0 else "")
+    found, which, _ = substring_dedup.anchors([t.encode() for t in texts.values()])
+    held = Counter(a for a, _ in set(zip(found.tolist(), which.tolist(), strict=True)))
+    assert max(held.values()) * substring_dedup.MATCH > substring_dedup.HOT
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == removed(texts) and any(r[1] for r in got.values())
+
+
 def test_op10_round_trip(spark, docs):
     for r in QUERIES["op10_media_columns"](spark, SF).collect():
         raw = docs[r.doc_id].encode()
