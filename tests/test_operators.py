@@ -147,6 +147,25 @@ def test_stub_rationales_are_rejected(spark):
     assert [r.rationale for r in out if r.accepted] == ["seen twice on A"]
 
 
+def test_variants_of_triage_are_checked(spark):
+    entry = "rule_title string, verdict string, rationale string, refs array<string>, excerpt string"
+    told = [("A", "false_positive"), ("B", "mixed"), ("C", "mixed"), ("D", "false_positive"), ("E", "false_positive"), ("F", "attack"), ("G", "false_positive")]
+    entries = spark.createDataFrame([(t, v, "seen twice on A", ["1"], "x") for t, v in told], entry)
+    rules = spark.createDataFrame([("A", 21), ("B", 5), ("C", 5), ("D", 4), ("E", 20), ("F", 99), ("G", 30)], "rule_title string, count long")
+    groups = spark.createDataFrame(
+        [("B", "x|y", 5, "false_positive"), ("C", "x", 2, "attack"), ("C", "y", 3, "false_positive"), ("D", "|", 2, "false_positive"), ("D", "|", 1, "attack"), ("G", "x", 31, "good"), ("G", None, -1, "indeterminate")],
+        "rule_title string, variant string, count long, verdict string",
+    )
+    got = {r.rule_title: r.reasons for r in ev.validate_triage(entries, rules, groups).collect()}
+    assert got == {
+        "A": ["missing variants"], "B": ["variants against the verdict"], "C": [], "E": [], "F": [],
+        "D": ["duplicate variants", "empty benign variant", "variants do not add up", "variants against the verdict"],
+        "G": ["bad variant count", "bad variant verdict"],
+    }
+    bare = ev.validate_triage(entries.selectExpr("rule_title", "verdict", "rationale", "refs", "' ' AS excerpt"), rules).collect()
+    assert {r.rule_title for r in bare if not r.accepted} == {"A", "B", "C", "D", "E", "G"}
+
+
 def test_indicators_of_both_profiles(spark):
     logs = frame(spark, row(details="Image: a.exe ¦ DstAddr: 1.2.3.4 ¦ TgtFile: C:\\x ¦ Cmdline: a -b ¦ Svc: -"))
     assert {(r.Type, r.FieldName, r.Value) for r in det.extract_iocs(logs).collect()} == {("process", "Image", "a.exe"), ("ip", "DstAddr", "1.2.3.4"), ("filepath", "TgtFile", "C:\\x"), ("cmdline", "Cmdline", "a -b")}

@@ -63,7 +63,10 @@ add("agg_01_overview", lambda l: prof.overview(l).where("metric <> 'path'"), f""
 UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs""")
 for _name, _column in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle")):
     add(f"agg_02_{_name}", lambda l, c=_column: prof.section(l, c), f"SELECT coalesce(nullif({_column}, ''), '(empty)') AS label, count(*) AS count FROM logs GROUP BY {_column} ORDER BY 2 DESC, 1 LIMIT 20")
-add("agg_03_profile_all", prof.profile_all)
+_TOP = "SELECT * FROM (SELECT '{name}' AS section, 'count' AS metric, coalesce(nullif({column}, ''), '(empty)') AS key, CAST(count(*) AS VARCHAR) AS value FROM logs GROUP BY 3 ORDER BY count(*) DESC, 3 LIMIT 20)"
+add("agg_03_profile_all", prof.profile_all, f"""SELECT 'overview' AS section, metric, '' AS key, value FROM (SELECT 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM logs UNION ALL SELECT 'column_count', '11'
+UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs)
+UNION ALL """ + " UNION ALL ".join(_TOP.format(name=n, column=c) for n, c in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle"))))
 add("agg_04_summarize", lambda l: prof.summarize(l, "EventID", "crit"), "SELECT EventID, count(*) AS count FROM logs WHERE Level = 'crit' GROUP BY EventID")
 for _name, _width in (("1h", "1 hour"), ("3h", "3 hour"), ("6h", "6 hour"), ("12h", "12 hour"), ("1d", "1 day")):
     add(f"agg_05_window_{_name}", lambda l, w=_width: prof.by_window(l, w), f"SELECT strftime(time_bucket(INTERVAL '{_width}', {TS}, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS count FROM logs GROUP BY 1")
@@ -250,6 +253,15 @@ s AS (SELECT 'G' || k AS name, n FROM g UNION ALL SELECT 'ALL', sum(n) FROM g)
 SELECT 'gate' AS part, name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || CAST(n AS BIGINT) || ' gaps' AS value FROM s
 UNION ALL SELECT 'verdict', CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END, CAST(count(*) AS VARCHAR) FROM rules GROUP BY 2""")
 add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"), "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted FROM x""")
+# Declared variants by Channel: too large in Sec of clicks, without a verdict in Sysmon of views, attacks in Sysmon of rules -2, none for errors.
+DECLARED_SQL = """SELECT RuleTitle AS rule_title, Channel AS variant, count(*) + CASE WHEN RuleTitle LIKE '%click%' AND Channel = 'Sec' THEN 1 ELSE 0 END AS count,
+CASE WHEN Channel <> 'Sysmon' THEN 'false_positive' WHEN RuleTitle LIKE '%view%' THEN NULL WHEN RuleTitle LIKE '%-2' THEN 'attack' ELSE 'indeterminate' END AS verdict FROM logs WHERE RuleTitle NOT LIKE '%error%' GROUP BY RuleTitle, Channel"""
+add("val_01_variants", lambda l: ev.validate_triage(_rules(l).selectExpr("rule_title", "case verdict when 'indeterminate' then 'mixed' else coalesce(verdict, 'attack') end as verdict", "rationale", "array(rationale) as refs", "'seen' as excerpt"), _rules(l), _state(l, DECLARED_SQL)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), declared AS ({DECLARED_SQL}),
+per AS (SELECT rule_title, sum(count) AS covered, bool_or(verdict IS NULL) AS unjudged, count(*) FILTER (verdict = 'attack') AS attacks FROM declared GROUP BY 1),
+e AS (SELECT rule_title, count, CASE WHEN rule_title LIKE '%-1' THEN 'false_positive' WHEN rule_title LIKE '%-2' THEN 'mixed' ELSE 'attack' END AS verdict, length(rationale) < 6 AS stub FROM rules),
+x AS (SELECT rule_title, concat_ws('; ', CASE WHEN stub THEN 'missing rationale' END, CASE WHEN covered IS NULL AND (verdict = 'mixed' OR verdict = 'false_positive' AND count > 20) THEN 'missing variants' END,
+CASE WHEN unjudged THEN 'bad variant verdict' END, CASE WHEN covered <> count THEN 'variants do not add up' END, CASE WHEN verdict = 'false_positive' AND attacks > 0 OR verdict = 'mixed' AND attacks = 0 THEN 'variants against the verdict' END) AS reasons FROM e LEFT JOIN per USING (rule_title))
+SELECT *, reasons = '' AS accepted FROM x""")
 add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high", "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
 add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")
 add("rpt_02_indeterminate", lambda l: ev.indeterminate_list(_rules(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale FROM rules WHERE verdict = 'indeterminate'")

@@ -224,18 +224,56 @@ def run_gates(gates: list[DataFrame]) -> DataFrame:
 STUBS = ["reviewed", "checked", "check", "ok", "done", "verified", "confirmed", "fp", "false positive", "benign", "normal", "確認済み", "確認済", "済", "レビュー済み", "レビュー済", "問題なし", "正常"]
 
 
-def validate_triage(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """entries (rule_title, verdict, rationale, refs, excerpt) with the reasons to reject each; none means accepted."""
-    known = rules.select("rule_title", F.lit(True).alias("known"))
+# Fixed value: more variants than this say that the fields are not stable.
+MOST_VARIANTS = 2_000
+
+
+def _variant_reasons(groups: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """What the declared variants of each rule amount to, and the reasons that follow for an entry joined to it."""
+    verdicts = F.coalesce(F.col("verdict").isin("attack", "false_positive", "indeterminate"), F.lit(False))
+    empty = ~F.coalesce("variant", F.lit("")).rlike(r"[^|\s]")
+    per = groups.groupBy("rule_title").agg(
+        F.count(F.lit(1)).alias("declared"),
+        F.countDistinct(F.coalesce(F.trim("variant"), F.lit(""))).alias("keys"),
+        F.sum("count").alias("covered"),
+        F.min(F.coalesce("count", F.lit(0))).alias("least"),
+        F.bool_and(verdicts).alias("judged"),
+        F.bool_or(empty & F.coalesce(F.col("verdict") == "false_positive", F.lit(False))).alias("empty"),
+        F.count_if(F.col("verdict") == "attack").alias("attacks"),
+    )
+    benign, mixed = F.col("verdict") == "false_positive", F.col("verdict") == "mixed"
+    return per, [
+        F.when(F.col("declared").isNull() & (mixed | benign & (F.col("total") > VOLUME)), "missing variants"),
+        F.when(F.col("declared") > MOST_VARIANTS, "too many variants"),
+        F.when(F.col("keys") < F.col("declared"), "duplicate variants"),
+        F.when(F.col("least") <= 0, "bad variant count"),
+        F.when(~F.col("judged"), "bad variant verdict"),
+        F.when(F.col("empty"), "empty benign variant"),
+        F.when(F.col("declared").isNotNull() & (F.coalesce("covered", F.lit(0)) != F.col("total")), "variants do not add up"),
+        F.when(benign & (F.col("attacks") > 0) | mixed & (F.col("attacks") == 0), "variants against the verdict"),
+    ]
+
+
+def validate_triage(entries: DataFrame, rules: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """entries (rule_title, verdict, rationale, refs, excerpt) with the reasons to reject each; none means accepted.
+
+    With groups (rule_title, variant, count, verdict), the variants that the entries declare, those are
+    checked, too, against the counts of rules; an entry of a rule without groups declares none.
+    """
+    known = rules.select("rule_title", F.lit(True).alias("known"), *([] if groups is None else [F.col("count").alias("total")]))
     verdicts = ["attack", "false_positive", "mixed", "indeterminate"]
     reasons = [
         F.when(F.col("known").isNull(), "unknown rule"),
         F.when(~F.coalesce(F.col("verdict").isin(*verdicts), F.lit(False)), "bad verdict"),
         F.when((F.length(F.trim(F.coalesce("rationale", F.lit("")))) < 6) | F.lower(F.trim("rationale")).isin(*STUBS), "missing rationale"),
         F.when(F.coalesce(F.size("refs"), F.lit(0)) <= 0, "missing references"),
-        F.when((F.col("verdict") == "false_positive") & F.col("excerpt").isNull(), "missing excerpt"),
+        F.when(F.col("verdict").isin("false_positive", "mixed") & (F.coalesce(F.trim("excerpt"), F.lit("")) == ""), "missing excerpt"),
     ]
-    return entries.join(known, "rule_title", "left").withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("accepted", F.size("reasons") == 0).drop("known")
+    joined = entries.join(known, "rule_title", "left")
+    if groups is not None:
+        per, more = _variant_reasons(groups)
+        joined, reasons = joined.join(per, "rule_title", "left"), reasons + more
+    return joined.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("accepted", F.size("reasons") == 0).select(*entries.columns, "reasons", "accepted")
 
 
 def validate(entries: DataFrame, required: list[str], allowed: dict[str, list[str]]) -> DataFrame:
