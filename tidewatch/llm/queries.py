@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .decontaminate import OP13_SQL, op13_decontamination
 from .fingerprint import op3_fingerprint
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_text import op8_html
+from .importance import op12_resampling
 from .language_model import op6_lm_scoring
 from .media import op10_media
 from .mixing import op7_mixing
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_html_extraction": op8_html,
     "op9_suffix_array_dedup": op9_suffix_dedup,
     "op10_media_columns": op10_media,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_resampling,
+    "op13_decontamination": op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op4_url_filter": OP4_SQL}
+ORACLE = {"op4_url_filter": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_decontamination": OP13_SQL}
