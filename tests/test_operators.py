@@ -245,6 +245,87 @@ def test_free_sql_is_guarded(spark):
             free_sql.run_sql(logs, text)
 
 
+HIDDEN = [
+    "SELECT x FROM secret WINDOW w AS (ORDER BY x), secret AS (ORDER BY x)",
+    "SELECT x FROM secret WHERE NOT EXISTS (WITH secret AS (SELECT 1 AS a) SELECT a FROM secret WHERE a = 2)",
+    "WITH identifier AS (SELECT 1 AS a) SELECT x FROM IDENTIFIER('secret')",
+    "SELECT l.Level FROM logs l, IDENTIFIER('default.kept') k",
+    "SELECT x FROM kept",
+    "SELECT x FROM global_temp.shown",
+    "SELECT (SELECT max(x) FROM kept) FROM logs",
+    "SELECT count(*) FROM logs WHERE EXISTS (SELECT 1 FROM kept)",
+    "SELECT k.x FROM logs, LATERAL (SELECT x FROM kept) k",
+    "WITH logs AS (SELECT x FROM kept) SELECT * FROM logs",
+    "WITH RECURSIVE t(n) AS (SELECT x FROM kept UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT t.n FROM t, logs",
+    "SELECT Level FROM logs) UNION ALL (SELECT CAST(x AS string) FROM kept",
+    "SELECT Level FROM logs ORDER BY (SELECT max(x) FROM kept)",
+    "SELECT Level FROM logs GROUP BY Level HAVING count(*) > (SELECT min(x) FROM kept)",
+]
+CALLS = [
+    "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM logs",
+    "SELECT Level FROM logs WHERE try_reflect('java.lang.System', 'getenv', 'HOME') = ''",
+    "SELECT Level FROM logs WHERE Level IN (SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM logs)",
+    "SELECT max(reflect('java.lang.System', 'getenv', 'HOME')) FROM logs",
+    "SELECT TRANSFORM(Level) USING 'cat' AS (a) FROM logs",
+    "SELECT mine(Level) FROM logs",
+]
+COMMANDS = [
+    "INSERT INTO kept SELECT 9",
+    "WITH a AS (SELECT 9) INSERT INTO kept SELECT * FROM a",
+    "FROM logs INSERT INTO kept SELECT 9",
+    "CACHE TABLE logs",
+    "SHOW TABLES",
+    "SET",
+    "EXPLAIN SELECT 1",
+    "CREATE TABLE more AS SELECT * FROM logs",
+    "SELECT 1; DROP TABLE kept",
+]
+NOT_LOGS = ["SELECT 1", "WITH logs AS (SELECT 1 AS x) SELECT * FROM logs", "SELECT * FROM VALUES (1)", "SELECT * FROM explode(array(1, 2))", "SELECT * FROM logs, stack(2, 1, 2)", "SELECT * FROM logs, range(3)", "SELECT nope FROM logs", "", " ; "]
+SERVED = [
+    ("SELECT RecordID, explode(split(Details, ' ¦ ')) AS part FROM logs", 2),
+    ("SELECT RecordID, part FROM logs LATERAL VIEW OUTER explode(split(Details, ' ¦ ')) t AS part", 2),
+    ("SELECT RecordID, part FROM logs, LATERAL explode(split(Details, ' ¦ ')) AS t(part)", 2),
+    ("SELECT Level, Computer, count(*) FROM logs GROUP BY CUBE (Level, Computer)", 4),
+    ("SELECT *, row_number() OVER (PARTITION BY Computer ORDER BY RecordID) AS nth FROM logs", 1),
+    ("SELECT * FROM (SELECT Level, Computer FROM logs) PIVOT (count(*) FOR Level IN ('high', 'crit'))", 1),
+    ("SELECT RecordID FROM logs WHERE Computer IN (SELECT Computer FROM logs)", 1),
+    ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT t.n, Level FROM t, logs", 3),
+    ("FROM logs |> WHERE RecordID <> '' |> SELECT RecordID", 1),
+    ("SELECT Level, Level FROM logs /* secret */ ; ", 1),
+    ("TABLE logs", 1),
+]
+
+
+def test_free_sql_by_its_plan(spark):
+    logs = frame(spark, row(details="A: b ¦ C: d"))
+    spark.range(1).toDF("x").createOrReplaceTempView("secret")
+    spark.range(1).toDF("x").createOrReplaceGlobalTempView("shown")
+    spark.range(1).toDF("x").write.mode("overwrite").saveAsTable("kept")
+    spark.udf.register("mine", lambda x: x)
+    for text in HIDDEN + CALLS + COMMANDS + NOT_LOGS:
+        with pytest.raises(ValueError):
+            free_sql.run_sql(logs, text)
+    assert spark.table("kept").count() == 1 and not spark.catalog.tableExists("more")
+    for text, n in SERVED:
+        assert free_sql.run_sql(logs, text).count() == n, text
+    spark.sql("DROP TABLE kept")
+
+
+def test_free_sql_leaves_the_session_alone_and_orders_pages(spark):
+    spark.range(3).toDF("own").createOrReplaceTempView("logs")
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    logs = frame(spark, *(row(record=str(i)) for i in range(9)))
+    page = free_sql.run_sql(logs, "SELECT RecordID FROM logs ORDER BY RecordID DESC", 3, 2)
+    assert [r.RecordID for r in page.collect()] == ["6", "5", "4"]
+    assert spark.table("logs").columns == ["own"] and spark.conf.get("spark.sql.runSQLOnFiles", "true") == before
+    for text in ("SELECT RecordID FROM logs", "SELECT * FROM (SELECT RecordID FROM logs ORDER BY 1) WHERE RecordID > '1'", "SELECT RecordID FROM logs SORT BY RecordID", "SELECT RecordID, ' order by ' FROM logs"):
+        with pytest.raises(ValueError):
+            free_sql.run_sql(logs, text, 3, 2)
+    for size, offset in ((0, 0), (501, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            free_sql.run_sql(logs, "TABLE logs", size, offset)
+
+
 def test_empty_tables(spark):
     logs = frame(spark)
     for out in (prof.analyze_rule_titles(logs), prof.by_window(logs), det.extract_iocs(logs), seq.lateral_pairs(logs), seq.clusters(logs), det.expand_events(logs)):

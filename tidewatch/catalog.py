@@ -167,6 +167,24 @@ u AS (SELECT s AS host FROM e UNION SELECT t FROM e EXCEPT SELECT host FROM r) S
 add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")
 add("ord_04_paged", lambda l: order.paged(l.select("Timestamp", "RuleTitle", "RecordID"), order.search_order(l.select("Timestamp", "RuleTitle", "RecordID")), "logs", 10))
 add("sql_01_free_sql", lambda l: free_sql.run_sql(l, "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle", 10), "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle LIMIT 10")
+add(
+    "sql_01_explode",
+    lambda l: free_sql.run_sql(
+        l,
+        """
+        WITH part AS (SELECT Computer, explode(split(Details, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL),
+        counted AS (SELECT Computer, split_part(pair, ': ', 1) AS name, count(*) AS n FROM part GROUP BY ALL)
+        SELECT Computer, name, n, rank() OVER (PARTITION BY name ORDER BY n DESC) AS place
+        FROM counted WHERE n > (SELECT min(n) FROM counted) ORDER BY Computer, name""",
+        100,
+        10,
+    ),
+    """
+    WITH part AS (SELECT Computer, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL),
+    counted AS (SELECT Computer, split_part(pair, ': ', 1) AS name, count(*) AS n FROM part GROUP BY ALL)
+    SELECT Computer, name, n, rank() OVER (PARTITION BY name ORDER BY n DESC) AS place
+    FROM counted WHERE n > (SELECT min(n) FROM counted) ORDER BY Computer, name LIMIT 100 OFFSET 10""",
+)
 
 # Evidence: accounting tables derived from the log by rule, in both engines
 RULES_SQL = """SELECT RuleTitle AS rule_title, count(*) AS count, max(CASE WHEN Level IN ('crit', 'high') THEN 1 ELSE 0 END) AS hot,
