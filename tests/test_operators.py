@@ -1,6 +1,9 @@
 import base64
+import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.functions import details as fn
 from tidewatch.functions.timestamps import lenient, strict
@@ -9,7 +12,7 @@ from tidewatch.operators import evidence as ev
 from tidewatch.operators import filters as flt
 from tidewatch.operators import profile as prof
 from tidewatch.operators import sequence as seq
-from tidewatch.plans import free_sql, order
+from tidewatch.plans import free_sql, order, ranges
 from tidewatch.sources import logs as src
 
 COLUMNS = "Timestamp string, RuleTitle string, Level string, Computer string, Channel string, EventID string, MitreTactics string, RecordID string, Details string, ExtraFieldInfo string"
@@ -208,15 +211,104 @@ def test_overview_path_and_tactics(spark):
     assert {r.Computer: r.tactics for r in prof.host_rank(logs).collect()} == {"A": 2, "B": 0}
 
 
-def test_segments_with_few_points(spark):
-    at = lambda d, h="A": row(ts=f"2024-01-{d:02} 00:00:00.000 +00:00", host=h)
-    out = seq.segments(frame(spark, at(1), at(5), at(9, "B"), at(1, "C"), at(1, "C"))).collect()
-    assert sorted((r.Computer, r.segment, r.start[:16], r.end[:16], r.points) for r in out) == [
-        ("A", 1, "2023-12-31 23:57", "2024-01-01 00:03", 1),
-        ("A", 2, "2024-01-04 23:57", "2024-01-05 00:03", 1),
-        ("B", 1, "2024-01-08 23:00", "2024-01-09 01:00", 1),
-        ("C", 1, "2023-12-31 23:59", "2024-01-01 00:01", 2),
-    ]
+def test_segments_of_one_list(spark):
+    at = lambda d, h="A", t="00:00:00.000": row(ts=f"2024-01-{d:02} {t} +00:00", host=h)
+
+    def found(*rows):
+        return [(r.segment, r.start[:16], r.end[:16], r.points) for r in seq.segments(frame(spark, *rows)).orderBy("segment").collect()]
+
+    assert found() == found(row(ts="never")) == []
+    assert found(at(8)) == [(1, "2024-01-07 23:00", "2024-01-08 01:00", 1)]
+    assert found(at(1), at(1, "B")) == [(1, "2023-12-31 23:59", "2024-01-01 00:01", 2)]
+    # Rows of all hosts are one list; two gaps, equal ones: the first is the break.
+    assert found(at(1), at(9, "B"), at(5)) == [(1, "2023-12-31 23:57", "2024-01-01 00:03", 1), (2, "2024-01-04 19:12", "2024-01-09 04:48", 2)]
+    assert found(at(1), at(2), at(3), at(4, "B")) == [(1, "2023-12-31 22:33", "2024-01-04 01:26", 4)]
+    # Equal times are gaps of nothing, which count for the median.
+    assert found(at(1), at(1), at(1), at(1), at(2)) == [(1, "2023-12-31 23:59", "2024-01-01 00:01", 4), (2, "2024-01-01 23:57", "2024-01-02 00:03", 1)]
+
+
+def segments_of(times):
+    """The rule again, over a sorted list of microseconds."""
+    times, hour = sorted(times), 3_600_000_000
+    gaps = [b - a for a, b in zip(times, times[1:], strict=False)]
+    middle = (sorted(gaps)[(len(gaps) - 1) // 2] + sorted(gaps)[len(gaps) // 2]) / 2
+    cuts = [0, *(i + 1 for i, g in enumerate(gaps) if g > 5 * middle), len(times)]
+    parts = [times[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    share = lambda p: (p[-1] - p[0]) / 50 if len(parts) == 1 else (p[-1] - p[0] if len(p) > 1 else hour) / 20
+    pads = [max(round(share(p)), 60_000_000) for p in parts]
+    return [(i + 1, p[0] - pad, p[-1] + pad, len(p)) for i, (p, pad) in enumerate(zip(parts, pads, strict=True))]
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables keep their several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_segments_over_many_ranges(spark, many_ranges):
+    rng = random.Random(4)
+    times, now = [], 1_700_000_000_000
+    for _ in range(3000):  # milliseconds: bursts, repeats and pauses
+        now += rng.choice([0, 0, 1, 5, 40, 40, 60, 150, 900]) if rng.random() < 0.97 else rng.randrange(10**6)
+        times.append(now)
+    rng.shuffle(times)
+    text = lambda ms: (dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)).isoformat(" ", "milliseconds") + " +00:00"
+    logs = frame(spark, *(row(ts=text(ms)) for ms in times)).repartition(7)
+    micros = lambda t: int((dt.datetime.fromisoformat(t) - dt.datetime(1970, 1, 1)) / dt.timedelta(milliseconds=1))
+    got = [(r.segment, micros(r.start), micros(r.end), r.points) for r in seq.segments(logs).orderBy("segment").collect()]
+    assert got == [(i, a // 1000, b // 1000, n) for i, a, b, n in segments_of([1000 * t for t in times])] and len(got) > 20
+
+
+def test_ranges(spark, many_ranges):
+    rows = [(i * 7919 % 1000, i % 13) for i in range(1000)]
+    data = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    total = {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
+    held = ranges.in_ranges(data, F.col("k"))
+    assert held.select("_part").distinct().count() > 1
+    assert {r.k: r.s for r in ranges.running(held, s=F.col("v")).collect()} == total
+    assert {r.k: r.before for r in ranges.previous(held, "k", "before").collect()} == {k: k - 1 if k else None for k, _ in rows}
+    assert all(r.n == r.k + 1 for r in ranges.numbered(data, "n", F.col("k")).collect())
+    counts = spark.createDataFrame([(5, 3), (1, 2), (9, 1)], "x long, n long")  # 1 1 5 5 5 9
+    assert ranges.median(counts, "x", "n") == 5 and ranges.median(counts.where("x <> 9 AND x <> 1"), "x", "n") == 5
+    assert ranges.median(counts.where("x <> 5").union(spark.createDataFrame([(9, 1)], "x long, n long").withColumn("x", F.lit(20))), "x", "n") == 5
+    assert ranges.median(counts.limit(0), "x", "n") is None and ranges.numbered(data.limit(0), "n", F.col("k")).count() == 0
+
+
+def test_burst_is_shared_out_among_cells(spark, monkeypatch):
+    one = [row(ts=f"2024-01-01 00:{i % 10:02}:{i % 60:02}.000 +00:00", host=f"H{i % 20}", record=str(i)) for i in range(4000)]
+    more = [row(ts=f"2024-01-0{2 + i % 3} 0{i % 9}:00:00.000 +00:00", host=f"H{i % 20}", record=str(i)) for i in range(60)]
+    logs = frame(spark, *one, *more)
+    for side in (100, 2000):
+        rows = logs.select(F.substring("Timestamp", 1, 10).alias("day"), "Computer", "RecordID")
+        a, b = seq.in_cells(rows.where("Computer = 'H1'"), rows.where("Computer <> 'H1'"), "day", side)
+        for part, whole in ((a, 203), (b, 3857)):
+            assert part.groupBy("day", "cell").count().agg(F.max("count")).first()[0] < 1.4 * side
+            assert part.select("day", "Computer", "RecordID").distinct().count() == whole
+        met = a.alias("a").join(b.alias("b"), ["day", "cell"]).groupBy("a.RecordID", "b.RecordID", "day").count()
+        want = rows.where("Computer = 'H1'").alias("a").join(rows.where("Computer <> 'H1'").alias("b"), "day").count()
+        assert met.count() == want and met.where("count > 1").isEmpty()
+    few = frame(spark, *one[:300], *more)
+    pairs = sorted(map(tuple, seq.lateral_pairs(few, 5).collect()))
+    monkeypatch.setattr(seq.in_cells, "__defaults__", (17,))
+    assert sorted(map(tuple, seq.lateral_pairs(few, 5).collect())) == pairs and len(pairs) > 10_000
+
+
+def test_layers_follow_first_appearance(spark):
+    moves = [(3, "Y", "X"), (1, "M", "B"), (2, "B", "A"), (4, "Z", "Y"), (5, "A", "M"), (6, "Q", "B"), (7, "M", "C"), (8, "C", "C")]
+    out = seq.layers(spark.createDataFrame(moves, "i int, SourceHost string, TargetHost string"), "i").collect()
+    assert {r.host: r.layer for r in out} == {"M": 0, "B": 1, "C": 1, "A": 2, "Y": 3, "X": 4, "Z": 5, "Q": 6}
+    assert len(out) == 8 and seq.layers(spark.createDataFrame([], "i int, SourceHost string, TargetHost string"), "i").count() == 0
+
+
+def test_tactics_by_code_and_source(spark):
+    logs = frame(spark, row(tactics="Exec ¦ Evas", ts="2024-01-02 00:00:00.000 +00:00", details="late"), row(tactics="Exec", ts="bad"), row(tactics="LatMov", host="B"))
+    got = {r.Phase: r.Details for r in seq.first_per_tactic(logs, ["Exec", "Exe", "Nope", "Exec"], "DETAILS").collect()}
+    assert got == {"Execution": "late", "Exe": "late"}
+    assert seq.first_per_tactic(logs, []).count() == 0
+    with pytest.raises(ValueError):
+        seq.first_per_tactic(logs, None, "AllFieldInfo")
 
 
 def test_event_details(spark):

@@ -128,20 +128,49 @@ SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(dec
 TACTIC_SQL = "t AS (SELECT l.*, x.tactic FROM logs l JOIN (VALUES " + ", ".join(f"('{c}')" for c in fn.TACTICS) + ") x(tactic) ON strpos(MitreTactics, x.tactic) > 0)"
 _PHASE = "CASE tactic " + " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in fn.TACTICS.items()) + " END"
 add("join_01_tactics", lambda l: seq.tactic_rows(l).groupBy("tactic").count(), f"WITH {TACTIC_SQL} SELECT tactic, count(*) AS count FROM t GROUP BY 1")
-add("win_01_first_per_tactic", seq.first_per_tactic, f"""WITH {TACTIC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY tactic ORDER BY {TS} NULLS LAST, Computer, RuleTitle, RecordID, Details NULLS LAST) AS nth FROM t)
-SELECT {_PHASE} AS Phase, "Timestamp" AS FirstSeen, Computer, RuleTitle AS Event, Details FROM r WHERE nth = 1""")
+_FIRST_SQL = """
+    r AS (
+        SELECT *, row_number() OVER (PARTITION BY tactic ORDER BY {ts} NULLS LAST, "Timestamp", Computer, RuleTitle, Details NULLS LAST) AS nth FROM t
+    )
+    SELECT {phase} AS Phase, "Timestamp" AS FirstSeen, Computer, RuleTitle AS Event, Details FROM r WHERE nth = 1"""
+add("win_01_first_per_tactic", seq.first_per_tactic, f"WITH {TACTIC_SQL}, {_FIRST_SQL.format(ts=TS, phase=_PHASE)}")
+add(
+    "win_02_filtered_tactics",
+    lambda l: seq.first_per_tactic(l, ["LatMov", "Exe", "Evas", "Unheard", "LatMov"], "details"),
+    """
+    WITH t AS (
+        SELECT l.*, x.tactic FROM logs l JOIN (VALUES ('LatMov'), ('Exe'), ('Evas'), ('Unheard')) x(tactic) ON strpos(MitreTactics, x.tactic) > 0
+    ), """
+    + _FIRST_SQL.format(ts=TS, phase=_PHASE.replace(" END", " ELSE tactic END")),
+)
 add("agg_25_tactic_flow", seq.tactic_flow, f"""WITH {TACTIC_SQL}, g AS (SELECT tactic, count(*) AS event_count, count(DISTINCT Computer) AS hosts, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen FROM t GROUP BY 1) SELECT *, lead(tactic) OVER (ORDER BY first_seen, tactic) AS next_tactic FROM g""")
 CLUSTER_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
 m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM d), n AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)"""
 add("win_03_clusters", seq.clusters, f"""WITH {CLUSTER_SQL} SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end" FROM n GROUP BY n""")
-add("win_04_segments", seq.segments, f"""WITH x AS (SELECT Computer, epoch_us({TS}) AS us FROM logs), g AS (SELECT *, us - lag(us) OVER (PARTITION BY Computer ORDER BY us) AS gap FROM x WHERE us IS NOT NULL),
-h AS (SELECT Computer, median(gap) AS md, max(gap) AS mx, count(gap) AS c, max(us) - min(us) AS span FROM g GROUP BY 1),
-f AS (SELECT Computer, min(us) AS best FROM g JOIN h USING (Computer) WHERE gap = mx GROUP BY 1),
-b AS (SELECT g.*, c, span, CASE WHEN c >= 3 THEN gap > 5 * md AND gap > 0 ELSE gap = mx AND us = best AND gap > 0.3 * span END AS new FROM g JOIN h USING (Computer) LEFT JOIN f USING (Computer)),
-s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY us) + 1 AS segment FROM b),
-o AS (SELECT Computer, segment, min(us) AS a, max(us) AS z, count(*) AS points, any_value(c) AS c, any_value(span) AS span, max(segment) OVER (PARTITION BY Computer) AS parts FROM s GROUP BY 1, 2),
-p AS (SELECT *, CASE WHEN c = 0 THEN 3600000000 WHEN parts = 1 THEN greatest(span // 50, 60000000) ELSE greatest((CASE WHEN points > 1 THEN z - a ELSE 3600000000 END) // 20, 60000000) END AS pad FROM o)
-SELECT Computer, CAST(segment AS BIGINT) AS segment, strftime(make_timestamp(CAST(a - pad AS BIGINT)), '%Y-%m-%d %H:%M:%S.%g') AS "start", strftime(make_timestamp(CAST(z + pad AS BIGINT)), '%Y-%m-%d %H:%M:%S.%g') AS "end", points FROM p""")
+add(
+    "win_04_segments",
+    seq.segments,
+    f"""
+    WITH g AS (
+        SELECT us, us - lag(us) OVER (ORDER BY us) AS gap, row_number() OVER (ORDER BY us) AS i
+        FROM (SELECT epoch_us({TS}) AS us FROM logs) WHERE us IS NOT NULL
+    ), h AS (
+        SELECT count(*) AS n, median(gap) AS middle, max(gap) AS most, max(us) - min(us) AS span FROM g
+    ), f AS (
+        SELECT min(i) AS best FROM g, h WHERE gap = most
+    ), b AS (
+        SELECT g.*, n, CASE WHEN n > 3 THEN gap > 5 * middle AND gap > 0 ELSE i = best AND gap / span > 0.3 END AS broken FROM g, h, f
+    ), s AS (
+        SELECT *, CAST(sum(CASE WHEN broken THEN 1 ELSE 0 END) OVER (ORDER BY i) AS BIGINT) + 1 AS segment FROM b
+    ), o AS (
+        SELECT segment, min(us) AS a, max(us) AS z, count(*) AS points, any_value(n) AS n FROM s GROUP BY 1
+    ), p AS (
+        SELECT *, CAST(CASE WHEN n = 1 THEN 3600000000 WHEN points = n THEN greatest(round_even((z - a) / 50.0, 0), 60000000)
+            ELSE greatest(round_even((CASE WHEN points > 1 THEN z - a ELSE 3600000000 END) / 20.0, 0), 60000000) END AS BIGINT) AS pad FROM o
+    )
+    SELECT segment, strftime(make_timestamp(a - pad), '%Y-%m-%d %H:%M:%S.%g') AS "start",
+        strftime(make_timestamp(z + pad), '%Y-%m-%d %H:%M:%S.%g') AS "end", points FROM p""",
+)
 add("win_06_rule_samples", seq.rule_samples, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RuleTitle ORDER BY "Timestamp", Computer, RecordID, Channel, Details NULLS LAST) AS nth FROM logs) SELECT RuleTitle, nth, "Timestamp", Computer, RecordID FROM r WHERE nth <= 2""")
 add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")), """SELECT "Timestamp", Computer, Level, RuleTitle, EventID, Channel, RecordID, MitreTactics, Details, ExtraFieldInfo FROM logs WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
 add("win_09_event_representatives", seq.event_representatives, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RecordID, Computer, Channel ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, RuleTitle, "Timestamp", Details NULLS LAST) AS nth FROM logs) SELECT RecordID, Computer, Channel, RuleTitle, Level, "Timestamp" FROM r WHERE nth = 1""")
@@ -159,9 +188,28 @@ SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_t
 _RK = "CASE {} WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 add("agg_24_edge_stats", lambda l: seq.edge_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost, TargetHost, count(*) AS count, max(greatest({_RK.format("SourceLevel")}, {_RK.format("TargetLevel")})) AS rank FROM p GROUP BY ALL)
 SELECT e.SourceHost, e.TargetHost, e.count, r.SourceHost IS NOT NULL AS reverse, e.rank, least(e.count + 1, 8) AS width FROM e LEFT JOIN e r ON r.SourceHost = e.TargetHost AND r.TargetHost = e.SourceHost""")
-add("grf_01_layers", lambda l: seq.layers(l.select(F.col("Computer").alias("SourceHost"), F.expr("'HOST-' || (cast(substring(Computer, 6) as int) + 7) % 20").alias("TargetHost")), "HOST-3"), """WITH RECURSIVE e AS (SELECT DISTINCT Computer AS s, 'HOST-' || ((CAST(substr(Computer, 6) AS INT) + 7) % 20) AS t FROM logs),
-w AS (SELECT 'HOST-3' AS host, 0 AS layer UNION SELECT e.t, w.layer + 1 FROM w JOIN e ON e.s = w.host WHERE w.layer < 19), r AS (SELECT host, min(layer) AS layer FROM w GROUP BY 1),
-u AS (SELECT s AS host FROM e UNION SELECT t FROM e EXCEPT SELECT host FROM r) SELECT * FROM r UNION ALL SELECT host, (SELECT max(layer) FROM r) + row_number() OVER (ORDER BY host) FROM u""")
+_TARGET = "'HOST-' || (CAST(substring(Computer, 6) AS int) + 4) % 20"
+add(
+    "grf_01_layers",
+    lambda l: seq.layers(l.select("Timestamp", "RecordID", F.col("Computer").alias("SourceHost"), F.expr(_TARGET).alias("TargetHost")), "Timestamp", "RecordID"),
+    """
+    WITH RECURSIVE m AS (
+        SELECT "Timestamp" AS t, RecordID AS r, Computer AS s, 'HOST-' || ((CAST(substr(Computer, 6) AS INT) + 4) % 20) AS d FROM logs
+    ), met AS (
+        SELECT s AS host, row_number() OVER (ORDER BY t, r, s, d) * 2 AS nth FROM m
+        UNION ALL SELECT d, row_number() OVER (ORDER BY t, r, s, d) * 2 + 1 FROM m
+    ), met_first AS (
+        SELECT host, min(nth) AS nth FROM met GROUP BY 1
+    ), w AS (
+        SELECT host, 0 AS layer FROM met_first WHERE nth = (SELECT min(nth) FROM met_first)
+        UNION SELECT e.d, w.layer + 1 FROM w JOIN (SELECT DISTINCT s, d FROM m) e ON e.s = w.host WHERE w.layer < 19
+    ), reached AS (
+        SELECT host, min(layer) AS layer FROM w GROUP BY 1
+    )
+    SELECT * FROM reached
+    UNION ALL SELECT host, CAST((SELECT max(layer) FROM reached) + row_number() OVER (ORDER BY nth) AS INT) FROM met_first
+        WHERE host NOT IN (SELECT host FROM reached)""",
+)
 
 # Order and pages
 add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")

@@ -8,22 +8,35 @@ from pyspark.sql.window import Window
 
 from ..functions.details import TACTICS, level_rank, phase
 from ..functions.timestamps import strict
+from ..plans import ranges
+from ..sources.logs import resolve_detail_source
+from ..sources.shared import stored
 from .filters import lateral_default
 from .profile import active_days
 
 GUARD = 10_000_000
+#: Rows of either side that one cell of a join holds, about.
+SIDE = 2_000
 
 
-def tactic_rows(df: DataFrame) -> DataFrame:
-    """Rows by tactic code, matched as a substring; the codes are a fixed table of fourteen."""
-    codes = df.sparkSession.createDataFrame([(c,) for c in TACTICS], "tactic string")
+def tactic_rows(df: DataFrame, tactics: list[str] | None = None) -> DataFrame:
+    """Rows by tactic code, matched as a substring; the codes are the fixed table of fourteen, or those given."""
+    codes = df.sparkSession.createDataFrame([(c,) for c in (TACTICS if tactics is None else tactics)], "tactic string")
     return df.join(F.broadcast(codes), F.instr("MitreTactics", F.col("tactic")) > 0)
 
 
-def first_per_tactic(df: DataFrame) -> DataFrame:
-    order = Window.partitionBy("tactic").orderBy(strict(F.col("Timestamp")).asc_nulls_last(), "Computer", "RuleTitle", "RecordID", F.asc_nulls_last("Details"))
-    rows = tactic_rows(df).withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return rows.select(phase(F.col("tactic")).alias("Phase"), F.col("Timestamp").alias("FirstSeen"), "Computer", F.col("RuleTitle").alias("Event"), "Details")
+def first_per_tactic(df: DataFrame, tactics: list[str] | None = None, detail_source: str = "Details") -> DataFrame:
+    """The first row of each tactic by time (unparsed last), then by time text, host, rule and details.
+
+    Codes given that the table does not know stand for themselves; a code given twice counts once. The details come from the column
+    that `detail_source` names, in any case. Rows that tie in all of these look alike.
+    """
+    details = resolve_detail_source(df, detail_source)
+    tactics = None if tactics is None else list(dict.fromkeys(tactics))
+    keys = ["Timestamp", "Computer", "RuleTitle", details]
+    order = Window.partitionBy("tactic").orderBy(strict(F.col("Timestamp")).asc_nulls_last(), *[F.asc_nulls_last(k) for k in keys])
+    rows = tactic_rows(df, tactics).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return rows.select(phase(F.col("tactic")).alias("Phase"), F.col("Timestamp").alias("FirstSeen"), "Computer", F.col("RuleTitle").alias("Event"), F.col(details).alias("Details"))
 
 
 def tactic_flow(df: DataFrame) -> DataFrame:
@@ -44,29 +57,35 @@ def clusters(df: DataFrame, levels: tuple[str, ...] = ("high", "crit"), gap: int
 
 
 def segments(df: DataFrame) -> DataFrame:
-    """Segments of each host's timeline with padded start and end: (Computer, segment, start, end, points).
+    """Segments of the whole timeline with padded start and end: (segment, start, end, points).
+
+    All rows form one ordered list, whatever their host. With three gaps or more, a gap over five times their median is a
+    break; with fewer, the first of the largest ones, if it is over 30 % of the span. Segments are padded by 5 % of
+    their length (a single row counts as an hour), an unbroken timeline by 2 %, a minute at least; a timeline of
+    a single row by an hour. Rows without a parsed time do not count.
 
-    With three gaps or more, a gap over five times the median is a break; with fewer, the largest one, if it is
-    over 30 % of the span. Segments are padded by 5 % of their length (a single point counts as an hour), an
-    unbroken timeline by 2 %, a minute at least; a host's single row by an hour. Equal times stay.
+    Rows of one time are counted first; the times are then sorted by ranges, and gaps, their median and the numbers
+    of segments pass from range to range, so that no task sees the whole list.
     """
-    order = Window.partitionBy("Computer").orderBy("us")
-    times = df.select("Computer", F.unix_micros(strict(F.col("Timestamp"))).alias("us")).where("us is not null")
-    gaps = times.withColumn("gap", F.col("us") - F.lag("us").over(order))
-    top = F.max(F.struct("gap", (-F.col("us")).alias("at")))
-    hosts = gaps.groupBy("Computer").agg(F.median("gap").alias("m"), F.count("gap").alias("g"), (F.max("us") - F.min("us")).alias("span"), top.alias("top"))
-    many = (F.col("gap") > 5 * F.col("m")) & (F.col("gap") > 0)
-    few = (F.col("gap") == F.col("top.gap")) & (F.col("us") == -F.col("top.at")) & (F.col("gap") > 0.3 * F.col("span"))
-    broken = F.coalesce(F.when(F.col("g") >= 3, many).otherwise(few), F.lit(False)).cast("int")
-    # Rows of one time share a sum: the default frame of an ordered window.
-    marked = gaps.join(hosts, "Computer").withColumn("segment", F.sum(broken).over(order) + 1)
-    out = marked.groupBy("Computer", "segment").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count(F.lit(1)).alias("points"), F.first("g").alias("g"), F.first("span").alias("span"))
-    out = out.withColumn("parts", F.max("segment").over(Window.partitionBy("Computer")))
+    times = df.select(F.unix_micros(strict(F.col("Timestamp"))).alias("us")).where("us is not null").groupBy("us").agg(F.count(F.lit(1)).alias("n"))
+    gaps = ranges.previous(ranges.in_ranges(times, F.col("us")), "us", "before").withColumn("gap", F.col("us") - F.col("before"))
+    # A time with n rows stands for n - 1 gaps of nothing.
+    none = gaps.agg(F.lit(0).cast("long").alias("gap"), F.sum(F.col("n") - 1).alias("n")).where("n > 0")
+    counted = gaps.where("gap is not null").groupBy("gap").agg(F.count(F.lit(1)).alias("n")).unionByName(none)
+    first_largest = F.max(F.struct("gap", (-F.col("us")).alias("at")))
+    rows, span, top = gaps.agg(F.sum("n"), F.max("us") - F.min("us"), first_largest).first()
+    if (rows or 0) > 3:
+        broken = F.col("gap") > 5 * ranges.median(counted, "gap", "n")
+    else:
+        broken = (F.col("us") == -top.at) & (F.col("gap") / span > 0.3) if top and span else F.lit(False)
+    marked = ranges.running(gaps, breaks=broken.cast("long"))
+    out = marked.groupBy((F.col("breaks") + 1).alias("segment")).agg(F.min("us").alias("a"), F.max("us").alias("b"), F.sum("n").alias("points"))
     minute, hour = 60_000_000, 3_600_000_000
     length = F.when(F.col("points") > 1, F.col("b") - F.col("a")).otherwise(F.lit(hour))
-    pad = F.when(F.col("g") == 0, F.lit(hour)).when(F.col("parts") == 1, F.greatest(F.expr("span div 50"), F.lit(minute))).otherwise(F.greatest(F.floor(length / 20), F.lit(minute)))
+    part = lambda us, n: F.greatest(F.bround(us / F.lit(float(n))), F.lit(float(minute)))
+    pad = F.when(F.col("points") < rows, part(length, 20)).otherwise(F.lit(float(hour)) if rows == 1 else part(F.col("b") - F.col("a"), 50)).cast("long")
     text = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSS")
-    return out.select("Computer", "segment", text(F.col("a") - pad).alias("start"), text(F.col("b") + pad).alias("end"), "points")
+    return out.select("segment", text(F.col("a") - pad).alias("start"), text(F.col("b") + pad).alias("end"), "points")
 
 
 def rule_samples(df: DataFrame, rows: int = 2) -> DataFrame:
@@ -91,20 +110,48 @@ def _moves(df: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("us", F.unix_micros(strict(F.col("Timestamp")))).where("us is not null")
 
 
+def in_cells(a: DataFrame, b: DataFrame, key: str, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on a key, cut finer where a key has many rows: they meet on the key and a column `cell`.
+
+    Where a key has more than `side` rows on either side, the rows of each side are dealt by a hash of all their columns into parts of
+    about `side` rows, and each part of one side meets each part of the other in a cell of its own. Parts follow from
+    counts of each key, and a row goes to as many cells as the other side has parts there: one, for most keys.
+    """
+    count = lambda df, n, m: df.groupBy(key).agg(F.count(F.lit(n)).alias("n_a"), F.count(F.lit(m)).alias("n_b"))
+    sizes = count(a, 1, None).union(count(b, None, 1)).groupBy(key).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    full = sizes.where(((F.col("n_a") > side) | (F.col("n_b") > side)) & (F.col("n_a") > 0) & (F.col("n_b") > 0))
+    parts = full.select(key, F.ceil(F.col("n_a") / side).alias("_pa"), F.ceil(F.col("n_b") / side).alias("_pb"))
+
+    def dealt(df: DataFrame, own: str, cells) -> DataFrame:
+        row = F.xxhash64(*df.columns)
+        out = df.join(parts, key, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_pa", "_pb")})
+        out = out.withColumn("_part", F.pmod(row, F.col(own)))
+        return out.withColumn("cell", F.explode(cells)).drop("_pa", "_pb", "_part")
+
+    begin = F.col("_part") * F.col("_pb")
+    across = F.transform(F.sequence(F.lit(0), F.col("_pa") - 1), lambda i: i * F.col("_pb") + F.col("_part"))
+    return dealt(a, "_pa", F.sequence(begin, begin + F.col("_pb") - 1)), dealt(b, "_pb", across)
+
+
 def lateral_pairs(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), source: str = "", target: str = "") -> DataFrame:
     """Pairs of rows on different hosts, the second within the window after the first.
 
     Times are cut into buckets as wide as the window. A row meets the rows of its own bucket and of the
-    next, so the interval join is an equi-join that hot buckets do not leave one task with: AQE splits them.
+    next, so the interval join is an equi-join. A bucket with a burst of rows is cut into cells that hold about SIDE
+    rows of each side, so its pairs are shared out among tasks.
     """
     if not 1 <= minutes <= 1440:
         raise ValueError("the window is 1 to 1440 minutes")
     width = minutes * 60_000_000
     rows = _moves(df, levels).withColumn("bucket", F.floor(F.col("us") / width))
-    a = rows.where(F.col("Computer").contains(source)).select("bucket", F.col("us").alias("sus"), F.col("Timestamp").alias("SourceTime"), F.col("Computer").alias("SourceHost"), F.col("RuleTitle").alias("SourceEvent"), F.col("Level").alias("SourceLevel"))
-    b = rows.where(F.col("Computer").contains(target)).select(F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("us").alias("tus"), F.col("Timestamp").alias("TargetTime"), F.col("Computer").alias("TargetHost"), F.col("RuleTitle").alias("TargetEvent"), F.col("Level").alias("TargetLevel"))
-    pairs = a.join(b, "bucket").where(f"SourceHost <> TargetHost AND tus BETWEEN sus AND sus + {width}")
-    return pairs.select("SourceTime", "SourceHost", "SourceEvent", "SourceLevel", "TargetTime", "TargetHost", "TargetEvent", "TargetLevel", F.round((F.col("tus") - F.col("sus")) / 60_000_000.0, 1).alias("DeltaMinutes"))
+    number = F.xxhash64(*df.columns).alias("row")  # tells rows apart that look alike below
+    side = lambda at, end: [F.col("us").alias(at), number, *(F.col(c).alias(f"{end}{n}") for c, n in (("Timestamp", "Time"), ("Computer", "Host"), ("RuleTitle", "Event"), ("Level", "Level")))]
+    a = rows.where(F.col("Computer").contains(source)).select("bucket", *side("sus", "Source"))
+    b = rows.where(F.col("Computer").contains(target)).select(F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), *side("tus", "Target"))
+    a, b = in_cells(a, b, "bucket")
+    pairs = a.drop("row").join(b.drop("row"), ["bucket", "cell"]).where(f"SourceHost <> TargetHost AND tus BETWEEN sus AND sus + {width}")
+    delta = F.round((F.col("tus") - F.col("sus")) / 60_000_000.0, 1).alias("DeltaMinutes")
+    return pairs.select(*(f"{end}{n}" for end in ("Source", "Target") for n in ("Time", "Host", "Event", "Level")), delta)
 
 
 def lateral_bound(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), source: str = "", target: str = "") -> DataFrame:
@@ -148,16 +195,24 @@ def node_stats(moves: DataFrame) -> DataFrame:
     return ends.groupBy("host").agg(F.sum("s").alias("as_source"), F.sum("t").alias("as_target"), F.count(F.lit(1)).alias("event_count"), F.max("rank").alias("rank"))
 
 
-def layers(edges: DataFrame, root: str) -> DataFrame:
-    """(host, layer): breadth-first distance from a host; each round is checkpointed. Hosts never reached get further layers, by name."""
-    pairs = edges.select("SourceHost", "TargetHost").distinct().checkpoint()
-    seen = edges.sparkSession.createDataFrame([(root, 0)], "host string, layer int")
-    front, n = seen, 0
-    while True:
+def layers(moves: DataFrame, *order: str) -> DataFrame:
+    """(host, layer) of movements in the order of given columns: breadth-first distance from the source of the first one.
+
+    Hosts that are never reached get a further layer each, in the order in which they first appear (in one movement the source
+    before the target). Columns of `order` that tie are settled by the hosts' names. Each round is stored.
+    """
+    end = lambda n, host: F.struct(F.lit(n).alias("end"), F.col(host).alias("host"))
+    ends = F.array(end(0, "SourceHost"), end(1, "TargetHost"))
+    met = moves.select(F.struct(*order, "SourceHost", "TargetHost").alias("at"), F.explode(ends).alias("e"))
+    hosts = stored(met.where("e.host is not null").groupBy("e.host").agg(F.min(F.struct("at", "e.end")).alias("first")))
+    pairs = stored(moves.select("SourceHost", "TargetHost").dropna().distinct())
+    seen = hosts.orderBy("first").limit(1).select("host", F.lit(0).alias("layer"))
+    front, n = stored(seen), 0
+    seen = front
+    while not front.isEmpty():
         n += 1
-        front = pairs.join(front.select("host"), pairs.SourceHost == F.col("host")).select(F.col("TargetHost").alias("host")).distinct().join(seen, "host", "left_anti").withColumn("layer", F.lit(n)).checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.union(front).checkpoint()
-    rest = pairs.select(F.explode(F.array("SourceHost", "TargetHost")).alias("host")).distinct().join(seen, "host", "left_anti")
-    return seen.union(rest.withColumn("layer", F.lit(n - 1).cast("int") + F.row_number().over(Window.orderBy("host"))))
+        front = pairs.join(front.select("host"), pairs.SourceHost == F.col("host")).select(F.col("TargetHost").alias("host")).distinct()
+        front = stored(front.join(seen, "host", "left_anti").withColumn("layer", F.lit(n)))
+        seen = stored(seen.union(front))
+    rest = ranges.numbered(hosts.join(seen, "host", "left_anti"), "nth", F.col("first"))
+    return seen.union(rest.select("host", (F.col("nth") + (n - 1)).cast("int").alias("layer")))
