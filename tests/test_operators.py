@@ -59,6 +59,67 @@ def test_pages_rebuild_the_whole(spark):
     assert order.paged(logs, by, "x", 10, 500).count() == 1
 
 
+def by_host(l, host="A", levels=("high",)):
+    return l.where((F.col("Computer") == host) & F.col("Level").isin(*levels))
+
+
+def test_one_query_has_one_identity(spark):
+    logs = frame(spark, *[row(host="AB"[i % 2], record=str(i)) for i in range(25)])
+    one = order.ask(by_host, logs)
+    assert {order.ask(by_host, logs, *a, **k).hash for a, k in ((("A",), {}), ((), {"levels": ["high"]}), ((), {"host": "A"}))} == {one.hash}
+    others = [order.ask(by_host, logs, "B"), order.ask(by_host, logs, levels=("high", "low")), order.ask(by_host, logs.select("Computer", "Level")), order.ask(by_host, logs, by=order.search_order)]
+    assert len({one.hash, *(o.hash for o in others)}) == 5
+    with pytest.raises(ValueError):
+        order.ask(lambda l: l, logs)
+    pages = [order.paged(one, size=5, offset=o).collect() for o in (0, 5, 10, 15)]
+    assert [len(p) for p in pages] == [5, 5, 3, 1] and {r.query_hash for p in pages for r in p} == {one.hash}
+    assert [r.RecordID for p in pages[:3] for r in p] == [r.RecordID for r in one.rows.orderBy(*one.order).collect()]
+    assert [(p[0].status, p[0].has_more, p[0].next_offset) for p in pages] == [("ok", True, 5), ("ok", True, 10), ("ok", False, None), ("no_data", False, None)]
+    assert pages[3][0].RecordID is None and pages[3][0].message
+    plain = [order.paged(t, order.total_order(logs), "x", 5).first().query_hash for t in (logs.where("Level = 'high'"), logs.where("Level = 'low'"), logs.where("Level = 'high'"))]
+    assert plain[0] == plain[2] != plain[1]
+
+
+def test_counts_are_kept_by_query_and_version(spark):
+    logs = frame(spark, *[row(record=str(i)) for i in range(12)])
+    asked, counts = order.ask(by_host, logs), order.Counts(2)
+    source = lambda **k: order.paged(asked, size=5, counts=counts, **k).first().count_source
+    assert [source(version="1"), source(version="1"), source(version="2"), source(version="1"), source()] == ["count_query", "cache", "count_query", "cache", "count_query"]
+    order.paged(order.ask(by_host, logs, "B"), version="1", counts=counts)  # the oldest, of version 2, goes
+    assert [source(version="1"), source(version="2")] == ["cache", "count_query"]
+    fits, wrong = order.Hint(99, asked.hash, "1"), order.Hint(99, "0" * 64, "1")
+    got = [order.paged(asked, size=5, offset=10, version="1", hint=h).first() for h in (fits, wrong)]
+    assert [(r.total_count, r.count_source, r.has_more) for r in got] == [(99, "hint", True), (12, "count_query", False)]
+    for bad in (order.Hint(-1, asked.hash, "1"), order.Hint(1, "", "1"), order.Hint(1, asked.hash, "")):
+        with pytest.raises(ValueError):
+            order.paged(asked, hint=bad)
+    open_ended = [order.paged(asked, size=6, offset=o, include_total=False).first() for o in (0, 6, 12)]
+    assert [(r.total_count, r.has_more, r.status) for r in open_ended] == [(None, True, "ok"), (None, True, "ok"), (None, False, "no_data")]
+    page = free_sql.sql_page(logs, "SELECT RecordID FROM logs ORDER BY RecordID", 5, 10, version="1").collect()
+    assert [(r.RecordID, r.total_count, r.has_more) for r in page] == [("8", 12, False), ("9", 12, False)]
+    assert order.paged(order.ask(by_host, logs, "B")).first().message == "No matching rows"
+
+
+def test_scans_disclose_what_they_leave_out(spark):
+    payload = base64.b64encode("dir".encode("utf-16le")).decode()
+    held = [row(ts=f"2024-01-{9 - i:02} 00:00:00.000 +00:00", details=f"powershell -enc {payload}", record=str(i)) for i in range(6)]
+    logs = frame(spark, *held, row(details="nothing"), row(details=None))
+    for most, status, n in ((4, "partial", 4), (6, "ok", 6), (9, "ok", 6)):
+        out = det.decode_first(logs, most).collect()
+        assert {(r.status, r.source_event_count) for r in out} == {(status, 6)} and len(out) == n
+    assert min(r.Timestamp for r in det.decode_first(logs, 2).collect()) == "2024-01-04 00:00:00.000 +00:00"
+    (none,) = det.decode_first(logs.where("Details = 'nothing'")).collect()
+    assert (none.status, none.source_event_count, none.DecodedCommand) == ("no_data", 0, None)
+
+
+def test_flow_techniques_belong_to_their_first_tactic(spark):
+    logs = frame(spark, row(tactics="Exec", ts="2024-01-03 00:00:00.000 +00:00"), row(tactics="Evas ¦ Exec", ts="2024-01-02 00:00:00.000 +00:00"), row(tactics="LatMov"))
+    tagged = logs.withColumn("MitreTags", F.expr("CASE WHEN MitreTactics = 'Exec' THEN 'T1 ¦ T2' WHEN MitreTactics = 'LatMov' THEN NULL ELSE 'T2' END"))
+    assert {r.tactic: (r.next_tactic, r.techniques) for r in seq.tactic_flow(tagged).collect()} == {"LatMov": ("Evas", ""), "Evas": ("Exec", "T2"), "Exec": (None, "T1")}
+    assert {tuple(r) for r in seq.flow_edges(tagged).collect()} == {("LatMov", "Evas", "flow"), ("Evas", "Exec", "flow"), ("Evas", "T2", "technique"), ("Exec", "T1", "technique")}
+    assert {r.techniques for r in seq.tactic_flow(logs).collect()} == {""}
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

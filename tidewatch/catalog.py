@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import details as fn
@@ -143,7 +146,29 @@ add(
     ), """
     + _FIRST_SQL.format(ts=TS, phase=_PHASE.replace(" END", " ELSE tactic END")),
 )
-add("agg_25_tactic_flow", seq.tactic_flow, f"""WITH {TACTIC_SQL}, g AS (SELECT tactic, count(*) AS event_count, count(DISTINCT Computer) AS hosts, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen FROM t GROUP BY 1) SELECT *, lead(tactic) OVER (ORDER BY first_seen, tactic) AS next_tactic FROM g""")
+FLOW_SQL = f"""
+    WITH {TACTIC_SQL}, g AS (
+        SELECT tactic, count(*) AS event_count, count(DISTINCT Computer) AS hosts, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen
+        FROM t GROUP BY 1
+    ), used AS (
+        SELECT DISTINCT tactic, unnest(string_split(MitreTags, ' ¦ ')) AS technique FROM t
+    ), own AS (
+        SELECT technique, tactic FROM used JOIN g USING (tactic)
+        QUALIFY row_number() OVER (PARTITION BY technique ORDER BY first_seen, tactic) = 1
+    ), held AS (
+        SELECT tactic, string_agg(technique, ', ' ORDER BY technique) AS techniques FROM own GROUP BY 1
+    ), flow AS (
+        SELECT g.*, coalesce(techniques, '') AS techniques, lead(tactic) OVER (ORDER BY first_seen, tactic) AS next_tactic
+        FROM g LEFT JOIN held USING (tactic)
+    )"""
+add("agg_25_tactic_flow", seq.tactic_flow, f"{FLOW_SQL} SELECT * FROM flow")
+add(
+    "agg_25_flow_edges",
+    seq.flow_edges,
+    f"""{FLOW_SQL}
+    SELECT tactic AS source, next_tactic AS target, 'flow' AS kind FROM flow WHERE next_tactic IS NOT NULL
+    UNION ALL SELECT tactic, technique, 'technique' FROM own""",
+)
 CLUSTER_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
 m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM d), n AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)"""
 add("win_03_clusters", seq.clusters, f"""WITH {CLUSTER_SQL} SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end" FROM n GROUP BY n""")
@@ -213,7 +238,84 @@ add(
 
 # Order and pages
 add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")
-add("ord_04_paged", lambda l: order.paged(l.select("Timestamp", "RuleTitle", "RecordID"), order.search_order(l.select("Timestamp", "RuleTitle", "RecordID")), "logs", 10))
+_SEEN = ["Timestamp", "RuleTitle", "RecordID"]
+_META = ["status", "message", "total_count", "has_more", "next_offset", "page_size", "page_offset", "count_source"]
+
+
+def _seen(l, level=None):
+    return (l if level is None else flt.by_level(l, level)).select(*_SEEN)
+
+
+_PAGE_SQL = """
+    SELECT {columns}, 'ok' AS status, '' AS message, {total} AS total_count, {offset} + 10 < {total} AS has_more,
+        CASE WHEN {offset} + 10 < {total} THEN {offset} + 10 END AS next_offset, 10 AS page_size, {offset} AS page_offset, '{source}' AS count_source"""
+_SEARCH_ORDER = f"{TS} NULLS LAST, CAST(RecordID AS BIGINT), \"Timestamp\", RuleTitle"
+add(
+    "ord_04_paged",
+    lambda l: order.paged(order.ask(_seen, l, by=order.search_order), size=10, offset=20).select(*_SEEN, *_META),
+    f"""
+    WITH n AS (SELECT count(*) AS n FROM logs)
+    {_PAGE_SQL.format(columns='"Timestamp", RuleTitle, RecordID', total="n", offset="20", source="count_query")}
+    FROM logs, n ORDER BY {_SEARCH_ORDER} LIMIT 10 OFFSET 20""",
+)
+
+
+def _hinted(l):
+    """The first page with no count, with a hint that fits, with one of another query and with one of another version, and a page past the end."""
+    asked, other = order.ask(_seen, l, "crit"), order.ask(_seen, l, "high")
+    hints = [("fits", order.Hint(777, asked.hash, "v1")), ("other query", order.Hint(777, other.hash, "v1")), ("other version", order.Hint(777, asked.hash, "v0"))]
+    pages = [("no count", order.paged(asked, size=10, version="v1", include_total=False)), ("past the end", order.paged(asked, size=10, offset=10**6))]
+    pages += [(case, order.paged(asked, size=10, version="v1", hint=h, include_total=False)) for case, h in hints]
+    return reduce(DataFrame.unionByName, [p.limit(1).select(F.lit(case).alias("case"), *_META) for case, p in pages])
+
+
+add(
+    "ord_05_hinted_counts",
+    _hinted,
+    """
+    WITH n AS (SELECT count(*) AS n FROM logs WHERE Level = 'crit'),
+    c AS (
+        SELECT x.*, n FROM n, (VALUES ('no count', NULL, 0, 'none'), ('past the end', n, 1000000, 'count_query'), ('fits', 777, 0, 'hint'),
+            ('other query', n, 0, 'count_query'), ('other version', n, 0, 'count_query')) x("case", total_count, page_offset, count_source)
+    )
+    SELECT "case", CASE WHEN page_offset > n THEN 'no_data' ELSE 'ok' END AS status,
+        CASE WHEN page_offset > n THEN 'No data on the specified page' ELSE '' END AS message, total_count,
+        coalesce(page_offset + 10 < total_count, n >= 10 AND total_count IS NULL) AS has_more,
+        CASE WHEN coalesce(page_offset + 10 < total_count, n >= 10 AND total_count IS NULL) THEN page_offset + 10 END AS next_offset,
+        10 AS page_size, page_offset, count_source FROM c""",
+)
+
+
+def _identities(l):
+    """Two pages of each of four queries, with the number of their hash in the order met."""
+    asked = [order.ask(_seen, l, level) for level in ("crit", "high", None)] + [order.ask(_seen, l, "crit", by=order.search_order)]
+    numbers = {a.hash: i for i, a in reversed(list(enumerate(asked)))}
+    pages = [order.paged(a, size=10, offset=o).limit(1).withColumn("query", F.lit(i)) for i, a in enumerate(asked) for o in (0, 10)]
+    number = F.create_map(*[F.lit(x) for h, i in numbers.items() for x in (h, i)])
+    return reduce(DataFrame.unionByName, [p.select("query", number[F.col("query_hash")].alias("identity"), "page_offset", "total_count") for p in pages])
+
+
+add(
+    "ord_08_query_identity",
+    _identities,
+    """
+    SELECT q AS query, q AS identity, o AS page_offset, count(*) FILTER (l IS NULL OR Level = l) AS total_count
+    FROM logs, (VALUES (0, 'crit'), (1, 'high'), (2, NULL), (3, 'crit')) x(q, l), (VALUES (0), (10)) y(o) GROUP BY q, o""",
+)
+add(
+    "ord_07_decode_first",
+    lambda l: det.decode_first(l, 40),
+    """
+    WITH c AS (
+        SELECT *, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs WHERE strpos(Details, '-enc ') > 0
+    ), n AS (SELECT count(*) AS n FROM c), first AS (
+        SELECT * FROM c ORDER BY """
+    + TS
+    + """ NULLS LAST, "Timestamp", Computer, RuleTitle, Level, concat_ws(' ', Details, ExtraFieldInfo) LIMIT 40
+    )
+    SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand,
+        CASE WHEN n > 40 THEN 'partial' ELSE 'ok' END AS status, n AS source_event_count FROM first, n""",
+)
 add("sql_01_free_sql", lambda l: free_sql.run_sql(l, "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle", 10), "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle LIMIT 10")
 add(
     "sql_01_explode",

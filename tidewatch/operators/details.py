@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import details as D
+from ..functions.timestamps import strict
 from ..sources.logs import SEPARATOR
+from ..sources.shared import stored
 from .filters import by_level, holds, record, with_detail, without_placeholders
 
 
@@ -164,13 +166,40 @@ def event_ambiguity(df: DataFrame) -> DataFrame:
     return df.groupBy("RecordID").agg(F.countDistinct(F.struct(F.coalesce("Computer", F.lit("")), F.coalesce("Channel", F.lit("")))).alias("events"), F.count(F.lit(1)).alias("matched_rows"), F.countDistinct("RuleTitle").alias("rules")).withColumn("ambiguous", F.col("events") > 1)
 
 
-def decode_commands(df: DataFrame, source: str = "Details", shorten: bool = True, levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
-    """One row per encoded command with its text; a cheap pattern test goes before the extraction.
-
-    ExtraFieldInfo is read with Details; AllFieldInfo stands alone. Nulls and empty texts give no row.
-    """
+def _encoded(df: DataFrame, source: str, levels: tuple[str, ...], rule: str) -> DataFrame:
+    """Rows whose text holds an encoded command, with the text as __text; a cheap pattern test goes before the extraction."""
     text = F.concat_ws(" ", source, "ExtraFieldInfo") if source == "Details" and "ExtraFieldInfo" in df.columns else F.coalesce(source, F.lit(""))
-    rows = _narrowed(df, levels, rule).withColumn("__text", text).where(D.has_encoded_command(F.col("__text")))
+    return _narrowed(df, levels, rule).withColumn("__text", text).where(D.has_encoded_command(F.col("__text")))
+
+
+def _decoded(rows: DataFrame, shorten: bool) -> DataFrame:
     rows = rows.withColumn("operand", F.explode(D.encoded_commands(F.col("__text"))))
     text = D.escaped(D.decoded(F.col("operand")))
     return rows.select("Timestamp", "Computer", "RuleTitle", "Level", (D.shortened(F.col("operand")) if shorten else F.col("operand")).alias("EncodedCommand"), text.alias("DecodedCommand"))
+
+
+def decode_commands(df: DataFrame, source: str = "Details", shorten: bool = True, levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
+    """One row per encoded command with its text.
+
+    ExtraFieldInfo is read with Details; AllFieldInfo stands alone. Nulls and empty texts give no row.
+    """
+    return _decoded(_encoded(df, source, levels, rule), shorten)
+
+
+def decode_first(df: DataFrame, most: int = 5_000, source: str = "Details", shorten: bool = True, levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
+    """decode_commands over the first `most` rows by time that hold a command, with what was left out disclosed on each row.
+
+    source_event_count is the number of all rows that hold one, counted in the pass that finds the first ones; status is
+    partial where there are more than were read. Where nothing is decoded, one row says no_data, or partial.
+    """
+    counted = Observation()
+    rows = _encoded(df, source, levels, rule).select("Timestamp", "Computer", "RuleTitle", "Level", "__text")
+    order = [strict(F.col("Timestamp")).asc_nulls_last(), *[F.asc_nulls_last(c) for c in rows.columns]]
+    first = stored(rows.observe(counted, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(most))
+    n = counted.get["n"]
+    out = _decoded(first, shorten)
+    status = "partial" if n > most else "ok"
+    if out.isEmpty():
+        status = "partial" if n > most else "no_data"
+        out = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in out.columns])
+    return out.withColumns({"status": F.lit(status), "source_event_count": F.lit(n)})

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.details import TACTICS, level_rank, phase
 from ..functions.timestamps import strict
 from ..plans import ranges
-from ..sources.logs import resolve_detail_source
+from ..sources.logs import SEPARATOR, resolve_detail_source
 from ..sources.shared import stored
 from .filters import lateral_default
 from .profile import active_days
@@ -40,9 +40,28 @@ def first_per_tactic(df: DataFrame, tactics: list[str] | None = None, detail_sou
 
 
 def tactic_flow(df: DataFrame) -> DataFrame:
-    """Per tactic: rows, hosts, first and last sighting, and the tactic that follows it in time."""
-    out = tactic_rows(df).groupBy("tactic").agg(F.count(F.lit(1)).alias("event_count"), F.countDistinct("Computer").alias("hosts"), F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen"))
-    return out.withColumn("next_tactic", F.lead("tactic").over(Window.orderBy("first_seen", "tactic")))
+    """Per tactic: rows, hosts, first and last sighting, the tactic that follows it in time, and the techniques first met in it.
+
+    Tactics stand in the order of their first sighting (then by code). A technique, a part of MitreTags, belongs to the
+    first of the tactics on whose rows it occurs.
+    """
+    rows = tactic_rows(df)
+    out = rows.groupBy("tactic").agg(F.count(F.lit(1)).alias("event_count"), F.countDistinct("Computer").alias("hosts"), F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen"))
+    tags = F.col("MitreTags") if "MitreTags" in df.columns else F.lit(None).cast("string")
+    used = rows.select("tactic", F.explode(F.split(tags, SEPARATOR)).alias("technique")).where("trim(technique) <> ''").distinct()
+    # A table of fourteen tactics, and one row for each technique of theirs.
+    first = used.join(F.broadcast(out.select("tactic", "first_seen")), "tactic").groupBy("technique").agg(F.min_by("tactic", F.struct("first_seen", "tactic")).alias("tactic"))
+    held = first.groupBy("tactic").agg(F.array_join(F.array_sort(F.collect_set("technique")), ", ").alias("techniques"))
+    out = out.withColumn("next_tactic", F.lead("tactic").over(Window.orderBy("first_seen", "tactic")))
+    return out.join(F.broadcast(held), "tactic", "left").withColumn("techniques", F.coalesce("techniques", F.lit("")))
+
+
+def flow_edges(df: DataFrame) -> DataFrame:
+    """(source, target, kind) of the flow's drawing: from each tactic to the next, and to each of its own techniques."""
+    flow = tactic_flow(df)
+    steps = flow.where("next_tactic IS NOT NULL").select(F.col("tactic").alias("source"), F.col("next_tactic").alias("target"), F.lit("flow").alias("kind"))
+    own = flow.where("techniques <> ''").select("tactic", F.explode(F.split("techniques", ", ")), F.lit("technique"))
+    return steps.union(own)
 
 
 def clusters(df: DataFrame, levels: tuple[str, ...] = ("high", "crit"), gap: int = 7) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from .order import Asked, paged, query_hash
+
 MOST = 500
 #: Settings of the caller's session under which the statement is read.
 _CARRIED = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
@@ -95,16 +97,8 @@ def _alone(logs: DataFrame) -> SparkSession:
     return session
 
 
-def run_sql(logs: DataFrame, text: str, size: int = MOST, offset: int = 0) -> DataFrame:
-    """One read-only SELECT over logs; an offset needs its ORDER BY; 500 rows a page at most.
-
-    The statement is analysed in a session of its own as the body of a subquery, where the grammar has no
-    commands. Then its plan is walked: every leaf must be the view logs (or the statement's own WITH), every other node must
-    only reshape rows, and no expression may run foreign code. Generators such as explode are free to use over
-    columns of logs. A ValueError says what is refused; nothing is run before.
-    """
-    if not 1 <= size <= MOST or offset < 0:
-        raise ValueError(f"a page has 1 to {MOST} rows and starts at 0 or later")
+def ask_sql(logs: DataFrame, text: str, offset: int = 0) -> Asked:
+    """A checked SELECT over logs, unpaged, with its identity; refused as in run_sql."""
     bare = text.strip().rstrip(";").strip()
     if not bare:
         raise ValueError("a statement is needed")
@@ -119,4 +113,22 @@ def run_sql(logs: DataFrame, text: str, size: int = MOST, offset: int = 0) -> Da
         raise ValueError("the statement has to read logs")
     if offset and not _ordered(plan):
         raise ValueError("an offset needs an ORDER BY")
-    return found.offset(offset).limit(size)
+    return Asked(found, [], query_hash("sql", text=bare))
+
+
+def run_sql(logs: DataFrame, text: str, size: int = MOST, offset: int = 0) -> DataFrame:
+    """One read-only SELECT over logs; an offset needs its ORDER BY; 500 rows a page at most.
+
+    The statement is analysed in a session of its own as the body of a subquery, where the grammar has no
+    commands. Then its plan is walked: every leaf must be the view logs (or the statement's own WITH), every other node must
+    only reshape rows, and no expression may run foreign code. Generators such as explode are free to use over
+    columns of logs. A ValueError says what is refused; nothing is run before.
+    """
+    if not 1 <= size <= MOST or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST} rows and starts at 0 or later")
+    return ask_sql(logs, text, offset).rows.offset(offset).limit(size)
+
+
+def sql_page(logs: DataFrame, text: str, size: int = MOST, offset: int = 0, **paging) -> DataFrame:
+    """run_sql with the metadata of `paged`."""
+    return paged(ask_sql(logs, text, offset), size=size, offset=offset, most=MOST, empty="Query returned 0 results", **paging)
