@@ -13,7 +13,9 @@ from tidewatch.operators import filters as flt
 from tidewatch.operators import profile as prof
 from tidewatch.operators import sequence as seq
 from tidewatch.plans import free_sql, order, ranges
+from tidewatch.functions import matching
 from tidewatch.sources import logs as src
+from tidewatch.sources import state
 
 COLUMNS = "Timestamp string, RuleTitle string, Level string, Computer string, Channel string, EventID string, MitreTactics string, RecordID string, Details string, ExtraFieldInfo string"
 
@@ -120,6 +122,119 @@ def test_flow_techniques_belong_to_their_first_tactic(spark):
     assert {r.techniques for r in seq.tactic_flow(logs).collect()} == {""}
 
 
+def test_gates_list_few_of_many_gaps(spark):
+    gaps = spark.range(30_000).selectExpr("lpad(cast(id % 20000 as string), 6, '0') as gap").union(spark.sql("SELECT CAST(NULL AS string)"))
+    (one,) = ev.gate(gaps, F.col("gap"), 5, "many").collect()
+    assert (one.status, one.n_gaps, one.detail, one.gaps) == ("FAIL", 20_000, "20000 gaps", [f"{i:06}" for i in range(10)])
+    (none,) = ev.gate(gaps.limit(0), F.col("gap"), 5, "many").collect()
+    assert (none.status, none.n_gaps, none.gaps) == ("PASS", 0, [])
+    whole = {r.id: (r.status, r.n_gaps) for r in ev.run_gates([ev.gate(gaps, F.col("gap"), k, "x") for k in (1, 2)]).collect()}
+    assert whole == {"G1": ("FAIL", 20_000), "G2": ("FAIL", 20_000), "ALL": ("FAIL", 40_000)}
+
+
+def verdicts(df, key):
+    return {r[key]: (r.reasons, r.accepted) for r in df.collect()}
+
+
+def test_entries_of_each_table_are_judged(spark):
+    make = spark.createDataFrame
+    rules = make([("A", "done"), ("B", "pending")], "rule_title string, status string")
+    findings = make([("t1", "s", ["A"], ["1"]), ("t2", " ", ["B", "C", "B"], []), ("t3", "s", None, None), (None, "s", [], ["1"])], "title string, summary string, rule_titles array<string>, refs array<string>")
+    out = ev.validate_findings(findings, rules)
+    assert verdicts(out, "title") == {"t1": ([], True), "t2": (["missing summary", "missing refs"], False), "t3": (["missing refs"], False), None: (["missing title"], False)}
+    assert {r.title: r.warnings for r in out.collect()} == {"t1": [], "t2": ["unknown rules: C", "pending rules: B"], "t3": [], None: []}
+    assert verdicts(ev.validate_findings(findings, rules, has_record_ids=False), "title")["t3"] == ([], True)
+    assert ev.validate_findings(findings.union(findings), rules).count() == 8
+
+    assert verdicts(ev.validate_iocs(make([("ip", "1"), ("", "2"), (None, "3"), ("ip", " ")], "type string, value string")), "value") == {"1": ([], True), "2": (["missing type"], False), "3": (["missing type"], False), " ": (["missing value"], False)}
+
+    hosts = ev.validate_hosts(make([("a", None), ("b", "reviewed"), ("c", "odd"), ("", "reviewed")], "name string, status string"))
+    assert verdicts(hosts, "name") == {"a": ([], True), "b": ([], True), "c": (["bad status"], False), "": (["missing name"], False)}
+    assert {r.name: r.status for r in hosts.collect()}["a"] == "investigated"
+
+    spans = [("2024-01-02", "2024-01-05", "benign"), ("2024-01-02", "2024-01-01", None), ("2024-02-30", "2024-01-05", ""), (None, "soon", "fine"), ("2024-1-2", "2024-01-05", "attack")]
+    got = [(r.reasons, r.accepted) for r in ev.validate_new_clusters(make(spans, "start string, end string, verdict string")).collect()]
+    assert got == [([], True), (["end before start"], False), (["bad start"], False), (["bad start", "bad end", "bad verdict"], False), (["bad start"], False)]
+    judged = make([("c1", "attack"), ("c9", "attack"), ("c1", None), ("c1", "good")], "id string, verdict string")
+    got = {(r.id, r.verdict): r.reasons for r in ev.validate_cluster_verdicts(judged, make([("c1",), ("c1",)], "id string")).collect()}
+    assert got == {("c1", "attack"): [], ("c9", "attack"): ["unknown cluster"], ("c1", None): ["missing verdict"], ("c1", "good"): ["bad verdict"]}
+
+    assert verdicts(ev.validate_environment(make([("x", "observed"), ("y", "guessed"), ("z", None)], "value string, status string")), "value") == {"x": ([], True), "y": (["bad status"], False), "z": (["missing status"], False)}
+
+    votes = [("rule", "A", "attack"), ("rule", "f1", "attack"), ("finding", " f1 ", "mixed"), ("host", "A", "attack"), ("rule", "", "attack"), ("rule", "B", "sure"), (None, "A", None)]
+    got = [r.reasons for r in ev.validate_votes(make(votes, "target_type string, target string, verdict string").coalesce(1), rules, make([("f1",)], "id string")).collect()]
+    assert sorted(got) == sorted([[], ["unknown target"], [], ["bad target_type"], ["missing target"], ["bad verdict"], ["missing target_type", "missing verdict"]])
+
+
+def test_many_strings_are_found_in_one_pass(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab.") for _ in range(rng.randint(1, 7)))
+    strings = [*(word() for _ in range(800)), "zé", "a", None, "", "never there"]
+    texts = [*("".join(word() for _ in range(6)) for _ in range(60)), None, "", "xzéx"]
+    want = {s for s in strings if s and any(s in t for t in texts if t)}
+    lines, wanted = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(s,) for s in strings], "value string")
+    for size in (1 << 22, 500):
+        got = [r.value for r in matching.occurring(lines, "t", wanted, "value", size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert matching.occurring(lines.limit(0), "t", wanted, "value").count() == matching.occurring(lines, "t", wanted.limit(0), "value").count() == 0
+
+
+def test_report_lacks_indicators_and_shows_false_positives(spark):
+    make = spark.createDataFrame
+    rules = make([("A", "false_positive"), ("B", "attack"), ("C", "false_positive")], "rule_title string, verdict string")
+    iocs = make([("ip", "10.0.0.1"), ("ip", "10.0.0.12"), ("x", "abc"), (None, "lost"), ("ip", "10.0.0.12")], "type string, value string")
+    text = make([("seen 10.0.0.1",), (None,)], "text string")
+    got = sorted(r.problem for r in ev.report_consistency(make([("A",), ("A",), ("B",)], "rule_title string"), text, rules, iocs).collect())
+    assert got == ["false positive on the timeline: A", "not in the report: : lost", "not in the report: ip: 10.0.0.12"]
+
+
+def test_state_tables_are_read_and_unfolded(spark, tmp_path):
+    (tmp_path / "rule_triage.json").write_text(
+        """{"version": 1, "rules": [{"rule_title": "A", "levels": {"high": 3}, "count": 3, "status": "done", "evidence": {"refs": [{"record_id": "7", "computer": "H"}], "detail_excerpt": "x"},
+        "variants": {"fields": ["Channel", "Svc"], "groups": [{"key": {"Svc": "s", "Channel": "Sec"}, "count": 2, "verdict": "benign"}, {"key": {"Channel": "Sec"}, "count": 1, "verdict": "attack"}]}},
+        {"rule_title": "B", "count": 1, "status": "pending"}]}"""
+    )
+    rules = state.read_state(spark, str(tmp_path), "rules")
+    assert {r.rule_title: (r["count"], r.levels) for r in rules.collect()} == {"A": (3, {"high": 3}), "B": (1, None)}
+    assert sorted(map(tuple, state.variants_of(rules).collect())) == [("A", "Sec|", 1, "attack"), ("A", "Sec|s", 2, "benign")]
+    assert [tuple(r) for r in state.refs_of(rules, "rule_title", "evidence.refs").collect()] == [("A", "7", "H", None)]
+    assert all(state.read_state(spark, str(tmp_path), n).count() == 0 for n in state.TABLES if n != "rules")
+
+
+def test_state_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    table = lambda *n: spark.createDataFrame([(i,) for i in n], "n int")
+    read = lambda v=None: sorted(r.n for r in state.read_version(spark, path, v).collect())
+    assert state.current(spark, path) == 0
+    with pytest.raises(ValueError):
+        read()
+    assert state.write_version(table(1, 2), path, 0) == 1 and read() == [1, 2]
+    reader = state.read_version(spark, path)
+    broken = table(1, 2, 3).select(F.expr("raise_error('lost')").cast("int").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        state.write_version(broken, path, 1)
+    assert state.current(spark, path) == 1 and read() == [1, 2]
+    assert state.write_version(reader.union(table(3)), path, 1) == 2  # a table may be made of its own last version
+    assert read() == [1, 2, 3] and read(1) == [1, 2] and reader.count() == 2
+    with pytest.raises(state.Conflict):
+        state.write_version(table(9), path, 1)
+
+    def attempt(i):
+        try:
+            return state.write_version(table(i), path, 2)
+        except state.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(attempt, range(10, 14)))
+    assert sorted(map(str, done)) == ["3", "None", "None", "None"] and read() == [10 + done.index(3)]
+    (tmp_path / "t" / "commits" / "0000000004").write_text("")
+    with pytest.raises(state.Conflict):
+        read()
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from .operators import profile as prof
 from .operators import sequence as seq
 from .plans import free_sql, order
 from .sources import logs as src
+from .sources import state
+from .sources.shared import shared_dir
 from .sources.testlogs import LOGS_SQL, logs_from_events
 
 QUERIES: dict = {}
@@ -43,6 +46,25 @@ add("src_04_dataset_status", src.dataset_status)
 QUERIES["src_05_dataset_inventory"] = lambda spark, sf_dir: src.dataset_inventory(spark, sf_dir, "*.parquet")
 add("src_09_fingerprint", src.fingerprint)
 
+
+
+def _stored_variants(l):
+    """Two versions of a table of rules with their variants, written to the store; the last one read back, a row for each variant."""
+    group = F.struct(F.create_map(F.lit("Channel"), F.col("variant")).alias("key"), "count", F.lit("benign").alias("verdict"), F.lit("").alias("note"))
+    rules = det.variants(l, ["Channel"]).groupBy(F.col("RuleTitle").alias("rule_title"))
+    rules = rules.agg(F.struct(F.array(F.lit("Channel")).alias("fields"), F.collect_list(group).alias("groups")).alias("variants"))  # as many as channels
+    path = f"{shared_dir(l.sparkSession)}/{uuid.uuid4().hex}"
+    first = state.write_version(rules.where("rule_title LIKE '%-0'"), path, 0)
+    state.write_version(rules, path, first)
+    return state.variants_of(state.read_version(l.sparkSession, path))
+
+
+add(
+    "src_10_state_store",
+    _stored_variants,
+    "SELECT RuleTitle AS rule_title, Channel AS variant, count(*) AS count, 'benign' AS verdict FROM logs GROUP BY ALL",
+)
+
 # Filters
 add("flt_02_level", lambda l: flt.by_level(l, "crit", "high"), "SELECT * FROM logs WHERE Level IN ('crit', 'high')")
 add("flt_03_substring", lambda l: l.where(flt.holds("Details", "tool1")), "SELECT * FROM logs WHERE strpos(coalesce(Details, ''), 'tool1') > 0")
@@ -62,8 +84,11 @@ add("sch_06_hit_columns", lambda l: flt.search(l, "ec", ["Channel", "MitreTactic
 FROM logs WHERE strpos(lower(Channel), 'ec') > 0 OR strpos(lower(MitreTactics), 'ec') > 0""")
 
 # Profiles and summaries
-add("agg_01_overview", lambda l: prof.overview(l).where("metric <> 'path'"), f"""SELECT 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM logs UNION ALL SELECT 'column_count', '11' UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs
-UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs""")
+OVERVIEW_SQL = f"""
+    SELECT 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM logs UNION ALL SELECT 'column_count', '11'
+    UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs
+    UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs"""
+add("agg_01_overview", lambda l: prof.overview(l).where("metric <> 'path'"), OVERVIEW_SQL)
 for _name, _column in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle")):
     add(f"agg_02_{_name}", lambda l, c=_column: prof.section(l, c), f"SELECT coalesce(nullif({_column}, ''), '(empty)') AS label, count(*) AS count FROM logs GROUP BY {_column} ORDER BY 2 DESC, 1 LIMIT 20")
 _TOP = "SELECT * FROM (SELECT '{name}' AS section, 'count' AS metric, coalesce(nullif({column}, ''), '(empty)') AS key, CAST(count(*) AS VARCHAR) AS value FROM logs GROUP BY 3 ORDER BY count(*) DESC, 3 LIMIT 20)"
@@ -360,7 +385,7 @@ def _rules(l):
 
 
 def _flat(gate):
-    return gate.select("id", "status", F.size("gaps").cast("long").alias("gaps"))
+    return gate.select("id", "status", F.col("n_gaps").alias("gaps"))
 
 
 GATES: dict = {}
@@ -416,10 +441,29 @@ m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE
 SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end", NULL AS verdict, FALSE AS manual FROM k GROUP BY n UNION ALL SELECT 'c' || n, day, day, 'attack', TRUE FROM o WHERE day(day) % 2 = 0""")
 add("agg_27_progress", lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), det.extract_iocs(l), _hosts(l), ["crit", "high"]).where("item <> 'iocs'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), {_OLD_SQL} SELECT 'rules' AS item, count(*) FILTER (status <> 'pending') AS done, count(*) AS total FROM rules WHERE hot = 1
 UNION ALL SELECT 'clusters', count(*), count(*) FROM o UNION ALL SELECT 'findings', count(*), count(*) FROM findings UNION ALL SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""")
-add("rpt_04_coverage_appendix", lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([GATES[k][0](l) for k in (1, 2, 4)]), ["crit", "high"]).where("part <> 'gap'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), g AS (SELECT 1 AS k, count(*) AS n FROM ({GATES[1][1]}) UNION ALL SELECT 2, count(*) FROM ({GATES[2][1]}) UNION ALL SELECT 4, count(*) FROM ({GATES[4][1]})),
-s AS (SELECT 'G' || k AS name, n FROM g UNION ALL SELECT 'ALL', sum(n) FROM g)
-SELECT 'gate' AS part, name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || CAST(n AS BIGINT) || ' gaps' AS value FROM s
-UNION ALL SELECT 'verdict', CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END, CAST(count(*) AS VARCHAR) FROM rules GROUP BY 2""")
+add(
+    "rpt_04_coverage_appendix",
+    lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([build(l) for build, _ in GATES.values()]), ["crit", "high"], logs=l).where("part <> 'gap'"),
+    f"""
+    WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), g AS ({_ALL_GATES}),
+    s AS (SELECT 'G' || k AS name, n FROM g UNION ALL SELECT 'ALL', sum(n) FROM g)
+    SELECT 'gate' AS part, name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || CAST(n AS BIGINT) || ' gaps' AS value FROM s
+    UNION ALL SELECT 'verdict', CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END,
+        CAST(count(*) AS VARCHAR) FROM rules GROUP BY 2
+    UNION ALL SELECT 'log', * FROM ({{overview}})""".replace("{overview}", OVERVIEW_SQL),
+)
+_FOUR = (1, 2, 4, 9)  # gates whose gaps have names that SQL builds in the same way
+add(
+    "rpt_04_first_gaps",
+    lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([GATES[k][0](l) for k in _FOUR]), ["crit", "high"]).where("part = 'gap'"),
+    f"""
+    WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), named AS (
+        SELECT 1 AS k, rule_title AS gap FROM ({GATES[1][1]}) UNION ALL SELECT 2, Computer FROM ({GATES[2][1]})
+        UNION ALL SELECT 4, rule_title FROM ({GATES[4][1]}) UNION ALL SELECT 9, id || ' ' || host FROM ({GATES[9][1]})
+    )
+    SELECT 'gap' AS part, 'G' || k AS name, gap AS value FROM named
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY gap) <= 10""",
+)
 add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"), "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted FROM x""")
 # Declared variants by Channel: too large in Sec of clicks, without a verdict in Sysmon of views, attacks in Sysmon of rules -2, none for errors.
 DECLARED_SQL = """SELECT RuleTitle AS rule_title, Channel AS variant, count(*) + CASE WHEN RuleTitle LIKE '%click%' AND Channel = 'Sec' THEN 1 ELSE 0 END AS count,
@@ -431,5 +475,77 @@ x AS (SELECT rule_title, concat_ws('; ', CASE WHEN stub THEN 'missing rationale'
 CASE WHEN unjudged THEN 'bad variant verdict' END, CASE WHEN covered <> count THEN 'variants do not add up' END, CASE WHEN verdict = 'false_positive' AND attacks > 0 OR verdict = 'mixed' AND attacks = 0 THEN 'variants against the verdict' END) AS reasons FROM e LEFT JOIN per USING (rule_title))
 SELECT *, reasons = '' AS accepted FROM x""")
 add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high", "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
+_FINDINGS = "SELECT RuleTitle AS title, CASE WHEN Level = 'crit' THEN ' ' ELSE MitreTags END AS summary, {titles} AS rule_titles, {refs} AS refs, RecordID AS id FROM logs"
+add(
+    "val_02_findings",
+    lambda l: ev.validate_findings(
+        _state(l, _FINDINGS.format(titles="array(RuleTitle, 'Rule unknown ' || EventID)", refs="if(Channel = 'Sec', array(), array(RecordID))")), _rules(l)
+    ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), F.concat_ws("; ", "warnings").alias("warnings"), "accepted").count(),
+    f"""
+    WITH x AS (
+        SELECT concat_ws('; ', CASE WHEN Level = 'crit' OR MitreTags IS NULL THEN 'missing summary' END,
+                CASE WHEN Channel = 'Sec' THEN 'missing refs' END) AS reasons,
+            concat_ws('; ', 'unknown rules: Rule unknown ' || EventID, CASE WHEN RuleTitle LIKE '%-3' THEN 'pending rules: ' || RuleTitle END) AS warnings
+        FROM logs
+    )
+    SELECT reasons, warnings, reasons = '' AS accepted, count(*) AS count FROM x GROUP BY ALL""",
+)
+add(
+    "val_02_clusters",
+    lambda l: ev.validate_new_clusters(
+        l.selectExpr("substring(Timestamp, 1, if(Level = 'crit', 9, 10)) as start", "'2024-01-1' || cast(RecordID as bigint) % 10 as end", "if(Channel = 'Sec', '', if(Channel = 'Sysmon', ' benign', Channel)) as verdict")
+    ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), "accepted").count(),
+    """
+    WITH x AS (
+        SELECT concat_ws('; ', CASE WHEN Level = 'crit' THEN 'bad start' END,
+            CASE WHEN Level <> 'crit' AND '2024-01-1' || (CAST(RecordID AS BIGINT) % 10) < substr("Timestamp", 1, 10) THEN 'end before start' END,
+            CASE WHEN Channel NOT IN ('Sec', 'Sysmon') THEN 'bad verdict' END) AS reasons FROM logs
+    )
+    SELECT reasons, reasons = '' AS accepted, count(*) AS count FROM x GROUP BY ALL""",
+)
+add(
+    "val_02_votes",
+    lambda l: ev.validate_votes(
+        l.selectExpr("if(Level = 'crit', 'finding', if(Level = 'low', 'else', 'rule')) as target_type", "if(Channel = 'Sec', '', if(Level = 'crit', 'f-', '') || RuleTitle) as target", "if(Channel = 'Sysmon', 'attack', Channel) as verdict"),
+        _rules(l).where("status <> 'pending'"),
+        _state(l, FINDINGS_SQL),
+    ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), "accepted").count(),
+    """
+    WITH x AS (
+        SELECT concat_ws('; ', CASE WHEN Channel = 'Sec' THEN 'missing target' END, CASE WHEN Level = 'low' THEN 'bad target_type' END,
+            CASE WHEN Channel <> 'Sysmon' THEN 'bad verdict' END,
+            CASE WHEN Channel <> 'Sec' AND (Level = 'crit' AND RuleTitle LIKE 'Rule view%' OR Level NOT IN ('crit', 'low') AND RuleTitle LIKE '%-3')
+                THEN 'unknown target' END) AS reasons FROM logs
+    )
+    SELECT reasons, reasons = '' AS accepted, count(*) AS count FROM x GROUP BY ALL""",
+)
+_IOCS = {"user": r"(user\d+)", "ip": r"(10\.0\.\d+\.\d+)", "tool": r"(tool\d+)"}
+_NAMED = [(k, f"regexp_extract(Details, r'{v}', 1)", f"regexp_extract(Details, '{v}', 1)") for k, v in _IOCS.items()]
+add(
+    "rpt_03_consistency",
+    lambda l: ev.report_consistency(
+        l.where("Level = 'crit'").select(F.col("RuleTitle").alias("rule_title")),
+        l.where("Level = 'crit'").select(F.col("Details").alias("text")),
+        _rules(l),
+        reduce(DataFrame.union, [l.selectExpr(f"'{k}' as type", f"{e} as value") for k, e, _ in _NAMED]),
+    ),
+    f"""
+    WITH rules AS ({RULES_SQL}), iocs AS ({" UNION ".join(f"SELECT '{k}' AS type, {e} AS value FROM logs" for k, _, e in _NAMED)}),
+    report AS (SELECT DISTINCT Details AS text FROM logs WHERE Level = 'crit' AND Details IS NOT NULL)
+    SELECT DISTINCT 'false positive on the timeline: ' || rule_title AS problem FROM rules JOIN logs ON rule_title = RuleTitle
+        WHERE verdict = 'false_positive' AND Level = 'crit'
+    UNION ALL SELECT 'not in the report: ' || type || ': ' || value FROM iocs
+        WHERE length(value) >= 4 AND NOT EXISTS (SELECT 1 FROM report WHERE strpos(text, value) > 0)""",
+)
+_MIXED_SQL = f"SELECT * REPLACE (CASE WHEN rule_title LIKE '%signup%' THEN 'mixed' ELSE verdict END AS verdict) FROM ({RULES_SQL})"
+add(
+    "rpt_01_mixed",
+    lambda l: ev.fp_table(_rules(l).withColumn("verdict", F.expr("if(rule_title like '%signup%', 'mixed', verdict)")), _groups(l)),
+    f"""
+    WITH rules AS ({_MIXED_SQL})
+    SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'
+    UNION ALL SELECT RuleTitle, count(*) + CASE WHEN Channel = 'Sec' THEN 1 ELSE 0 END, 'variant ' || Channel FROM logs
+        WHERE RuleTitle LIKE '%signup%' AND Channel <> 'Sysmon' GROUP BY RuleTitle, Channel""",
+)
 add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")
 add("rpt_02_indeterminate", lambda l: ev.indeterminate_list(_rules(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale FROM rules WHERE verdict = 'indeterminate'")

@@ -3,7 +3,7 @@
 Tables: rules (rule_title, levels array<string>, count, status, verdict, rationale, excerpt), refs (owner,
 rule_title, record_id, computer, channel), findings (id, rule_title, host), hosts (name), clusters (id,
 verdict), queries (seq, query_hash, has_more, accepted), votes (target, verdict), groups (rule_title,
-variant, count, verdict). Every gate is one row (id, name, status, detail, gaps).
+variant, count, verdict). Every gate is one row (id, name, status, detail, gaps, n_gaps).
 """
 
 from __future__ import annotations
@@ -15,16 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.details import squeezed
+from ..functions.matching import occurring
 from .details import diversity, variant_of, variants
+from .profile import overview
 
 VOLUME = 20
+#: Gaps that a gate's row lists.
+GAPS = 10
+# What a variant without an attack is called; the longer name stands for it, too.
+BENIGN = ["benign", "false_positive"]
 
+def gate(gaps: DataFrame, gap: Column, number: int, name: str, note: Column | None = None, most: int = GAPS) -> DataFrame:
+    """PASS where there is no gap; n_gaps counts the distinct ones, and the first few are listed in order.
 
-def gate(gaps: DataFrame, gap: Column, number: int, name: str) -> DataFrame:
-    """PASS where there is no gap; gaps are listed in order."""
-    one = gaps.agg(F.array_sort(F.collect_set(gap)).alias("gaps"))
-    failed = F.size("gaps") > 0
-    return one.select(F.lit(f"G{number}").alias("id"), F.lit(name).alias("name"), F.when(failed, "FAIL").otherwise("PASS").alias("status"), F.concat(F.size("gaps").cast("string"), F.lit(" gaps")).alias("detail"), "gaps")
+    Of the gaps only their number and the first ones are gathered, so a gate's row is small however many there are. A note, an
+    aggregate over the gaps' table, is added to the detail.
+    """
+    each = gaps.select(gap.alias("gap")).where("gap IS NOT NULL").distinct()
+    parts = each.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(None).cast("string").alias("gap"))
+    parts = parts.union(each.orderBy("gap").limit(most).select(F.lit(0).cast("long"), "gap"))
+    one = parts.agg(F.sum("n").alias("n_gaps"), F.array_sort(F.collect_list("gap")).alias("gaps"))  # so many rows and one more
+    return one.select(
+        F.lit(f"G{number}").alias("id"),
+        F.lit(name).alias("name"),
+        F.when(F.col("n_gaps") > 0, "FAIL").otherwise("PASS").alias("status"),
+        F.concat(F.col("n_gaps").cast("string"), F.lit(" gaps"), *([] if note is None else [note])).alias("detail"),
+        "gaps",
+        "n_gaps",
+    )
 
 
 def resolve_refs(refs: DataFrame, logs: DataFrame) -> DataFrame:
@@ -191,7 +209,7 @@ def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str]) -
     large = rules.where(F.col("verdict").isin("false_positive", "mixed") & (F.col("count") > VOLUME))
     gaps = large.join(groups, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" needs variants")).alias("gap"))
     gaps = gaps.union(reconcile(groups, logs, keys).where("state <> 'ok'").select(F.concat_ws(" ", "rule_title", "variant", "state")))
-    benign = groups.where("verdict = 'false_positive'").select("rule_title", "variant")
+    benign = groups.where(F.col("verdict").isin(*BENIGN)).select("rule_title", "variant")
     gaps = gaps.union(benign.where(~F.col("variant").rlike(r"[^|\s]")).select(F.concat("rule_title", F.lit(" has an empty benign variant"))))
     attacks = groups.groupBy("rule_title").agg(F.count_if(F.col("verdict") == "attack").alias("attacks"))
     wrong = (F.col("verdict") == "false_positive") & (F.col("attacks") > 0) | (F.col("verdict") == "mixed") & (F.col("attacks") == 0)
@@ -216,8 +234,10 @@ def g11(rules: DataFrame, votes: DataFrame, findings: DataFrame | None = None) -
 def run_gates(gates: list[DataFrame]) -> DataFrame:
     """All gates, and a row ALL that passes where they all do."""
     out = reduce(DataFrame.unionByName, gates)
-    whole = out.agg(F.min(F.col("status") == "PASS").alias("ok"), F.sum(F.size("gaps")).alias("n"))
-    return out.union(whole.select(F.lit("ALL"), F.lit("all gates"), F.when(F.col("ok"), "PASS").otherwise("FAIL"), F.concat(F.col("n").cast("string"), F.lit(" gaps")), F.array().cast("array<string>")))
+    whole = out.agg(F.min(F.col("status") == "PASS").alias("ok"), F.sum("n_gaps").alias("n_gaps"))
+    status = F.when(F.col("ok"), "PASS").otherwise("FAIL")
+    detail = F.concat(F.col("n_gaps").cast("string"), F.lit(" gaps"))
+    return out.union(whole.select(F.lit("ALL"), F.lit("all gates"), status, detail, F.array().cast("array<string>"), "n_gaps"))
 
 
 # Rationales that say nothing.
@@ -230,7 +250,7 @@ MOST_VARIANTS = 2_000
 
 def _variant_reasons(groups: DataFrame) -> tuple[DataFrame, list[Column]]:
     """What the declared variants of each rule amount to, and the reasons that follow for an entry joined to it."""
-    verdicts = F.coalesce(F.col("verdict").isin("attack", "false_positive", "indeterminate"), F.lit(False))
+    verdicts = F.coalesce(F.col("verdict").isin("attack", *BENIGN, "indeterminate"), F.lit(False))
     empty = ~F.coalesce("variant", F.lit("")).rlike(r"[^|\s]")
     per = groups.groupBy("rule_title").agg(
         F.count(F.lit(1)).alias("declared"),
@@ -238,7 +258,7 @@ def _variant_reasons(groups: DataFrame) -> tuple[DataFrame, list[Column]]:
         F.sum("count").alias("covered"),
         F.min(F.coalesce("count", F.lit(0))).alias("least"),
         F.bool_and(verdicts).alias("judged"),
-        F.bool_or(empty & F.coalesce(F.col("verdict") == "false_positive", F.lit(False))).alias("empty"),
+        F.bool_or(empty & F.coalesce(F.col("verdict").isin(*BENIGN), F.lit(False))).alias("empty"),
         F.count_if(F.col("verdict") == "attack").alias("attacks"),
     )
     benign, mixed = F.col("verdict") == "false_positive", F.col("verdict") == "mixed"
@@ -276,17 +296,102 @@ def validate_triage(entries: DataFrame, rules: DataFrame, groups: DataFrame | No
     return joined.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("accepted", F.size("reasons") == 0).select(*entries.columns, "reasons", "accepted")
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+
+
+def _missing(*columns: str) -> list[Column]:
+    return [F.when(_blank(c), f"missing {c}") for c in columns]
+
+
+def _outside(c: str, values: list[str]) -> Column:
+    """A value outside its enumeration; a blank one is inside."""
+    return F.when(~_blank(c) & ~F.trim(F.col(c)).isin(*values), f"bad {c}")
+
+
+def _judged(entries: DataFrame, reasons: list[Column], warnings: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """entries with the reasons that reject them (none: accepted) and, where a table has them, warnings."""
+    out = entries.withColumn("reasons", F.array_compact(F.array(*reasons)))
+    more = []
+    if warnings is not None:
+        out = out.withColumn("warnings", F.array_compact(F.array(*warnings)))
+        more = ["warnings"]
+    return out.withColumn("accepted", F.size("reasons") == 0).select(*(keep or entries.columns), "reasons", *more, "accepted")
+
+
 def validate(entries: DataFrame, required: list[str], allowed: dict[str, list[str]]) -> DataFrame:
     """Entries of any table with reasons: required fields that are empty, values outside their enumeration."""
-    reasons = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", f"missing {c}") for c in required]
+    reasons = [F.when(_blank(c), f"missing {c}") for c in required]
     reasons += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*v), f"bad {c}") for c, v in allowed.items()]
     return entries.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("accepted", F.size("reasons") == 0)
 
 
+# The enumerations of the accounting tables.
+CLUSTER_VERDICTS = ["attack", "benign", "indeterminate"]
+HOST_STATUSES = ["investigated", "reviewed", "not_applicable"]
+ENV_STATUSES = ["operator_confirmed", "observed", "inferred"]
+VOTE_TARGETS = ["rule", "finding"]
+VOTE_VERDICTS = ["attack", "false_positive", "mixed", "indeterminate", "cannot_verify"]
+
+
+def validate_findings(entries: DataFrame, rules: DataFrame, has_record_ids: bool = True) -> DataFrame:
+    """entries (title, summary, rule_titles, refs): title and summary, and references where the log has record ids, are needed.
+
+    Rules that are unknown or pending do not reject a finding; they are warnings that name them, in order.
+    """
+    key = F.sha2(F.to_json(F.struct(*entries.columns)), 256)
+    keyed = entries.withColumn("_key", key)
+    cited = keyed.select("_key", F.explode("rule_titles").alias("rule_title")).distinct().join(rules.select("rule_title", "status"), "rule_title", "left")
+    listed = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("rule_title")))), ", ")
+    told = cited.groupBy("_key").agg(listed(F.col("status").isNull()).alias("_unknown"), listed(F.col("status") == "pending").alias("_pending"))
+    warnings = [F.when(F.col(c) != "", F.concat(F.lit(text), c)) for c, text in (("_unknown", "unknown rules: "), ("_pending", "pending rules: "))]
+    refs = [F.when(F.coalesce(F.size("refs"), F.lit(0)) <= 0, "missing refs")] if has_record_ids else []
+    return _judged(keyed.join(told, "_key", "left"), _missing("title", "summary") + refs, warnings, entries.columns)
+
+
+def validate_iocs(entries: DataFrame) -> DataFrame:
+    """entries (type, value): both are needed."""
+    return _judged(entries, _missing("type", "value"))
+
+
+def validate_hosts(entries: DataFrame) -> DataFrame:
+    """entries (name, status): a name is needed; a status that is not given is the first of the enumeration."""
+    out = entries.withColumn("status", F.when(_blank("status"), HOST_STATUSES[0]).otherwise(F.trim("status")))
+    return _judged(out, [*_missing("name"), _outside("status", HOST_STATUSES)])
+
+
+def validate_new_clusters(entries: DataFrame) -> DataFrame:
+    """entries (start, end, verdict) of clusters added by hand: dates as YYYY-MM-DD, not reversed; a verdict may wait."""
+    dates = {c: F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr(f"try_cast(`{c}` AS date)")) for c in ("start", "end")}
+    bad = [F.when(d.isNull(), f"bad {c}") for c, d in dates.items()]
+    return _judged(entries, [*bad, F.when(dates["end"] < dates["start"], "end before start"), _outside("verdict", CLUSTER_VERDICTS)])
+
+
+def validate_cluster_verdicts(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """entries (id, verdict) that judge clusters: the cluster has to be known, and a verdict is needed."""
+    known = clusters.select("id", F.lit(True).alias("_known")).distinct()
+    reasons = [F.when(F.col("_known").isNull(), "unknown cluster"), *_missing("verdict"), _outside("verdict", CLUSTER_VERDICTS)]
+    return _judged(entries.join(known, "id", "left"), reasons, keep=entries.columns)
+
+
+def validate_environment(entries: DataFrame) -> DataFrame:
+    """entries (value, status) of facts on the environment: both are needed."""
+    return _judged(entries, [*_missing("value", "status"), _outside("status", ENV_STATUSES)])
+
+
+def validate_votes(entries: DataFrame, rules: DataFrame, findings: DataFrame) -> DataFrame:
+    """entries (target_type, target, verdict) of votes: all are needed, and the target has to be a known rule or finding."""
+    targets = rules.select(F.lit("rule").alias("_type"), F.col("rule_title").alias("_target")).union(findings.select(F.lit("finding"), "id")).distinct()
+    joined = entries.join(targets, (F.trim("target_type") == F.col("_type")) & (F.trim("target") == F.col("_target")), "left")
+    sure = ~_blank("target") & F.trim("target_type").isin(*VOTE_TARGETS)
+    reasons = [*_missing("target_type", "target", "verdict"), _outside("target_type", VOTE_TARGETS), _outside("verdict", VOTE_VERDICTS)]
+    return _judged(joined, [*reasons, F.when(sure & F.col("_target").isNull(), "unknown target")], keep=entries.columns)
+
+
 def fp_table(rules: DataFrame, groups: DataFrame) -> DataFrame:
     """False-positive rules and benign variants of mixed ones: title, count, basis."""
     whole = rules.where("verdict = 'false_positive'").select("rule_title", "count", F.col("rationale").alias("basis"))
-    mixed = groups.where("verdict = 'false_positive'").join(rules.where("verdict = 'mixed'").select("rule_title"), "rule_title", "left_semi")
+    mixed = groups.where(F.col("verdict").isin(*BENIGN)).join(rules.where("verdict = 'mixed'").select("rule_title"), "rule_title", "left_semi")
     return whole.union(mixed.select("rule_title", "count", F.concat(F.lit("variant "), "variant")))
 
 
@@ -294,16 +399,22 @@ def indeterminate_list(rules: DataFrame) -> DataFrame:
     return rules.where("verdict = 'indeterminate'").select("rule_title", "count", "rationale")
 
 
-def coverage_appendix(rules: DataFrame, gates: DataFrame, levels: list[str], most: int = 10) -> DataFrame:
-    """(part, name, value) for a report: rules by verdict, gates with their status, and the first gaps of the gates that fail."""
+def coverage_appendix(rules: DataFrame, gates: DataFrame, levels: list[str], most: int = GAPS, logs: DataFrame | None = None) -> DataFrame:
+    """(part, name, value) for a report: facts of the log, rules by verdict, gates with their status, and the first gaps of those that fail."""
     verdicts = verdict_summary(rules, levels).select(F.lit("verdict").alias("part"), F.col("verdict").alias("name"), F.col("rules").cast("string").alias("value"))
     status = gates.select(F.lit("gate"), "id", F.concat("status", F.lit(", "), "detail"))
     gaps = gates.where("status = 'FAIL'").select(F.lit("gap"), "id", F.explode(F.slice("gaps", 1, most)))
-    return verdicts.union(status).union(gaps)
+    out = verdicts.union(status).union(gaps)
+    return out if logs is None else out.union(overview(logs).where("metric <> 'path'").select(F.lit("log"), "metric", "value"))
 
 
 def report_consistency(timeline: DataFrame, text: DataFrame, rules: DataFrame, iocs: DataFrame) -> DataFrame:
-    """False-positive rules on the timeline and recorded indicators (four characters or more) that the report lacks."""
+    """Problems of a report: false-positive rules on its timeline, and recorded indicators (type, value) that no text of it holds.
+
+    Indicators count from four characters on and have to stand there as they are. All of them are looked for in one pass
+    over the texts.
+    """
     wrong = timeline.join(rules.where("verdict = 'false_positive'"), "rule_title", "left_semi").select(F.concat(F.lit("false positive on the timeline: "), "rule_title").alias("problem"))
-    named = iocs.where("length(value) >= 4").join(text.select("text"), F.instr("text", F.col("value")) > 0, "left_anti")
-    return wrong.distinct().union(named.select(F.concat(F.lit("not in the report: "), "value")))
+    named = iocs.where("length(value) >= 4").select("type", "value").distinct()
+    lost = named.join(occurring(text, "text", named, "value"), "value", "left_anti")
+    return wrong.distinct().union(lost.select(F.concat(F.lit("not in the report: "), F.coalesce("type", F.lit("")), F.lit(": "), "value")))

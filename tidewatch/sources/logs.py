@@ -100,15 +100,5 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def write_state(df: DataFrame, path: str, version: str) -> str:
-    """Write a new version of a state table beside the old ones and return its path; what is being read stays."""
-    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
-    return f"{path}/version={version}"
-
-
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
