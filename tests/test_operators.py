@@ -235,6 +235,82 @@ def test_state_versions(spark, tmp_path):
         read()
 
 
+def test_one_event_or_its_candidates(spark):
+    rows = [row(record="7", host=h, channel=c, rule=r, ts=t, details="K: v") for h, c, r, t in (("A", "Sec", "R2", "t1"), ("A", "Sec", "R1", "t2"), ("B", "Sec", "R1", "t3"), ("B", None, "R1", "t4"))]
+    logs = frame(spark, *rows, row(record="8", level="low"))
+    got = sorted((r.Computer, r.Channel, r.Timestamp, r.RuleTitles, r.MatchedRows, r.status) for r in det.get_event_detail(logs, "7").collect())
+    assert got == [("A", "Sec", "t2", "R1, R2", 2, "ambiguous"), ("B", "", "t4", "R1", 1, "ambiguous"), ("B", "Sec", "t3", "R1", 1, "ambiguous")]
+    assert {r.Field: r.Value for r in det.get_event_detail(logs, " 7 ", "A").collect()}["_MatchedRuleTitles"] == "R1, R2"
+    assert {r.Field: r.Value for r in det.get_event_detail(logs, "7", "B", "Sec").collect()}["Timestamp"] == "t3"
+    assert {r.Field: r.Value for r in det.get_event_detail(logs, sql_filter="Level = 'low'").collect()}["RecordID"] == "8"
+    assert [r.status for q in (dict(record_id="9"), dict(sql_filter="Level = 'none'")) for r in det.get_event_detail(logs, **q).collect()] == ["no_data"] * 2
+    for bad in (dict(), dict(record_id="7", sql_filter="true"), dict(sql_filter="true", rule="R1"), dict(sql_filter="Level = (SELECT max(Level) FROM elsewhere)"), dict(sql_filter="1; DROP TABLE x")):
+        with pytest.raises(ValueError):
+            det.get_event_detail(logs, **bad)
+    many = frame(spark, *(row(rule=f"R{i}") for i in range(7)))
+    assert det.candidates(many).first().RuleTitles == "R0, R1, R2, R3, R4 ..."
+
+
+def test_parts_of_files_tell_what_changed(spark, tmp_path):
+    for name, n in (("a", 500), ("b", 40), ("c", 5)):
+        (tmp_path / "old").mkdir(exist_ok=True)
+        (tmp_path / "old" / name).write_text("".join(f"line {i}\n" for i in range(n)))
+    path = f"file://{tmp_path}/old"
+    told = spark.createDataFrame(src.file_parts(spark, path).collect(), src.file_parts(spark, path).schema)
+    assert src.changed_parts(told, src.file_parts(spark, path)).count() == 0 and ev.g0(told, src.file_parts(spark, path)).first().status == "PASS"
+    assert {(r.algorithm, r["columns"]) for r in told.collect()} == {("sum(xxhash64)x2/64", "value")} and told.agg(F.sum("rows")).first()[0] == 545
+    (tmp_path / "old" / "b").unlink()
+    (tmp_path / "old" / "d").write_text("x\n")
+    (tmp_path / "old" / "a").write_text("".join(f"line {i}\n" if i != 250 else "line 251\n" for i in range(500)))
+    found = {(r.name[-1], r.state) for r in src.changed_parts(told, src.file_parts(spark, path)).collect()}
+    assert found == {("a", "changed"), ("b", "missing"), ("d", "new")}
+    gate = ev.g0(told, src.file_parts(spark, path)).first()
+    assert gate.status == "FAIL" and 3 <= gate.n_gaps <= 4 and any("/a part" in g for g in gate.gaps) and any(g.endswith("/b missing") for g in gate.gaps)
+    other = src.file_parts(spark, path, 32)
+    assert {r.state for r in src.changed_parts(src.file_parts(spark, path), other).collect()} >= {"other digest"}
+
+
+def test_notes_change_no_gate(spark):
+    make = spark.createDataFrame
+    clusters = make([("c1", "attack")], "id string, verdict string")
+    seen = make([(10, 8)], "ts_total long, ts_parsed long")
+    assert ev.g3(clusters, seen).first().detail == "0 gaps; warning: 2 of 10 rows have no parsed time and are in no cluster"
+    assert ev.g3(clusters).first().detail == "0 gaps" and ev.g3(clusters, make([(10, 10)], "ts_total long, ts_parsed long")).first().status == "PASS"
+    queries = make([], "seq string, query_hash string, has_more boolean, accepted boolean")
+    assert ev.g5(queries, make([("{",), ("5",)], "_corrupt_record string")).first().detail == "0 gaps; warning: 2 lines that cannot be read"
+    rules = make([("A", "done", "indeterminate"), ("B", "done", "attack")], "rule_title string, status string, verdict string")
+    findings = make([("f1", "A"), ("f1", "B"), ("f2", "A")], "id string, rule_title string")
+    assert ev.g8(findings, rules).first().detail == "0 gaps; 2 cited rules are indeterminate"
+
+
+def test_references_of_indicators_and_channels(spark):
+    logs = frame(spark, row(record="1", host="A", channel="Sec"), row(record="1", host="A", channel="Sys"), row(record="2", rule="Other"))
+    ddl = "owner string, rule_title string, record_id string, computer string, channel string"
+    refs = spark.createDataFrame([("f", "Alpha", "1", "A", None), ("f", "Alpha", "1", None, None), ("f", "Alpha", "1", "A", "Sec"), ("g", None, "2", None, None), ("g", "Alpha", "2", None, None)], ddl)
+    got = sorted((r.owner, r.rule_title or "", r.record_id, r.computer or "", r.channel or "", r.state) for r in ev.resolve_refs(refs, logs).collect())
+    assert [g[-1] for g in got] == ["ambiguous_channels" if g[3:5] == ("A", "") else "ambiguous" if g[2] == "1" and not g[3] else "wrong_rule" if g[:3] == ("g", "Alpha", "2") else "ok" for g in got] and len(got) == 5
+    rules = spark.createDataFrame([], "rule_title string, excerpt string")
+    iocs = spark.createDataFrame([("ioc 1", "2", None, None), ("ioc 2", "9", None, None)], "owner string, record_id string, computer string, channel string")
+    none = refs.limit(0)
+    assert ev.g6(none, rules, logs, iocs).first().gaps == ["ioc 2 9 not_found"] and ev.g6(none, rules, logs).first().status == "PASS"
+
+
+def test_times_as_text(spark):
+    from tidewatch.functions.timestamps import as_text
+
+    cases = {"2024-01-01 13:00:00.250 +00:00": "2024-01-01 13:00:00.25+00", "2024-01-01 13:00:00.000 +02:00": "2024-01-01 11:00:00+00", "2024-12-31 23:59:59.123456 +00:00": "2024-12-31 23:59:59.123456+00", "never": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in rows.select("t", as_text(strict(F.col("t"))).alias("x")).collect()} == cases
+
+
+def test_levels_of_clusters_and_missing_fields(spark):
+    logs = frame(spark, row(level=" High ", ts="2024-01-01 00:00:00.000 +00:00"), row(level="low", ts="2024-03-01 00:00:00.000 +00:00"))
+    assert [str(r.start) for r in seq.clusters(logs).collect()] == ["2024-01-01"]
+    with pytest.raises(ValueError, match="missing columns: Provider"):
+        prof.summarize(logs, "Provider")
+    assert flt.first_where(frame(spark, row(record="2"), row(record="1")), "Level = 'high'").first().RecordID == "1"
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

@@ -21,6 +21,7 @@ from .sources import state
 from .sources.shared import shared_dir
 from .sources.testlogs import LOGS_SQL, logs_from_events
 
+_COLUMNS = "Timestamp,RuleTitle,Level,Computer,Channel,EventID,MitreTactics,MitreTags,RecordID,Details,ExtraFieldInfo"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 TS = "CASE WHEN regexp_full_match(\"Timestamp\", '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}\\.\\d{3} \\+00:00') THEN CAST(substr(\"Timestamp\", 1, 23) AS TIMESTAMP) END"
@@ -40,11 +41,44 @@ RULE_SQL = """SELECT RuleTitle, count(*) AS count, min("Timestamp") AS first_see
 FROM logs {where} GROUP BY RuleTitle HAVING count(*) >= {least} ORDER BY count(*) DESC, RuleTitle LIMIT 100"""
 
 # Sources and state
-add("src_01_load_logs", lambda l: l, "SELECT * FROM logs")
+def _loaded(l):
+    """The log, written as CSV to the shared folder and loaded from there."""
+    path = f"{shared_dir(l.sparkSession)}/{uuid.uuid4().hex}"
+    l.write.option("header", True).option("escape", '"').csv(path)
+    return src.load_logs(l.sparkSession, path)
+
+
+add("src_01_load_logs", _loaded, "SELECT * FROM logs")
 add("src_02_activate", lambda l: src.activate(l).select("loaded", "row_count", "column_count"), "SELECT TRUE AS loaded, count(*) AS row_count, 11 AS column_count FROM logs")
-add("src_04_dataset_status", src.dataset_status)
+add(
+    "src_04_dataset_status",
+    lambda l: src.dataset_status(l, "told").select("loaded", "path", "row_count", "column_count", F.array_join("columns", ",").alias("columns"), F.col("loaded_at").isNotNull().alias("dated")),
+    f"SELECT TRUE AS loaded, 'told' AS path, count(*) AS row_count, 11 AS column_count, '{_COLUMNS}' AS columns, TRUE AS dated FROM logs",
+)
 QUERIES["src_05_dataset_inventory"] = lambda spark, sf_dir: src.dataset_inventory(spark, sf_dir, "*.parquet")
-add("src_09_fingerprint", src.fingerprint)
+add(
+    "src_09_fingerprint",
+    lambda l: src.fingerprint(l).select("columns", "row_count", "ts_total", "ts_parsed", F.col("value").rlike(r"^-?\d+--?\d+$").alias("has_value")),
+    f"""
+    SELECT '{_COLUMNS}' AS columns, count(*) AS row_count, count(*) FILTER ("Timestamp" <> '') AS ts_total, count({TS}) AS ts_parsed, TRUE AS has_value
+    FROM logs""",
+)
+
+
+def _changed(l):
+    """The log by hosts, compared with one that lacks a host, has another instead, and has a level changed: hosts with their states."""
+    other = l.where("Computer <> 'HOST-3'").union(l.where("Computer = 'HOST-4'").withColumn("Computer", F.lit("HOST-99")))
+    other = other.withColumn("Level", F.expr("CASE WHEN RecordID = '5' AND Computer <> 'HOST-99' THEN 'seen' ELSE Level END"))
+    return src.changed_parts(src.fingerprint_parts(l, "Computer"), src.fingerprint_parts(other, "Computer")).select("name", "state").distinct()
+
+
+add(
+    "src_09_changed_parts",
+    _changed,
+    """
+    SELECT 'HOST-3' AS name, 'missing' AS state UNION ALL SELECT 'HOST-99', 'new'
+    UNION ALL SELECT DISTINCT Computer, 'changed' FROM logs WHERE RecordID = '5' AND Computer <> 'HOST-3'""",
+)
 
 
 
@@ -97,7 +131,7 @@ UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs UNION ALL SELECT
 UNION ALL """ + " UNION ALL ".join(_TOP.format(name=n, column=c) for n, c in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle"))))
 add("agg_04_summarize", lambda l: prof.summarize(l, "EventID", "crit"), "SELECT EventID, count(*) AS count FROM logs WHERE Level = 'crit' GROUP BY EventID")
 for _name, _width in (("1h", "1 hour"), ("3h", "3 hour"), ("6h", "6 hour"), ("12h", "12 hour"), ("1d", "1 day")):
-    add(f"agg_05_window_{_name}", lambda l, w=_width: prof.by_window(l, w), f"SELECT strftime(time_bucket(INTERVAL '{_width}', {TS}, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS count FROM logs GROUP BY 1")
+    add(f"agg_05_window_{_name}", lambda l, w=_width: prof.by_window(l, w), f"SELECT CAST(time_bucket(INTERVAL '{_width}', {TS}, TIMESTAMP '1970-01-01') AS VARCHAR) || '+00' AS window_start, count(*) AS count FROM logs GROUP BY 1")
 add("agg_06_analyze_rule_titles", prof.analyze_rule_titles, RULE_SQL.format(where="", least=1))
 add("agg_06_filtered", lambda l: prof.analyze_rule_titles(l, ("high",), 5, "error"), RULE_SQL.format(where="WHERE Level = 'high' AND strpos(coalesce(RuleTitle, ''), 'error') > 0", least=5))
 add("agg_12_rule_levels", lambda l: prof.level_counts(l, "RuleTitle").select("RuleTitle", "count", F.expr("concat_ws(',', transform(map_entries(levels), e -> e.key || '=' || e.value))").alias("levels")), "SELECT RuleTitle, CAST(sum(n) AS BIGINT) AS count, string_agg(Level || '=' || n, ',' ORDER BY Level) AS levels FROM (SELECT RuleTitle, Level, count(*) AS n FROM logs GROUP BY ALL) GROUP BY 1")
@@ -110,7 +144,8 @@ add("agg_20_host_impact", prof.host_impact, """SELECT Computer, count(*) FILTER
 add("agg_22_host_rank", prof.host_rank, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, bool_or(strpos(coalesce(MitreTactics, ''), 'LatMov') > 0) AS lateral, min("Timestamp") FILTER (Level IN ('high', 'crit')) AS first_high, (SELECT count(DISTINCT t) FROM (SELECT Computer AS c, unnest(string_split(MitreTactics, ' ¦ ')) AS t FROM logs) WHERE c = Computer AND t <> '') AS tactics FROM logs GROUP BY 1""")
 add("agg_28_incident_overview", prof.incident_overview, """WITH t AS (SELECT "Timestamp", RuleTitle, Computer FROM logs ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, "Timestamp", RuleTitle, Computer LIMIT 1)
 SELECT min(l."Timestamp") AS first_seen, max(l."Timestamp") AS last_seen, count(*) AS events, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, count(*) FILTER (Level = 'med') AS med, count(*) FILTER (Level = 'low') AS low, count(*) FILTER (Level = 'info') AS info,
-  count(DISTINCT l.Computer) AS host_count, string_agg(DISTINCT l.Computer, ', ' ORDER BY l.Computer) AS hosts, (SELECT "Timestamp" FROM t) AS top_time, (SELECT RuleTitle FROM t) AS top_rule, (SELECT Computer FROM t) AS top_host FROM logs l""")
+  count(DISTINCT l.Computer) AS host_count, string_agg(DISTINCT l.Computer, ', ' ORDER BY l.Computer) AS hosts,
+  (SELECT count(DISTINCT split_part(p, ': ', 2)) FROM (SELECT unnest(string_split(Details, ' ¦ ')) AS p FROM logs) WHERE split_part(p, ': ', 1) IN ('User', 'TgtUser', 'SrcUser')) AS account_count, (SELECT "Timestamp" FROM t) AS top_time, (SELECT RuleTitle FROM t) AS top_rule, (SELECT Computer FROM t) AS top_host FROM logs l""")
 
 # Details
 PAIRS = """p AS (SELECT *, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL AND Details <> ''),
@@ -147,7 +182,36 @@ add("fn_01_timestamps", lambda l: l.select("RecordID", F.date_format(strict(F.co
 add("fn_16_shortened", lambda l: l.select("RecordID", fn.shortened(F.col("Details"), 20).alias("short")), "SELECT RecordID, CASE WHEN length(Details) > 20 THEN substr(Details, 1, 20) || '...' ELSE Details END AS short FROM logs")
 add("fn_21_level_rank", lambda l: l.groupBy("Computer").agg(F.max(fn.level_rank(F.col("Level"))).alias("rank")), "SELECT Computer, max(CASE Level WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM logs GROUP BY 1")
 add("fn_22_external", lambda l: l.select(F.regexp_extract("Details", "SrcIP: ([^ ]*)", 1).alias("ip")).where(fn.is_external(F.col("ip"))).groupBy("ip").count(), r"WITH i AS (SELECT regexp_extract(Details, 'SrcIP: ([^ ]*)', 1) AS ip FROM logs) SELECT ip, count(*) AS count FROM i WHERE regexp_full_match(ip, '(\d{1,3}\.){3}\d{1,3}') GROUP BY 1")
-add("fn_18_det_01_expand_events", det.expand_events)
+_KEYS_SQL = "RecordID AS KeyRecordID, Computer AS KeyComputer, Channel AS KeyChannel, RuleTitle AS KeyRuleTitle"
+_PAIRS_SQL = """
+    SELECT {keys}, '{prefix}.' || split_part(pair, ': ', 1), substr(pair, strpos(pair, ': ') + 2)
+    FROM (SELECT *, unnest(string_split({column}, ' ¦ ')) AS pair FROM {table})"""
+_EXPAND_SQL = "UNION ALL".join(
+    [f"""
+    SELECT {_KEYS_SQL}, '{c}' AS Field, "{c}" AS Value FROM {{table}}
+    """ for c in _COLUMNS.split(",")[:9]]
+    + [_PAIRS_SQL.format(keys=_KEYS_SQL, prefix=p, column=c, table="{table}") for p, c in (("Details", "Details"), ("Extra", "ExtraFieldInfo"))]
+)
+add("fn_18_det_01_expand_events", det.expand_events, _EXPAND_SQL.format(table="logs"))
+add(
+    "det_01_one_event",
+    lambda l: det.get_event_detail(l, sql_filter="Level = 'crit' AND Channel = 'Sysmon' AND Details LIKE '%tool%'"),
+    f"""
+    WITH one AS (
+        SELECT * FROM logs WHERE Level = 'crit' AND Channel = 'Sysmon' AND Details LIKE '%tool%'
+        ORDER BY Computer, Channel, RuleTitle, "Timestamp", Level, EventID, MitreTactics, MitreTags, RecordID, Details, ExtraFieldInfo LIMIT 1
+    )
+    SELECT 'found' AS status, Field, Value FROM ({_EXPAND_SQL.format(table="one")})""",
+)
+add(
+    "det_01_candidates",
+    lambda l: det.candidates(l.where("RecordID < '2'"), 2),
+    """
+    SELECT 'ambiguous' AS status, RecordID, Computer, Channel, arg_min("Timestamp", RuleTitle || "Timestamp") AS "Timestamp",
+        array_to_string(list_sort(list(DISTINCT RuleTitle))[1:2], ', ') || CASE WHEN count(DISTINCT RuleTitle) > 2 THEN ' ...' ELSE '' END AS RuleTitles,
+        count(*) AS MatchedRows
+    FROM logs WHERE RecordID < '2' GROUP BY RecordID, Computer, Channel""",
+)
 add("det_01_ambiguity", det.event_ambiguity, "SELECT RecordID, count(DISTINCT Computer || '/' || Channel) AS events, count(*) AS matched_rows, count(DISTINCT RuleTitle) AS rules, count(DISTINCT Computer || '/' || Channel) > 1 AS ambiguous FROM logs GROUP BY 1")
 add("dec_01_decode_commands", det.decode_commands, """WITH c AS (SELECT *, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs WHERE strpos(Details, '-enc ') > 0)
 SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand FROM c""")
@@ -222,11 +286,11 @@ add(
         strftime(make_timestamp(z + pad), '%Y-%m-%d %H:%M:%S.%g') AS "end", points FROM p""",
 )
 add("win_06_rule_samples", seq.rule_samples, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RuleTitle ORDER BY "Timestamp", Computer, RecordID, Channel, Details NULLS LAST) AS nth FROM logs) SELECT RuleTitle, nth, "Timestamp", Computer, RecordID FROM r WHERE nth <= 2""")
-add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")), """SELECT "Timestamp", Computer, Level, RuleTitle, EventID, Channel, RecordID, MitreTactics, Details, ExtraFieldInfo FROM logs WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
+add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")), """SELECT "Timestamp", RuleTitle, Level, Computer, Channel, EventID, MitreTactics, MitreTags, Details FROM logs WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
 add("win_09_event_representatives", seq.event_representatives, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RecordID, Computer, Channel ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, RuleTitle, "Timestamp", Details NULLS LAST) AS nth FROM logs) SELECT RecordID, Computer, Channel, RuleTitle, Level, "Timestamp" FROM r WHERE nth = 1""")
 add("agg_26_timeline_representatives", seq.timeline_representatives, """WITH f AS (SELECT Computer, RuleTitle, "Timestamp", Level, RecordID, row_number() OVER (PARTITION BY Computer, RuleTitle ORDER BY "Timestamp", Level, RecordID) AS nth FROM logs WHERE Level IN ('high', 'crit')) SELECT Computer, RuleTitle, "Timestamp", Level, RecordID FROM f WHERE nth = 1 ORDER BY "Timestamp", Computer, RuleTitle LIMIT 50""")
-MOVES = f"v AS (SELECT *, epoch_us({TS}) AS us FROM logs WHERE Level IN ('high', 'crit') OR strpos(coalesce(MitreTactics, ''), 'LatMov') > 0)"
-_P = """p AS (SELECT a."Timestamp" AS SourceTime, a.Computer AS SourceHost, a.RuleTitle AS SourceEvent, a.Level AS SourceLevel, b."Timestamp" AS TargetTime, b.Computer AS TargetHost, b.RuleTitle AS TargetEvent, b.Level AS TargetLevel, round((b.us - a.us) / 60000000.0, 1) AS DeltaMinutes
+MOVES = f"v AS (SELECT *, epoch_us({TS}) AS us, CAST({TS} AS VARCHAR) || '+00' AS told FROM logs WHERE Level IN ('high', 'crit') OR strpos(coalesce(MitreTactics, ''), 'LatMov') > 0)"
+_P = """p AS (SELECT a.told AS SourceTime, a.Computer AS SourceHost, a.RuleTitle AS SourceEvent, a.Level AS SourceLevel, b.told AS TargetTime, b.Computer AS TargetHost, b.RuleTitle AS TargetEvent, b.Level AS TargetLevel, round((b.us - a.us) / 60000000.0, 1) AS DeltaMinutes
 FROM v a JOIN v b ON a.Computer <> b.Computer AND b.us BETWEEN a.us AND a.us + 900000000)"""
 add("join_02_lateral", lambda l: seq.lateral_pairs(l, 15), f"WITH {MOVES}, {_P} SELECT * FROM p")
 add("join_03_lateral_bound", lambda l: seq.lateral_bound(l, 15).select("bound"), f"""WITH {MOVES}, c AS (SELECT CAST(floor(us / 225000000.0) AS BIGINT) AS b, Computer, count(*) AS n FROM v WHERE us IS NOT NULL GROUP BY ALL)
@@ -234,7 +298,7 @@ SELECT CAST((SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON y.b BETWEEN
 add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1, source="HOST-1", target="HOST-2").select("status", "source_rows", "target_rows"), f"""WITH {MOVES} SELECT 'too_broad' AS status, count(*) FILTER (strpos(Computer, 'HOST-1') > 0) AS source_rows,
 count(*) FILTER (strpos(Computer, 'HOST-2') > 0) AS target_rows FROM v WHERE us IS NOT NULL""")
 add("agg_23_node_stats", lambda l: seq.node_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost AS host, 1 AS s, 0 AS t, SourceLevel AS l FROM p UNION ALL SELECT TargetHost, 0, 1, TargetLevel FROM p)
-SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_target, count(*) AS event_count, max(CASE l WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM e GROUP BY 1""")
+SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_target, count(*) AS event_count, string_agg(DISTINCT l, ', ' ORDER BY l) AS levels, max(CASE l WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM e GROUP BY 1""")
 _RK = "CASE {} WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 add("agg_24_edge_stats", lambda l: seq.edge_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost, TargetHost, count(*) AS count, max(greatest({_RK.format("SourceLevel")}, {_RK.format("TargetLevel")})) AS rank FROM p GROUP BY ALL)
 SELECT e.SourceHost, e.TargetHost, e.count, r.SourceHost IS NOT NULL AS reverse, e.rank, least(e.count + 1, 8) AS width FROM e LEFT JOIN e r ON r.SourceHost = e.TargetHost AND r.TargetHost = e.SourceHost""")
@@ -397,7 +461,7 @@ def _gate(name: str, number: int, build, sql: str) -> None:
     add(name, lambda l: _flat(build(l)), f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), gaps AS ({sql}) SELECT 'G{number}' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps")
 
 
-RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, max(l.Computer) AS found, CASE WHEN count(l.RecordID) = 0 THEN 'not_found' WHEN count(DISTINCT coalesce(l.Computer, '') || '/' || coalesce(l.Channel, '')) FILTER (l.RecordID IS NOT NULL) > 1 THEN 'ambiguous' WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
+RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, max(l.Computer) AS found, CASE WHEN count(l.RecordID) = 0 THEN 'not_found' WHEN count(DISTINCT coalesce(l.Computer, '') || '/' || coalesce(l.Channel, '')) FILTER (l.RecordID IS NOT NULL) > 1 THEN CASE WHEN max(r.computer) IS NULL THEN 'ambiguous' ELSE 'ambiguous_channels' END WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
 FROM (SELECT DISTINCT * FROM refs) r LEFT JOIN logs l ON l.RecordID = r.record_id AND (r.computer IS NULL OR r.computer = l.Computer) AND (r.computer IS NULL OR r.channel IS NULL OR r.channel = l.Channel) GROUP BY ALL"""
 _hosts = lambda l: l.select(F.col("Computer").alias("name")).where("name <> 'HOST-7'").distinct()
 _groups = lambda l: det.variants(l, ["Channel"]).select(F.col("RuleTitle").alias("rule_title"), "variant", F.expr("count + case when variant = 'Sec' then 1 else 0 end").alias("count"), F.expr("case when variant = 'Sysmon' then null else 'false_positive' end").alias("verdict"))
@@ -429,8 +493,19 @@ FROM (SELECT RuleTitle, Channel, unnest(string_split(Details, ' ¦ ')) AS pair F
 _gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
 WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
 _ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())
-add("g_all_run_gates", lambda l: ev.run_gates([build(l) for build, _ in GATES.values()]).select("id", "status", "detail"), f"""WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), g AS ({_ALL_GATES})
-SELECT 'G' || k AS id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n || ' gaps' AS detail FROM g UNION ALL SELECT 'ALL', CASE WHEN bool_or(n > 0) THEN 'FAIL' ELSE 'PASS' END, CAST(sum(n) AS BIGINT) || ' gaps' FROM g""")
+#: What the gates add to their details here: rules cited by findings that are indeterminate.
+_NOTED_SQL = """
+    open AS (SELECT count(*) AS m FROM (SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.verdict = 'indeterminate')),
+    told AS (
+        SELECT 'G' || k AS id, n, n || ' gaps' || CASE WHEN k = 8 AND m > 0 THEN '; ' || m || ' cited rules are indeterminate' ELSE '' END AS detail FROM g, open
+        UNION ALL SELECT 'ALL', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) || ' gaps' FROM g
+    )"""
+_STATE_SQL = f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL})"
+add(
+    "g_all_run_gates",
+    lambda l: ev.run_gates([build(l) for build, _ in GATES.values()]).select("id", "status", "detail"),
+    f"{_STATE_SQL}, g AS ({_ALL_GATES}), {_NOTED_SQL} SELECT id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, detail FROM told",
+)
 _entries = lambda l: l.where("Level = 'crit'").selectExpr("RuleTitle as owner", "RuleTitle as rule_title", "array(RecordID || '@' || Computer, RecordID || '@' || Computer) as refs", "array(RecordID, RecordID || '@@' || Channel, EventID, '') as record_ids")
 add("fn_20_parse_refs", lambda l: ev.parse_refs(_entries(l)), """WITH c AS (SELECT * FROM logs WHERE Level = 'crit') SELECT RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, Computer AS computer, '' AS channel FROM c
 UNION ALL SELECT RuleTitle, RuleTitle, RecordID, '', Channel FROM c UNION ALL SELECT RuleTitle, RuleTitle, EventID, '', '' FROM c WHERE EventID <> RecordID""")
@@ -445,9 +520,8 @@ add(
     "rpt_04_coverage_appendix",
     lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([build(l) for build, _ in GATES.values()]), ["crit", "high"], logs=l).where("part <> 'gap'"),
     f"""
-    WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), g AS ({_ALL_GATES}),
-    s AS (SELECT 'G' || k AS name, n FROM g UNION ALL SELECT 'ALL', sum(n) FROM g)
-    SELECT 'gate' AS part, name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || CAST(n AS BIGINT) || ' gaps' AS value FROM s
+    {_STATE_SQL}, g AS ({_ALL_GATES}), {_NOTED_SQL}
+    SELECT 'gate' AS part, id AS name, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END || ', ' || detail AS value FROM told
     UNION ALL SELECT 'verdict', CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END,
         CAST(count(*) AS VARCHAR) FROM rules GROUP BY 2
     UNION ALL SELECT 'log', * FROM ({{overview}})""".replace("{overview}", OVERVIEW_SQL),

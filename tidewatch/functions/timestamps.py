@@ -18,6 +18,12 @@ def lenient(c: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"), F.try_to_timestamp(text))
 
 
+def as_text(c: Column) -> Column:
+    """An instant as UTC text: seconds, the fraction without trailing zeros where there is one, and +00."""
+    utc = F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(utc, r"\.?0+$", ""), F.lit("+00"))
+
+
 def local_day(c: Column) -> Column:
     """The day in the row's own offset: that of the text."""
     return F.when(lenient(c).isNotNull(), F.to_date(F.substring(F.trim(c), 1, 10)))

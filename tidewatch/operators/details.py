@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import details as D
 from ..functions.timestamps import strict
+from ..plans.free_sql import ask_sql
 from ..sources.logs import SEPARATOR
 from ..sources.shared import stored
 from .filters import by_level, holds, record, with_detail, without_placeholders
@@ -135,11 +136,43 @@ def expand_events(df: DataFrame) -> DataFrame:
     return rows.select(*["Key" + c for c in ids], F.col("e.Field").alias("Field"), F.col("e.Value").alias("Value"))
 
 
-def candidates(df: DataFrame, record_id: str) -> DataFrame:
-    """Events that share a record id: host, channel, time, up to five rules and matched rows; more than one is ambiguous."""
-    rows = df.where(F.col("RecordID") == record_id).groupBy("Computer", "Channel").agg(F.min("Timestamp").alias("Timestamp"), F.array_join(F.slice(F.array_sort(F.collect_set("RuleTitle")), 1, 5), ", ").alias("titles"), F.count(F.lit(1)).alias("MatchedRows"))
-    several = F.count(F.lit(1)).over(Window.partitionBy(F.lit(record_id))) > 1  # the events of one id: a handful
-    return rows.withColumn("status", F.when(several, "ambiguous").otherwise("found"))
+def candidates(df: DataFrame, most: int = 5) -> DataFrame:
+    """(status, RecordID, Computer, Channel, Timestamp, RuleTitles, MatchedRows): one row for each event of the rows given.
+
+    An event is a record id on a host and channel, nulls and empty ones alike; its first rules are listed by name, with dots where there are more, and its
+    time is that of its first row by rule and time.
+    """
+    keys = [F.coalesce(c, F.lit("")).alias(c) for c in ("Computer", "Channel")]
+    titles = F.array_sort(F.collect_set("RuleTitle"))  # the rules that one event hit
+    first = F.min_by("Timestamp", F.struct("RuleTitle", "Timestamp"))
+    out = df.groupBy("RecordID", *keys).agg(first.alias("Timestamp"), titles.alias("t"), F.count(F.lit(1)).alias("MatchedRows"))
+    listed = F.concat(F.array_join(F.slice("t", 1, most), ", "), F.when(F.size("t") > most, " ...").otherwise(""))
+    return out.select(F.lit("ambiguous").alias("status"), "RecordID", "Computer", "Channel", "Timestamp", listed.alias("RuleTitles"), "MatchedRows")
+
+
+def get_event_detail(df: DataFrame, record_id: str = "", computer: str = "", channel: str = "", rule: str = "", sql_filter: str = "") -> DataFrame:
+    """One event, named by its record id (and host, channel, rule) or by a condition, as (status, Field, Value).
+
+    Where several events have the id, their `candidates` come back instead; where none has, a row with status no_data. The
+    condition is SQL over the columns of logs, checked like free SQL; the first row in the order of host, channel, rule and time that
+    meets it is the event.
+    """
+    told, condition = record_id.strip(), sql_filter.strip()
+    if bool(told) == bool(condition):
+        raise ValueError("give either a record id or a condition")
+    if condition and (computer.strip() or channel.strip() or rule.strip()):
+        raise ValueError("host, channel and rule go with a record id; put them into the condition")
+    nothing = df.sparkSession.createDataFrame([("no_data", None, None)], "status string, Field string, Value string")
+    order = [F.asc_nulls_last(c) for c in ("Computer", "Channel", "RuleTitle", "Timestamp") if c in df.columns]
+    if condition:
+        rows = ask_sql(df, f"SELECT * FROM logs WHERE (\n{condition}\n)").rows
+        one = rows.orderBy(*order, *[F.asc_nulls_last(c) for c in df.columns]).limit(1)
+        out = expand_events(one).select(F.lit("found").alias("status"), "Field", "Value")
+        return nothing if one.isEmpty() else out
+    rows = record(df, told, *(x.strip() or None for x in (computer, channel, rule)))
+    found = candidates(rows)
+    n = found.limit(2).count()
+    return nothing if n == 0 else found if n > 1 else event_detail(rows, told)
 
 
 def event_detail(df: DataFrame, record_id: str, computer: str | None = None, channel: str | None = None, rule: str | None = None) -> DataFrame:

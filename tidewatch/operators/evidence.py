@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.details import squeezed
 from ..functions.matching import occurring
+from ..sources.logs import changed_parts
 from .details import diversity, variant_of, variants
 from .profile import overview
 
@@ -25,11 +26,11 @@ GAPS = 10
 # What a variant without an attack is called; the longer name stands for it, too.
 BENIGN = ["benign", "false_positive"]
 
-def gate(gaps: DataFrame, gap: Column, number: int, name: str, note: Column | None = None, most: int = GAPS) -> DataFrame:
+def gate(gaps: DataFrame, gap: Column, number: int, name: str, note: str = "", most: int = GAPS) -> DataFrame:
     """PASS where there is no gap; n_gaps counts the distinct ones, and the first few are listed in order.
 
-    Of the gaps only their number and the first ones are gathered, so a gate's row is small however many there are. A note, an
-    aggregate over the gaps' table, is added to the detail.
+    Of the gaps only their number and the first ones are gathered, so a gate's row is small however many there are. A note is added
+    to the detail and changes nothing.
     """
     each = gaps.select(gap.alias("gap")).where("gap IS NOT NULL").distinct()
     parts = each.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(None).cast("string").alias("gap"))
@@ -39,14 +40,15 @@ def gate(gaps: DataFrame, gap: Column, number: int, name: str, note: Column | No
         F.lit(f"G{number}").alias("id"),
         F.lit(name).alias("name"),
         F.when(F.col("n_gaps") > 0, "FAIL").otherwise("PASS").alias("status"),
-        F.concat(F.col("n_gaps").cast("string"), F.lit(" gaps"), *([] if note is None else [note])).alias("detail"),
+        F.concat(F.col("n_gaps").cast("string"), F.lit(f" gaps{'; ' * bool(note)}{note}")).alias("detail"),
         "gaps",
         "n_gaps",
     )
 
 
 def resolve_refs(refs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Each reference with its state: not_found, ambiguous (several hosts or channels), wrong_rule or ok; found: its row's host.
+    """Each reference with its state: not_found, ambiguous (several events have the id), ambiguous_channels (its host is named, but
+    not which of several channels), wrong_rule or ok; found: its row's host. A reference without a rule asks for no rule.
 
     The channel counts only where the host is given, too. An empty host or channel of a reference is as none;
     nulls of the log are values of their own, so an event without a host or channel is still an event.
@@ -57,7 +59,7 @@ def resolve_refs(refs: DataFrame, logs: DataFrame) -> DataFrame:
     keys = ["owner", "rule_title", "record_id", "computer", "channel"]
     events = F.countDistinct(F.when(F.col("rid").isNotNull(), F.struct("c", "ch")))
     per = refs.join(rows, match, "left").groupBy(*keys).agg(events.alias("events"), F.coalesce(F.max(F.col("rule") == F.col("rule_title")), F.lit(False)).alias("hit"), F.max("c").alias("found"))
-    return per.withColumn("state", F.when(F.col("events") == 0, "not_found").when(F.col("events") > 1, "ambiguous").when(~F.col("hit"), "wrong_rule").otherwise("ok"))
+    return per.withColumn("state", F.when(F.col("events") == 0, "not_found").when(F.col("events") > 1, F.when(host.isNull(), "ambiguous").otherwise("ambiguous_channels")).when(~F.col("hit") & F.col("rule_title").isNotNull(), "wrong_rule").otherwise("ok"))
 
 
 def excerpts(rules: DataFrame, logs: DataFrame, column: str = "Details") -> DataFrame:
@@ -143,6 +145,10 @@ def latest_hosts(log: DataFrame) -> DataFrame:
 
 
 def g0(told: DataFrame, found: DataFrame) -> DataFrame:
+    """Fingerprints as recorded and as found; where they are tables of parts, the portions and parts that differ are named."""
+    if "part" in told.columns:
+        gaps = changed_parts(told, found)
+        return gate(gaps, F.concat_ws(" ", "name", F.concat(F.lit("part "), F.col("part").cast("string")), "state"), 0, "integrity")
     return gate(told.join(found, "value", "left_anti"), F.lit("the log has changed"), 0, "integrity")
 
 
@@ -155,21 +161,30 @@ def g2(logs: DataFrame, hosts: DataFrame, levels: list[str]) -> DataFrame:
     return gate(seen.join(hosts, "name", "left_anti"), F.col("name"), 2, "hosts")
 
 
-def g3(clusters: DataFrame) -> DataFrame:
-    """Unjudged clusters; none at all is a gap, too."""
+def g3(clusters: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Unjudged clusters; none at all is a gap, too. Rows without a parsed time, by a coverage (ts_total, ts_parsed), are noted."""
+    total, parsed = coverage.select("ts_total", "ts_parsed").first() if coverage is not None else (0, 0)
+    note = f"warning: {total - parsed} of {total} rows have no parsed time and are in no cluster" if total > parsed else ""
     none = clusters.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no cluster").alias("id"))
-    return gate(clusters.where("verdict is null").select("id").union(none), F.col("id"), 3, "clusters")
+    return gate(clusters.where("verdict is null").select("id").union(none), F.col("id"), 3, "clusters", note)
 
 
 def g4(rules: DataFrame, findings: DataFrame) -> DataFrame:
     return gate(rules.where(F.col("verdict").isin("attack", "mixed")).join(findings, "rule_title", "left_anti"), F.col("rule_title"), 4, "attack rules cited")
 
 
-def g5(queries: DataFrame) -> DataFrame:
-    return gate(latest_queries(queries).where("has_more and not accepted"), F.coalesce("query_hash", F.concat(F.lit("#"), F.col("seq").cast("string"))), 5, "truncation")
+def g5(queries: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
+    """Queries whose last entry has more pages and was not accepted so; lines of their log that cannot be read are noted."""
+    bad = corrupt.count() if corrupt is not None else 0
+    note = f"warning: {bad} lines that cannot be read" if bad else ""
+    return gate(latest_queries(queries).where("has_more and not accepted"), F.coalesce("query_hash", F.concat(F.lit("#"), F.col("seq").cast("string"))), 5, "truncation", note)
 
 
-def g6(refs: DataFrame, rules: DataFrame, logs: DataFrame) -> DataFrame:
+def g6(refs: DataFrame, rules: DataFrame, logs: DataFrame, iocs: DataFrame | None = None) -> DataFrame:
+    """References that do not resolve to one event hit by the citing rule, and excerpts that are not verbatim; the references of
+    indicators (owner, record_id, computer, channel) ask for no rule."""
+    if iocs is not None:
+        refs = refs.unionByName(iocs.withColumn("rule_title", F.lit(None).cast("string")), allowMissingColumns=True)
     bad = resolve_refs(refs, logs).where("state <> 'ok'").select(F.concat_ws(" ", "owner", "record_id", "state").alias("gap"))
     quoted = excerpts(rules, logs).where("not verbatim").select(F.concat("rule_title", F.lit(" excerpt")).alias("gap"))
     return gate(bad.union(quoted), F.col("gap"), 6, "references")
@@ -185,9 +200,12 @@ def g7(rules: DataFrame, refs: DataFrame, findings: DataFrame | None = None) ->
 
 
 def g8(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cited rules that are unknown, pending or false positives; indeterminate ones are noted."""
     cited = findings.join(rules, "rule_title", "left")
     state = F.when(F.col("status").isNull(), "unknown").when(F.col("status") == "pending", "pending").when(F.col("verdict") == "false_positive", "false_positive")
-    return gate(cited.withColumn("state", state).where("state is not null"), F.concat_ws(" ", "id", "rule_title", "state"), 8, "compatible rules")
+    open_ = cited.where("verdict = 'indeterminate'").select("id", "rule_title").distinct().count()
+    note = f"{open_} cited rules are indeterminate" if open_ else ""
+    return gate(cited.withColumn("state", state).where("state is not null"), F.concat_ws(" ", "id", "rule_title", "state"), 8, "compatible rules", note)
 
 
 def g9(findings: DataFrame, refs: DataFrame, logs: DataFrame) -> DataFrame:

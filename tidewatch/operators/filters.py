@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.timestamps import strict
+from ..sources.logs import existing
 
 # Folders in which tools are staged.
 STAGING = ["C:\\Users\\Public\\", "C:\\ProgramData\\", "C:\\Windows\\Temp\\", "C:\\Perflogs\\"]
@@ -43,7 +43,8 @@ def record(df: DataFrame, record_id: str, computer: str | None = None, channel:
 
 
 def first_where(df: DataFrame, condition: str) -> DataFrame:
-    return df.where(F.expr(condition)).limit(1)
+    """The first row that meets a SQL condition, in the order of all columns, nulls last."""
+    return df.where(condition).orderBy(*[F.asc_nulls_last(c) for c in df.columns]).limit(1)
 
 
 def with_detail(df: DataFrame, column: str = "Details") -> DataFrame:
@@ -92,10 +93,7 @@ def search(df: DataFrame, query: str, columns: list[str] | None = None, mode: st
 
 
 def host_timeline(df: DataFrame, host: str = "", levels: tuple[str, ...] = (), start: str | None = None, end: str | None = None) -> DataFrame:
-    wanted = ["Timestamp", "Computer", "Level", "RuleTitle", "EventID", "Channel", "RecordID", "MitreTactics", "Details", "ExtraFieldInfo"]
+    """Rows of hosts whose name holds a text, with those of the ten usual columns that the log has."""
+    wanted = ["Timestamp", "RuleTitle", "Level", "Computer", "Channel", "EventID", "MitreTactics", "MitreTags", "Details", "AllFieldInfo"]
     out = by_time(by_level(df, *levels), start, end).where(holds("Computer", host))
-    return out.select([c for c in wanted if c in df.columns])
-
-
-def latest_strict(df: DataFrame) -> Column:
-    return F.max(strict(F.col("Timestamp")))
+    return out.select(existing(df, wanted))

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.details import level_rank, ordered_set
-from ..functions.timestamps import lenient, local_day, strict
-from ..sources.logs import SEPARATOR
+from ..functions.details import IOC_KEYS, level_rank, ordered_set, pair_key, pair_value, pairs
+from ..functions.timestamps import as_text, lenient, local_day, strict
+from ..sources.logs import SEPARATOR, require_columns
 from .filters import by_level, by_time, holds
 
 EMPTY = "(empty)"
@@ -47,13 +47,15 @@ def profile_all(df: DataFrame, top: int = 20) -> DataFrame:
 
 
 def summarize(df: DataFrame, field: str = "RuleTitle", level: str | None = None, top: int = 100) -> DataFrame:
+    """Rows by one of the columns, the most frequent first; a column that the log lacks is a ValueError that lists those it has."""
+    require_columns(df, [field])
     return by_level(df, *([level] if level else [])).groupBy(field).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc_nulls_last(field)).limit(top)
 
 
 def by_window(df: DataFrame, width: str = "1 hour", levels: tuple[str, ...] = (), rule: str = "") -> DataFrame:
     """Rows per tumbling window; rows without a parsed time do not count."""
     rows = by_level(df, *levels).where(holds("RuleTitle", rule)).select(strict(F.col("Timestamp")).alias("ts")).where("ts is not null")
-    return rows.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("count")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "count")
+    return rows.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("count")).select(as_text(F.col("window.start")).alias("window_start"), "count")
 
 
 def analyze_rule_titles(df: DataFrame, levels: tuple[str, ...] = (), min_count: int = 1, contains: str = "", start: str | None = None, end: str | None = None, top: int = 100) -> DataFrame:
@@ -98,12 +100,17 @@ def host_rank(df: DataFrame) -> DataFrame:
 
 
 def incident_overview(df: DataFrame) -> DataFrame:
-    """One row: period, rows in all and per level, hosts, and the first of the most severe rows."""
+    """One row: period, rows in all and per level, hosts, accounts (distinct values of user keys), and the first of the most severe rows."""
+    pair = F.explode(pairs(F.col("Details")))
+    users = df.select(pair.alias("p")).where(pair_key(F.col("p")).isin(*IOC_KEYS["user"])).select(pair_value(F.col("p")).alias("v")).where("v <> ''")
+    accounts = users.distinct().count()
     counts = [F.count_if(F.col("Level") == x).alias(x) for x in ("crit", "high", "med", "low", "info")]
     top = F.min(F.struct((-level_rank(F.col("Level"))).alias("r"), "Timestamp", "RuleTitle", "Computer"))
-    one = df.agg(F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen"), F.count(F.lit(1)).alias("events"), *counts, F.countDistinct("Computer").alias("host_count"), ordered_set(F.col("Computer")).alias("hosts"), top.alias("t"))
+    one = df.agg(F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen"), F.count(F.lit(1)).alias("events"), *counts, F.countDistinct("Computer").alias("host_count"), ordered_set(F.col("Computer")).alias("hosts"), F.lit(accounts).alias("account_count"), top.alias("t"))
     return one.select("*", F.col("t.Timestamp").alias("top_time"), F.col("t.RuleTitle").alias("top_rule"), F.col("t.Computer").alias("top_host")).drop("t")
 
 
 def active_days(df: DataFrame, levels: tuple[str, ...]) -> DataFrame:
-    return by_level(df, *levels).select(local_day(F.col("Timestamp")).alias("day")).where("day is not null").distinct()
+    """The days of rows at given levels, in any case and with blanks around them; no level given means all rows."""
+    held = df.where(F.lower(F.trim("Level")).isin(*levels)) if levels else df
+    return held.select(local_day(F.col("Timestamp")).alias("day")).where("day is not null").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.details import TACTICS, level_rank, phase
-from ..functions.timestamps import strict
+from ..functions.timestamps import as_text, strict
 from ..plans import ranges
 from ..sources.logs import SEPARATOR, resolve_detail_source
 from ..sources.shared import stored
@@ -164,13 +164,14 @@ def lateral_pairs(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = ()
     width = minutes * 60_000_000
     rows = _moves(df, levels).withColumn("bucket", F.floor(F.col("us") / width))
     number = F.xxhash64(*df.columns).alias("row")  # tells rows apart that look alike below
-    side = lambda at, end: [F.col("us").alias(at), number, *(F.col(c).alias(f"{end}{n}") for c, n in (("Timestamp", "Time"), ("Computer", "Host"), ("RuleTitle", "Event"), ("Level", "Level")))]
+    side = lambda at, end: [F.col("us").alias(at), number, *(F.col(c).alias(f"{end}{n}") for c, n in (("Computer", "Host"), ("RuleTitle", "Event"), ("Level", "Level")))]
     a = rows.where(F.col("Computer").contains(source)).select("bucket", *side("sus", "Source"))
     b = rows.where(F.col("Computer").contains(target)).select(F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), *side("tus", "Target"))
     a, b = in_cells(a, b, "bucket")
     pairs = a.drop("row").join(b.drop("row"), ["bucket", "cell"]).where(f"SourceHost <> TargetHost AND tus BETWEEN sus AND sus + {width}")
     delta = F.round((F.col("tus") - F.col("sus")) / 60_000_000.0, 1).alias("DeltaMinutes")
-    return pairs.select(*(f"{end}{n}" for end in ("Source", "Target") for n in ("Time", "Host", "Event", "Level")), delta)
+    shown = lambda at, end: [as_text(F.timestamp_micros(at)).alias(f"{end}Time"), *(f"{end}{n}" for n in ("Host", "Event", "Level"))]
+    return pairs.select(*shown("sus", "Source"), *shown("tus", "Target"), delta)
 
 
 def lateral_bound(df: DataFrame, minutes: int = 60, levels: tuple[str, ...] = (), source: str = "", target: str = "") -> DataFrame:
@@ -209,9 +210,11 @@ def edge_stats(moves: DataFrame) -> DataFrame:
 
 
 def node_stats(moves: DataFrame) -> DataFrame:
-    ends = moves.select(F.col("SourceHost").alias("host"), F.lit(1).alias("s"), F.lit(0).alias("t"), level_rank(F.col("SourceLevel")).alias("rank"))
-    ends = ends.union(moves.select("TargetHost", F.lit(0), F.lit(1), level_rank(F.col("TargetLevel"))))
-    return ends.groupBy("host").agg(F.sum("s").alias("as_source"), F.sum("t").alias("as_target"), F.count(F.lit(1)).alias("event_count"), F.max("rank").alias("rank"))
+    """Per host: moves from it and to it, both together, the levels seen and the rank of the highest one."""
+    ends = moves.select(F.col("SourceHost").alias("host"), F.lit(1).alias("s"), F.lit(0).alias("t"), F.col("SourceLevel").alias("level"))
+    ends = ends.union(moves.select("TargetHost", F.lit(0), F.lit(1), "TargetLevel"))
+    levels = F.array_join(F.array_sort(F.collect_set("level")), ", ")  # as many as there are levels
+    return ends.groupBy("host").agg(F.sum("s").alias("as_source"), F.sum("t").alias("as_target"), F.count(F.lit(1)).alias("event_count"), levels.alias("levels"), F.max(level_rank(F.col("level"))).alias("rank"))
 
 
 def layers(moves: DataFrame, *order: str) -> DataFrame:

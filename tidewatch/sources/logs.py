@@ -73,6 +73,7 @@ def fingerprint(df: DataFrame, ts_total: str = "Timestamp") -> DataFrame:
     cells = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return df.agg(
         F.lit("sum(xxhash64)x2").alias("algorithm"),
+        F.lit(",".join(df.columns)).alias("columns"),
         F.concat_ws("-", *[F.sum(h.cast("decimal(20,0)")) for h in (F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))]).alias("value"),
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(F.col(ts_total) != "").alias("ts_total"),
@@ -80,6 +81,39 @@ def fingerprint(df: DataFrame, ts_total: str = "Timestamp") -> DataFrame:
     )
 
 
+def fingerprint_parts(df: DataFrame, by: str, parts: int = 64) -> DataFrame:
+    """(name, part, rows, value, algorithm, columns): an order-free digest of each part of each named portion of a table, files for one.
+
+    A row's part follows from its content, so a table of any size is compared part by part, and one that changed is found without
+    reading the others. The values of a portion's parts add up to that of the portion.
+    """
+    columns = [c for c in df.columns if c != by]
+    cells = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    hashes = [F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)]
+    keyed = df.select(F.col(f"`{by}`").cast("string").alias("name"), *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+    sums = [F.sum(F.col(f"h{i}").cast("decimal(20,0)")).cast("string") for i in range(2)]
+    out = keyed.groupBy("name", F.pmod("h0", F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("value"))
+    return out.withColumns({"algorithm": F.lit(f"sum(xxhash64)x2/{parts}"), "columns": F.lit(",".join(columns))})
+
+
+def file_parts(spark: SparkSession, path: str, parts: int = 64) -> DataFrame:
+    """fingerprint_parts of the lines of the files below a path, whatever their size; the line break is not part of a line."""
+    return fingerprint_parts(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")), "file", parts)
+
+
+def changed_parts(told: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, part, state) of the parts in which two tables of parts differ: missing (the whole portion is), new (likewise), changed, or
+    other digest where they were made by another algorithm or of other columns; missing and new ones have no part."""
+    both = told.alias("t").join(found.alias("f"), ["name", "part"], "full_outer")
+    names = lambda df, c: df.select("name", F.lit(True).alias(c)).distinct()
+    both = both.join(names(told, "was"), "name", "left").join(names(found, "now"), "name", "left")
+    same = F.col("t.value").eqNullSafe(F.col("f.value"))
+    alike = (F.col("t.algorithm") == F.col("f.algorithm")) & (F.col("t.columns") == F.col("f.columns"))
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "new").when(~F.coalesce(alike, F.lit(True)), "other digest").when(~same, "changed")
+    out = both.select("name", F.when(F.col("now") & F.col("was"), F.col("part")).alias("part"), state.alias("state"))
+    return out.where("state IS NOT NULL").distinct()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good and bad records of a JSON-lines log; lines that are no objects are bad, not fatal; a missing file is an empty log."""
     whole = f"{schema}, _corrupt_record string"
