@@ -184,6 +184,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataFrame:
     return dealt.groupBy("share").applyInPandas(fill, PACKED)
 
 
+#: Files whose first positions are broadcast, some 200 bytes each.
+BROADCAST_FILES = 100_000
+
+
 def in_written_order(docs: DataFrame) -> DataFrame:
     """doc_id, text and position: the number of each row in the order in which the files hold the table.
 
@@ -201,8 +205,9 @@ def in_written_order(docs: DataFrame) -> DataFrame:
     files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
     part = F.expr("try_cast(regexp_extract(file, '([0-9]+)[^/]*$', 1) as bigint)")
     before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return rows.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("position"))
+    starts = stored(files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    few = starts.count() <= BROADCAST_FILES  # else by shuffle
+    return rows.join(F.broadcast(starts) if few else starts, "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("position"))
 
 
 def pack_in_order(docs: DataFrame, tokenizer: str, size: int = LENGTH, share: int = SHARE) -> DataFrame:
