@@ -18,7 +18,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices, table
 
@@ -174,27 +173,36 @@ def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], -x[2]))
 
 
-def sniff_media(df: DataFrame, data: str, declared: str) -> DataFrame:
-    """Add true_type, corrected and embedded (type, offset, length) to a binary column with declared types.
+EMBEDDED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
+
+
+def sniff_media(df: DataFrame, data: str, declared: str, carve: bool = True) -> DataFrame:
+    """Add true_type, corrected and embedded (type, offset, length, bytes) to a binary column with declared types.
 
     true_type is null where no known medium stands at offset 0 (null and empty data too); corrected is
-    true where it differs from the declared type. Rows keep their other columns; the three names given
-    here replace columns of the same name. Repeated rows give repeated results.
+    true where it differs from the declared type. The bytes of what is embedded are carved out, unless that is not asked for (then null).
+    Rows keep their other columns; the three names given here replace columns of the same name. Repeated rows
+    give repeated results. Bytes are read batch by batch, cut to about 2 MB of them at a time.
     """
-    @F.udf("struct<true_type:string,embedded:array<struct<type:string,offset:bigint,length:bigint>>>")
-    def look(value):
-        found = sniff(bytes(value) if value is not None else None)
-        top = next((f for f in found if f[1] == 0), None)
-        return (top and top[0], [f for f in found if f is not top])
-
-    seen = look(F.col(data))
-    return (
-        df.withColumn("__seen", seen)
-        .withColumn("true_type", F.col("__seen.true_type"))
-        .withColumn("corrected", F.col("__seen.true_type").isNotNull() & ~F.col("__seen.true_type").eqNullSafe(F.col(declared)))
-        .withColumn("embedded", F.col("__seen.embedded"))
-        .drop("__seen")
-    )
+    kept = [f for f in df.schema.fields if f.name not in ("true_type", "corrected", "embedded")]
+    names = [f.name for f in kept]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, data):
+            types, wrong, inner = [], [], []
+            for value, told in zip(batch.column(data), batch.column(declared).to_pylist(), strict=True):
+                raw = value.as_py() or b""
+                found = sniff(raw)
+                top = next((f for f in found if f[1] == 0), None)
+                types.append(top and top[0])
+                wrong.append(top is not None and top[0] != told)
+                inner.append([{"type": k, "offset": at, "length": n, "bytes": raw[at : at + n] if carve else None} for k, at, n in found if (k, at, n) != top])
+            more = [pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inner, EMBEDDED)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, "true_type", "corrected", "embedded"])
+
+    seen = "true_type string, corrected boolean, embedded array<struct<type:string, offset:bigint, length:bigint, bytes:binary>>"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return df.select(*names).mapInArrow(look, f"{fields}, {seen}")
 
 
 RATE = 16_000
