@@ -311,6 +311,28 @@ def test_levels_of_clusters_and_missing_fields(spark):
     assert flt.first_where(frame(spark, row(record="2"), row(record="1")), "Level = 'high'").first().RecordID == "1"
 
 
+def test_variants_by_each_rule_s_own_fields(spark):
+    held = [row(rule="A", host="H1", details=f"Svc: s{i % 2} ¦ Proc: p{i}") for i in range(30)] + [row(rule="B", channel=c, details=f"Proc: p{i}") for i, c in enumerate(["Sec"] * 25 + ["Sys"] * 2)]
+    logs = frame(spark, *held, row(rule="C"), *(row(rule="D", record=str(i), details=f"Cmdline: {i}") for i in range(2100)))
+    make = spark.createDataFrame
+    rules = make([("A", "false_positive", 30), ("B", "mixed", 27), ("C", "false_positive", 1), ("D", "mixed", 2100), ("E", "mixed", 21)], "rule_title string, verdict string, count long")
+    fields = make([("A", ["Computer", "Svc"]), ("B", ["Channel"]), ("D", ["Cmdline"])], "rule_title string, fields array<string>")
+    groups = make([("A", "H1|s0", 15, "benign"), ("A", "H1|s1", 10, "benign"), ("A", "H1|s1", 5, "benign"), ("B", "Sec", 25, "benign"), ("B", "Sys", 2, "attack"), ("D", "0", 1, "attack")], "rule_title string, variant string, count long, verdict string")
+    assert ev.g10(rules, groups, logs, fields).first().gaps == ["B Sec is too diverse", "D has too many variants", "E needs variants"]
+    wrong = make([("A", "H1|s0", 14, "benign"), ("A", "H1|", 1, "indeterminate"), ("B", "Sys", 2, None)], "rule_title string, variant string, count long, verdict string")
+    got = ev.g10(rules.where("rule_title IN ('A', 'B')"), wrong, logs, fields).first().gaps
+    assert got == ["A H1| missing", "A H1|s0 count", "A H1|s1 undeclared", "B Sec undeclared", "B Sys unjudged", "B has other variants than mixed"]
+
+
+def test_citing_needs_record_ids_and_details(spark):
+    rules = spark.createDataFrame([("A", "done", "false_positive", None), ("B", "pending", None, None)], "rule_title string, status string, verdict string, excerpt string")
+    refs = spark.createDataFrame([], "owner string, rule_title string, record_id string")
+    assert ev.g7(rules, refs).first().gaps == ["A has no excerpt", "A has no reference"]
+    assert ev.g7(rules, refs, columns=["RecordID"]).first().gaps == ["A has no reference"]
+    one = ev.g7(rules, refs, columns=["Details"]).first()
+    assert (one.status, one.n_gaps) == ("PASS", 0) and "skipped" in one.detail
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

@@ -99,6 +99,32 @@ add(
     "SELECT RuleTitle AS rule_title, Channel AS variant, count(*) AS count, 'benign' AS verdict FROM logs GROUP BY ALL",
 )
 
+def _logged(l):
+    """A query log appended to twice, with broken lines between, read back: the good entries and how many lines were bad."""
+    path = f"{shared_dir(l.sparkSession)}/{uuid.uuid4().hex}"
+    entries = l.select(F.col("Computer").alias("query_hash"), (F.col("Level") == "crit").alias("has_more"))
+    src.append_log(entries.where("has_more"), path)
+    l.where("Level = 'high'").select(F.concat(F.lit("{broken "), "RecordID").alias("value")).write.mode("append").text(path)
+    src.append_log(entries.where("not has_more"), path)
+    good, bad = src.read_jsonl(l.sparkSession, path, "query_hash string, has_more boolean")
+    counted = good.groupBy("query_hash", "has_more").agg(F.count(F.lit(1)).alias("n"))
+    return counted.union(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string"), F.lit(None).cast("boolean"), "n"))
+
+
+add(
+    "src_11_query_log",
+    _logged,
+    """
+    SELECT Computer AS query_hash, Level = 'crit' AS has_more, count(*) AS n FROM logs GROUP BY ALL
+    UNION ALL SELECT NULL, NULL, count(*) FROM logs WHERE Level = 'high'""",
+)
+_ODD = [7, 27, 127, 0x200E, 0x202E, 0x2066]
+add(
+    "fn_17_escaped",
+    lambda l: l.select("RecordID", fn.escaped(F.concat_ws("~", "Details", F.lit("".join(map(chr, _ODD))), "Channel")).alias("shown")),
+    """SELECT RecordID, concat_ws('~', Details, '\\x07\\x1b\\x7f\\u200e\\u202e\\u2066', Channel) AS shown FROM logs""",
+)
+
 # Filters
 add("flt_02_level", lambda l: flt.by_level(l, "crit", "high"), "SELECT * FROM logs WHERE Level IN ('crit', 'high')")
 add("flt_03_substring", lambda l: l.where(flt.holds("Details", "tool1")), "SELECT * FROM logs WHERE strpos(coalesce(Details, ''), 'tool1') > 0")
@@ -490,6 +516,28 @@ _gate("g8_compatible", 8, lambda l: ev.g8(_state(l, FINDINGS_SQL), _rules(l)), "
 _gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l), f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.found = f.host)")
 _gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), """SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel IN ('Sec', 'Sysmon') UNION ALL SELECT DISTINCT RuleTitle || Channel FROM (SELECT RuleTitle, Channel, split_part(pair, ': ', 1) AS key, split_part(pair, ': ', 2) AS value
 FROM (SELECT RuleTitle, Channel, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Channel <> 'Sysmon')) WHERE key IN ('Proc', 'Cmdline') GROUP BY RuleTitle, Channel, key HAVING count(DISTINCT value) > 3""")
+_OWN_FIELDS = """SELECT RuleTitle AS rule_title, CASE WHEN RuleTitle LIKE '%click%' THEN {both} ELSE {one} END AS fields FROM (SELECT DISTINCT RuleTitle FROM logs)"""
+
+
+def _own_groups(l):
+    """Variants by each rule's own fields: host and user for some, the channel for others; counts of one channel are wrong, one host has no verdict."""
+    fields = _state(l, _OWN_FIELDS.format(both="array('Computer', 'TgtUser')", one="array('Channel')"))
+    real = det.variants_by_rule(l, fields).groupBy(F.col("RuleTitle").alias("rule_title"), "variant").count()
+    wrong = F.when(F.col("variant") == "Sec", F.col("count") + 1).otherwise(F.col("count"))
+    return fields, real.select("rule_title", "variant", wrong.alias("count"), F.expr("CASE WHEN variant NOT LIKE 'HOST-1|%' THEN 'attack' END").alias("verdict"))
+
+
+add(
+    "g10_own_fields",
+    lambda l: _flat((lambda fields, groups: ev.g10(_rules(l).withColumn("verdict", F.lit("mixed")), groups, l, fields))(*_own_groups(l))),
+    """
+    WITH gaps AS (
+        SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel = 'Sec' AND RuleTitle NOT LIKE '%click%'
+        UNION ALL SELECT DISTINCT RuleTitle || coalesce(regexp_extract(Details, 'TgtUser: ([^ ]+)', 1), '') FROM logs
+            WHERE RuleTitle LIKE '%click%' AND Computer = 'HOST-1'
+    )
+    SELECT 'G10' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps""",
+)
 _gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
 WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
 _ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())

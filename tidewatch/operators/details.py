@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,6 +70,23 @@ def variant_of(df: DataFrame, keys: list[str], column: str = "Details") -> DataF
     return parsed.withColumn("variant", F.concat_ws("|", *[F.regexp_replace(v, r"([\\|])", r"\\$1") for v in of])).drop("__m")
 
 
+def variants_by_rule(df: DataFrame, fields: DataFrame, column: str = "Details") -> DataFrame:
+    """Rows of the rules that `fields` (rule_title, fields) names, with variant: the values of the rule's own fields, as in variant_of.
+
+    A field that is a column with a value is that value, trimmed; else it is the detail key of that name, else ''.
+    """
+    held = df.join(fields.select(F.col("rule_title").alias("RuleTitle"), F.col("fields").alias("__fields")), "RuleTitle")
+    cells = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.trim(F.col(c)))])
+    both = F.array(F.struct(cells.alias("cells"), D.detail_map(F.col(column)).alias("pairs")))  # worked out once a row
+
+    def value(m: Column, f: Column) -> Column:
+        found = F.coalesce(F.try_element_at(m["cells"], f), F.try_element_at(m["pairs"], f), F.lit(""))
+        return F.regexp_replace(found, r"([\\|])", r"\\$1")
+
+    named = F.transform(both, lambda m: F.array_join(F.transform("__fields", lambda f: value(m, f)), "|"))[0]
+    return held.withColumn("variant", named).drop("__fields")
+
+
 def variants(df: DataFrame, keys: list[str], column: str = "Details", most: int = 2_000) -> DataFrame:
     """Rows per rule and tuple of fields, and whether a rule has too many of them."""
     out = variant_of(df, keys, column).groupBy("RuleTitle", "variant").agg(F.count(F.lit(1)).alias("count"))

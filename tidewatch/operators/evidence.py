@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.details import squeezed
 from ..functions.matching import occurring
 from ..sources.logs import changed_parts
-from .details import diversity, variant_of, variants
+from .details import diversity, variants, variants_by_rule
 from .profile import overview
 
 VOLUME = 20
@@ -62,22 +62,36 @@ def resolve_refs(refs: DataFrame, logs: DataFrame) -> DataFrame:
     return per.withColumn("state", F.when(F.col("events") == 0, "not_found").when(F.col("events") > 1, F.when(host.isNull(), "ambiguous").otherwise("ambiguous_channels")).when(~F.col("hit") & F.col("rule_title").isNotNull(), "wrong_rule").otherwise("ok"))
 
 
+#: Excerpts are broadcast up to so many bytes, so that the log's texts are not shuffled to meet them; more meet by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def excerpts(rules: DataFrame, logs: DataFrame, column: str = "Details") -> DataFrame:
     """Whether each rule's excerpt, white space aside, stands in one of its rows."""
+    told = rules.where("excerpt is not null").select("rule_title", squeezed(F.col("excerpt")).alias("told")).distinct()
+    small = (told.agg(F.sum(F.octet_length("rule_title") + F.octet_length("told") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     rows = logs.select(F.col("RuleTitle").alias("rule_title"), squeezed(F.col(column)).alias("text"))
-    found = F.coalesce(F.max(F.instr("text", squeezed(F.col("excerpt"))) > 0), F.lit(False))
-    return rules.where("excerpt is not null").join(rows, "rule_title", "left").groupBy("rule_title").agg(found.alias("verbatim"))
+    met = rows.join(F.broadcast(told) if small else told, "rule_title").groupBy("rule_title").agg(F.max(F.instr("text", F.col("told")) > 0).alias("found"))
+    return told.select("rule_title").distinct().join(met, "rule_title", "left").select("rule_title", F.coalesce("found", F.lit(False)).alias("verbatim"))
 
 
-def reconcile(groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
-    """Declared against recounted variants: missing, undeclared, count or unjudged; ok rows too."""
-    told = groups.select("rule_title", "variant", F.col("count").alias("told"), "verdict")
-    real = variants(logs, keys).select(F.col("RuleTitle").alias("rule_title"), "variant", F.col("count").alias("real"))
+def recounted(groups: DataFrame, real: DataFrame) -> DataFrame:
+    """Declared against recounted variants (rule_title, variant, real): missing, undeclared, count or unjudged; ok rows too.
+
+    A variant that is declared more than once stands for the sum of its counts, and is judged where all of it is.
+    """
+    told = groups.groupBy("rule_title", F.coalesce("variant", F.lit("")).alias("variant"))
+    told = told.agg(F.sum("count").alias("told"), F.when(F.count("verdict") == F.count(F.lit(1)), F.min("verdict")).alias("verdict"))
     real = real.join(told.select("rule_title").distinct(), "rule_title", "left_semi")
     state = F.when(F.col("real").isNull(), "missing").when(F.col("told").isNull(), "undeclared").when(F.col("told") != F.col("real"), "count").when(F.col("verdict").isNull(), "unjudged").otherwise("ok")
     return told.join(real, ["rule_title", "variant"], "full").withColumn("state", state)
 
 
+def reconcile(groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Declared against recounted variants by one list of keys for all rules."""
+    return recounted(groups, variants(logs, keys).select(F.col("RuleTitle").alias("rule_title"), "variant", F.col("count").alias("real")))
+
+
 def consensus(votes: DataFrame) -> DataFrame:
     """Votes per target (with target_type, if there is one) and what they confirm; cannot_verify does not count.
 
@@ -190,12 +204,19 @@ def g6(refs: DataFrame, rules: DataFrame, logs: DataFrame, iocs: DataFrame | Non
     return gate(bad.union(quoted), F.col("gap"), 6, "references")
 
 
-def g7(rules: DataFrame, refs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def g7(rules: DataFrame, refs: DataFrame, findings: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Verdicts and findings without a reference, false positives without an excerpt.
+
+    columns, those of the log: without record ids nothing can be cited, and the gate passes; without a detail column no excerpt is asked for.
+    """
     judged = rules.where("status <> 'pending'")
     gaps = judged.join(refs, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" has no reference")).alias("gap"))
-    gaps = gaps.union(judged.where("verdict = 'false_positive' and coalesce(trim(excerpt), '') = ''").select(F.concat("rule_title", F.lit(" has no excerpt"))))
+    if columns is None or {"Details", "AllFieldInfo"} & set(columns):
+        gaps = gaps.union(judged.where("verdict = 'false_positive' and coalesce(trim(excerpt), '') = ''").select(F.concat("rule_title", F.lit(" has no excerpt"))))
     if findings is not None:
         gaps = gaps.union(findings.join(refs.withColumnRenamed("owner", "id"), "id", "left_anti").select(F.concat("id", F.lit(" has no reference"))))
+    if columns is not None and "RecordID" not in columns:
+        return gate(gaps.limit(0), F.col("gap"), 7, "evidence cited", "skipped, as the log has no record ids")
     return gate(gaps, F.col("gap"), 7, "evidence cited")
 
 
@@ -214,27 +235,39 @@ def g9(findings: DataFrame, refs: DataFrame, logs: DataFrame) -> DataFrame:
     return gate(findings.where("trim(host) <> ''").join(good, ["id", "host"], "left_anti"), F.concat_ws(" ", "id", "host"), 9, "finding hosts")
 
 
+# Fixed value: more variants than this say that the fields are not stable.
+MOST_VARIANTS = 2_000
 # Columns that say nothing of what happened, and detail keys that do.
 NON_CONTENT = ["Computer", "Channel", "EventID", "Level", "RuleTitle", "RecordID", "Timestamp", "Provider", "MitreTactics", "MitreTags", "OtherTags", "RuleFile", "RuleID", "EvtxFile", "RecoveredRecord"]
 PROBES = ["Cmdline", "CommandLine", "ParentCommandLine", "Proc", "Image", "NewProcessName", "ParentImage", "Path", "ImagePath", "TgtFile", "TargetFilename", "Svc", "ServiceName", "TaskName", "TgtObj", "TargetObject"]
 
 
-def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
+def g10(rules: DataFrame, groups: DataFrame, logs: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
     """Variants: given where they are needed, as counted, not benign without any field, and in line with the rule's verdict.
 
-    Where the keys are all without content, a benign variant may have three values of a probe key at most.
+    keys: the fields that make a variant, one list for all rules or a table (rule_title, fields) with each rule's own.
+    Where a rule's fields are all without content, a benign variant may have three values of a probe key at most. A rule with too many
+    variants is a gap of its own and is not compared.
     """
     large = rules.where(F.col("verdict").isin("false_positive", "mixed") & (F.col("count") > VOLUME))
     gaps = large.join(groups, "rule_title", "left_anti").select(F.concat("rule_title", F.lit(" needs variants")).alias("gap"))
-    gaps = gaps.union(reconcile(groups, logs, keys).where("state <> 'ok'").select(F.concat_ws(" ", "rule_title", "variant", "state")))
+    named = groups.select("rule_title").distinct()
+    fields = keys if isinstance(keys, DataFrame) else named.withColumn("fields", F.array(*map(F.lit, keys)).cast("array<string>"))
+    keyed = variants_by_rule(logs, fields.join(named, "rule_title", "left_semi")).withColumnRenamed("RuleTitle", "rule_title")
+    real = keyed.groupBy("rule_title", "variant").agg(F.count(F.lit(1)).alias("real"))
+    over = real.groupBy("rule_title").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_VARIANTS).select("rule_title")
+    gaps = gaps.union(over.select(F.concat("rule_title", F.lit(" has too many variants"))))
+    compared = recounted(groups.join(over, "rule_title", "left_anti"), real).where("state <> 'ok'")
+    gaps = gaps.union(compared.select(F.concat_ws(" ", "rule_title", "variant", "state")))
     benign = groups.where(F.col("verdict").isin(*BENIGN)).select("rule_title", "variant")
-    gaps = gaps.union(benign.where(~F.col("variant").rlike(r"[^|\s]")).select(F.concat("rule_title", F.lit(" has an empty benign variant"))))
+    gaps = gaps.union(benign.where(~F.coalesce("variant", F.lit("")).rlike(r"[^|\s]")).select(F.concat("rule_title", F.lit(" has an empty benign variant"))))
     attacks = groups.groupBy("rule_title").agg(F.count_if(F.col("verdict") == "attack").alias("attacks"))
     wrong = (F.col("verdict") == "false_positive") & (F.col("attacks") > 0) | (F.col("verdict") == "mixed") & (F.col("attacks") == 0)
     gaps = gaps.union(rules.select("rule_title", "verdict").join(attacks, "rule_title").where(wrong).select(F.concat("rule_title", F.lit(" has other variants than "), "verdict")))
-    if all(k in NON_CONTENT for k in keys):
-        seen = diversity(variant_of(logs, keys), PROBES, by=("RuleTitle", "variant")).where("diverse").select(F.col("RuleTitle").alias("rule_title"), "variant").distinct()
-        gaps = gaps.union(benign.join(seen, ["rule_title", "variant"], "left_semi").select(F.concat_ws(" ", "rule_title", "variant", F.lit("is too diverse"))))
+    weak = fields.where(F.forall("fields", lambda f: f.isin(*NON_CONTENT))).select("rule_title")
+    probed = keyed.join(benign.join(weak, "rule_title", "left_semi").distinct(), ["rule_title", "variant"], "left_semi")
+    seen = diversity(probed, PROBES, by=("rule_title", "variant")).where("diverse").select("rule_title", "variant").distinct()
+    gaps = gaps.union(seen.select(F.concat_ws(" ", "rule_title", "variant", F.lit("is too diverse"))))
     return gate(gaps, F.col("gap"), 10, "variants")
 
 
@@ -262,10 +295,6 @@ def run_gates(gates: list[DataFrame]) -> DataFrame:
 STUBS = ["reviewed", "checked", "check", "ok", "done", "verified", "confirmed", "fp", "false positive", "benign", "normal", "確認済み", "確認済", "済", "レビュー済み", "レビュー済", "問題なし", "正常"]
 
 
-# Fixed value: more variants than this say that the fields are not stable.
-MOST_VARIANTS = 2_000
-
-
 def _variant_reasons(groups: DataFrame) -> tuple[DataFrame, list[Column]]:
     """What the declared variants of each rule amount to, and the reasons that follow for an entry joined to it."""
     verdicts = F.coalesce(F.col("verdict").isin("attack", *BENIGN, "indeterminate"), F.lit(False))
