@@ -122,3 +122,24 @@ def test_op6_and_op7_odd_rows_by_value(spark):
     assert out[3].score == out[4].score < out[1].score == out[2].score < 0
     mixed = mixing.mix(frame, {"a": 3, "b": 1}, 1).collect()
     assert sorted(str(r.doc_id) for r in mixed) == sorted(str(r[0]) for r in rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "one two"), (5, "one two"), (6, "Ünï " * 400), (None, "no id here at all"), (7, "  &<b>"), (8, "word " * 5000)]])
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", f"s{len(t or '') % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {i for i, _ in rows} and bool(out) == bool(rows)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    for s in {p[0] for p in places}:
+        at = 0
+        for _, offset, length in (p for p in places if p[0] == s):
+            assert offset == at
+            at += length
+        assert 0 < at <= 1024
+    if rows:
+        kept = next(f for n, f in corpus_pipeline.STAGES if n == "near_duplicates")(spark, docs, str(tmp_path))
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, None, 7, 8]))
