@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.details import squeezed
 from ..functions.matching import occurring
 from ..sources.logs import changed_parts
+from ..sources.shared import stored
 from .details import diversity, variants, variants_by_rule
 from .profile import overview
 
@@ -283,8 +284,8 @@ def g11(rules: DataFrame, votes: DataFrame, findings: DataFrame | None = None) -
 
 
 def run_gates(gates: list[DataFrame]) -> DataFrame:
-    """All gates, and a row ALL that passes where they all do."""
-    out = reduce(DataFrame.unionByName, gates)
+    """All gates, and a row ALL that passes where they all do. The gates are worked out once."""
+    out = stored(reduce(DataFrame.unionByName, gates))
     whole = out.agg(F.min(F.col("status") == "PASS").alias("ok"), F.sum("n_gaps").alias("n_gaps"))
     status = F.when(F.col("ok"), "PASS").otherwise("FAIL")
     detail = F.concat(F.col("n_gaps").cast("string"), F.lit(" gaps"))

@@ -195,10 +195,11 @@ def correlate_lateral(df: DataFrame, minutes: int = 60, levels: tuple[str, ...]
 
     Only rows of hosts that hold `source` and `target` are counted and joined.
     """
-    found = lateral_bound(df, minutes, levels, source, target)
-    if found.where(F.col("bound") > most).isEmpty():
+    found = lateral_bound(df, minutes, levels, source, target).first()  # three numbers
+    if found.bound <= most:
         return lateral_pairs(df, minutes, levels, source, target).withColumn("status", F.lit("ok"))
-    return found.select(F.lit("too_broad").alias("status"), "bound", F.lit(most).alias("most"), "source_rows", "target_rows")
+    told = ("too_broad", found.bound, most, found.source_rows, found.target_rows)
+    return df.sparkSession.createDataFrame([told], "status string, bound long, most int, source_rows long, target_rows long")
 
 
 def edge_stats(moves: DataFrame) -> DataFrame:
