@@ -49,10 +49,12 @@ def _loaded(l):
 
 
 add("src_01_load_logs", _loaded, "SELECT * FROM logs")
-add("src_02_activate", lambda l: src.activate(l).select("loaded", "row_count", "column_count"), "SELECT TRUE AS loaded, count(*) AS row_count, 11 AS column_count FROM logs")
+add("src_02_activate", lambda l: src.activate(l).select("loaded", "row_count", "column_count"),
+    "SELECT TRUE AS loaded, count(*) AS row_count, 11 AS column_count FROM logs")
 add(
     "src_04_dataset_status",
-    lambda l: src.dataset_status(l, "told").select("loaded", "path", "row_count", "column_count", F.array_join("columns", ",").alias("columns"), F.col("loaded_at").isNotNull().alias("dated")),
+    lambda l: src.dataset_status(l, "told").select("loaded", "path", "row_count", "column_count", F.array_join("columns", ",").alias("columns"),
+        F.col("loaded_at").isNotNull().alias("dated")),
     f"SELECT TRUE AS loaded, 'told' AS path, count(*) AS row_count, 11 AS column_count, '{_COLUMNS}' AS columns, TRUE AS dated FROM logs",
 )
 QUERIES["src_05_dataset_inventory"] = lambda spark, sf_dir: src.dataset_inventory(spark, sf_dir, "*.parquet")
@@ -128,19 +130,27 @@ add(
 # Filters
 add("flt_02_level", lambda l: flt.by_level(l, "crit", "high"), "SELECT * FROM logs WHERE Level IN ('crit', 'high')")
 add("flt_03_substring", lambda l: l.where(flt.holds("Details", "tool1")), "SELECT * FROM logs WHERE strpos(coalesce(Details, ''), 'tool1') > 0")
-add("flt_04_time_range", lambda l: flt.by_time(l, "2024-01-05", "2024-01-12"), """SELECT * FROM logs WHERE "Timestamp" >= '2024-01-05' AND "Timestamp" <= '2024-01-12'""")
+add("flt_04_time_range", lambda l: flt.by_time(l, "2024-01-05", "2024-01-12"), """SELECT * FROM logs
+    WHERE "Timestamp" >= '2024-01-05' AND "Timestamp" <= '2024-01-12'""")
 add("flt_05_lateral_default", flt.lateral_default, "SELECT * FROM logs WHERE Level IN ('high', 'crit') OR strpos(coalesce(MitreTactics, ''), 'LatMov') > 0")
-add("flt_06_record", lambda l: flt.record(l, "42", rule="Rule click-1").union(flt.record(l, "77")), "SELECT * FROM logs WHERE RecordID = '42' AND RuleTitle = 'Rule click-1' UNION ALL SELECT * FROM logs WHERE RecordID = '77'")
+add("flt_06_record", lambda l: flt.record(l, "42", rule="Rule click-1").union(flt.record(l, "77")),
+    "SELECT * FROM logs WHERE RecordID = '42' AND RuleTitle = 'Rule click-1' UNION ALL SELECT * FROM logs WHERE RecordID = '77'")
 add("flt_07_condition", lambda l: flt.first_where(l, "RecordID = '6500'"), "SELECT * FROM logs WHERE RecordID = '6500' LIMIT 1")
 add("flt_08_with_detail", flt.with_detail, "SELECT * FROM logs WHERE Details IS NOT NULL AND Details <> ''")
-add("flt_10_window_sample", lambda l: flt.window_sample(l, seq.clusters(l)), """WITH s AS (SELECT *, row_number() OVER (ORDER BY "Timestamp", RuleTitle, Computer, RecordID, Channel) AS nth FROM logs WHERE Level IN ('high', 'crit'))
+add("flt_10_window_sample", lambda l: flt.window_sample(l, seq.clusters(l)),
+    """WITH s AS (SELECT *, row_number() OVER (ORDER BY "Timestamp", RuleTitle, Computer, RecordID, Channel) AS nth FROM logs
+    WHERE Level IN ('high', 'crit'))
 SELECT 'c1' AS id, nth, "Timestamp", RuleTitle, Computer, RecordID FROM s WHERE nth <= 20""")
-add("flt_11_staged", lambda l: flt.staged(l, folders=["C:~tmp~tool1", "C:~tmp~tool2"]), "SELECT * FROM logs WHERE strpos(Details, 'C:~tmp~tool1') > 0 OR strpos(Details, 'C:~tmp~tool2') > 0")
+add("flt_11_staged", lambda l: flt.staged(l, folders=["C:~tmp~tool1", "C:~tmp~tool2"]),
+    "SELECT * FROM logs WHERE strpos(Details, 'C:~tmp~tool1') > 0 OR strpos(Details, 'C:~tmp~tool2') > 0")
 add("sch_01_contains", lambda l: flt.search(l, "TOOL7"), "SELECT *, 'Details' AS HitColumns FROM logs WHERE strpos(lower(Details), 'tool7') > 0")
 add("sch_03_exact", lambda l: flt.search(l, "HIGH", mode="exact"), "SELECT *, 'Level' AS HitColumns FROM logs WHERE lower(Level) = 'high'")
-add("sch_04_prefix", lambda l: flt.search(l, "rule_c%-1", ["RuleTitle"], mode="prefix"), "SELECT *, 'RuleTitle' AS HitColumns FROM logs WHERE lower(RuleTitle) LIKE 'rule_c%-1%'")
-add("sch_05_regex", lambda l: flt.search(l, "user1[0-3]$", ["Details"], mode="regex"), "SELECT *, 'Details' AS HitColumns FROM logs WHERE regexp_matches(lower(Details), 'user1[0-3]$')")
-add("sch_06_hit_columns", lambda l: flt.search(l, "ec", ["Channel", "MitreTactics"]), """SELECT *, concat_ws(', ', CASE WHEN strpos(lower(Channel), 'ec') > 0 THEN 'Channel' END, CASE WHEN strpos(lower(MitreTactics), 'ec') > 0 THEN 'MitreTactics' END) AS HitColumns
+add("sch_04_prefix", lambda l: flt.search(l, "rule_c%-1", ["RuleTitle"], mode="prefix"),
+    "SELECT *, 'RuleTitle' AS HitColumns FROM logs WHERE lower(RuleTitle) LIKE 'rule_c%-1%'")
+add("sch_05_regex", lambda l: flt.search(l, "user1[0-3]$", ["Details"], mode="regex"),
+    "SELECT *, 'Details' AS HitColumns FROM logs WHERE regexp_matches(lower(Details), 'user1[0-3]$')")
+add("sch_06_hit_columns", lambda l: flt.search(l, "ec", ["Channel", "MitreTactics"]), """SELECT *, concat_ws(', ', CASE
+    WHEN strpos(lower(Channel), 'ec') > 0 THEN 'Channel' END, CASE WHEN strpos(lower(MitreTactics), 'ec') > 0 THEN 'MitreTactics' END) AS HitColumns
 FROM logs WHERE strpos(lower(Channel), 'ec') > 0 OR strpos(lower(MitreTactics), 'ec') > 0""")
 
 # Profiles and summaries
@@ -150,64 +160,111 @@ OVERVIEW_SQL = f"""
     UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs"""
 add("agg_01_overview", lambda l: prof.overview(l).where("metric <> 'path'"), OVERVIEW_SQL)
 for _name, _column in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle")):
-    add(f"agg_02_{_name}", lambda l, c=_column: prof.section(l, c), f"SELECT coalesce(nullif({_column}, ''), '(empty)') AS label, count(*) AS count FROM logs GROUP BY {_column} ORDER BY 2 DESC, 1 LIMIT 20")
+    add(f"agg_02_{_name}", lambda l, c=_column: prof.section(l, c),
+        f"SELECT coalesce(nullif({_column}, ''), '(empty)') AS label, count(*) AS count FROM logs GROUP BY {_column} ORDER BY 2 DESC, 1 LIMIT 20")
 _TOP = "SELECT * FROM (SELECT '{name}' AS section, 'count' AS metric, coalesce(nullif({column}, ''), '(empty)') AS key, CAST(count(*) AS VARCHAR) AS value FROM logs GROUP BY 3 ORDER BY count(*) DESC, 3 LIMIT 20)"
-add("agg_03_profile_all", prof.profile_all, f"""SELECT 'overview' AS section, metric, '' AS key, value FROM (SELECT 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM logs UNION ALL SELECT 'column_count', '11'
-UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs UNION ALL SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs)
+add("agg_03_profile_all", prof.profile_all, f"""SELECT 'overview' AS section, metric, '' AS key, value
+    FROM (SELECT 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM logs UNION ALL SELECT 'column_count', '11'
+UNION ALL SELECT 'first_timestamp', min("Timestamp") FROM logs UNION ALL SELECT 'last_timestamp', max("Timestamp") FROM logs UNION ALL
+    SELECT 'parsed_timestamps', CAST(count({TS}) AS VARCHAR) FROM logs)
 UNION ALL """ + " UNION ALL ".join(_TOP.format(name=n, column=c) for n, c in (("levels", "Level"), ("computers", "Computer"), ("rules", "RuleTitle"))))
 add("agg_04_summarize", lambda l: prof.summarize(l, "EventID", "crit"), "SELECT EventID, count(*) AS count FROM logs WHERE Level = 'crit' GROUP BY EventID")
 for _name, _width in (("1h", "1 hour"), ("3h", "3 hour"), ("6h", "6 hour"), ("12h", "12 hour"), ("1d", "1 day")):
-    add(f"agg_05_window_{_name}", lambda l, w=_width: prof.by_window(l, w), f"SELECT CAST(time_bucket(INTERVAL '{_width}', {TS}, TIMESTAMP '1970-01-01') AS VARCHAR) || '+00' AS window_start, count(*) AS count FROM logs GROUP BY 1")
+    add(f"agg_05_window_{_name}", lambda l, w=_width: prof.by_window(l, w),
+        f"SELECT CAST(time_bucket(INTERVAL '{_width}', {TS}, TIMESTAMP '1970-01-01') AS VARCHAR) || '+00' AS window_start, count(*) AS count FROM logs GROUP BY 1")
 add("agg_06_analyze_rule_titles", prof.analyze_rule_titles, RULE_SQL.format(where="", least=1))
-add("agg_06_filtered", lambda l: prof.analyze_rule_titles(l, ("high",), 5, "error"), RULE_SQL.format(where="WHERE Level = 'high' AND strpos(coalesce(RuleTitle, ''), 'error') > 0", least=5))
-add("agg_12_rule_levels", lambda l: prof.level_counts(l, "RuleTitle").select("RuleTitle", "count", F.expr("concat_ws(',', transform(map_entries(levels), e -> e.key || '=' || e.value))").alias("levels")), "SELECT RuleTitle, CAST(sum(n) AS BIGINT) AS count, string_agg(Level || '=' || n, ',' ORDER BY Level) AS levels FROM (SELECT RuleTitle, Level, count(*) AS n FROM logs GROUP BY ALL) GROUP BY 1")
-add("agg_13_host_levels", lambda l: prof.level_counts(l, "Computer").select("Computer", "count", F.expr("concat_ws(',', transform(map_entries(levels), e -> e.key || '=' || e.value))").alias("levels")), "SELECT Computer, CAST(sum(n) AS BIGINT) AS count, string_agg(Level || '=' || n, ',' ORDER BY Level) AS levels FROM (SELECT Computer, Level, count(*) AS n FROM logs GROUP BY ALL) GROUP BY 1")
+add("agg_06_filtered", lambda l: prof.analyze_rule_titles(l, ("high",), 5, "error"),
+    RULE_SQL.format(where="WHERE Level = 'high' AND strpos(coalesce(RuleTitle, ''), 'error') > 0", least=5))
+add("agg_12_rule_levels", lambda l: prof.level_counts(l, "RuleTitle").select("RuleTitle", "count",
+    F.expr("concat_ws(',', transform(map_entries(levels), e -> e.key || '=' || e.value))").alias("levels")),
+    "SELECT RuleTitle, CAST(sum(n) AS BIGINT) AS count, string_agg(Level || '=' || n, ',' ORDER BY Level) AS levels FROM (SELECT RuleTitle, Level, count(*) AS n FROM logs GROUP BY ALL) GROUP BY 1")
+add("agg_13_host_levels", lambda l: prof.level_counts(l, "Computer").select("Computer", "count",
+    F.expr("concat_ws(',', transform(map_entries(levels), e -> e.key || '=' || e.value))").alias("levels")),
+    "SELECT Computer, CAST(sum(n) AS BIGINT) AS count, string_agg(Level || '=' || n, ',' ORDER BY Level) AS levels FROM (SELECT Computer, Level, count(*) AS n FROM logs GROUP BY ALL) GROUP BY 1")
 add("agg_14_timestamp_coverage", prof.timestamp_coverage, f"""SELECT count(*) FILTER ("Timestamp" <> '') AS ts_total, count({TS}) AS ts_parsed FROM logs""")
-add("agg_15_default_levels", lambda l: prof.default_levels(l).select(F.concat_ws(",", "levels").alias("levels")), "SELECT CASE WHEN count(*) FILTER (Level IN ('crit', 'high')) > 0 THEN 'crit,high' WHEN count(*) FILTER (Level = 'med') > 0 THEN 'med' ELSE string_agg(DISTINCT Level, ',' ORDER BY Level) END AS levels FROM logs")
-add("agg_20_host_impact", prof.host_impact, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen,
+add("agg_15_default_levels", lambda l: prof.default_levels(l).select(F.concat_ws(",", "levels").alias("levels")),
+    "SELECT CASE WHEN count(*) FILTER (Level IN ('crit', 'high')) > 0 THEN 'crit,high' WHEN count(*) FILTER (Level = 'med') > 0 THEN 'med' ELSE string_agg(DISTINCT Level, ',' ORDER BY Level) END AS levels FROM logs")
+add("agg_20_host_impact", prof.host_impact,
+    """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, min("Timestamp") AS first_seen, max("Timestamp") AS last_seen,
   string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) FILTER (Level IN ('crit', 'high')) AS rules,
-  CASE WHEN count(*) FILTER (Level = 'crit') > 0 THEN 'Confirmed' WHEN count(*) FILTER (Level = 'high') > 0 THEN 'Suspected' ELSE 'Under Investigation' END AS status FROM logs GROUP BY 1""")
-add("agg_22_host_rank", prof.host_rank, """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, bool_or(strpos(coalesce(MitreTactics, ''), 'LatMov') > 0) AS lateral, min("Timestamp") FILTER (Level IN ('high', 'crit')) AS first_high, (SELECT count(DISTINCT t) FROM (SELECT Computer AS c, unnest(string_split(MitreTactics, ' ¦ ')) AS t FROM logs) WHERE c = Computer AND t <> '') AS tactics FROM logs GROUP BY 1""")
-add("agg_28_incident_overview", prof.incident_overview, """WITH t AS (SELECT "Timestamp", RuleTitle, Computer FROM logs ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, "Timestamp", RuleTitle, Computer LIMIT 1)
+  CASE WHEN count(*) FILTER (Level = 'crit') > 0 THEN 'Confirmed' WHEN count(*) FILTER (Level = 'high') > 0 THEN 'Suspected'
+      ELSE 'Under Investigation' END AS status FROM logs GROUP BY 1""")
+add("agg_22_host_rank", prof.host_rank,
+    """SELECT Computer, count(*) FILTER (Level = 'crit') AS crit, bool_or(strpos(coalesce(MitreTactics, ''), 'LatMov') > 0) AS lateral, min("Timestamp") FILTER (Level IN ('high', 'crit')) AS first_high, (SELECT count(DISTINCT t)
+    FROM (SELECT Computer AS c, unnest(string_split(MitreTactics, ' ¦ ')) AS t FROM logs) WHERE c = Computer AND t <> '') AS tactics FROM logs
+    GROUP BY 1""")
+add("agg_28_incident_overview", prof.incident_overview, """WITH t AS (SELECT "Timestamp", RuleTitle, Computer FROM logs ORDER BY CASE Level
+    WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, "Timestamp", RuleTitle, Computer LIMIT 1)
 SELECT min(l."Timestamp") AS first_seen, max(l."Timestamp") AS last_seen, count(*) AS events, count(*) FILTER (Level = 'crit') AS crit, count(*) FILTER (Level = 'high') AS high, count(*) FILTER (Level = 'med') AS med, count(*) FILTER (Level = 'low') AS low, count(*) FILTER (Level = 'info') AS info,
   count(DISTINCT l.Computer) AS host_count, string_agg(DISTINCT l.Computer, ', ' ORDER BY l.Computer) AS hosts,
-  (SELECT count(DISTINCT split_part(p, ': ', 2)) FROM (SELECT unnest(string_split(Details, ' ¦ ')) AS p FROM logs) WHERE split_part(p, ': ', 1) IN ('User', 'TgtUser', 'SrcUser')) AS account_count, (SELECT "Timestamp" FROM t) AS top_time, (SELECT RuleTitle FROM t) AS top_rule, (SELECT Computer FROM t) AS top_host FROM logs l""")
+  (SELECT count(DISTINCT split_part(p, ': ', 2)) FROM (SELECT unnest(string_split(Details, ' ¦ ')) AS p FROM logs)
+      WHERE split_part(p, ': ', 1) IN ('User', 'TgtUser', 'SrcUser')) AS account_count, (SELECT "Timestamp" FROM t) AS top_time, (SELECT RuleTitle
+      FROM t) AS top_rule, (SELECT Computer FROM t) AS top_host FROM logs l""")
 
 # Details
 PAIRS = """p AS (SELECT *, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL AND Details <> ''),
 kv AS (SELECT *, trim(split_part(pair, ': ', 1)) AS key, trim(substr(pair, strpos(pair, ': ') + 2)) AS value FROM p WHERE strpos(pair, ': ') > 0)"""
 add("agg_08_key_counts", det.key_counts, f"WITH {PAIRS} SELECT key, count(*) AS count FROM kv GROUP BY 1")
-add("agg_09_unique_values", lambda l: det.unique_values(l, "SrcIP"), f"WITH {PAIRS} SELECT value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS hosts, count(*) AS count FROM kv WHERE key = 'SrcIP' AND value <> '' GROUP BY 1")
-add("agg_10_values", lambda l: det.values(l, "TgtUser"), f"""WITH {PAIRS} SELECT value, "Timestamp", Computer, RuleTitle, Level FROM kv WHERE key = 'TgtUser'""")
-_IOC = """CASE WHEN FieldName IN ('Proc', 'Image', 'ParentImage') THEN 'process' WHEN FieldName = 'Cmdline' THEN 'cmdline' WHEN FieldName IN ('Path', 'TgtFile') THEN 'filepath'
-WHEN FieldName IN ('SrcIP', 'DstIP', 'SrcAddr', 'DstAddr', 'IpAddress', 'DestAddress', 'SourceAddress') THEN 'ip' WHEN FieldName IN ('User', 'TgtUser', 'SrcUser') THEN 'user'
+add("agg_09_unique_values", lambda l: det.unique_values(l, "SrcIP"),
+    f"WITH {PAIRS} SELECT value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS hosts, count(*) AS count FROM kv WHERE key = 'SrcIP' AND value <> '' GROUP BY 1")
+add("agg_10_values", lambda l: det.values(l, "TgtUser"), f"""WITH {PAIRS} SELECT value, "Timestamp", Computer, RuleTitle, Level FROM kv
+    WHERE key = 'TgtUser'""")
+_IOC = """CASE WHEN FieldName IN ('Proc', 'Image', 'ParentImage') THEN 'process' WHEN FieldName = 'Cmdline' THEN 'cmdline'
+    WHEN FieldName IN ('Path', 'TgtFile') THEN 'filepath'
+WHEN FieldName IN ('SrcIP', 'DstIP', 'SrcAddr', 'DstAddr', 'IpAddress', 'DestAddress', 'SourceAddress') THEN 'ip'
+    WHEN FieldName IN ('User', 'TgtUser', 'SrcUser') THEN 'user'
 WHEN FieldName IN ('Hash', 'Hashes') THEN 'hash' WHEN FieldName = 'Svc' THEN 'service' END"""
 _ALL_FIELDS = "replace(replace(replace(Details, 'Proc: ', 'Image: '), 'TgtUser: ', 'TargetUserName: '), 'SrcIP: ', 'SourceIp: ')"
 _with_all_fields = lambda l: l.withColumn("AllFieldInfo", F.expr(_ALL_FIELDS)).drop("Details", "ExtraFieldInfo")
-add("agg_11_all_field_info", lambda l: det.extract_iocs(_with_all_fields(l), source="AllFieldInfo", levels=("crit", "high"), rule="-2"), f"""WITH p AS (SELECT Computer, unnest(string_split({_ALL_FIELDS}, ' ¦ ')) AS pair FROM logs
-WHERE Details IS NOT NULL AND Details <> '' AND Level IN ('crit', 'high') AND strpos(RuleTitle, '-2') > 0), kv AS (SELECT Computer, split_part(pair, ': ', 1) AS FieldName, substr(pair, strpos(pair, ': ') + 2) AS Value FROM p),
-t AS (SELECT CASE FieldName WHEN 'Image' THEN 'process' WHEN 'TargetUserName' THEN 'user' WHEN 'User' THEN 'user' WHEN 'SourceIp' THEN 'ip' END AS Type, * FROM kv)
-SELECT Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM t WHERE Type IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
-add("agg_11_extract_iocs", det.extract_iocs, f"""WITH p AS (SELECT Computer, unnest(string_split(CASE WHEN coalesce(ExtraFieldInfo, '') <> '' THEN Details || ' ¦ ' || ExtraFieldInfo ELSE Details END, ' ¦ ')) AS pair FROM logs WHERE Details IS NOT NULL AND Details <> ''),
-kv AS (SELECT Computer, trim(split_part(pair, ': ', 1)) AS FieldName, trim(substr(pair, length(trim(split_part(pair, ': ', 1))) + 3)) AS Value FROM p WHERE strpos(pair, ': ') > 0)
-SELECT {_IOC} AS Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM kv WHERE {_IOC} IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
-add("agg_16_variants", lambda l: det.variants(l, ["Channel", "SrcIP"]), """WITH v AS (SELECT RuleTitle, concat_ws('|', coalesce(Channel, ''), coalesce(regexp_extract(Details, 'SrcIP: ([^ ]*)', 1), '')) AS variant, count(*) AS count FROM logs GROUP BY ALL)
+add("agg_11_all_field_info", lambda l: det.extract_iocs(_with_all_fields(l), source="AllFieldInfo", levels=("crit", "high"), rule="-2"),
+    f"""WITH p AS (SELECT Computer, unnest(string_split({_ALL_FIELDS}, ' ¦ ')) AS pair FROM logs
+WHERE Details IS NOT NULL AND Details <> '' AND Level IN ('crit', 'high') AND strpos(RuleTitle, '-2') > 0), kv AS (SELECT Computer, split_part(pair, ': ', 1) AS FieldName, substr(pair, strpos(pair, ': ') + 2) AS Value
+    FROM p),
+t AS (SELECT CASE FieldName WHEN 'Image' THEN 'process' WHEN 'TargetUserName' THEN 'user' WHEN 'User' THEN 'user'
+    WHEN 'SourceIp' THEN 'ip' END AS Type, * FROM kv)
+SELECT Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM t
+    WHERE Type IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
+add("agg_11_extract_iocs", det.extract_iocs, f"""WITH p AS (SELECT Computer, unnest(string_split(CASE
+    WHEN coalesce(ExtraFieldInfo, '') <> '' THEN Details || ' ¦ ' || ExtraFieldInfo ELSE Details END, ' ¦ ')) AS pair FROM logs
+    WHERE Details IS NOT NULL AND Details <> ''),
+kv AS (SELECT Computer, trim(split_part(pair, ': ', 1)) AS FieldName, trim(substr(pair, length(trim(split_part(pair, ': ', 1))) + 3)) AS Value FROM p
+    WHERE strpos(pair, ': ') > 0)
+SELECT {_IOC} AS Type, FieldName, Value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS Hosts, count(*) AS Count FROM kv
+    WHERE {_IOC} IS NOT NULL AND Value NOT IN ('', '-', 'N/A') GROUP BY ALL""")
+add("agg_16_variants", lambda l: det.variants(l, ["Channel", "SrcIP"]),
+    """WITH v AS (SELECT RuleTitle, concat_ws('|', coalesce(Channel, ''), coalesce(regexp_extract(Details, 'SrcIP: ([^ ]*)', 1), '')) AS variant, count(*) AS count
+    FROM logs GROUP BY ALL)
 SELECT RuleTitle, variant, count, count(*) OVER (PARTITION BY RuleTitle) > 2000 AS overflow FROM v""")
-add("agg_18_diversity", lambda l: det.diversity(l, ["Proc", "SrcIP", "TgtUser"]), f"WITH {PAIRS} SELECT RuleTitle, key, count(DISTINCT value) AS distinct_values, count(DISTINCT value) > 3 AS diverse FROM kv WHERE key IN ('Proc', 'SrcIP', 'TgtUser') GROUP BY ALL")
+add("agg_18_diversity", lambda l: det.diversity(l, ["Proc", "SrcIP", "TgtUser"]),
+    f"WITH {PAIRS} SELECT RuleTitle, key, count(DISTINCT value) AS distinct_values, count(DISTINCT value) > 3 AS diverse FROM kv WHERE key IN ('Proc', 'SrcIP', 'TgtUser') GROUP BY ALL")
 _USERS = "('User', 'SrcUser', 'TgtUser')"
-add("agg_21_account_impact", det.account_impact, f"WITH {PAIRS} SELECT value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS hosts, count(DISTINCT Computer) AS host_count, count(*) AS count, string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) AS rules FROM kv WHERE key IN {_USERS} AND value <> '' GROUP BY 1")
-add("agg_29_account_spread", lambda l: det.account_spread(l.withColumn("Computer", F.col("RuleTitle"))), f"WITH {PAIRS} SELECT value, string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) AS hosts, count(*) AS count FROM kv WHERE key IN {_USERS} AND value <> '' GROUP BY 1 HAVING count(DISTINCT RuleTitle) > 1")
-add("agg_30_hashes", lambda l: det.hashes(l), """WITH p AS (SELECT Computer, unnest(string_split(ExtraFieldInfo, ' ¦ ')) AS pair FROM logs WHERE ExtraFieldInfo IS NOT NULL) SELECT 'x' AS algorithm, pair AS hash, '' AS hosts, 1 AS count FROM p WHERE split_part(pair, ': ', 1) = 'Hashes' AND FALSE
-UNION ALL SELECT split_part(substr(pair, 9), '=', 1), substr(pair, 9 + strpos(substr(pair, 9), '=')), string_agg(DISTINCT Computer, ', ' ORDER BY Computer), count(*) FROM p WHERE starts_with(pair, 'Hashes: ') GROUP BY 1, 2""")
+add("agg_21_account_impact", det.account_impact,
+    f"WITH {PAIRS} SELECT value, string_agg(DISTINCT Computer, ', ' ORDER BY Computer) AS hosts, count(DISTINCT Computer) AS host_count, count(*) AS count, string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) AS rules FROM kv WHERE key IN {_USERS} AND value <> '' GROUP BY 1")
+add("agg_29_account_spread", lambda l: det.account_spread(l.withColumn("Computer", F.col("RuleTitle"))),
+    f"WITH {PAIRS} SELECT value, string_agg(DISTINCT RuleTitle, ', ' ORDER BY RuleTitle) AS hosts, count(*) AS count FROM kv WHERE key IN {_USERS} AND value <> '' GROUP BY 1 HAVING count(DISTINCT RuleTitle) > 1")
+add("agg_30_hashes", lambda l: det.hashes(l), """WITH p AS (SELECT Computer, unnest(string_split(ExtraFieldInfo, ' ¦ ')) AS pair FROM logs
+    WHERE ExtraFieldInfo IS NOT NULL) SELECT 'x' AS algorithm, pair AS hash, '' AS hosts, 1 AS count FROM p
+    WHERE split_part(pair, ': ', 1) = 'Hashes' AND FALSE
+UNION ALL SELECT split_part(substr(pair, 9), '=', 1), substr(pair, 9 + strpos(substr(pair, 9), '=')), string_agg(DISTINCT Computer, ', '
+    ORDER BY Computer), count(*) FROM p WHERE starts_with(pair, 'Hashes: ') GROUP BY 1, 2""")
 add("join_12_ip_hosts", det.ip_hosts, r"SELECT DISTINCT Computer, unnest(regexp_extract_all(Details, '\b\d{1,3}(?:\.\d{1,3}){3}\b')) AS ip FROM logs")
-add("join_13_sid_accounts", lambda l: det.sid_accounts(l.withColumn("Details", F.expr("Details || ' ¦ Sid: S-1-5-' || length(Channel)"))), f"WITH {PAIRS} SELECT 'S-1-5-' || length(Channel) AS sid, string_agg(DISTINCT value, ', ' ORDER BY value) AS accounts FROM kv WHERE key IN {_USERS} GROUP BY 1")
-add("join_14_processes", lambda l: det.processes(l, ("Proc",)), f"WITH {PAIRS} SELECT Computer, value, count(DISTINCT RuleTitle) AS rules, count(*) AS count FROM kv WHERE key = 'Proc' GROUP BY 1, 2 HAVING count(DISTINCT RuleTitle) > 1")
+add("join_13_sid_accounts", lambda l: det.sid_accounts(l.withColumn("Details", F.expr("Details || ' ¦ Sid: S-1-5-' || length(Channel)"))),
+    f"WITH {PAIRS} SELECT 'S-1-5-' || length(Channel) AS sid, string_agg(DISTINCT value, ', ' ORDER BY value) AS accounts FROM kv WHERE key IN {_USERS} GROUP BY 1")
+add("join_14_processes", lambda l: det.processes(l, ("Proc",)),
+    f"WITH {PAIRS} SELECT Computer, value, count(DISTINCT RuleTitle) AS rules, count(*) AS count FROM kv WHERE key = 'Proc' GROUP BY 1, 2 HAVING count(DISTINCT RuleTitle) > 1")
 add("fn_03_pairs", lambda l: det.exploded(l).select("RecordID", "Computer", "key", "value"), f"WITH {PAIRS} SELECT RecordID, Computer, key, value FROM kv")
-add("fn_06_map", lambda l: l.select("RecordID", "Computer", F.try_element_at(fn.detail_map(F.col("Details")), F.lit("SrcIP")).alias("ip")), "SELECT RecordID, Computer, nullif(regexp_extract(Details, 'SrcIP: ([^ ]*)', 1), '') AS ip FROM logs")
-add("fn_01_timestamps", lambda l: l.select("RecordID", F.date_format(strict(F.col("Timestamp")), "yyyy-MM-dd HH:mm:ss").alias("strict"), F.date_format(lenient(F.col("Timestamp")), "yyyy-MM-dd HH:mm:ss").alias("lenient")), f"SELECT RecordID, strftime({TS}, '%Y-%m-%d %H:%M:%S') AS strict, strftime({TS}, '%Y-%m-%d %H:%M:%S') AS lenient FROM logs")
-add("fn_16_shortened", lambda l: l.select("RecordID", fn.shortened(F.col("Details"), 20).alias("short")), "SELECT RecordID, CASE WHEN length(Details) > 20 THEN substr(Details, 1, 20) || '...' ELSE Details END AS short FROM logs")
-add("fn_21_level_rank", lambda l: l.groupBy("Computer").agg(F.max(fn.level_rank(F.col("Level"))).alias("rank")), "SELECT Computer, max(CASE Level WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM logs GROUP BY 1")
-add("fn_22_external", lambda l: l.select(F.regexp_extract("Details", "SrcIP: ([^ ]*)", 1).alias("ip")).where(fn.is_external(F.col("ip"))).groupBy("ip").count(), r"WITH i AS (SELECT regexp_extract(Details, 'SrcIP: ([^ ]*)', 1) AS ip FROM logs) SELECT ip, count(*) AS count FROM i WHERE regexp_full_match(ip, '(\d{1,3}\.){3}\d{1,3}') GROUP BY 1")
+add("fn_06_map", lambda l: l.select("RecordID", "Computer", F.try_element_at(fn.detail_map(F.col("Details")), F.lit("SrcIP")).alias("ip")),
+    "SELECT RecordID, Computer, nullif(regexp_extract(Details, 'SrcIP: ([^ ]*)', 1), '') AS ip FROM logs")
+add("fn_01_timestamps", lambda l: l.select("RecordID", F.date_format(strict(F.col("Timestamp")), "yyyy-MM-dd HH:mm:ss").alias("strict"),
+    F.date_format(lenient(F.col("Timestamp")), "yyyy-MM-dd HH:mm:ss").alias("lenient")),
+    f"SELECT RecordID, strftime({TS}, '%Y-%m-%d %H:%M:%S') AS strict, strftime({TS}, '%Y-%m-%d %H:%M:%S') AS lenient FROM logs")
+add("fn_16_shortened", lambda l: l.select("RecordID", fn.shortened(F.col("Details"), 20).alias("short")),
+    "SELECT RecordID, CASE WHEN length(Details) > 20 THEN substr(Details, 1, 20) || '...' ELSE Details END AS short FROM logs")
+add("fn_21_level_rank", lambda l: l.groupBy("Computer").agg(F.max(fn.level_rank(F.col("Level"))).alias("rank")),
+    "SELECT Computer, max(CASE Level WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM logs GROUP BY 1")
+add("fn_22_external", lambda l: l.select(F.regexp_extract("Details", "SrcIP: ([^ ]*)",
+    1).alias("ip")).where(fn.is_external(F.col("ip"))).groupBy("ip").count(),
+    r"WITH i AS (SELECT regexp_extract(Details, 'SrcIP: ([^ ]*)', 1) AS ip FROM logs) SELECT ip, count(*) AS count FROM i WHERE regexp_full_match(ip, '(\d{1,3}\.){3}\d{1,3}') GROUP BY 1")
 _KEYS_SQL = "RecordID AS KeyRecordID, Computer AS KeyComputer, Channel AS KeyChannel, RuleTitle AS KeyRuleTitle"
 _PAIRS_SQL = """
     SELECT {keys}, '{prefix}.' || split_part(pair, ': ', 1), substr(pair, strpos(pair, ': ') + 2)
@@ -238,8 +295,10 @@ add(
         count(*) AS MatchedRows
     FROM logs WHERE RecordID < '2' GROUP BY RecordID, Computer, Channel""",
 )
-add("det_01_ambiguity", det.event_ambiguity, "SELECT RecordID, count(DISTINCT Computer || '/' || Channel) AS events, count(*) AS matched_rows, count(DISTINCT RuleTitle) AS rules, count(DISTINCT Computer || '/' || Channel) > 1 AS ambiguous FROM logs GROUP BY 1")
-add("dec_01_decode_commands", det.decode_commands, """WITH c AS (SELECT *, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs WHERE strpos(Details, '-enc ') > 0)
+add("det_01_ambiguity", det.event_ambiguity,
+    "SELECT RecordID, count(DISTINCT Computer || '/' || Channel) AS events, count(*) AS matched_rows, count(DISTINCT RuleTitle) AS rules, count(DISTINCT Computer || '/' || Channel) > 1 AS ambiguous FROM logs GROUP BY 1")
+add("dec_01_decode_commands", det.decode_commands, """WITH c AS (SELECT *, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs
+    WHERE strpos(Details, '-enc ') > 0)
 SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand FROM c""")
 
 # Tactics, clusters, lateral movement
@@ -285,7 +344,8 @@ add(
     UNION ALL SELECT tactic, technique, 'technique' FROM own""",
 )
 CLUSTER_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
-m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM d), n AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)"""
+m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new
+    FROM d), n AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)"""
 add("win_03_clusters", seq.clusters, f"""WITH {CLUSTER_SQL} SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end" FROM n GROUP BY n""")
 add(
     "win_04_segments",
@@ -311,27 +371,48 @@ add(
     SELECT segment, strftime(make_timestamp(a - pad), '%Y-%m-%d %H:%M:%S.%g') AS "start",
         strftime(make_timestamp(z + pad), '%Y-%m-%d %H:%M:%S.%g') AS "end", points FROM p""",
 )
-add("win_06_rule_samples", seq.rule_samples, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RuleTitle ORDER BY "Timestamp", Computer, RecordID, Channel, Details NULLS LAST) AS nth FROM logs) SELECT RuleTitle, nth, "Timestamp", Computer, RecordID FROM r WHERE nth <= 2""")
-add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")), """SELECT "Timestamp", RuleTitle, Level, Computer, Channel, EventID, MitreTactics, MitreTags, Details FROM logs WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
-add("win_09_event_representatives", seq.event_representatives, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RecordID, Computer, Channel ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, RuleTitle, "Timestamp", Details NULLS LAST) AS nth FROM logs) SELECT RecordID, Computer, Channel, RuleTitle, Level, "Timestamp" FROM r WHERE nth = 1""")
-add("agg_26_timeline_representatives", seq.timeline_representatives, """WITH f AS (SELECT Computer, RuleTitle, "Timestamp", Level, RecordID, row_number() OVER (PARTITION BY Computer, RuleTitle ORDER BY "Timestamp", Level, RecordID) AS nth FROM logs WHERE Level IN ('high', 'crit')) SELECT Computer, RuleTitle, "Timestamp", Level, RecordID FROM f WHERE nth = 1 ORDER BY "Timestamp", Computer, RuleTitle LIMIT 50""")
+add("win_06_rule_samples", seq.rule_samples, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RuleTitle
+    ORDER BY "Timestamp", Computer, RecordID, Channel, Details NULLS LAST) AS nth FROM logs) SELECT RuleTitle, nth, "Timestamp", Computer, RecordID
+    FROM r WHERE nth <= 2""")
+add("win_07_host_timeline", lambda l: flt.host_timeline(l, "HOST-1", ("crit", "high")),
+    """SELECT "Timestamp", RuleTitle, Level, Computer, Channel, EventID, MitreTactics, MitreTags, Details FROM logs
+    WHERE strpos(Computer, 'HOST-1') > 0 AND Level IN ('crit', 'high')""")
+add("win_09_event_representatives", seq.event_representatives, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY RecordID, Computer, Channel
+    ORDER BY CASE Level WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3
+    ELSE 4 END, RuleTitle, "Timestamp", Details NULLS LAST) AS nth FROM logs) SELECT RecordID, Computer, Channel, RuleTitle, Level, "Timestamp" FROM r
+    WHERE nth = 1""")
+add("agg_26_timeline_representatives", seq.timeline_representatives,
+    """WITH f AS (SELECT Computer, RuleTitle, "Timestamp", Level, RecordID, row_number() OVER (PARTITION BY Computer, RuleTitle
+    ORDER BY "Timestamp", Level, RecordID) AS nth FROM logs WHERE Level IN ('high', 'crit')) SELECT Computer, RuleTitle, "Timestamp", Level, RecordID
+    FROM f WHERE nth = 1 ORDER BY "Timestamp", Computer, RuleTitle LIMIT 50""")
 MOVES = f"v AS (SELECT *, epoch_us({TS}) AS us, CAST({TS} AS VARCHAR) || '+00' AS told FROM logs WHERE Level IN ('high', 'crit') OR strpos(coalesce(MitreTactics, ''), 'LatMov') > 0)"
 _P = """p AS (SELECT a.told AS SourceTime, a.Computer AS SourceHost, a.RuleTitle AS SourceEvent, a.Level AS SourceLevel, b.told AS TargetTime, b.Computer AS TargetHost, b.RuleTitle AS TargetEvent, b.Level AS TargetLevel, round((b.us - a.us) / 60000000.0, 1) AS DeltaMinutes
 FROM v a JOIN v b ON a.Computer <> b.Computer AND b.us BETWEEN a.us AND a.us + 900000000)"""
 add("join_02_lateral", lambda l: seq.lateral_pairs(l, 15), f"WITH {MOVES}, {_P} SELECT * FROM p")
-add("join_03_lateral_bound", lambda l: seq.lateral_bound(l, 15).select("bound"), f"""WITH {MOVES}, c AS (SELECT CAST(floor(us / 225000000.0) AS BIGINT) AS b, Computer, count(*) AS n FROM v WHERE us IS NOT NULL GROUP BY ALL)
-SELECT CAST((SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON y.b BETWEEN x.b AND x.b + 4) - (SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON x.Computer = y.Computer AND y.b BETWEEN x.b AND x.b + 4) AS BIGINT) AS bound""")
-add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1, source="HOST-1", target="HOST-2").select("status", "source_rows", "target_rows"), f"""WITH {MOVES} SELECT 'too_broad' AS status, count(*) FILTER (strpos(Computer, 'HOST-1') > 0) AS source_rows,
+add("join_03_lateral_bound", lambda l: seq.lateral_bound(l, 15).select("bound"),
+    f"""WITH {MOVES}, c AS (SELECT CAST(floor(us / 225000000.0) AS BIGINT) AS b, Computer, count(*) AS n FROM v WHERE us IS NOT NULL GROUP BY ALL)
+SELECT CAST((SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON y.b BETWEEN x.b AND x.b + 4) - (SELECT coalesce(sum(x.n * y.n), 0) FROM c x
+    JOIN c y ON x.Computer = y.Computer AND y.b BETWEEN x.b AND x.b + 4) AS BIGINT) AS bound""")
+add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1, source="HOST-1", target="HOST-2").select("status", "source_rows", "target_rows"),
+    f"""WITH {MOVES} SELECT 'too_broad' AS status, count(*) FILTER (strpos(Computer, 'HOST-1') > 0) AS source_rows,
 count(*) FILTER (strpos(Computer, 'HOST-2') > 0) AS target_rows FROM v WHERE us IS NOT NULL""")
-add("agg_23_node_stats", lambda l: seq.node_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost AS host, 1 AS s, 0 AS t, SourceLevel AS l FROM p UNION ALL SELECT TargetHost, 0, 1, TargetLevel FROM p)
-SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_target, count(*) AS event_count, string_agg(DISTINCT l, ', ' ORDER BY l) AS levels, max(CASE l WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM e GROUP BY 1""")
+add("agg_23_node_stats", lambda l: seq.node_stats(seq.lateral_pairs(l, 15)),
+    f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost AS host, 1 AS s, 0 AS t, SourceLevel AS l FROM p UNION ALL SELECT TargetHost, 0, 1, TargetLevel
+    FROM p)
+SELECT host, CAST(sum(s) AS BIGINT) AS as_source, CAST(sum(t) AS BIGINT) AS as_target, count(*) AS event_count, string_agg(DISTINCT l, ', '
+    ORDER BY l) AS levels, max(CASE l WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS rank FROM e
+    GROUP BY 1""")
 _RK = "CASE {} WHEN 'crit' THEN 4 WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
-add("agg_24_edge_stats", lambda l: seq.edge_stats(seq.lateral_pairs(l, 15)), f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost, TargetHost, count(*) AS count, max(greatest({_RK.format("SourceLevel")}, {_RK.format("TargetLevel")})) AS rank FROM p GROUP BY ALL)
-SELECT e.SourceHost, e.TargetHost, e.count, r.SourceHost IS NOT NULL AS reverse, e.rank, least(e.count + 1, 8) AS width FROM e LEFT JOIN e r ON r.SourceHost = e.TargetHost AND r.TargetHost = e.SourceHost""")
+add("agg_24_edge_stats", lambda l: seq.edge_stats(seq.lateral_pairs(l, 15)),
+    f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost, TargetHost, count(*) AS count, max(greatest({_RK.format("SourceLevel")}, {_RK.format("TargetLevel")})) AS rank
+    FROM p GROUP BY ALL)
+SELECT e.SourceHost, e.TargetHost, e.count, r.SourceHost IS NOT NULL AS reverse, e.rank, least(e.count + 1, 8) AS width FROM e LEFT
+    JOIN e r ON r.SourceHost = e.TargetHost AND r.TargetHost = e.SourceHost""")
 _TARGET = "'HOST-' || (CAST(substring(Computer, 6) AS int) + 4) % 20"
 add(
     "grf_01_layers",
-    lambda l: seq.layers(l.select("Timestamp", "RecordID", F.col("Computer").alias("SourceHost"), F.expr(_TARGET).alias("TargetHost")), "Timestamp", "RecordID"),
+    lambda l: seq.layers(l.select("Timestamp", "RecordID", F.col("Computer").alias("SourceHost"), F.expr(_TARGET).alias("TargetHost")), "Timestamp",
+        "RecordID"),
     """
     WITH RECURSIVE m AS (
         SELECT "Timestamp" AS t, RecordID AS r, Computer AS s, 'HOST-' || ((CAST(substr(Computer, 6) AS INT) + 4) % 20) AS d FROM logs
@@ -352,7 +433,9 @@ add(
 )
 
 # Order and pages
-add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")
+add("ord_03_page", lambda l: order.page(l.select("Timestamp", "RuleTitle", "Computer", "Level", "RecordID"), order.total_order(l.select("Timestamp",
+    "RuleTitle", "Computer", "Level", "RecordID")), 50, 100), f"""SELECT "Timestamp", RuleTitle, Computer, Level, RecordID FROM logs
+    ORDER BY {TS} NULLS LAST, "Timestamp", RuleTitle, Computer, Level, RecordID LIMIT 50 OFFSET 100""")
 _SEEN = ["Timestamp", "RuleTitle", "RecordID"]
 _META = ["status", "message", "total_count", "has_more", "next_offset", "page_size", "page_offset", "count_source"]
 
@@ -378,7 +461,8 @@ add(
 def _hinted(l):
     """The first page with no count, with a hint that fits, with one of another query and with one of another version, and a page past the end."""
     asked, other = order.ask(_seen, l, "crit"), order.ask(_seen, l, "high")
-    hints = [("fits", order.Hint(777, asked.hash, "v1")), ("other query", order.Hint(777, other.hash, "v1")), ("other version", order.Hint(777, asked.hash, "v0"))]
+    hints = [("fits", order.Hint(777, asked.hash, "v1")), ("other query", order.Hint(777, other.hash, "v1")), ("other version", order.Hint(777,
+        asked.hash, "v0"))]
     pages = [("no count", order.paged(asked, size=10, version="v1", include_total=False)), ("past the end", order.paged(asked, size=10, offset=10**6))]
     pages += [(case, order.paged(asked, size=10, version="v1", hint=h, include_total=False)) for case, h in hints]
     return reduce(DataFrame.unionByName, [p.limit(1).select(F.lit(case).alias("case"), *_META) for case, p in pages])
@@ -431,7 +515,9 @@ add(
     SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand,
         CASE WHEN n > 40 THEN 'partial' ELSE 'ok' END AS status, n AS source_event_count FROM first, n""",
 )
-add("sql_01_free_sql", lambda l: free_sql.run_sql(l, "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle", 10), "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle LIMIT 10")
+add("sql_01_free_sql", lambda l: free_sql.run_sql(l,
+    "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle", 10),
+    "SELECT RuleTitle, count(*) AS n FROM logs WHERE Level IN ('crit', 'high') GROUP BY RuleTitle ORDER BY n DESC, RuleTitle LIMIT 10")
 add(
     "sql_01_explode",
     lambda l: free_sql.run_sql(
@@ -453,14 +539,21 @@ add(
 
 # Evidence: accounting tables derived from the log by rule, in both engines
 RULES_SQL = """SELECT RuleTitle AS rule_title, count(*) AS count, max(CASE WHEN Level IN ('crit', 'high') THEN 1 ELSE 0 END) AS hot,
-CASE WHEN RuleTitle LIKE '%-3' THEN 'pending' ELSE 'done' END AS status, CASE WHEN RuleTitle LIKE '%-0' THEN 'attack' WHEN RuleTitle LIKE '%-1' THEN 'false_positive' WHEN RuleTitle LIKE '%-2' THEN 'indeterminate' END AS verdict,
-'seen ' || min(RecordID) AS rationale, CASE WHEN RuleTitle LIKE '%click%' THEN min(Details) WHEN RuleTitle LIKE '%error%' THEN 'no such text' END AS excerpt FROM logs GROUP BY RuleTitle"""
-REFS_SQL = """SELECT 'f-' || RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, CASE WHEN RuleTitle LIKE '%click%' THEN NULL ELSE Computer END AS computer, CASE WHEN RuleTitle LIKE '%click%' THEN NULL ELSE Channel END AS channel FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
+CASE WHEN RuleTitle LIKE '%-3' THEN 'pending' ELSE 'done' END AS status, CASE WHEN RuleTitle LIKE '%-0' THEN 'attack'
+    WHEN RuleTitle LIKE '%-1' THEN 'false_positive' WHEN RuleTitle LIKE '%-2' THEN 'indeterminate' END AS verdict,
+'seen ' || min(RecordID) AS rationale, CASE WHEN RuleTitle LIKE '%click%' THEN min(Details)
+    WHEN RuleTitle LIKE '%error%' THEN 'no such text' END AS excerpt FROM logs GROUP BY RuleTitle"""
+REFS_SQL = """SELECT 'f-' || RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, CASE WHEN RuleTitle LIKE '%click%' THEN NULL
+    ELSE Computer END AS computer, CASE WHEN RuleTitle LIKE '%click%' THEN NULL ELSE Channel END AS channel FROM logs
+    WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
 FINDINGS_SQL = "SELECT DISTINCT 'f-' || RuleTitle AS id, RuleTitle AS rule_title, Computer AS host FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"
-VOTES_SQL = """SELECT 'rule' AS target_type, RuleTitle AS target, CASE WHEN RuleTitle LIKE '%-0' THEN CASE Level WHEN 'crit' THEN 'attack' WHEN 'high' THEN 'mixed' ELSE 'cannot_verify' END
-WHEN RuleTitle LIKE '%click-1' THEN CASE Level WHEN 'crit' THEN 'false_positive' ELSE 'indeterminate' END WHEN RuleTitle LIKE '%-1' THEN CASE Level WHEN 'crit' THEN 'attack' WHEN 'info' THEN 'indeterminate' ELSE 'false_positive' END
+VOTES_SQL = """SELECT 'rule' AS target_type, RuleTitle AS target, CASE WHEN RuleTitle LIKE '%-0' THEN CASE Level WHEN 'crit' THEN 'attack'
+    WHEN 'high' THEN 'mixed' ELSE 'cannot_verify' END
+WHEN RuleTitle LIKE '%click-1' THEN CASE Level WHEN 'crit' THEN 'false_positive' ELSE 'indeterminate' END WHEN RuleTitle LIKE '%-1' THEN CASE Level
+    WHEN 'crit' THEN 'attack' WHEN 'info' THEN 'indeterminate' ELSE 'false_positive' END
 WHEN RuleTitle LIKE '%-2' THEN 'cannot_verify' ELSE CASE Level WHEN 'crit' THEN 'false_positive' ELSE 'attack' END END AS verdict FROM logs
-UNION ALL SELECT 'finding', 'f-' || RuleTitle, CASE WHEN RuleTitle LIKE '%error%' THEN 'false_positive' ELSE 'attack' END FROM logs WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
+UNION ALL SELECT 'finding', 'f-' || RuleTitle, CASE WHEN RuleTitle LIKE '%error%' THEN 'false_positive' ELSE 'attack' END FROM logs
+    WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
 
 
 def _state(l, text: str):
@@ -484,39 +577,70 @@ GATES: dict = {}
 def _gate(name: str, number: int, build, sql: str) -> None:
     """A gate as (id, status, number of gaps), against a count in SQL."""
     GATES[number] = build, sql
-    add(name, lambda l: _flat(build(l)), f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), gaps AS ({sql}) SELECT 'G{number}' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps")
-
-
-RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, max(l.Computer) AS found, CASE WHEN count(l.RecordID) = 0 THEN 'not_found' WHEN count(DISTINCT coalesce(l.Computer, '') || '/' || coalesce(l.Channel, '')) FILTER (l.RecordID IS NOT NULL) > 1 THEN CASE WHEN max(r.computer) IS NULL THEN 'ambiguous' ELSE 'ambiguous_channels' END WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
-FROM (SELECT DISTINCT * FROM refs) r LEFT JOIN logs l ON l.RecordID = r.record_id AND (r.computer IS NULL OR r.computer = l.Computer) AND (r.computer IS NULL OR r.channel IS NULL OR r.channel = l.Channel) GROUP BY ALL"""
+    add(name, lambda l: _flat(build(l)),
+        f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL}), gaps AS ({sql}) SELECT 'G{number}' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps")
+
+
+RESOLVED_SQL = """SELECT r.owner, r.rule_title, r.record_id, r.computer, r.channel, max(l.Computer) AS found, CASE
+    WHEN count(l.RecordID) = 0 THEN 'not_found'
+    WHEN count(DISTINCT coalesce(l.Computer, '') || '/' || coalesce(l.Channel, '')) FILTER (l.RecordID IS NOT NULL) > 1 THEN CASE
+    WHEN max(r.computer) IS NULL THEN 'ambiguous' ELSE 'ambiguous_channels' END
+    WHEN NOT coalesce(bool_or(l.RuleTitle = r.rule_title), FALSE) THEN 'wrong_rule' ELSE 'ok' END AS state
+FROM (SELECT DISTINCT * FROM refs) r LEFT
+    JOIN logs l ON l.RecordID = r.record_id AND (r.computer IS NULL OR r.computer = l.Computer) AND (r.computer IS NULL OR r.channel IS NULL OR r.channel = l.Channel)
+    GROUP BY ALL"""
 _hosts = lambda l: l.select(F.col("Computer").alias("name")).where("name <> 'HOST-7'").distinct()
 _groups = lambda l: det.variants(l, ["Channel"]).select(F.col("RuleTitle").alias("rule_title"), "variant", F.expr("count + case when variant = 'Sec' then 1 else 0 end").alias("count"), F.expr("case when variant = 'Sysmon' then null else 'false_positive' end").alias("verdict"))
 _queries = lambda l: l.selectExpr("Timestamp || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle as seq", "Computer as query_hash", "Level = 'crit' as has_more", "Channel = 'Sec' as accepted")
-add("join_06_resolve_refs", lambda l: ev.resolve_refs(_state(l, REFS_SQL).distinct(), l).groupBy("state").count(), f"WITH refs AS ({REFS_SQL}), s AS ({RESOLVED_SQL}) SELECT state, count(*) AS count FROM s GROUP BY 1")
-add("join_07_excerpts", lambda l: ev.excerpts(_rules(l), l), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, coalesce(bool_or(strpos(Details, excerpt) > 0), FALSE) AS verbatim FROM rules LEFT JOIN logs ON rule_title = RuleTitle WHERE excerpt IS NOT NULL GROUP BY 1")
-add("join_08_reconcile", lambda l: ev.reconcile(_groups(l), l, ["Channel"]).select("rule_title", "variant", "state"), "SELECT DISTINCT RuleTitle AS rule_title, Channel AS variant, CASE Channel WHEN 'Sec' THEN 'count' WHEN 'Sysmon' THEN 'unjudged' ELSE 'ok' END AS state FROM logs")
-CONSENSUS_SQL = """SELECT target_type, target, a AS attack, f AS false_positive, i AS indeterminate, CASE WHEN a + f + i = 0 THEN NULL WHEN f > 0 AND a = 0 THEN 'false_positive' WHEN a > 0 AND (f = 0 OR (a + f + i >= 3 AND a > f + i)) THEN 'attack'
+add("join_06_resolve_refs", lambda l: ev.resolve_refs(_state(l, REFS_SQL).distinct(), l).groupBy("state").count(),
+    f"WITH refs AS ({REFS_SQL}), s AS ({RESOLVED_SQL}) SELECT state, count(*) AS count FROM s GROUP BY 1")
+add("join_07_excerpts", lambda l: ev.excerpts(_rules(l), l),
+    f"WITH rules AS ({RULES_SQL}) SELECT rule_title, coalesce(bool_or(strpos(Details, excerpt) > 0), FALSE) AS verbatim FROM rules LEFT JOIN logs ON rule_title = RuleTitle WHERE excerpt IS NOT NULL GROUP BY 1")
+add("join_08_reconcile", lambda l: ev.reconcile(_groups(l), l, ["Channel"]).select("rule_title", "variant", "state"),
+    "SELECT DISTINCT RuleTitle AS rule_title, Channel AS variant, CASE Channel WHEN 'Sec' THEN 'count' WHEN 'Sysmon' THEN 'unjudged' ELSE 'ok' END AS state FROM logs")
+CONSENSUS_SQL = """SELECT target_type, target, a AS attack, f AS false_positive, i AS indeterminate, CASE WHEN a + f + i = 0 THEN NULL
+    WHEN f > 0 AND a = 0 THEN 'false_positive' WHEN a > 0 AND (f = 0 OR (a + f + i >= 3 AND a > f + i)) THEN 'attack'
 WHEN a = 0 THEN 'indeterminate' ELSE 'conflict' END AS consensus
-FROM (SELECT target_type, target, count(*) FILTER (verdict IN ('attack', 'mixed')) AS a, count(*) FILTER (verdict = 'false_positive') AS f, count(*) FILTER (verdict = 'indeterminate') AS i FROM votes GROUP BY 1, 2)"""
+FROM (SELECT target_type, target, count(*) FILTER (verdict IN ('attack', 'mixed')) AS a, count(*) FILTER (verdict = 'false_positive') AS f, count(*) FILTER (verdict = 'indeterminate') AS i
+    FROM votes GROUP BY 1, 2)"""
 add("agg_17_consensus", lambda l: ev.consensus(_state(l, VOTES_SQL)), f"WITH votes AS ({VOTES_SQL}) {CONSENSUS_SQL}")
-add("agg_19_verdict_summary", lambda l: ev.verdict_summary(_rules(l), ["crit", "high"]), f"WITH rules AS ({RULES_SQL}) SELECT CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END AS verdict, count(*) AS rules, CAST(sum(count) AS BIGINT) AS events FROM rules GROUP BY 1")
-add("win_05_latest_queries", lambda l: ev.latest_queries(_queries(l)), """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, Computer AS query_hash, Level = 'crit' AS has_more, Channel = 'Sec' AS accepted FROM logs) SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) = 1""")
-add("win_08_latest_hosts", lambda l: ev.latest_hosts(l.selectExpr("Computer as name", "Level as status", "ExtraFieldInfo as note", "Timestamp || RecordID || RuleTitle as seq")), """WITH h AS (SELECT Computer AS name, Level AS status, ExtraFieldInfo AS note, "Timestamp" || RecordID || RuleTitle AS seq FROM logs) SELECT name, arg_max(status, seq) AS status, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM h GROUP BY 1""")
+add("agg_19_verdict_summary", lambda l: ev.verdict_summary(_rules(l), ["crit", "high"]),
+    f"WITH rules AS ({RULES_SQL}) SELECT CASE WHEN status <> 'pending' THEN verdict WHEN hot = 1 THEN 'pending' ELSE 'pending (out of scope)' END AS verdict, count(*) AS rules, CAST(sum(count) AS BIGINT) AS events FROM rules GROUP BY 1")
+add("win_05_latest_queries", lambda l: ev.latest_queries(_queries(l)),
+    """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, Computer AS query_hash, Level = 'crit' AS has_more, Channel = 'Sec' AS accepted
+    FROM logs) SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) = 1""")
+add("win_08_latest_hosts", lambda l: ev.latest_hosts(l.selectExpr("Computer as name", "Level as status", "ExtraFieldInfo as note",
+    "Timestamp || RecordID || RuleTitle as seq")),
+    """WITH h AS (SELECT Computer AS name, Level AS status, ExtraFieldInfo AS note, "Timestamp" || RecordID || RuleTitle AS seq FROM logs)
+    SELECT name, arg_max(status, seq) AS status, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM h GROUP BY 1""")
 _prints = lambda l: src.fingerprint(l).select("value")
 _gate("g0_integrity", 0, lambda l: ev.g0(_prints(l), _prints(l)), "SELECT 1 FROM logs WHERE FALSE")
-add("g0_changed", lambda l: _flat(ev.g0(_prints(l), _prints(l.withColumn("Level", F.expr("CASE WHEN RecordID = '5' THEN 'seen' ELSE Level END"))))), "SELECT 'G0' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(count(*) > 0 AS BIGINT) AS gaps FROM logs WHERE RecordID = '5'")
+add("g0_changed", lambda l: _flat(ev.g0(_prints(l), _prints(l.withColumn("Level", F.expr("CASE WHEN RecordID = '5' THEN 'seen' ELSE Level END"))))),
+    "SELECT 'G0' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(count(*) > 0 AS BIGINT) AS gaps FROM logs WHERE RecordID = '5'")
 _gate("g1_rule_triage", 1, lambda l: ev.g1(_rules(l), ["crit", "high"]), "SELECT rule_title FROM rules WHERE status = 'pending' AND hot = 1")
-_gate("g2_hosts", 2, lambda l: ev.g2(l, _hosts(l), ["crit", "high"]), "SELECT DISTINCT Computer FROM logs WHERE Level IN ('crit', 'high') AND Computer = 'HOST-7'")
+_gate("g2_hosts", 2, lambda l: ev.g2(l, _hosts(l), ["crit", "high"]),
+    "SELECT DISTINCT Computer FROM logs WHERE Level IN ('crit', 'high') AND Computer = 'HOST-7'")
 _gate("g3_clusters", 3, lambda l: ev.g3(seq.clusters(l).withColumn("verdict", F.lit(None).cast("string"))), f"WITH {CLUSTER_SQL} SELECT DISTINCT n FROM n")
-_gate("g4_attack_cited", 4, lambda l: ev.g4(_rules(l), _state(l, FINDINGS_SQL)), "SELECT rule_title FROM rules WHERE verdict IN ('attack', 'mixed') AND rule_title NOT IN (SELECT rule_title FROM findings)")
-_gate("g5_truncation", 5, lambda l: ev.g5(_queries(l)), """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, * FROM logs) SELECT Computer FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY Computer ORDER BY seq DESC) = 1) WHERE Level = 'crit' AND Channel <> 'Sec'""")
-_gate("g6_refs", 6, lambda l: ev.g6(_state(l, REFS_SQL), _rules(l), l), f"WITH s AS ({RESOLVED_SQL}) SELECT DISTINCT owner || ' ' || record_id || ' ' || state FROM s WHERE state <> 'ok' UNION ALL SELECT rule_title FROM rules WHERE excerpt = 'no such text'")
-_gate("g7_cited", 7, lambda l: ev.g7(_rules(l), _state(l, REFS_SQL), _state(l, FINDINGS_SQL)), "SELECT DISTINCT id FROM findings WHERE id NOT IN (SELECT owner FROM refs) UNION ALL SELECT rule_title FROM rules WHERE status <> 'pending' AND rule_title NOT IN (SELECT rule_title FROM refs) UNION ALL SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND excerpt IS NULL")
-_gate("g8_compatible", 8, lambda l: ev.g8(_state(l, FINDINGS_SQL), _rules(l)), "SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.status = 'pending' OR r.verdict = 'false_positive'")
-_gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l), f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.found = f.host)")
-_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), """SELECT DISTINCT RuleTitle || Channel FROM logs WHERE Channel IN ('Sec', 'Sysmon') UNION ALL SELECT DISTINCT RuleTitle || Channel FROM (SELECT RuleTitle, Channel, split_part(pair, ': ', 1) AS key, split_part(pair, ': ', 2) AS value
-FROM (SELECT RuleTitle, Channel, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Channel <> 'Sysmon')) WHERE key IN ('Proc', 'Cmdline') GROUP BY RuleTitle, Channel, key HAVING count(DISTINCT value) > 3""")
-_OWN_FIELDS = """SELECT RuleTitle AS rule_title, CASE WHEN RuleTitle LIKE '%click%' THEN {both} ELSE {one} END AS fields FROM (SELECT DISTINCT RuleTitle FROM logs)"""
+_gate("g4_attack_cited", 4, lambda l: ev.g4(_rules(l), _state(l, FINDINGS_SQL)),
+    "SELECT rule_title FROM rules WHERE verdict IN ('attack', 'mixed') AND rule_title NOT IN (SELECT rule_title FROM findings)")
+_gate("g5_truncation", 5, lambda l: ev.g5(_queries(l)),
+    """WITH q AS (SELECT "Timestamp" || '/' || lpad(RecordID, 12, '0') || '/' || RuleTitle AS seq, * FROM logs) SELECT Computer FROM (SELECT * FROM q
+    QUALIFY row_number() OVER (PARTITION BY Computer ORDER BY seq DESC) = 1) WHERE Level = 'crit' AND Channel <> 'Sec'""")
+_gate("g6_refs", 6, lambda l: ev.g6(_state(l, REFS_SQL), _rules(l), l),
+    f"WITH s AS ({RESOLVED_SQL}) SELECT DISTINCT owner || ' ' || record_id || ' ' || state FROM s WHERE state <> 'ok' UNION ALL SELECT rule_title FROM rules WHERE excerpt = 'no such text'")
+_gate("g7_cited", 7, lambda l: ev.g7(_rules(l), _state(l, REFS_SQL), _state(l, FINDINGS_SQL)),
+    "SELECT DISTINCT id FROM findings WHERE id NOT IN (SELECT owner FROM refs) UNION ALL SELECT rule_title FROM rules WHERE status <> 'pending' AND rule_title NOT IN (SELECT rule_title FROM refs) UNION ALL SELECT rule_title FROM rules WHERE verdict = 'false_positive' AND excerpt IS NULL")
+_gate("g8_compatible", 8, lambda l: ev.g8(_state(l, FINDINGS_SQL), _rules(l)),
+    "SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.status = 'pending' OR r.verdict = 'false_positive'")
+_gate("g9_finding_hosts", 9, lambda l: ev.g9(_state(l, FINDINGS_SQL), _state(l, REFS_SQL), l),
+    f"WITH s AS ({RESOLVED_SQL}) SELECT f.id, f.host FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = 'ok' AND s.owner = f.id AND s.found = f.host)")
+_gate("g10_variants", 10, lambda l: ev.g10(_rules(l), _groups(l), l, ["Channel"]), """SELECT DISTINCT RuleTitle || Channel FROM logs
+    WHERE Channel IN ('Sec', 'Sysmon') UNION ALL SELECT DISTINCT RuleTitle || Channel
+    FROM (SELECT RuleTitle, Channel, split_part(pair, ': ', 1) AS key, split_part(pair, ': ', 2) AS value
+FROM (SELECT RuleTitle, Channel, unnest(string_split(Details, ' ¦ ')) AS pair FROM logs WHERE Channel <> 'Sysmon')) WHERE key IN ('Proc', 'Cmdline')
+    GROUP BY RuleTitle, Channel, key HAVING count(DISTINCT value) > 3""")
+_OWN_FIELDS = """SELECT RuleTitle AS rule_title, CASE WHEN RuleTitle LIKE '%click%' THEN {both} ELSE {one} END AS fields
+    FROM (SELECT DISTINCT RuleTitle FROM logs)"""
 
 
 def _own_groups(l):
@@ -524,7 +648,8 @@ def _own_groups(l):
     fields = _state(l, _OWN_FIELDS.format(both="array('Computer', 'TgtUser')", one="array('Channel')"))
     real = det.variants_by_rule(l, fields).groupBy(F.col("RuleTitle").alias("rule_title"), "variant").count()
     wrong = F.when(F.col("variant") == "Sec", F.col("count") + 1).otherwise(F.col("count"))
-    return fields, real.select("rule_title", "variant", wrong.alias("count"), F.expr("CASE WHEN variant NOT LIKE 'HOST-1|%' THEN 'attack' END").alias("verdict"))
+    return fields, real.select("rule_title", "variant", wrong.alias("count"),
+        F.expr("CASE WHEN variant NOT LIKE 'HOST-1|%' THEN 'attack' END").alias("verdict"))
 
 
 add(
@@ -538,14 +663,17 @@ add(
     )
     SELECT 'G10' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS gaps FROM gaps""",
 )
-_gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
-WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
+_gate("g11_votes", 11, lambda l: ev.g11(_rules(l), _state(l, VOTES_SQL), _state(l, FINDINGS_SQL)), f"""WITH c AS ({CONSENSUS_SQL}) SELECT r.rule_title
+    FROM rules r LEFT JOIN c ON c.target_type = 'rule' AND c.target = r.rule_title
+WHERE r.verdict = 'false_positive' AND r.count > 20 AND coalesce(c.consensus, '') <> 'false_positive' UNION ALL SELECT DISTINCT f.id FROM findings f
+    LEFT JOIN c ON c.target_type = 'finding' AND c.target = f.id WHERE coalesce(c.consensus, '') <> 'attack'""")
 _ALL_GATES = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM ({sql})" for k, (_, sql) in GATES.items())
 #: What the gates add to their details here: rules cited by findings that are indeterminate.
 _NOTED_SQL = """
     open AS (SELECT count(*) AS m FROM (SELECT DISTINCT f.id, f.rule_title FROM findings f JOIN rules r USING (rule_title) WHERE r.verdict = 'indeterminate')),
     told AS (
-        SELECT 'G' || k AS id, n, n || ' gaps' || CASE WHEN k = 8 AND m > 0 THEN '; ' || m || ' cited rules are indeterminate' ELSE '' END AS detail FROM g, open
+        SELECT 'G' || k AS id, n, n || ' gaps' || CASE WHEN k = 8 AND m > 0 THEN '; ' || m || ' cited rules are indeterminate' ELSE '' END AS detail
+            FROM g, open
         UNION ALL SELECT 'ALL', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) || ' gaps' FROM g
     )"""
 _STATE_SQL = f"WITH rules AS ({RULES_SQL}), refs AS ({REFS_SQL}), findings AS ({FINDINGS_SQL}), votes AS ({VOTES_SQL})"
@@ -555,15 +683,23 @@ add(
     f"{_STATE_SQL}, g AS ({_ALL_GATES}), {_NOTED_SQL} SELECT id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, detail FROM told",
 )
 _entries = lambda l: l.where("Level = 'crit'").selectExpr("RuleTitle as owner", "RuleTitle as rule_title", "array(RecordID || '@' || Computer, RecordID || '@' || Computer) as refs", "array(RecordID, RecordID || '@@' || Channel, EventID, '') as record_ids")
-add("fn_20_parse_refs", lambda l: ev.parse_refs(_entries(l)), """WITH c AS (SELECT * FROM logs WHERE Level = 'crit') SELECT RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, Computer AS computer, '' AS channel FROM c
+add("fn_20_parse_refs", lambda l: ev.parse_refs(_entries(l)), """WITH c AS (SELECT * FROM logs WHERE Level = 'crit')
+    SELECT RuleTitle AS owner, RuleTitle AS rule_title, RecordID AS record_id, Computer AS computer, '' AS channel FROM c
 UNION ALL SELECT RuleTitle, RuleTitle, RecordID, '', Channel FROM c UNION ALL SELECT RuleTitle, RuleTitle, EventID, '', '' FROM c WHERE EventID <> RecordID""")
 _old = lambda l: seq.clusters(l, ("crit",), 0).select("id", "start", "end", F.lit("attack").alias("verdict"), (F.dayofmonth("start") % 2 == 0).alias("manual"))
-_OLD_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level = 'crit'), o AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM d)"""
-add("set_05_rederived", lambda l: ev.rederived(_old(l), seq.clusters(l)), f"""WITH {_OLD_SQL}, h AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
-m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new FROM h), k AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)
-SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end", NULL AS verdict, FALSE AS manual FROM k GROUP BY n UNION ALL SELECT 'c' || n, day, day, 'attack', TRUE FROM o WHERE day(day) % 2 = 0""")
-add("agg_27_progress", lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), det.extract_iocs(l), _hosts(l), ["crit", "high"]).where("item <> 'iocs'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), {_OLD_SQL} SELECT 'rules' AS item, count(*) FILTER (status <> 'pending') AS done, count(*) AS total FROM rules WHERE hot = 1
-UNION ALL SELECT 'clusters', count(*), count(*) FROM o UNION ALL SELECT 'findings', count(*), count(*) FROM findings UNION ALL SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""")
+_OLD_SQL = """d AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs
+    WHERE Level = 'crit'), o AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM d)"""
+add("set_05_rederived", lambda l: ev.rederived(_old(l), seq.clusters(l)),
+    f"""WITH {_OLD_SQL}, h AS (SELECT DISTINCT CAST(substr("Timestamp", 1, 10) AS DATE) AS day FROM logs WHERE Level IN ('high', 'crit')),
+m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE 1 END AS new
+    FROM h), k AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)
+SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end", NULL AS verdict, FALSE AS manual FROM k GROUP BY n UNION ALL
+    SELECT 'c' || n, day, day, 'attack', TRUE FROM o WHERE day(day) % 2 = 0""")
+add("agg_27_progress", lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), det.extract_iocs(l), _hosts(l), ["crit",
+    "high"]).where("item <> 'iocs'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), {_OLD_SQL}
+    SELECT 'rules' AS item, count(*) FILTER (status <> 'pending') AS done, count(*) AS total FROM rules WHERE hot = 1
+UNION ALL SELECT 'clusters', count(*), count(*) FROM o UNION ALL SELECT 'findings', count(*), count(*) FROM findings UNION ALL
+    SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""")
 add(
     "rpt_04_coverage_appendix",
     lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([build(l) for build, _ in GATES.values()]), ["crit", "high"], logs=l).where("part <> 'gap'"),
@@ -586,17 +722,32 @@ add(
     SELECT 'gap' AS part, 'G' || k AS name, gap AS value FROM named
     QUALIFY row_number() OVER (PARTITION BY k ORDER BY gap) <= 10""",
 )
-add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"), "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted FROM x""")
+add("val_01_triage", lambda l: ev.validate_triage(_rules(l).select("rule_title", "verdict", "rationale", F.array("rationale").alias("refs"),
+    "excerpt"), _rules(l)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"),
+    f"""WITH rules AS ({RULES_SQL}), x AS (SELECT rule_title, concat_ws('; ', CASE WHEN verdict IS NULL THEN 'bad verdict' END, CASE
+    WHEN verdict = 'false_positive' AND excerpt IS NULL THEN 'missing excerpt' END) AS reasons FROM rules) SELECT *, reasons = '' AS accepted
+    FROM x""")
 # Declared variants by Channel: too large in Sec of clicks, without a verdict in Sysmon of views, attacks in Sysmon of rules -2, none for errors.
-DECLARED_SQL = """SELECT RuleTitle AS rule_title, Channel AS variant, count(*) + CASE WHEN RuleTitle LIKE '%click%' AND Channel = 'Sec' THEN 1 ELSE 0 END AS count,
-CASE WHEN Channel <> 'Sysmon' THEN 'false_positive' WHEN RuleTitle LIKE '%view%' THEN NULL WHEN RuleTitle LIKE '%-2' THEN 'attack' ELSE 'indeterminate' END AS verdict FROM logs WHERE RuleTitle NOT LIKE '%error%' GROUP BY RuleTitle, Channel"""
-add("val_01_variants", lambda l: ev.validate_triage(_rules(l).selectExpr("rule_title", "case verdict when 'indeterminate' then 'mixed' else coalesce(verdict, 'attack') end as verdict", "rationale", "array(rationale) as refs", "'seen' as excerpt"), _rules(l), _state(l, DECLARED_SQL)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"), f"""WITH rules AS ({RULES_SQL}), declared AS ({DECLARED_SQL}),
-per AS (SELECT rule_title, sum(count) AS covered, bool_or(verdict IS NULL) AS unjudged, count(*) FILTER (verdict = 'attack') AS attacks FROM declared GROUP BY 1),
-e AS (SELECT rule_title, count, CASE WHEN rule_title LIKE '%-1' THEN 'false_positive' WHEN rule_title LIKE '%-2' THEN 'mixed' ELSE 'attack' END AS verdict, length(rationale) < 6 AS stub FROM rules),
-x AS (SELECT rule_title, concat_ws('; ', CASE WHEN stub THEN 'missing rationale' END, CASE WHEN covered IS NULL AND (verdict = 'mixed' OR verdict = 'false_positive' AND count > 20) THEN 'missing variants' END,
-CASE WHEN unjudged THEN 'bad variant verdict' END, CASE WHEN covered <> count THEN 'variants do not add up' END, CASE WHEN verdict = 'false_positive' AND attacks > 0 OR verdict = 'mixed' AND attacks = 0 THEN 'variants against the verdict' END) AS reasons FROM e LEFT JOIN per USING (rule_title))
+DECLARED_SQL = """SELECT RuleTitle AS rule_title, Channel AS variant, count(*) + CASE WHEN RuleTitle LIKE '%click%' AND Channel = 'Sec' THEN 1
+    ELSE 0 END AS count,
+CASE WHEN Channel <> 'Sysmon' THEN 'false_positive' WHEN RuleTitle LIKE '%view%' THEN NULL WHEN RuleTitle LIKE '%-2' THEN 'attack'
+    ELSE 'indeterminate' END AS verdict FROM logs WHERE RuleTitle NOT LIKE '%error%' GROUP BY RuleTitle, Channel"""
+add("val_01_variants", lambda l: ev.validate_triage(_rules(l).selectExpr("rule_title",
+    "case verdict when 'indeterminate' then 'mixed' else coalesce(verdict, 'attack') end as verdict", "rationale", "array(rationale) as refs",
+    "'seen' as excerpt"), _rules(l), _state(l, DECLARED_SQL)).select("rule_title", F.concat_ws("; ", "reasons").alias("reasons"), "accepted"),
+    f"""WITH rules AS ({RULES_SQL}), declared AS ({DECLARED_SQL}),
+per AS (SELECT rule_title, sum(count) AS covered, bool_or(verdict IS NULL) AS unjudged, count(*) FILTER (verdict = 'attack') AS attacks FROM declared
+    GROUP BY 1),
+e AS (SELECT rule_title, count, CASE WHEN rule_title LIKE '%-1' THEN 'false_positive' WHEN rule_title LIKE '%-2' THEN 'mixed'
+    ELSE 'attack' END AS verdict, length(rationale) < 6 AS stub FROM rules),
+x AS (SELECT rule_title, concat_ws('; ', CASE WHEN stub THEN 'missing rationale' END, CASE
+    WHEN covered IS NULL AND (verdict = 'mixed' OR verdict = 'false_positive' AND count > 20) THEN 'missing variants' END,
+CASE WHEN unjudged THEN 'bad variant verdict' END, CASE WHEN covered <> count THEN 'variants do not add up' END, CASE
+    WHEN verdict = 'false_positive' AND attacks > 0 OR verdict = 'mixed' AND attacks = 0 THEN 'variants against the verdict' END) AS reasons FROM e
+    LEFT JOIN per USING (rule_title))
 SELECT *, reasons = '' AS accepted FROM x""")
-add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high", "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
+add("val_02_hosts", lambda l: ev.validate(l.select("Computer", "Level"), ["Computer"], {"Level": ["crit", "high",
+    "med"]}).groupBy("accepted").count(), "SELECT Level IN ('crit', 'high', 'med') AS accepted, count(*) AS count FROM logs GROUP BY 1")
 _FINDINGS = "SELECT RuleTitle AS title, CASE WHEN Level = 'crit' THEN ' ' ELSE MitreTags END AS summary, {titles} AS rule_titles, {refs} AS refs, RecordID AS id FROM logs"
 add(
     "val_02_findings",
@@ -615,7 +766,8 @@ add(
 add(
     "val_02_clusters",
     lambda l: ev.validate_new_clusters(
-        l.selectExpr("substring(Timestamp, 1, if(Level = 'crit', 9, 10)) as start", "'2024-01-1' || cast(RecordID as bigint) % 10 as end", "if(Channel = 'Sec', '', if(Channel = 'Sysmon', ' benign', Channel)) as verdict")
+        l.selectExpr("substring(Timestamp, 1, if(Level = 'crit', 9, 10)) as start", "'2024-01-1' || cast(RecordID as bigint) % 10 as end",
+            "if(Channel = 'Sec', '', if(Channel = 'Sysmon', ' benign', Channel)) as verdict")
     ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), "accepted").count(),
     """
     WITH x AS (
@@ -628,7 +780,8 @@ add(
 add(
     "val_02_votes",
     lambda l: ev.validate_votes(
-        l.selectExpr("if(Level = 'crit', 'finding', if(Level = 'low', 'else', 'rule')) as target_type", "if(Channel = 'Sec', '', if(Level = 'crit', 'f-', '') || RuleTitle) as target", "if(Channel = 'Sysmon', 'attack', Channel) as verdict"),
+        l.selectExpr("if(Level = 'crit', 'finding', if(Level = 'low', 'else', 'rule')) as target_type",
+            "if(Channel = 'Sec', '', if(Level = 'crit', 'f-', '') || RuleTitle) as target", "if(Channel = 'Sysmon', 'attack', Channel) as verdict"),
         _rules(l).where("status <> 'pending'"),
         _state(l, FINDINGS_SQL),
     ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), "accepted").count(),
@@ -669,5 +822,7 @@ add(
     UNION ALL SELECT RuleTitle, count(*) + CASE WHEN Channel = 'Sec' THEN 1 ELSE 0 END, 'variant ' || Channel FROM logs
         WHERE RuleTitle LIKE '%signup%' AND Channel <> 'Sysmon' GROUP BY RuleTitle, Channel""",
 )
-add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")
-add("rpt_02_indeterminate", lambda l: ev.indeterminate_list(_rules(l)), f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale FROM rules WHERE verdict = 'indeterminate'")
+add("rpt_01_fp_table", lambda l: ev.fp_table(_rules(l), _groups(l)),
+    f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale AS basis FROM rules WHERE verdict = 'false_positive'")
+add("rpt_02_indeterminate", lambda l: ev.indeterminate_list(_rules(l)),
+    f"WITH rules AS ({RULES_SQL}) SELECT rule_title, count, rationale FROM rules WHERE verdict = 'indeterminate'")
