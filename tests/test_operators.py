@@ -333,6 +333,15 @@ def test_citing_needs_record_ids_and_details(spark):
     assert (one.status, one.n_gaps) == ("PASS", 0) and "skipped" in one.detail
 
 
+def test_a_dataset_is_made_active_and_dropped(spark):
+    logs = frame(spark, row(), row())
+    assert src.activate(logs).first().row_count == 2 and spark.table("logs").count() == 2
+    assert src.activate(logs.limit(1)).first().row_count == 1 and spark.table("logs").count() == 1
+    src.deactivate(spark)
+    src.deactivate(spark)
+    assert "logs" not in {t.name for t in spark.catalog.listTables()}
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

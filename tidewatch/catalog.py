@@ -58,6 +58,11 @@ add(
     f"SELECT TRUE AS loaded, 'told' AS path, count(*) AS row_count, 11 AS column_count, '{_COLUMNS}' AS columns, TRUE AS dated FROM logs",
 )
 QUERIES["src_05_dataset_inventory"] = lambda spark, sf_dir: src.dataset_inventory(spark, sf_dir, "*.parquet")
+QUERIES["src_05_inventory_names"] = lambda spark, sf_dir: src.dataset_inventory(spark, sf_dir, "*.parquet", name_filter="PART").select(
+    "alias", "name", (F.col("size_mb") >= 0).alias("sized"), F.col("path").endswith("parquet").alias("found"))
+ORACLE["src_05_inventory_names"] = """
+    SELECT alias, alias || '.parquet' AS name, TRUE AS sized, TRUE AS found
+    FROM (SELECT CASE WHEN count(*) >= 0 THEN 'part' END AS alias FROM part)"""
 add(
     "src_09_fingerprint",
     lambda l: src.fingerprint(l).select("columns", "row_count", "ts_total", "ts_parsed", F.col("value").rlike(r"^-?\d+--?\d+$").alias("has_value")),
@@ -301,6 +306,36 @@ add("dec_01_decode_commands", det.decode_commands, """WITH c AS (SELECT *, regex
     WHERE strpos(Details, '-enc ') > 0)
 SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand FROM c""")
 
+
+
+def _mixed_payloads(l):
+    """Payloads of which a third has lost its padding and another third stands in the extra field."""
+    kept = F.when(F.col("RecordID") % 3 == 0, F.regexp_replace("Details", "=", "")).when(F.col("RecordID") % 3 == 2, F.col("Details"))
+    extra = F.when(F.col("RecordID") % 3 == 1, F.col("Details")).otherwise(F.col("ExtraFieldInfo"))
+    return l.withColumns({"Details": kept, "ExtraFieldInfo": extra})
+
+
+add(
+    "dec_01_broken_and_extra",
+    lambda l: det.decode_commands(_mixed_payloads(l)),
+    """
+    WITH c AS (
+        SELECT *, CAST(RecordID AS BIGINT) % 3 AS k, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs WHERE strpos(Details, '-enc ') > 0
+    )
+    SELECT "Timestamp", Computer, RuleTitle, Level, CASE WHEN k = 0 THEN replace(e, '=', '') ELSE e END AS EncodedCommand,
+        CASE WHEN k = 0 AND strpos(e, '=') > 0 THEN '(decode error)' ELSE replace(decode(from_base64(e)), chr(0), '') END AS DecodedCommand
+    FROM c""",
+)
+add(
+    "dec_01_all_field_info",
+    lambda l: det.decode_commands(_with_all_fields(l), "AllFieldInfo", levels=("crit", "high")),
+    """
+    WITH c AS (
+        SELECT *, regexp_extract(Details, '-enc ([A-Za-z0-9+/=]+)', 1) AS e FROM logs WHERE strpos(Details, '-enc ') > 0 AND Level IN ('crit', 'high')
+    )
+    SELECT "Timestamp", Computer, RuleTitle, Level, e AS EncodedCommand, replace(decode(from_base64(e)), chr(0), '') AS DecodedCommand FROM c""",
+)
+
 # Tactics, clusters, lateral movement
 TACTIC_SQL = "t AS (SELECT l.*, x.tactic FROM logs l JOIN (VALUES " + ", ".join(f"('{c}')" for c in fn.TACTICS) + ") x(tactic) ON strpos(MitreTactics, x.tactic) > 0)"
 _PHASE = "CASE tactic " + " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in fn.TACTICS.items()) + " END"
@@ -396,6 +431,11 @@ SELECT CAST((SELECT coalesce(sum(x.n * y.n), 0) FROM c x JOIN c y ON y.b BETWEEN
 add("join_05_guard", lambda l: seq.correlate_lateral(l, 15, most=1, source="HOST-1", target="HOST-2").select("status", "source_rows", "target_rows"),
     f"""WITH {MOVES} SELECT 'too_broad' AS status, count(*) FILTER (strpos(Computer, 'HOST-1') > 0) AS source_rows,
 count(*) FILTER (strpos(Computer, 'HOST-2') > 0) AS target_rows FROM v WHERE us IS NOT NULL""")
+add(
+    "join_05_served",
+    lambda l: seq.correlate_lateral(l, 15, source="HOST-1", target="HOST-2"),
+    f"WITH {MOVES}, {_P} SELECT *, 'ok' AS status FROM p WHERE strpos(SourceHost, 'HOST-1') > 0 AND strpos(TargetHost, 'HOST-2') > 0",
+)
 add("agg_23_node_stats", lambda l: seq.node_stats(seq.lateral_pairs(l, 15)),
     f"""WITH {MOVES}, {_P}, e AS (SELECT SourceHost AS host, 1 AS s, 0 AS t, SourceLevel AS l FROM p UNION ALL SELECT TargetHost, 0, 1, TargetLevel
     FROM p)
@@ -615,6 +655,12 @@ add("win_08_latest_hosts", lambda l: ev.latest_hosts(l.selectExpr("Computer as n
     SELECT name, arg_max(status, seq) AS status, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM h GROUP BY 1""")
 _prints = lambda l: src.fingerprint(l).select("value")
 _gate("g0_integrity", 0, lambda l: ev.g0(_prints(l), _prints(l)), "SELECT 1 FROM logs WHERE FALSE")
+add(
+    "g0_parts",
+    lambda l: ev.g0(src.fingerprint_parts(l, "Computer"), src.fingerprint_parts(l.where("Computer <> 'HOST-3'"), "Computer")).select(
+        "id", "status", F.array_join("gaps", ", ").alias("gaps")),
+    "SELECT 'G0' AS id, 'FAIL' AS status, 'HOST-3 missing' AS gaps FROM logs WHERE Computer = 'HOST-3' LIMIT 1",
+)
 add("g0_changed", lambda l: _flat(ev.g0(_prints(l), _prints(l.withColumn("Level", F.expr("CASE WHEN RecordID = '5' THEN 'seen' ELSE Level END"))))),
     "SELECT 'G0' AS id, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(count(*) > 0 AS BIGINT) AS gaps FROM logs WHERE RecordID = '5'")
 _gate("g1_rule_triage", 1, lambda l: ev.g1(_rules(l), ["crit", "high"]), "SELECT rule_title FROM rules WHERE status = 'pending' AND hot = 1")
@@ -695,11 +741,18 @@ m AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) <= 7 THEN 0 ELSE
     FROM h), k AS (SELECT day, sum(new) OVER (ORDER BY day) AS n FROM m)
 SELECT 'c' || CAST(n AS BIGINT) AS id, min(day) AS "start", max(day) AS "end", NULL AS verdict, FALSE AS manual FROM k GROUP BY n UNION ALL
     SELECT 'c' || n, day, day, 'attack', TRUE FROM o WHERE day(day) % 2 = 0""")
-add("agg_27_progress", lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), det.extract_iocs(l), _hosts(l), ["crit",
-    "high"]).where("item <> 'iocs'"), f"""WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), {_OLD_SQL}
+_IOC_SQL = "SELECT DISTINCT 'hash' AS type, ExtraFieldInfo AS value FROM logs WHERE ExtraFieldInfo IS NOT NULL"
+add(
+    "agg_27_progress",
+    lambda l: ev.progress(_rules(l), _old(l), _state(l, FINDINGS_SQL), _state(l, _IOC_SQL), _hosts(l), ["crit", "high"]),
+    f"""
+    WITH rules AS ({RULES_SQL}), findings AS ({FINDINGS_SQL}), iocs AS ({_IOC_SQL}), {_OLD_SQL}
     SELECT 'rules' AS item, count(*) FILTER (status <> 'pending') AS done, count(*) AS total FROM rules WHERE hot = 1
-UNION ALL SELECT 'clusters', count(*), count(*) FROM o UNION ALL SELECT 'findings', count(*), count(*) FROM findings UNION ALL
-    SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""")
+    UNION ALL SELECT 'clusters', count(*), count(*) FROM o
+    UNION ALL SELECT 'findings', count(*), count(*) FROM findings
+    UNION ALL SELECT 'iocs', count(*), count(*) FROM iocs
+    UNION ALL SELECT 'hosts', count(DISTINCT Computer), count(DISTINCT Computer) FROM logs WHERE Computer <> 'HOST-7'""",
+)
 add(
     "rpt_04_coverage_appendix",
     lambda l: ev.coverage_appendix(_rules(l), ev.run_gates([build(l) for build, _ in GATES.values()]), ["crit", "high"], logs=l).where("part <> 'gap'"),
