@@ -107,6 +107,18 @@ def test_losses_and_files_beyond_what_is_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, packing.in_written_order(written).collect())) == packed and len(packed) == frame.count()
 
 
+def test_op6_long_words_that_all_share_are_no_join_key(spark):
+    url = "https://" + "licence/" * 30
+    rows = [(i, f"{url} word{i} {'y' * 70}{i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = [t.split() for _, t in rows]
+    tokens = [w for ws in words for w in [*ws, ""]]
+    count = {w: tokens.count(w) for w in set(tokens)}
+    for r in language_model.score(frame, frame).collect():
+        want = sum(math.log10((count[w] + 1) / (len(tokens) + len(count) + 1)) for w in [*words[r.doc_id], ""])
+        assert abs(r.base_score - want) < 1e-9 and (r.n_tokens, r.n_known) == (4, 4)
+
+
 def test_op6_and_op7_odd_rows_by_value(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "one two", "b"), (4, "one two", "b"), (None, "one", None), (11, "two unknown", "b")]
     frame = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, score int")

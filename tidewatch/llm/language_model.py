@@ -12,6 +12,7 @@ back. A word unigram model over the same tokens is the base that scores are comp
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ DEPTH = 5
 SPLIT = 2
 #: Bytes of training text to a share, and of scored text to a chunk.
 SHARE, CHUNK = 24_000_000, 16_000_000
-#: The most frequent words, of up to 64 bytes, are broadcast with their counts (at most 10 MB); counts of
-#: all other words are joined by shuffle.
-HOT_WORDS, HOT_LENGTH = 1 << 17, 64
+#: The most frequent words, of up to 64 bytes, are broadcast with their counts (at most 10 MB), and so are the most frequent longer
+#: ones, by their MD5 (under 2 MB); counts of all other words are joined by shuffle.
+HOT_WORDS, HOT_LENGTH, HOT_LONG = 1 << 17, 64, 1 << 14
 _SPREAD = 40_503  # odd, so that it only changes the order of the 2^16 numbers
 _DOC = 15  # bits for a document's number within a slice, beside the 48 of a byte string
 
@@ -352,6 +353,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     top = words.where(f"word is not null and octet_length(word) <= {HOT_LENGTH}").orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), (np.log10(top["c"].to_numpy() + 1.0) - unit).tolist(), strict=True)))
     del top
+    long = words.where(f"octet_length(word) > {HOT_LENGTH} and c > 1").select(F.unhex(F.md5("word")).alias("name"), "c").orderBy(F.desc("c"), "name").limit(HOT_LONG).toArrow()
+    hot_long = spark.sparkContext.broadcast(dict(zip(long["name"].to_pylist(), (np.log10(long["c"].to_numpy() + 1.0) - unit).tolist(), strict=True)))
     end_score = float(np.log10(ends + 1) - unit)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +373,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     def rate(got: pa.Table, told: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in SCORED.split(", ")]
-        known_words = hot.value
+        known_words, long_words = hot.value, hot_long.value
         string, value = _unpacked(told["keys"].to_pylist()), np.frombuffer(b"".join(told["values"].to_pylist()), np.float32)
         order = np.argsort(string)
         string, value, out = string[order], value[order], []
@@ -388,7 +391,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 times = Counter(w)
                 total, seen = end_score, int(ends > 0)
                 for word, t in times.items():
-                    s = known_words.get(word)
+                    s = known_words.get(word) if len(word) <= HOT_LENGTH else long_words.get(hashlib.md5(word).digest())
                     if s is None:
                         rare_uid.append(uids[k])
                         rare_word.append(word)
