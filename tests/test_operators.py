@@ -342,6 +342,16 @@ def test_a_dataset_is_made_active_and_dropped(spark):
     assert "logs" not in {t.name for t in spark.catalog.listTables()}
 
 
+def test_the_detail_column_is_named_in_any_case(spark):
+    logs = frame(spark, row(details="Proc: x.exe ¦ Cmdline: powershell -enc ZABpAHIA"))
+    assert det.extract_iocs(logs, source="details").count() == 2 and det.decode_commands(logs, "DETAILS").first().DecodedCommand == "dir"
+    for call in (det.extract_iocs, det.decode_commands):
+        with pytest.raises(ValueError, match="try Details"):
+            call(logs, source="allfieldinfo")
+        with pytest.raises(ValueError, match="use one of"):
+            call(logs, source="Other")
+
+
 def test_null_and_empty_labels(spark):
     logs = frame(spark, row(host=None), row(host=""), row(host=""))
     assert sorted(r["count"] for r in prof.section(logs, "Computer").collect()) == [1, 2]

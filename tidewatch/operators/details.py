@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import details as D
 from ..functions.timestamps import strict
 from ..plans.free_sql import ask_sql
-from ..sources.logs import SEPARATOR
+from ..sources.logs import SEPARATOR, resolve_detail_source
 from ..sources.shared import stored
 from .filters import by_level, holds, record, with_detail, without_placeholders
 
@@ -48,6 +47,7 @@ def extract_iocs(df: DataFrame, kind: str | None = None, source: str = "Details"
     Rows without the detail column are skipped, also those with ExtraFieldInfo alone, which goes with Details.
     Keys are those of the column's profile; levels and a part of the rule's title narrow the rows.
     """
+    source = resolve_detail_source(df, source)
     both, kinds = F.col(source), D.IOC_KEYS if source == "Details" else D.ALL_FIELD_IOC_KEYS
     if source == "Details" and "ExtraFieldInfo" in df.columns:
         both = F.when(F.coalesce("ExtraFieldInfo", F.lit("")) != "", F.concat_ws(SEPARATOR, "Details", "ExtraFieldInfo")).otherwise(both)
@@ -218,6 +218,7 @@ def event_ambiguity(df: DataFrame) -> DataFrame:
 
 def _encoded(df: DataFrame, source: str, levels: tuple[str, ...], rule: str) -> DataFrame:
     """Rows whose text holds an encoded command, with the text as __text; a cheap pattern test goes before the extraction."""
+    source = resolve_detail_source(df, source)
     text = F.concat_ws(" ", source, "ExtraFieldInfo") if source == "Details" and "ExtraFieldInfo" in df.columns else F.coalesce(source, F.lit(""))
     return _narrowed(df, levels, rule).withColumn("__text", text).where(D.has_encoded_command(F.col("__text")))
 
