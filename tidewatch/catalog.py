@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from .operators import sequence as seq
 from .plans import free_sql, order
 from .sources import logs as src
 from .sources import state
-from .sources.shared import shared_dir
+from .sources.shared import shared_dir, stored
 from .sources.testlogs import LOGS_SQL, logs_from_events
 
 _COLUMNS = "Timestamp,RuleTitle,Level,Computer,Channel,EventID,MitreTactics,MitreTags,RecordID,Details,ExtraFieldInfo"
@@ -596,13 +597,24 @@ UNION ALL SELECT 'finding', 'f-' || RuleTitle, CASE WHEN RuleTitle LIKE '%error%
     WHERE Level = 'crit' AND RuleTitle NOT LIKE 'Rule view%'"""
 
 
-def _state(l, text: str):
-    """A derived accounting table."""
+_HELD: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _derived(l, text: str):
+    """A table derived from the log by SQL."""
     l.createOrReplaceTempView("logs")
     out = l.sparkSession.sql(text)
     return out.withColumn("levels", F.when(F.col("hot") == 1, F.lit(["crit", "high"])).otherwise(F.lit(["low"]))).drop("hot") if "hot" in out.columns else out
 
 
+def _state(l, text: str):
+    """A derived accounting table, stored once for each log: gates over the same log read it and do not derive it again."""
+    held = _HELD.setdefault(l, {})
+    if text not in held:
+        held[text] = stored(_derived(l, text))
+    return held[text]
+
+
 def _rules(l):
     return _state(l, RULES_SQL)
 
@@ -805,7 +817,7 @@ _FINDINGS = "SELECT RuleTitle AS title, CASE WHEN Level = 'crit' THEN ' ' ELSE M
 add(
     "val_02_findings",
     lambda l: ev.validate_findings(
-        _state(l, _FINDINGS.format(titles="array(RuleTitle, 'Rule unknown ' || EventID)", refs="if(Channel = 'Sec', array(), array(RecordID))")), _rules(l)
+        _derived(l, _FINDINGS.format(titles="array(RuleTitle, 'Rule unknown ' || EventID)", refs="if(Channel = 'Sec', array(), array(RecordID))")), _rules(l)
     ).groupBy(F.concat_ws("; ", "reasons").alias("reasons"), F.concat_ws("; ", "warnings").alias("warnings"), "accepted").count(),
     f"""
     WITH x AS (
