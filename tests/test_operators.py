@@ -1,6 +1,7 @@
 import base64
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -715,3 +716,26 @@ def test_empty_tables(spark):
     logs = frame(spark)
     for out in (prof.analyze_rule_titles(logs), prof.by_window(logs), det.extract_iocs(logs), seq.lateral_pairs(logs), seq.clusters(logs), det.expand_events(logs)):
         assert out.count() == 0
+
+
+def test_references_meet_counts_not_rows(spark):
+    rng = random.Random(5)
+    pick = lambda *of: rng.choice(of)
+    rows = [row(record=pick("1", "2", "3"), host=pick("A", "B", "", None), channel=pick("Sec", "Sys", None), rule=pick("Alpha", "Beta")) for _ in range(25)]
+    told = [("f", pick("Alpha", "Beta", None), pick("1", "2", "3", "9", None), pick("A", "B", "", None), pick("Sec", "Sys", "", None)) for _ in range(150)]
+    ddl = "owner string, rule_title string, record_id string, computer string, channel string"
+
+    def expected(owner, rule, record, host, channel):
+        held = [(r[3] or "", r[4] or "", r[1]) for r in rows if r[7] == record and (not host or r[3] == host) and (not host or not channel or r[4] == channel)]
+        n = len({h[:2] for h in held})
+        state = "not_found" if n == 0 else ("ambiguous_channels" if host else "ambiguous") if n > 1 else "wrong_rule" if rule and rule not in {h[2] for h in held} else "ok"
+        return owner, rule, record, host, channel, n, state, max((h[0] for h in held), default=None)
+
+    got = ev.resolve_refs(spark.createDataFrame(told, ddl), frame(spark, *rows)).select(*[c.split()[0] for c in ddl.split(", ")], "events", "state", "found")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted({repr(expected(*t)) for t in told})
+    # As many references as rows with one record id: pairs of them would be 2.5 thousand millions.
+    n, began = 50_000, time.monotonic()
+    logs = spark.range(n).selectExpr("'1' as RecordID", "'H' || id as Computer", "'Sec' as Channel", "'Alpha' as RuleTitle")
+    refs = spark.range(n).selectExpr("'f' || id as owner", "'Alpha' as rule_title", "'1' as record_id", "cast(null as string) as computer", "cast(null as string) as channel")
+    assert [tuple(r) for r in ev.resolve_refs(refs, logs).groupBy("state", "events").count().collect()] == [("ambiguous", n, n)]
+    assert time.monotonic() - began < 60
