@@ -739,3 +739,19 @@ def test_references_meet_counts_not_rows(spark):
     refs = spark.range(n).selectExpr("'f' || id as owner", "'Alpha' as rule_title", "'1' as record_id", "cast(null as string) as computer", "cast(null as string) as channel")
     assert [tuple(r) for r in ev.resolve_refs(refs, logs).groupBy("state", "events").count().collect()] == [("ambiguous", n, n)]
     assert time.monotonic() - began < 60
+
+
+def test_variants_are_worked_out_once(spark):
+    logs = frame(spark, *[row(rule=r, record=str(i), details=f"Proc: p{i % 2}") for r in ("Alpha", "Beta") for i in range(30)])
+    rules = spark.createDataFrame([("Alpha", "mixed", 30), ("Beta", "mixed", 30)], "rule_title string, verdict string, count long")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ddl = "rule_title string, variant string, count long, verdict string"
+    groups = spark.createDataFrame([("Alpha", "Sec", 30, "attack"), ("Beta", "Sec", 29, "attack")], ddl).mapInArrow(counted, ddl)
+    assert ev.g10(rules, groups, logs, ["Channel"]).first().gaps == ["Beta Sec count"]
+    assert read.value == 2
