@@ -755,3 +755,12 @@ def test_variants_are_worked_out_once(spark):
     groups = spark.createDataFrame([("Alpha", "Sec", 30, "attack"), ("Beta", "Sec", 29, "attack")], ddl).mapInArrow(counted, ddl)
     assert ev.g10(rules, groups, logs, ["Channel"]).first().gaps == ["Beta Sec count"]
     assert read.value == 2
+
+
+def test_variants_without_a_limit(spark):
+    n = ev.MOST_VARIANTS + 1
+    logs = spark.range(n).selectExpr("'Alpha' as RuleTitle", "'H' || id as Computer", "'Sec' as Channel", "'high' as Level", "cast(null as string) as Details")
+    rules = spark.createDataFrame([("Alpha", "mixed", n)], "rule_title string, verdict string, count long")
+    groups = spark.range(n).selectExpr("'Alpha' as rule_title", "'H' || id as variant", "if(id = 7, 2L, 1L) as count", "'attack' as verdict")
+    assert ev.g10(rules, groups, logs, ["Computer"]).first().gaps == ["Alpha has too many variants"]
+    assert ev.g10(rules, groups, logs, ["Computer"], most=None).first().gaps == ["Alpha H7 count"]
