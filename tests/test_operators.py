@@ -764,3 +764,22 @@ def test_variants_without_a_limit(spark):
     groups = spark.range(n).selectExpr("'Alpha' as rule_title", "'H' || id as variant", "if(id = 7, 2L, 1L) as count", "'attack' as verdict")
     assert ev.g10(rules, groups, logs, ["Computer"]).first().gaps == ["Alpha has too many variants"]
     assert ev.g10(rules, groups, logs, ["Computer"], most=None).first().gaps == ["Alpha H7 count"]
+
+
+def test_lateral_pairs_are_counted_without_them(spark, monkeypatch):
+    rng = random.Random(8)
+    at = lambda s: f"2024-01-01 {s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}.000 +00:00"
+    rows = [row(ts=at(rng.choice([0, 300, 1200, rng.randrange(9000)])), level=rng.choice(["high", "crit"]), host=rng.choice(["A", "B", "C", None])) for _ in range(300)]
+    rows += [row(ts=at(7), level=None, tactics="LatMov", host="A"), row(ts="no time", host="B")]
+    logs, keys = frame(spark, *rows), ["SourceHost", "SourceLevel", "TargetHost", "TargetLevel"]
+    for side in (seq.COUNTED_SIDE, 9):  # whole buckets, and buckets cut into cells
+        monkeypatch.setattr(seq, "COUNTED_SIDE", side)
+        for ends in ({}, {"source": "A", "target": "B"}):
+            pairs, counts = seq.lateral_pairs(logs, 5, **ends), seq.lateral_counts(logs, 5, **ends)
+            assert sorted(map(repr, map(tuple, counts.collect()))) == sorted(map(repr, map(tuple, pairs.groupBy(*keys).count().collect())))
+    for stats in (seq.node_stats, seq.edge_stats):
+        assert sorted(map(tuple, stats(counts).collect())) == sorted(map(tuple, stats(pairs).collect()))
+    # A burst on two hosts in one second each: 3.6 thousand millions of pairs.
+    burst = spark.range(60_000).selectExpr("'A' as Computer", "0 as s").union(spark.range(60_000).selectExpr("'B'", "1"))
+    burst = burst.selectExpr("'2024-01-01 00:00:0' || s || '.000 +00:00' as Timestamp", "'R' as RuleTitle", "'high' as Level", "Computer", "'' as MitreTactics")
+    assert [tuple(r) for r in seq.node_stats(seq.lateral_counts(burst, 5)).orderBy("host").collect()] == [("A", 60_000**2, 0, 60_000**2, "high", 3), ("B", 0, 60_000**2, 60_000**2, "high", 3)]
