@@ -783,3 +783,10 @@ def test_lateral_pairs_are_counted_without_them(spark, monkeypatch):
     burst = spark.range(60_000).selectExpr("'A' as Computer", "0 as s").union(spark.range(60_000).selectExpr("'B'", "1"))
     burst = burst.selectExpr("'2024-01-01 00:00:0' || s || '.000 +00:00' as Timestamp", "'R' as RuleTitle", "'high' as Level", "Computer", "'' as MitreTactics")
     assert [tuple(r) for r in seq.node_stats(seq.lateral_counts(burst, 5)).orderBy("host").collect()] == [("A", 60_000**2, 0, 60_000**2, "high", 3), ("B", 0, 60_000**2, 60_000**2, "high", 3)]
+
+
+def test_pairs_are_served_without_a_limit(spark):
+    rows = spark.range(3_200).selectExpr("'H' || id % 2 as Computer", "'R' as RuleTitle", "'high' as Level", "'' as MitreTactics", "'2024-01-01 00:00:00.000 +00:00' as Timestamp")
+    out = seq.correlate_lateral(rows, 1, most=None, source="H0", target="H1")
+    assert seq.correlate_lateral(rows, 1, most=1_000_000, source="H0", target="H1").first().status == "too_broad"
+    assert out.count() == 1_600**2 and out.first().status == "ok"
