@@ -790,3 +790,12 @@ def test_pairs_are_served_without_a_limit(spark):
     out = seq.correlate_lateral(rows, 1, most=None, source="H0", target="H1")
     assert seq.correlate_lateral(rows, 1, most=1_000_000, source="H0", target="H1").first().status == "too_broad"
     assert out.count() == 1_600**2 and out.first().status == "ok"
+
+
+def test_a_folder_of_files_is_one_dataset(spark, tmp_path):
+    for name, text in (("part.csv", "abc"), ("docs.csv/part-0.csv", "a" * 1048576), ("docs.csv/part-1.csv", "a" * 1048576), ("deep/partly.csv", "x"), ("part.txt", "x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    listed = lambda **kw: [(r.alias, r.name, r.size_mb, r.path.endswith(r.name)) for r in src.dataset_inventory(spark, str(tmp_path), **kw).collect()]
+    assert listed() == [("partly", "partly.csv", 0.0, True), ("docs", "docs.csv", 2.0, True), ("part", "part.csv", 0.0, True)]
+    assert [n[1] for n in listed(name_filter="PART")] == ["partly.csv", "part.csv"] and [n[1] for n in listed(recursive=False)] == ["docs.csv", "part.csv"]
