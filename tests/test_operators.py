@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import catalog
 from tidewatch.functions import details as fn
 from tidewatch.functions.timestamps import lenient, strict
 from tidewatch.operators import details as det
@@ -799,3 +800,25 @@ def test_a_folder_of_files_is_one_dataset(spark, tmp_path):
     listed = lambda **kw: [(r.alias, r.name, r.size_mb, r.path.endswith(r.name)) for r in src.dataset_inventory(spark, str(tmp_path), **kw).collect()]
     assert listed() == [("partly", "partly.csv", 0.0, True), ("docs", "docs.csv", 2.0, True), ("part", "part.csv", 0.0, True)]
     assert [n[1] for n in listed(name_filter="PART")] == ["partly.csv", "part.csv"] and [n[1] for n in listed(recursive=False)] == ["docs.csv", "part.csv"]
+
+
+def test_first_gaps_where_all_rows_have_one_record_id(spark, tmp_path):
+    n = 40_000  # as many references as rows, all of one id: pairs of them would be 1.6 thousand millions
+    events = spark.range(n).selectExpr("id * 7000 AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id AS user_id", "'click' AS event_type", "200D AS value",
+        "concat('{\"k\": ', id % 100, '}') AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    began = time.monotonic()
+    got = sorted(tuple(r) for r in catalog.QUERIES["rpt_04_first_gaps"](spark, str(tmp_path)).collect())
+    assert time.monotonic() - began < 60
+    hosts = sorted(f"f-Rule click-{k} HOST-{h}" for k in range(4) for h in range(20) if k % 4 == h % 4)
+    assert got == [("gap", "G1", "Rule click-3"), ("gap", "G2", "HOST-7"), *[("gap", "G9", h) for h in hosts[:10]]]
+
+
+def test_references_are_resolved_from_a_log_read_once(spark, tmp_path):
+    frame(spark, row(record="1"), row(record="1", rule="Beta"), row(record="2", host="B"), row(record="2", host="C", channel=None)).write.parquet(f"{tmp_path}/log")
+    logs = spark.read.parquet(f"{tmp_path}/log")
+    told = [("f", "Alpha", "1", None, None), ("f", "Alpha", "2", "B", "Sec"), ("g", "Beta", "2", None, None), ("g", "Beta", "2", "C", None)]
+    out = ev.resolve_refs(spark.createDataFrame(told, "owner string, rule_title string, record_id string, computer string, channel string"), logs)
+    assert sorted((r.owner, r.record_id, r.computer or "", r.state, r.events, r.found) for r in out.collect()) == [
+        ("f", "1", "", "ok", 1, "A"), ("f", "2", "B", "ok", 1, "B"), ("g", "2", "", "ambiguous", 2, "C"), ("g", "2", "C", "wrong_rule", 1, "C")]
+    assert not set(out.inputFiles()) & set(logs.inputFiles())
