@@ -3,14 +3,17 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import fingerprint, language_model, media, mixing, packing, substring_dedup
-from tidewatch.llm.common import stored
+from tidewatch.llm import fingerprint, language_model, media, mixing, near_dup, packing, substring_dedup
+from tidewatch.llm.common import stored, unpacked
 from tidewatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +158,26 @@ def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path, rows):
     if rows:
         kept = next(f for n, f in corpus_pipeline.STAGES if n == "near_duplicates")(spark, docs, str(tmp_path))
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, None, 7, 8]))
+
+
+def test_slices_of_bitmaps_take_no_byte_for_each_bit(monkeypatch):
+    grouped = []
+
+    class Frame:
+        select = mapInArrow = groupBy = lambda self, *_: self
+        applyInPandas = lambda self, f, _: grouped.append(f)
+
+    monkeypatch.setattr(substring_dedup, "bitmap", lambda *_: None)
+    substring_dedup.shared_anchors(Frame(), 0)
+    near_dup.census(Frame(), 0)
+    hashes = np.repeat(np.random.default_rng(5).integers(0, 2**32, 5_000, np.uint32), near_dup.FEW + 1)
+    alone = np.setdiff1d(np.random.default_rng(6).integers(0, 2**32, 5_000, np.uint32), hashes)
+    for count, name, bits in zip(grouped, ("anchors", "hashes"), (substring_dedup.BITS, near_dup.BITS), strict=True):
+        got = pd.DataFrame({"share": [0, 0], name: [hashes.tobytes(), alone.tobytes()]})
+        tracemalloc.start()
+        marks = count((0,), got)["marks"][0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < (1 << bits) / 8 * 2
+        assert np.flatnonzero(np.unpackbits(unpacked([marks], bits))).tolist() == np.unique(hashes >> np.uint32(32 - bits)).tolist()
+        assert unpacked([marks], bits).nbytes == (1 << bits) // 8

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, packed, release, slices, stored, table, two_to, unpacked, volume
+from .common import bitmap, packed, release, slices, slices_of, stored, table, two_to, unpacked, volume
 from .components import components
 from .parity import keys_of, similar
 from .shingles import mixed, set_id, shingle_sets
@@ -81,9 +81,8 @@ def census(docs: DataFrame, bits: int) -> DataFrame:
         h = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in got["hashes"]]))
         # In sorted order, a hash that stands FEW places further too is held by more than FEW documents.
         wide = h[:-FEW][h[FEW:] == h[:-FEW]] if len(h) > FEW else h[:0]
-        marks = np.zeros(1 << (BITS - bits), bool)
-        marks[wide >> np.uint32(32 - (BITS - bits))] = True
-        return pd.DataFrame({"share": [key[0]], "marks": [packed(marks)], "doc_id": None, "set": None, "n": None})
+        marks = packed(wide >> np.uint32(32 - (BITS - bits)), BITS - bits)
+        return pd.DataFrame({"share": [key[0]], "marks": [marks], "doc_id": None, "set": None, "n": None})
 
     dealt = docs.select("doc_id", "text").mapInArrow(read, "share int, hashes binary, docs binary")
     return dealt.groupBy("share").applyInPandas(count, "share int, marks binary, doc_id long, set long, n long")
@@ -387,7 +386,7 @@ def jaccard_join(docs: DataFrame, counted_links: bool = False) -> tuple[DataFram
     text do not matter. An empty table gives empty results.
     """
     _, size = volume(docs)
-    bits = min(BITS - 3, two_to(size / SHARE))
+    bits = slices_of(BITS, size / SHARE)
     counted = stored(census(docs, bits))
     members = counted.where("doc_id is not null").select("doc_id", "set", "n")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(counted.where("marks is not null").select("share", "marks"), 1 << bits))
