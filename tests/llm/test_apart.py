@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import fingerprint, language_model, media, mixing, near_dup, packing, substring_dedup
+from tidewatch.llm import fingerprint, language_model, media, mixing, near_dup, packing, substring_dedup, suffix
 from tidewatch.llm.common import stored, unpacked
 from tidewatch.llm.queries import QUERIES
 
@@ -181,3 +181,35 @@ def test_slices_of_bitmaps_take_no_byte_for_each_bit(monkeypatch):
         assert peak < (1 << bits) / 8 * 2
         assert np.flatnonzero(np.unpackbits(unpacked([marks], bits))).tolist() == np.unique(hashes >> np.uint32(32 - bits)).tolist()
         assert unpacked([marks], bits).nbytes == (1 << bits) // 8
+
+
+def test_op9_compares_only_strings_whose_anchor_has_others(monkeypatch):
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    core = noise(54)
+    bodies = [noise(70), b"ab" * 60, b"x" + core, core + b"yz", noise(20) + core[:50]]
+    rows = [(i, 10 - i, b, a) for i, (b, a) in enumerate(zip(bodies, (1, 2, 3, 3, 3), strict=True))]
+    got = pd.DataFrame([*rows, (0, 4, bodies[0], 1)], columns=["string", "doc_id", "body", "anchor"])
+    sizes = []
+    array = substring_dedup.suffix_array
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda t: sizes.append(len(t)) or array(t))
+    told = substring_dedup._firsts(got)
+    assert sizes == [sum(len(b) + 1 for b in bodies[2:]) + 1]
+    least = {}
+    for _, d, b, _ in got.itertuples(index=False):
+        for i in range(len(b) - 49):
+            least[b[i : i + 50]] = min(d, least.get(b[i : i + 50], d))
+    seen = {(s, i): d for s, first, last, d in told.itertuples(index=False) for i in range(first, last - 49)}
+    assert seen == {(s, i): least[b[i : i + 50]] for s, b in enumerate(bodies) for i in range(len(b) - 49)}
+
+
+def test_same_starts_equal_those_worked_out_apart():
+    rng = np.random.default_rng(12)
+    for depth in (8, 9, 16, 21, 50):
+        strings = [rng.integers(254, 256, rng.integers(depth, depth + 30)).astype(np.uint8) for _ in range(6)]
+        strings += [np.append(s[:depth], 0) for s in strings[:3]]
+        t = np.concatenate([*[np.append(s.astype(np.uint16) + 2, 1) for s in strings], [0]]).astype(np.uint16)
+        sa = suffix.suffix_array(t)
+        sa = sa[[1 not in t[i : i + depth] and i + depth < len(t) for i in sa.tolist()]]
+        starts = [t[i : i + depth].tolist() for i in sa.tolist()]
+        assert suffix.same_starts(t, sa, depth).tolist() == [a == b for a, b in zip(starts[:-1], starts[1:], strict=True)]
