@@ -113,6 +113,16 @@ def test_op1_further_gives_fewer_links_than_members(spark):
     assert near_dup.further(held, frame).count() == 119
 
 
+def test_op1_further_in_a_bucket_of_many_sizes(spark):
+    # More members than are compared at once, the last of which are too large for the first.
+    small = {k: " ".join(f"s{k // 2}x{i}" if i or k % 2 else "changed" for i in range(40)) for k in range(300)}
+    large = {k: " ".join(f"l{k // 2}x{i}" if i or k % 2 else "changed" for i in range(400)) for k in range(300, 340)}
+    sets = near_dup.shingle_sets([*small.values(), *large.values()])
+    frame = spark.createDataFrame([(k, len(s), near_dup._sketch(s), s.tobytes()) for k, s in enumerate(sets)], "set long, n long, sketch binary, hashes binary")
+    held = spark.createDataFrame([(1, k, k) for k in range(340)], "bucket long, set long, component long")
+    assert sorted(tuple(sorted(r)) for r in near_dup.further(held, frame).collect()) == [(k, k + 1) for k in range(0, 340, 2)]
+
+
 def test_op1_odd_and_empty(odd, none):
     got = sorted((r.doc_id, r.component_id) for r in near_dup.jaccard_join(odd)[0].collect())
     assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8)]

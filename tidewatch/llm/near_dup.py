@@ -316,7 +316,7 @@ def further(held: DataFrame, sets: DataFrame) -> DataFrame:
                 open_[at : at + len(ok)] |= ok.any(1)
                 open_[at : at + ok.shape[1]] |= ok.any(0)
                 for i in np.flatnonzero(ok.any(1)).tolist():
-                    others = np.unique(group[at:][ok[i]])
+                    others = np.unique(group[at : at + ok.shape[1]][ok[i]])
                     if len(others) > 1 or others[0] != group[at + i]:
                         group[np.isin(group, others)] = group[at + i]
             names, group = block.names[open_], group[open_]
