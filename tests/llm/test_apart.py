@@ -213,3 +213,13 @@ def test_same_starts_equal_those_worked_out_apart():
         sa = sa[[1 not in t[i : i + depth] and i + depth < len(t) for i in sa.tolist()]]
         starts = [t[i : i + depth].tolist() for i in sa.tolist()]
         assert suffix.same_starts(t, sa, depth).tolist() == [a == b for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def test_op9_broadcasts_losses_only_where_they_are_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "some text"), (1, None)], "doc_id long, text string")
+    for spans, few in ((10, True), (1_100_000, False)):  # 35 MB in all, whatever the size of the files
+        lost = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), (F.col("id") > 0).alias("copied"), F.array_repeat(F.array("id", F.col("id") + 1), spans).alias("spans"))
+        monkeypatch.setattr(substring_dedup, "losses", lambda _, lost=lost: lost)
+        out = substring_dedup.with_losses(docs)
+        assert ("Broadcast" in out._jdf.queryExecution().executedPlan().toString()) == few
+        assert sorted(out.select("doc_id", "copied", F.coalesce(F.size("spans"), F.lit(0))).collect()) == [(0, None, spans), (1, None, 0)]
