@@ -822,3 +822,16 @@ def test_references_are_resolved_from_a_log_read_once(spark, tmp_path):
     assert sorted((r.owner, r.record_id, r.computer or "", r.state, r.events, r.found) for r in out.collect()) == [
         ("f", "1", "", "ok", 1, "A"), ("f", "2", "B", "ok", 1, "B"), ("g", "2", "", "ambiguous", 2, "C"), ("g", "2", "C", "wrong_rule", 1, "C")]
     assert not set(out.inputFiles()) & set(logs.inputFiles())
+
+
+def test_lateral_pairs_are_shared_out_by_their_number(spark, monkeypatch):
+    ends = spark.range(2).selectExpr("'H' || id as Computer", "id * 15000 as shift")
+    rows = spark.range(320).crossJoin(ends).selectExpr("Computer", "'R' as RuleTitle", "'high' as Level", "'' as MitreTactics", "date_format(timestamp_millis(1704067200000 + id * 1001 + shift), 'yyyy-MM-dd HH:mm:ss.SSS') || ' +00:00' as Timestamp")
+    pairs = seq.lateral_pairs(rows, 5)
+    want = pairs.groupBy(*pairs.columns).count().collect()
+    monkeypatch.setattr(seq, "TASK", 10_000)
+    shared = seq.lateral_pairs(rows, 5)
+    assert sorted(map(repr, shared.groupBy(*pairs.columns).count().collect())) == sorted(map(repr, want))
+    assert shared.rdd.getNumPartitions() > 8  # the session's number of partitions
+    minutes = shared.selectExpr("round((unix_micros(timestamp(replace(TargetTime, '+00', ''))) - unix_micros(timestamp(replace(SourceTime, '+00', '')))) / 60000000.0D, 1) as m", "DeltaMinutes as d")
+    assert minutes.where("m <> d or d is null").isEmpty() and minutes.where("d > 0").count() > 10_000
